@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, substrings
+from . import decontaminate, jaccard, licenses, mixing, substrings, topk
 
-_MODULES = [decontaminate, jaccard, substrings, mixing]
+_MODULES = [decontaminate, licenses, topk, jaccard, substrings, mixing]
 
 
 def _by_number(name: str) -> int:
