@@ -38,7 +38,7 @@ def save(df: DataFrame) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
