@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: what stands between words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PERCENT = 80
 MOST_TEMPLATES = 10_000
 #: fixed values: the base phrases and their labels
@@ -44,14 +45,17 @@ TEMPLATES = [
 
 
 def words_of(text: Column) -> Column:
-    """A-Z are the only capitals of the word pattern, and no other letter's lower case is a letter of a phrase."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words, with an empty one before or after them where the text begins or ends with a separator.
+
+    A-Z are the only capitals of the word pattern, and no other letter's lower case is a letter of a phrase.
+    """
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR, -1)
 
 
 def _tokens(text: str) -> list[str]:
     import re
 
-    return sorted(set(re.findall(WORD, text.lower())))
+    return sorted({w for w in re.split(SEPARATOR, text.lower()) if w})
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -60,7 +64,7 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r.token: r.n for r in found.collect()}
 
 
-def places(words: Column) -> Column:
+def places(words: Column, lead: Column) -> Column:
     """label and start of each base phrase; phrases end with the same word, which is looked for first."""
 
     def at(w: Column, i: Column) -> Column:
@@ -70,7 +74,7 @@ def places(words: Column) -> Column:
             hit = (w == last) & (i >= len(before))
             for k, x in enumerate(reversed(before)):
                 hit = hit & (F.get(words, i - 1 - k) == x)
-            found = F.when(hit, F.struct(F.lit(label).alias("label"), (i - len(before)).cast("long").alias("start"))).otherwise(found)
+            found = F.when(hit, F.struct(F.lit(label).alias("label"), (i - len(before) - lead).cast("long").alias("start"))).otherwise(found)
         return found
 
     return F.filter(F.transform(words, at), lambda p: p.isNotNull())
@@ -96,12 +100,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     prefixes = spark.createDataFrame(prefixes, "token string, template int, at int, n int, need int")
 
     words = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    lead, size = (F.get("words", F.lit(0)) == "").cast("int"), F.size("words")
     sized = words.select(
         "doc_id",
         F.xxhash64("text").alias("key"),
-        F.size("words").cast("long").alias("n_words"),
+        lead.alias("lead"),
+        (size - lead - F.when((size > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)).cast("long").alias("n_words"),
         F.when(F.array_contains("words", "license"), F.col("words")).alias("with_license"),
-    ).select("doc_id", "key", "n_words", F.coalesce(places(F.col("with_license")), F.array().cast("array<struct<label:string,start:bigint>>")).alias("places"))
+    ).select("doc_id", "key", "n_words", F.coalesce(places(F.col("with_license"), F.col("lead")), F.array().cast("array<struct<label:string,start:bigint>>")).alias("places"))
 
     # a line's template tokens, rarest first
     ordered = F.array(*[F.lit(t) for t in sorted(order, key=order.get)])
