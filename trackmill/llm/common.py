@@ -46,6 +46,15 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trim() -> None:
+    """Gives freed memory back, so that a worker that is used again does not keep what its largest batch took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # --------------------------------------------------------------------------- fingerprints
 
 
