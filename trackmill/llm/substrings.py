@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, spread, strings
+from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, spread, trim
 
 WINDOW = 50
 GRAM = 12
 #: bytes of text whose super-k-mers are held, combined and sent together
-FLUSH = 24 << 20
+FLUSH = 16 << 20
 _U = np.uint64
 #: the low bits of a minimiser hold its place, so that each occurrence differs
 _PLACE = _U((1 << 22) - 1)
@@ -143,7 +143,9 @@ def _send(window: int, gram: int, n_buckets: int):
                 held.add(ids[a:b], keys[a:b], known[a:b], buf, off)
                 if held.size >= FLUSH:
                     yield out()
+                    trim()
         yield out()
+        trim()
 
     return run
 
@@ -172,7 +174,7 @@ def _bucket(blobs: list[bytes], window: int) -> pa.RecordBatch:
     buf = np.concatenate([np.r_[c[5], np.uint8(10)] for c in cols])
     hashes1, hashes2, done, offsets = [], [], 0, np.concatenate(offsets)
     while done < len(doc):  # a stretch at a time, for memory
-        b = max(done + 1, int(np.searchsorted(offsets, offsets[done] + (8 << 20), "right")) - 1)
+        b = max(done + 1, int(np.searchsorted(offsets, offsets[done] + (2 << 20), "right")) - 1)
         w = Words(buf[offsets[done] : offsets[b]], offsets[done : b + 1] - offsets[done], SPACED, False)
         h = w.hashes()
         i = np.repeat(w.first[:-1], count[done:b]) + spread(count[done:b])
@@ -208,6 +210,7 @@ def _decide(window: int):
                 if bucket != here and blobs:
                     yield _bucket(blobs, window)
                     blobs = []
+                    trim()
                 here = bucket
                 blobs.append(blob.as_py())
         if blobs:
