@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, licenses, mixing, substrings, topk
+from . import decontaminate, jaccard, language, licenses, mixing, substrings, topk, toxicity
 
-_MODULES = [language, decontaminate, licenses, topk, jaccard, substrings, mixing]
+_MODULES = [language, decontaminate, licenses, topk, jaccard, substrings, mixing, toxicity]
 
 
 def _by_number(name: str) -> int:
