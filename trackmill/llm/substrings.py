@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, spread, trim
 
 WINDOW = 50
-GRAM = 12
+GRAM = 6
 #: bytes of text whose super-k-mers are held, combined and sent together
 FLUSH = 16 << 20
 _U = np.uint64
@@ -111,7 +111,7 @@ def _packed(doc, key, at, count, text=()) -> bytes:
     raw = b"\n".join(text)
     sizes = np.array([len(t) for t in text], np.int32)
     parts_ = [np.array([len(doc), len(sizes)], np.int64), doc.astype(np.int64), key.astype(np.int64), at.astype(np.int32), count.astype(np.int32), sizes]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts_) + raw)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts_) + raw)
 
 
 def _unpacked(blob: bytes):
