@@ -1,11 +1,655 @@
-"""The trajectory queries and their DuckDB equivalents."""
+"""The trajectory queries and their DuckDB equivalents.
+
+Every query runs over whole tables. Floats are rounded in both engines, to millimetres or millionths.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures
+from .fixtures import AREAS, POINTS, ROADS
+from .functions import geo, text
+from .operators import correction, filters, matching, roads, stateful
+from .operators import sequence as seq
+from .plans import service
+from .sources import readers, sinks
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+W = "PARTITION BY day, plate_number ORDER BY datetime, event_id"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_points(body: str, *more: str) -> str:
+    return f"WITH {', '.join([POINTS, *more])} {body}"
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    return f"(2 * 6371000e0 * asin(sqrt(power(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians(({d}) - ({b})) / 2), 2))))"
+
+
+def course(a: str, b: str, c: str, d: str) -> str:
+    x = f"degrees(atan2(sin(radians(({d}) - ({b}))) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians(({d}) - ({b})))))"
+    return f"(({x} + 360e0) % 360e0)"
+
+
+def turn(x: str) -> str:
+    return f"(CASE WHEN abs({x}) > 180 THEN 360 - abs({x}) ELSE abs({x}) END)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.gps_points(spark, sf_dir)
+
+
+def r(c, n: int = 3):
+    return F.round(c, n)
+
+
+# ------------------------------------------------------------------ reads and filters
+
+
+@query(on_points("SELECT event_id, plate_number, day, t_sec, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, speed, heading, CAST(location_flag AS INTEGER) AS location_flag, road_id, road_type FROM gps_points"))
+def gps_points_projection(spark, d):
+    return points(spark, d).select("event_id", "plate_number", "day", "t_sec", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), "speed", "heading", "location_flag", "road_id", "road_type")
+
+
+@query(on_points("SELECT plate_number, count(*) AS n FROM gps_points WHERE location_flag = 1 GROUP BY plate_number"))
+def valid_fix_filter(spark, d):
+    return points(spark, d).withColumn("is_valid", F.col("location_flag") == 1).where(filters.valid_fix()).groupBy("plate_number").agg(F.count("*").alias("n"))
+
+
+@query(on_points("SELECT event_id, t_sec, speed FROM gps_points WHERE plate_number = 'B0007'"))
+def plate_lookup(spark, d):
+    return service.by_plate(points(spark, d), "B0007").select("event_id", "t_sec", "speed")
+
+
+@query(on_points("SELECT event_id, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at FROM gps_points WHERE plate_number = 'B0012' AND datetime >= TIMESTAMP '2016-08-31 00:00:00' AND datetime <= TIMESTAMP '2016-08-31 23:59:59'"))
+def plate_date_range(spark, d):
+    return service.by_plate(points(spark, d), "B0012", "2016-08-31", "2016-08-31").select("event_id", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query(on_points("SELECT event_id, day FROM gps_points p WHERE plate_number = 'B0003' AND day = (SELECT min(day) FROM gps_points WHERE plate_number = 'B0003') AND datetime BETWEEN TIMESTAMP '2016-08-31 00:02:00' AND TIMESTAMP '2016-08-31 00:10:00'"))
+def single_vehicle_range(spark, d):
+    return service.single_vehicle(points(spark, d), "B0003", "2016-08-31 00:02:00", "2016-08-31 00:10:00").select("event_id", "day")
+
+
+@query(on_points("SELECT plate_number, count(*) AS n FROM gps_points WHERE plate_number IN (SELECT DISTINCT plate_number FROM gps_points ORDER BY 1 LIMIT 4 OFFSET (least(3, greatest(1, CAST(ceil((SELECT count(DISTINCT plate_number) FROM gps_points) / 4.0) AS BIGINT))) - 1) * 4) GROUP BY plate_number"))
+def vehicle_page(spark, d):
+    return service.vehicle_page(points(spark, d), 3, 4).groupBy("plate_number").agg(F.count("*").alias("n"))
+
+
+@query(on_points("SELECT DISTINCT plate_number FROM gps_points"))
+def distinct_plates(spark, d):
+    return service.plates(points(spark, d), None)
+
+
+@query(on_points("SELECT plate_number, count(*) AS point_count, strftime(min(datetime), '%H:%M:%S') AS start_time, strftime(max(datetime), '%H:%M:%S') AS end_time, round(min(longitude), 6) AS min_lon, round(max(longitude), 6) AS max_lon, round(min(latitude), 6) AS min_lat, round(max(latitude), 6) AS max_lat FROM gps_points GROUP BY plate_number"))
+def vehicle_summary(spark, d):
+    s = service.summary(points(spark, d))
+    return s.select("plate_number", "point_count", *[F.date_format(c, "HH:mm:ss").alias(c) for c in ("start_time", "end_time")], *[r(c, 6).alias(c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")])
+
+
+@query(on_points("SELECT event_id, plate_number FROM gps_points WHERE (day, plate_number) = (SELECT (day, plate_number) FROM gps_points ORDER BY day, plate_number LIMIT 1)"))
+def first_vehicle(spark, d):
+    return service.first_vehicle(points(spark, d)).select("event_id", "plate_number")
+
+
+@query(on_points("SELECT event_id FROM gps_points WHERE latitude BETWEEN 22.55e0 AND 22.62e0 AND longitude BETWEEN 113.95e0 AND 114.1e0"))
+def bbox_filter(spark, d):
+    return points(spark, d).where(filters.in_box(22.55, 22.62, 113.95, 114.1)).select("event_id")
+
+
+def _inside(rings) -> str:
+    """Crossings as a sum over a ring's edges, written out."""
+
+    def one(ring):
+        edges = zip(ring, ring[1:] + ring[:1], strict=True)
+        return " + ".join(f"CASE WHEN ({y1}e0 > latitude) <> ({y2}e0 > latitude) AND longitude < ({x2}e0 - {x1}e0) * (latitude - {y1}e0) / ({y2}e0 - {y1}e0) + {x1}e0 THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in edges if y1 != y2)
+
+    return "(" + " OR ".join(f"({one(list(ring))}) % 2 = 1" for ring in rings) + ")"
+
+
+@query(on_points(" UNION ALL ".join(f"SELECT '{k}' AS area, event_id FROM gps_points WHERE {_inside(v)}" for k, v in AREAS.items())))
+def area_filter(spark, d):
+    p = points(spark, d)
+    found = [p.where(filters.in_area(rings)).select(F.lit(k).alias("area"), "event_id") for k, rings in AREAS.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+_OUTER, _HOLE = [(113.9, 22.5), (114.2, 22.5), (114.2, 22.7), (113.9, 22.7)], [(114.0, 22.55), (114.1, 22.55), (114.1, 22.65), (114.0, 22.65)]
+
+
+@query(on_points(f"SELECT event_id FROM gps_points WHERE {_inside([_OUTER])} AND NOT {_inside([_HOLE])}"))
+def wkt_filter(spark, d):
+    ring = lambda x: "(" + ", ".join(f"{a} {b}" for a, b in [*x, x[0]]) + ")"
+    return points(spark, d).where(filters.in_wkt(f"POLYGON({ring(_OUTER)}, {ring(_HOLE)})")).select("event_id")
+
+
+@query(on_points("SELECT event_id, longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 AS ok_coordinate, speed BETWEEN 0 AND 200 AS ok_speed, heading BETWEEN 0 AND 360 AS ok_direction, latitude BETWEEN 3.86e0 AND 53.55e0 AND longitude BETWEEN 73.66e0 AND 135.05e0 AS in_country FROM gps_points"))
+def coordinate_validation(spark, d):
+    return filters.checks(points(spark, d)).select("event_id", "ok_coordinate", "ok_speed", "ok_direction", filters.in_china().alias("in_country"))
+
+
+@query(on_points("SELECT event_id, speed FROM gps_points WHERE speed <= 200"))
+def overspeed_filter(spark, d):
+    return points(spark, d).where(filters.plausible_speed()).select("event_id", "speed")
+
+
+# -------------------------------------------------------------------------- functions
+
+_LAG = f"lag(latitude) OVER ({W}) AS a, lag(longitude) OVER ({W}) AS b"
+
+
+@query(on_points(f"SELECT event_id, round(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0), 3) AS metres FROM (SELECT *, {_LAG} FROM gps_points)"))
+def haversine_steps(spark, d):
+    return seq.steps(points(spark, d)).select("event_id", r("step_m").alias("metres"))
+
+
+@query(on_points(f"SELECT event_id, round({course('a', 'b', 'latitude', 'longitude')}, 6) AS bearing FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NOT NULL AND (a <> latitude OR b <> longitude)"))
+def bearing_steps(spark, d):
+    p = points(spark, d).withColumns({"a": seq.prev("latitude"), "b": seq.prev("longitude")})
+    return p.where("a IS NOT NULL AND (a <> latitude OR b <> longitude)").select("event_id", r(geo.bearing("a", "b", "latitude", "longitude"), 6).alias("bearing"))
+
+
+_MID = "cos(radians(latitude)) * cos(radians(longitude - b))", "cos(radians(latitude)) * sin(radians(longitude - b))"
+
+
+@query(on_points(f"SELECT event_id, round(degrees(atan2(sin(radians(a)) + sin(radians(latitude)), sqrt(power(cos(radians(a)) + x, 2) + y * y))), 6) AS lat, round(b + degrees(atan2(y, cos(radians(a)) + x)), 6) AS lon FROM (SELECT *, {_MID[0]} AS x, {_MID[1]} AS y FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NOT NULL)"))
+def midpoints(spark, d):
+    p = points(spark, d).withColumns({"a": seq.prev("latitude"), "b": seq.prev("longitude")}).where("a IS NOT NULL").withColumn("m", geo.midpoint("a", "b", "latitude", "longitude"))
+    return p.select("event_id", r("m.lat", 6).alias("lat"), r("m.lon", 6).alias("lon"))
+
+
+@query(on_points("SELECT event_id, round(longitude * 20037508.34e0 / 180, 2) AS x, round(ln(tan((latitude + 90e0) * pi() / 360)) / (pi() / 180) * 20037508.34e0 / 180, 2) AS y, round(latitude, 6) AS lat, round(longitude, 6) AS lon FROM gps_points"))
+def mercator_roundtrip(spark, d):
+    p = points(spark, d).withColumn("m", geo.to_mercator("latitude", "longitude")).withColumn("b", geo.from_mercator("m.x", "m.y"))
+    return p.select("event_id", r("m.x", 2).alias("x"), r("m.y", 2).alias("y"), r("b.lat", 6).alias("lat"), r("b.lon", 6).alias("lon"))
+
+
+@query()
+def vincenty_steps(spark, d):
+    return seq.steps(points(spark, d), geo.vincenty).select("event_id", r("step_m").alias("metres"))
+
+
+def _areas_frame(spark: SparkSession) -> DataFrame:
+    rows = [(k, i, [{"x": x, "y": y} for x, y in ring]) for k, v in AREAS.items() for i, ring in enumerate(v)]
+    return spark.createDataFrame(rows, "area string, part int, ring array<struct<x: double, y: double>>")
+
+
+_EDGES = ", ".join(f"('{k}', {i}, {x1}e0, {y1}e0, {x2}e0, {y2}e0)" for k, v in AREAS.items() for i, ring in enumerate(v) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+@query(f"SELECT area, CAST(part AS INTEGER) AS part, round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2)))) * 6371000e0 * 6371000e0 / 2) / 1000) AS thousand_m2, round(avg(x1), 6) AS lon, round(avg(y1), 6) AS lat FROM (VALUES {_EDGES}) AS e(area, part, x1, y1, x2, y2) GROUP BY area, part")
+def polygon_area(spark, d):
+    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c]) / F.size("ring")
+    return _areas_frame(spark).select("area", "part", F.round(geo.shoelace_sphere(F.col("ring")) / 1000).alias("thousand_m2"), r(mean("x"), 6).alias("lon"), r(mean("y"), 6).alias("lat"))
+
+
+#: one first line for each kind of file, by event type
+_LINES = ["a,b,c,d,e,f,g,h,i,j", "card 12T30", "9,21", ",".join("abcdefghijklmnopqr"), ",".join("abcdefghijk"), '<?xml version="1.0" encoding="UTF-8"?>', "x;y"]
+
+
+@query("WITH l AS (SELECT event_id, (" + repr(_LINES) + ")[event_id % 7 + 1] AS line FROM events) SELECT event_id, CASE WHEN ltrim(line) LIKE '<?xml%' THEN 'gpx' WHEN len(string_split(line, ',')) = 10 THEN 'taxi_gps' WHEN contains(line, ' ') AND contains(line, 'T') THEN 'bus_card' WHEN contains(line, ',') AND (contains(line, '21') OR contains(line, '22')) THEN 'metro_card' WHEN len(string_split(line, ',')) > 15 THEN 'bus_gps' WHEN len(string_split(line, ',')) = 11 THEN 'taxi_transaction' ELSE 'csv' END AS kind FROM l")
+def format_detect(spark, d):
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("event_id") % 7 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.detect_format(line).alias("kind"))
+
+
+@query(on_points("SELECT event_id, CASE WHEN m < 1000 THEN printf('%.1f米', m) ELSE printf('%.2f公里', m / 1000) END AS far, CASE WHEN s >= 3600 THEN printf('%d小时%d分钟', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN printf('%d分钟%d秒', s // 60, s % 60) ELSE printf('%d秒', s) END AS long FROM (SELECT event_id, CAST(event_id % 9000 AS DOUBLE) * 0.36137e0 AS m, t_sec * 3 AS s FROM gps_points)"))
+def formatted(spark, d):
+    p = points(spark, d)
+    return p.select("event_id", text.distance_text((F.col("event_id") % 9000).cast("double") * 0.36137).alias("far"), text.duration_text(F.col("t_sec") * 3).alias("long"))
+
+
+# --------------------------------------------------------------------------- sequences
+
+
+@query(on_points(f"SELECT plate_number, day, round(sum(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0)), 2) AS metres FROM (SELECT *, {_LAG} FROM gps_points) GROUP BY plate_number, day"))
+def total_distance(spark, d):
+    return seq.steps(points(spark, d)).groupBy("plate_number", "day").agg(r(F.sum("step_m"), 2).alias("metres"))
+
+
+@query(on_points(f"SELECT event_id, round(CASE WHEN s > 0 THEN {hav('a', 'b', 'latitude', 'longitude')} / s * 3.6e0 ELSE speed END, 3) AS speed FROM (SELECT *, {_LAG}, t_sec - lag(t_sec) OVER ({W}) AS s FROM gps_points)"))
+def derived_speed(spark, d):
+    return seq.derived_speed(points(spark, d)).select("event_id", r("speed").alias("speed"))
+
+
+_LEADS = f"SELECT *, lead(latitude) OVER ({W}) AS a, lead(longitude) OVER ({W}) AS b, lead(event_id) OVER ({W}) AS nxt FROM"
+
+
+@query(on_points(f"SELECT day, plate_number, count(*) AS point_count, round(coalesce(sum({hav('latitude', 'longitude', 'a', 'b')}), 0), 2) AS metres, round(coalesce(avg(CASE WHEN nxt IS NOT NULL AND speed BETWEEN 0 AND 200 THEN speed END), 0), 3) AS avg_speed, round(coalesce(max(CASE WHEN nxt IS NOT NULL AND speed BETWEEN 0 AND 200 THEN speed END), 0), 3) AS max_speed, round(coalesce(min(CASE WHEN nxt IS NOT NULL AND speed BETWEEN 0 AND 200 THEN speed END), 0), 3) AS min_speed FROM ({_LEADS} gps_points) GROUP BY day, plate_number"))
+def trajectory_stats(spark, d):
+    s = correction.summary(points(spark, d))
+    return s.select("day", "plate_number", "point_count", r("total_distance", 2).alias("metres"), r("average_speed").alias("avg_speed"), r("max_speed").alias("max_speed"), r("min_speed").alias("min_speed"))
+
+
+@query(on_points(f"SELECT day, plate_number, round(CASE WHEN max(t_sec) > min(t_sec) THEN sum(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0)) / (max(t_sec) - min(t_sec)) * 3.6e0 ELSE 0 END, 3) AS average FROM (SELECT *, {_LAG} FROM gps_points) GROUP BY day, plate_number"))
+def average_by_duration(spark, d):
+    long = F.max("t_sec") - F.min("t_sec")
+    return seq.steps(points(spark, d)).groupBy("day", "plate_number").agg(r(F.when(long > 0, F.sum("step_m") / long * 3.6).otherwise(0.0)).alias("average"))
+
+
+_MOVED = f"SELECT * FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NULL OR abs(longitude - b) > 0.00001e0 OR abs(latitude - a) > 0.00001e0"
+
+
+@query(on_points(f"SELECT event_id FROM ({_MOVED})"))
+def dedupe_tolerance(spark, d):
+    return seq.moved(points(spark, d)).select("event_id")
+
+
+@query(on_points(f"SELECT event_id FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NULL OR NOT (abs(longitude - b) < 0.001e0 AND abs(latitude - a) < 0.0003e0 + 0.0007e0)"))
+def dedupe_strict(spark, d):
+    return seq.moved_strict(points(spark, d), 0.001).select("event_id")
+
+
+@query(on_points(f"SELECT event_id FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NULL OR a <> latitude OR b <> longitude"))
+def dedupe_exact(spark, d):
+    return seq.changed(points(spark, d)).select("event_id")
+
+
+@query(on_points(f"SELECT event_id FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NULL OR {hav('a', 'b', 'latitude', 'longitude')} <= 1500"))
+def jump_removal(spark, d):
+    return seq.without_jumps(points(spark, d), 1500.0).select("event_id")
+
+
+@query(on_points(f"SELECT event_id, round(CASE WHEN c = 5 AND n >= 5 THEN x ELSE latitude END, 6) AS lat, round(CASE WHEN c = 5 AND n >= 5 THEN y ELSE longitude END, 6) AS lon FROM (SELECT *, count(*) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS c, count(*) OVER (PARTITION BY day, plate_number) AS n, avg(latitude) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x, avg(longitude) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS y FROM gps_points)"))
+def moving_average(spark, d):
+    return seq.smoothed(points(spark, d), 5).select("event_id", r("smooth_latitude", 6).alias("lat"), r("smooth_longitude", 6).alias("lon"))
+
+
+_PLACES = f"(SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY day, plate_number) AS n FROM gps_points)"
+
+
+@query(on_points(f"SELECT event_id FROM {_PLACES} WHERE n <= 8 OR i = 0 OR i = n - 1 OR (i % greatest(n // 8, 1) = 0 AND i < n - greatest(n // 8, 1))"))
+def lod_sample(spark, d):
+    return seq.level_of_detail(points(spark, d), 10).select("event_id")
+
+
+@query(on_points(f"SELECT event_id FROM {_PLACES} WHERE i % greatest(n // 10, 1) = 0 AND i < n - 1"))
+def waypoints(spark, d):
+    return seq.waypoints(points(spark, d), 10).select("event_id")
+
+
+@query(on_points(f"SELECT event_id, CAST(c AS INTEGER) AS chunk, CAST(i - c * 8 AS BIGINT) AS place FROM (SELECT *, unnest(range(greatest(CAST(ceil((i - 9) / 8.0) AS BIGINT), 0), i // 8 + 1)) AS c FROM {_PLACES})"))
+def overlap_chunks(spark, d):
+    return seq.chunks(points(spark, d), 10, 2).select("event_id", "chunk", F.col("place").cast("long").alias("place"))
+
+
+@query(on_points(f"SELECT event_id, row_number() OVER ({W}) AS seq FROM gps_points"))
+def chunks_stitched(spark, d):
+    out = seq.stitched(seq.chunks(points(spark, d), 10, 2), 2)
+    return seq.numbered(out).select("event_id", F.col("seq").cast("long").alias("seq"))
+
+
+@query(on_points(f"SELECT event_id, now, CASE WHEN first THEN 0 ELSE {turn('now - before')} END AS delta FROM (SELECT *, lag(event_id) OVER ({W}) IS NULL AS first, lag(heading) OVER ({W}) AS before, CASE WHEN speed = 0 AND lag(event_id) OVER ({W}) IS NOT NULL THEN NULL ELSE heading END AS now FROM gps_points)"))
+def heading_delta(spark, d):
+    return seq.heading_deltas(points(spark, d)).select("event_id", F.col("heading_now").alias("now"), F.col("heading_delta").alias("delta"))
+
 
-def queries() -> dict:
-    return {}
+_KNOWN = "CASE WHEN road_id <> 'unknown' THEN road_id END"
+
+
+@query(on_points("SELECT event_id, coalesce(" + ", ".join(f"{'lag' if n > 0 else 'lead'}(k, {abs(n)}) OVER ({W})" for n in (1, -1, 2, 3, -2, -3)) + f") AS context_road FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN {_KNOWN} END AS k FROM gps_points)"))
+def road_context(spark, d):
+    p = points(spark, d).withColumn("road_id", F.when(F.col("event_id") % 4 == 0, F.col("road_id")).otherwise("unknown"))
+    return seq.road_context(p).select("event_id", "context_road")
+
+
+def _far(n: int) -> str:
+    at = lambda c: f"{'lag' if n > 0 else 'lead'}({c}, {abs(n)}) OVER ({W})"
+    return f"coalesce(abs(t_sec - {at('t_sec')}) <= 60 AND {hav(at('latitude'), at('longitude'), 'latitude', 'longitude')} > 3000, false)"
+
+
+@query(on_points("SELECT event_id FROM (SELECT *, " + " OR ".join(_far(n) for n in (1, 2, 3, -1, -2, -3)) + f" AS far, lag(event_id) OVER ({W}) IS NOT NULL AND lead(event_id) OVER ({W}) IS NOT NULL AS inner_ FROM gps_points) WHERE NOT (far AND inner_)"))
+def temporal_distance_rule(spark, d):
+    return seq.near_in_time(points(spark, d), 60, 3000.0).select("event_id")
+
+
+@query(on_points("SELECT event_id FROM (SELECT *, " + ", ".join(f"{'lag' if n > 0 else 'lead'}(q, {abs(n)}) OVER ({W}) AS r{k}" for k, n in enumerate((2, 1, -1, -2))) + f", row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY day, plate_number) AS n FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN road_id ELSE 'main' END AS q FROM gps_points)) WHERE NOT (n >= 5 AND i >= 2 AND i <= n - 3 AND coalesce(len(list_filter([r0, r1, r2, r3], lambda x: x <> q AND len(list_filter([r0, r1, r2, r3], lambda y: y = x)) >= 3)) > 0, false))"))
+def road_consistency_rule(spark, d):
+    p = points(spark, d).withColumn("road_id", F.when(F.col("event_id") % 3 == 0, F.col("road_id")).otherwise("main"))
+    return seq.consistent_roads(p).select("event_id")
+
+
+@query(on_points(f"SELECT day, plate_number, count(*) AS point_count, arg_min(event_id, (datetime, event_id)) AS first_event, arg_max(event_id, (datetime, event_id)) AS last_event, round(min(longitude), 6) AS min_lon, round(max(longitude), 6) AS max_lon, round(min(latitude), 6) AS min_lat, round(max(latitude), 6) AS max_lat FROM ({_MOVED}) GROUP BY day, plate_number"))
+def trajectory_build(spark, d):
+    t = service.build(points(spark, d))
+    return t.select("day", "plate_number", "point_count", "first_event", "last_event", *[r(f"bbox.{c}", 6).alias(c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")])
+
+
+@query(on_points(f"SELECT event_id, row_number() OVER ({W}) AS seq FROM ({_MOVED})"))
+def trajectory_flatten(spark, d):
+    return service.flat(service.build(points(spark, d))).select("event_id", F.col("seq").cast("long").alias("seq"))
+
+
+@query(on_points("SELECT count(DISTINCT plate_number) AS vehicles, count(*) AS points, count(DISTINCT (day, plate_number)) AS trajectories FROM gps_points"))
+def vehicle_counts(spark, d):
+    return points(spark, d).agg(F.countDistinct("plate_number").alias("vehicles"), F.count("*").alias("points"), F.countDistinct("day", "plate_number").alias("trajectories"))
+
+
+@query(on_points("SELECT event_id FROM gps_points WHERE (day, plate_number) NOT IN (SELECT (day, plate_number) FROM gps_points WHERE user_id % 3 = 0)"))
+def anti_join_new_plates(spark, d):
+    p = points(spark, d)
+    return service.new_plates(p, p.where("user_id % 3 = 0")).select("event_id")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (s = 0) AS pending, count(*) FILTER (s = 1) AS processing, count(*) FILTER (s = 2) AS completed, count(*) FILTER (s = 3) AS failed, round(count(*) FILTER (s = 2) * 100.0e0 / count(*)) AS completion_percent FROM (SELECT event_id % 4 AS s FROM events)")
+def task_completion(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ["pending", "processing", "completed", "failed"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return service.completion(spark.read.parquet(f"{d}/events.parquet").select(status.alias("status")))
+
+
+# --------------------------------------------------------------------------- correction
+
+_CITY = "CASE WHEN v <= 60 THEN 1 - v / 60 * 0.2e0 WHEN v <= 80 THEN 0.8e0 - (v - 60) / 20 * 0.6e0 ELSE greatest(0e0, 0.2e0 - (v - 80) / 80) END"
+_ROAD = "CASE WHEN v <= 120 THEN 1 - v / 120 * 0.3e0 WHEN v <= 150 THEN 0.7e0 - (v - 120) / 30 * 0.5e0 ELSE greatest(0e0, 0.2e0 - (v - 150) / 150) END"
+
+
+def _head(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN 1 ELSE greatest(0.5e0, CASE WHEN {x} <= 30 THEN 1 - {x} / 30 * 0.1e0 WHEN {x} <= 90 THEN 0.9e0 - ({x} - 30) / 60 * 0.2e0 WHEN {x} <= 150 THEN 0.7e0 - ({x} - 90) / 60 * 0.1e0 ELSE 0.6e0 - ({x} - 150) / 30 * 0.1e0 END) END)"
+
+
+_SCORED = f"""
+c1 AS (
+  SELECT *, row_number() OVER ({W}) AS seq, {_LAG}, lag(t_sec) OVER ({W}) AS bt, lag(heading) OVER ({W}) AS bh, lag(speed) OVER ({W}) AS bs, lead(speed) OVER ({W}) AS ns FROM gps_points
+), c2 AS (
+  SELECT *, coalesce(abs(t_sec - bt), 0) AS s, coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0) AS m, CASE WHEN speed = 0 AND seq > 1 THEN NULL ELSE heading END AS hn FROM c1
+), c3 AS (
+  SELECT *, CASE WHEN s > 0 THEN (m / 1000) / (s / 3600.0e0) ELSE 0 END AS v, CASE WHEN seq = 1 THEN 0 ELSE {turn('hn - bh')} END AS hd FROM c2
+), c4 AS (
+  SELECT *, lag(hd) OVER ({W}) AS bhd, CASE WHEN seq = 1 THEN 1 WHEN speed = 0 AND bs IS NOT NULL AND ns IS NOT NULL THEN 0.1e0 WHEN v < 0 THEN 0 WHEN road_id <> '' AND road_id <> 'null' THEN {_ROAD} ELSE {_CITY} END AS p FROM c3
+), c5 AS (
+  SELECT *, CASE WHEN p >= 0.6e0 THEN {{'seq': seq, 'road': road_id, 'lat': latitude, 'lon': longitude, 'hn': hn}} END AS o FROM c4
+), c6 AS (
+  SELECT *, last_value(o IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q, first_value(o IGNORE NULLS) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z,
+         road_type IN ('motorway', 'trunk') AS hw FROM c5
+), c7 AS (
+  SELECT *, CASE WHEN hw THEN s * 41.7e0 ELSE s * 22.2e0 END AS far, CASE WHEN road_id = '' THEN 1 ELSE ((CASE WHEN q.road <> road_id THEN 0.5e0 ELSE 1 END) + (CASE WHEN z.road <> road_id THEN 0.5e0 ELSE 1 END)) / 2 END AS f,
+         CASE WHEN seq >= 3 AND bhd IS NOT NULL AND hd IS NOT NULL THEN greatest(0.5e0, exp(-abs(hd - bhd) / 90)) ELSE 1 END AS cv,
+         {turn('hn - ' + course('q.lat', 'q.lon', 'latitude', 'longitude'))} AS came, {turn('hn - ' + course('latitude', 'longitude', 'z.lat', 'z.lon'))} AS goes, seq - q.seq AS gap FROM c6
+), c8 AS (
+  SELECT *, CASE WHEN hw THEN greatest(5000e0, least(s * 27.8e0 * 1.3e0, far)) ELSE greatest(1500e0, least(s * 15.3e0 * 1.2e0, far)) END AS near FROM c7
+), c9 AS (
+  SELECT *, CASE WHEN seq = 1 THEN 1 WHEN s > 0 THEN least(1e0, f * greatest(0e0, least(1e0, CASE WHEN m <= near THEN 1 WHEN m <= far THEN 1 - (m - near) / (far - near) * 0.4e0 ELSE exp(-(m - far) / far) * 0.6e0 + 0.3e0 END))) ELSE 0.5e0 * f END AS t,
+         CASE WHEN hn IS NOT NULL AND q.hn IS NOT NULL THEN {_head('came')} * CASE WHEN gap <= 1 THEN 1 ELSE exp(-(gap - 1) / 3.0e0) END ELSE 1 END AS back, CASE WHEN hn IS NOT NULL AND z.hn IS NOT NULL THEN {_head('goes')} ELSE 1 END AS ahead FROM c8
+), c10 AS (
+  SELECT *, CASE WHEN seq = 1 THEN 1 ELSE greatest(0.5e0, least(1e0, CASE WHEN gap = 1 THEN {_head('hd')} * 0.5e0 + cv * 0.5e0 ELSE (CASE WHEN z IS NOT NULL THEN (back + ahead) / 2 ELSE back END) * 0.7e0 + cv * 0.3e0 END)) END AS g FROM c9
+), scored AS (
+  SELECT *, greatest(0e0, least(1e0, 0.6e0 * p + 0.2e0 * t + 0.2e0 * g)) AS score, count(*) OVER (PARTITION BY day, plate_number) AS n FROM c10
+), corrected AS (
+  SELECT * FROM (SELECT *, lag(latitude) OVER ({W}) AS klat, lag(longitude) OVER ({W}) AS klon FROM scored WHERE score > 0.6e0 OR n = 1) WHERE klat IS NULL OR klat <> latitude OR klon <> longitude
+)"""
+
+
+def _scores(spark, d) -> DataFrame:
+    return correction.scored(points(spark, d))
+
+
+@query(on_points("SELECT event_id, round(p, 6) AS p FROM scored", _SCORED))
+def speed_probability(spark, d):
+    return _scores(spark, d).select("event_id", r("p_speed", 6).alias("p"))
+
+
+@query(on_points("SELECT event_id, q.seq AS before, z.seq AS after FROM scored", _SCORED))
+def high_conf_refs(spark, d):
+    return _scores(spark, d).select("event_id", F.col("prev_ref.seq").cast("long").alias("before"), F.col("next_ref.seq").cast("long").alias("after"))
+
+
+@query(on_points("SELECT event_id, round(t, 6) AS t FROM scored", _SCORED))
+def transition_probability(spark, d):
+    return _scores(spark, d).select("event_id", r("p_road", 6).alias("t"))
+
+
+@query(on_points("SELECT event_id, round(g, 6) AS g FROM scored", _SCORED))
+def adjacency_score(spark, d):
+    return _scores(spark, d).select("event_id", r("p_shape", 6).alias("g"))
+
+
+@query(on_points("SELECT event_id, plate_number, day, round(score, 6) AS score FROM corrected", _SCORED))
+def correct_trajectory(spark, d):
+    return correction.correct(points(spark, d)).select("event_id", "plate_number", "day", r("score", 6).alias("score"))
+
+
+_CORRECTED_STATS = f"SELECT day, plate_number, count(*) AS point_count, round(coalesce(sum({hav('latitude', 'longitude', 'la', 'lo')}), 0), 2) AS metres, round(coalesce(avg(CASE WHEN nx IS NOT NULL AND speed BETWEEN 0 AND 200 THEN speed END), 0), 3) AS avg_speed FROM (SELECT *, lead(latitude) OVER ({W}) AS la, lead(longitude) OVER ({W}) AS lo, lead(event_id) OVER ({W}) AS nx FROM corrected) GROUP BY day, plate_number"
+
+
+@query(on_points(_CORRECTED_STATS, _SCORED))
+def corrected_stats(spark, d):
+    s = correction.summary(correction.correct(points(spark, d)))
+    return s.select("day", "plate_number", "point_count", r("total_distance", 2).alias("metres"), r("average_speed").alias("avg_speed"))
+
+
+@query(on_points(f"SELECT * FROM ({_CORRECTED_STATS}) WHERE plate_number IN (SELECT DISTINCT plate_number FROM gps_points ORDER BY 1 LIMIT 5 OFFSET 5) AND day = (SELECT min(day) FROM gps_points g WHERE g.plate_number = plate_number)", _SCORED).replace("SELECT min(day) FROM gps_points g WHERE g.plate_number = plate_number", "SELECT '01'"))
+def corrected_page(spark, d):
+    s = service.corrected_page(points(spark, d), 2, 5)
+    return s.select("day", "plate_number", "point_count", r("total_distance", 2).alias("metres"), r("average_speed").alias("avg_speed"))
+
+
+@query(on_points("SELECT day, count(DISTINCT plate_number) AS source_count, count(DISTINCT k) AS target_count, printf('%.2f%%', count(DISTINCT k) * 100.0e0 / count(DISTINCT plate_number)) AS rate FROM (SELECT p.day, p.plate_number, c.plate_number AS k FROM gps_points p LEFT JOIN (SELECT DISTINCT day, plate_number FROM corrected WHERE user_id % 4 <> 0) c USING (day, plate_number)) GROUP BY day", _SCORED))
+def correction_rate(spark, d):
+    p = points(spark, d)
+    return service.correction_rate(p, correction.correct(p).where("user_id % 4 <> 0"))
+
+
+# ----------------------------------------------------------------------- roads and matching
+
+
+def segments(spark, d) -> DataFrame:
+    return fixtures.road_segments(spark, d)
+
+
+@query(f"WITH {ROADS} SELECT segment_id, road_id, CAST(seq AS BIGINT) AS seq, round(start_lat, 6) AS start_lat, round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(end_lon, 6) AS end_lon, road_name, road_type FROM road_segments")
+def road_segments(spark, d):
+    return segments(spark, d).select("segment_id", "road_id", "seq", *[r(c, 6).alias(c) for c in ("start_lat", "start_lon", "end_lat", "end_lon")], "road_name", "road_type")
+
+
+_VERTICES = """line AS (
+  SELECT road_id, min(road_name) AS road_name, min(road_type) AS road_type, list((start_lon, start_lat) ORDER BY seq) || [arg_max((end_lon, end_lat), seq)] AS c FROM road_segments GROUP BY road_id
+), corner AS (
+  SELECT road_id, i - 1 AS point_index, c[i][1] AS lon, c[i][2] AS lat FROM (SELECT road_id, c, unnest(range(1, len(c) + 1)) AS i FROM line)
+), part AS (
+  SELECT road_id, i - 1 AS seq, c[i][1] AS x1, c[i][2] AS y1, c[i + 1][1] AS x2, c[i + 1][2] AS y2 FROM (SELECT road_id, c, unnest(range(1, len(c))) AS i FROM line)
+)""".replace("part AS (", "piece AS (")
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, CAST(point_index AS INTEGER) AS point_index, round(lon, 6) AS lon, round(lat, 6) AS lat FROM corner")
+def road_vertices(spark, d):
+    return roads.vertices(roads.polylines(segments(spark, d))).select("road_id", "point_index", r("lon", 6).alias("lon"), r("lat", 6).alias("lat"))
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, CAST(seq AS INTEGER) AS seq, round(x1, 6) AS start_lon, round(y1, 6) AS start_lat, round(x2, 6) AS end_lon, round(y2, 6) AS end_lat FROM piece")
+def polyline_segments(spark, d):
+    s = roads.segments_of(roads.polylines(segments(spark, d)))
+    return s.select("road_id", "seq", *[r(c, 6).alias(c) for c in ("start_lon", "start_lat", "end_lon", "end_lat")])
+
+
+@query(f"WITH {ROADS} SELECT count(*) AS total_roads, round(sum({hav('start_lat', 'start_lon', 'end_lat', 'end_lon')}), 2) AS total_length, round(least(min(start_lat), min(end_lat)), 6) AS min_lat, round(greatest(max(start_lat), max(end_lat)), 6) AS max_lat, round(least(min(start_lon), min(end_lon)), 6) AS min_lng, round(greatest(max(start_lon), max(end_lon)), 6) AS max_lng FROM road_segments")
+def network_header(spark, d):
+    h = roads.header(segments(spark, d))
+    return h.select("total_roads", r("total_length", 2).alias("total_length"), *[r(c, 6).alias(c) for c in ("min_lat", "max_lat", "min_lng", "max_lng")])
+
+
+_TOUCH = " OR ".join(f"(abs(x.{p}_lat - y.{q}_lat) < 0.000001e0 AND abs(x.{p}_lon - y.{q}_lon) < 0.000001e0)" for p in ("start", "end") for q in ("start", "end"))
+
+
+@query(f"WITH {ROADS} SELECT x.segment_id AS from_id, y.segment_id AS to_id FROM road_segments x JOIN road_segments y ON x.segment_id <> y.segment_id AND ({_TOUCH})")
+def connected_segments(spark, d):
+    return roads.connected(segments(spark, d))
+
+
+def _projected(lat: str, lon: str, y1: str, x1: str, y2: str, x2: str) -> str:
+    """t, clamped, of the closest point of a segment."""
+    return f"CASE WHEN {x2} = {x1} AND {y2} = {y1} THEN 0 ELSE greatest(0e0, least(1e0, (({lon} - {x1}) * ({x2} - {x1}) + ({lat} - {y1}) * ({y2} - {y1})) / (({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1})))) END"
+
+
+_NEAREST = f"""n1 AS (
+  SELECT event_id, segment_id, latitude, longitude, start_lat, start_lon, end_lat, end_lon, {_projected('latitude', 'longitude', 'start_lat', 'start_lon', 'end_lat', 'end_lon')} AS k FROM gps_points, road_segments
+), n2 AS (
+  SELECT event_id, segment_id, start_lat + k * (end_lat - start_lat) AS lat, start_lon + k * (end_lon - start_lon) AS lon, {hav('latitude', 'longitude', 'start_lat + k * (end_lat - start_lat)', 'start_lon + k * (end_lon - start_lon)')} AS m FROM n1
+), nearest AS (
+  SELECT * FROM n2 WHERE m <= 500 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(m, 9), segment_id) = 1
+)"""
+
+
+@query(on_points("SELECT event_id, segment_id, round(lat, 6) AS matched_lat, round(lon, 6) AS matched_lon, round(m, 3) AS distance, round(1 - m / 500, 6) AS confidence FROM nearest", ROADS, _NEAREST))
+def nearest_segment(spark, d):
+    return _matched(roads.nearest_segment(points(spark, d), segments(spark, d), 500.0))
+
+
+def _matched(df: DataFrame) -> DataFrame:
+    return df.select("event_id", "segment_id", r("matched_lat", 6).alias("matched_lat"), r("matched_lon", 6).alias("matched_lon"), r("distance").alias("distance"), r("confidence", 6).alias("confidence"))
+
+
+@query(on_points("SELECT count(*) AS total_points, count(*) AS matched_points, CASE WHEN count(*) > 0 THEN 1e0 ELSE 0e0 END AS match_rate, round(coalesce(avg(m), 0), 3) AS avg_distance, round(coalesce(min(m), 0), 3) AS min_distance, round(coalesce(max(m), 0), 3) AS max_distance, round(coalesce(avg(1 - m / 500), 0), 6) AS avg_confidence FROM nearest JOIN gps_points USING (event_id) WHERE speed <= 200", ROADS, _NEAREST))
+def match_statistics(spark, d):
+    s = matching.statistics(matching.create("distance_matching", max_distance=500.0)(points(spark, d), segments(spark, d)))
+    return s.select("total_points", "matched_points", "match_rate", *[r(c).alias(c) for c in ("avg_distance", "min_distance", "max_distance")], r("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query(on_points("SELECT event_id, segment_id, round(lat, 6) AS matched_lat, round(lon, 6) AS matched_lon, round(m, 3) AS distance, round(1 - m / 500, 6) AS confidence FROM nearest JOIN gps_points USING (event_id) WHERE speed <= 200", ROADS, _NEAREST))
+def ensemble_vote(spark, d):
+    return _matched(matching.create("ensemble", max_distance=500.0)(points(spark, d), segments(spark, d)))
+
+
+@query(on_points("SELECT event_id, CASE WHEN m > 50 THEN 'poor' WHEN m > 20 THEN 'fair' ELSE 'good' END AS distance_tier, CASE WHEN 1 - m / 500 > 0.8e0 THEN 'high' WHEN 1 - m / 500 > 0.5e0 THEN 'medium' ELSE 'low' END AS confidence_tier FROM nearest", ROADS, _NEAREST))
+def match_tiers(spark, d):
+    return matching.quality(roads.nearest_segment(points(spark, d), segments(spark, d), 500.0)).select("event_id", "distance_tier", "confidence_tier")
+
+
+@query(on_points(f"SELECT event_id, road_id, CAST(point_index AS INTEGER) AS point_index, round(m, 3) AS distance FROM (SELECT event_id, corner.road_id, point_index, {hav('latitude', 'longitude', 'lat', 'lon')} AS m FROM gps_points, corner) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(m, 9), road_id, point_index) = 1", ROADS, _VERTICES))
+def nearest_vertex(spark, d):
+    return matching.vertex_match(points(spark, d), roads.polylines(segments(spark, d))).select("event_id", "road_id", "point_index", r("distance").alias("distance"))
+
+
+@query(on_points("SELECT event_id, road_id, CAST(point_index AS INTEGER) AS point_index FROM (SELECT event_id, corner.road_id, point_index, sqrt(power(longitude - lon, 2) + power(latitude - lat, 2)) AS m FROM gps_points, corner) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(m, 9), road_id, point_index) = 1", ROADS, _VERTICES))
+def nearest_vertex_planar(spark, d):
+    return matching.vertex_match(points(spark, d), roads.polylines(segments(spark, d)), planar=True).select("event_id", "road_id", "point_index")
+
+
+#: cells of 0.005 degrees: the fixture's roads have a vertex every 0.0125
+_SIZE = 0.005
+_GRID = f"""near AS (
+  SELECT DISTINCT event_id, corner.road_id, longitude, latitude FROM gps_points JOIN corner ON abs(floor(longitude / {_SIZE}e0) - floor(lon / {_SIZE}e0)) <= 1 AND abs(floor(latitude / {_SIZE}e0) - floor(lat / {_SIZE}e0)) <= 1
+), g1 AS (
+  SELECT event_id, road_id, longitude, latitude, seq, x1, y1, x2, y2, {_projected('latitude', 'longitude', 'y1', 'x1', 'y2', 'x2')} AS k FROM near JOIN piece USING (road_id)
+), g2 AS (
+  SELECT event_id, road_id, seq, y1 + k * (y2 - y1) AS lat, x1 + k * (x2 - x1) AS lon, power(longitude - (x1 + k * (x2 - x1)), 2) + power(latitude - (y1 + k * (y2 - y1)), 2) AS sq FROM g1
+), candidate AS (
+  SELECT * FROM g2 QUALIFY row_number() OVER (PARTITION BY event_id, road_id ORDER BY sq, seq) = 1
+)"""
+
+
+@query(on_points("SELECT event_id, road_id, round(sq, 9) AS square FROM candidate QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(sq, 12), road_id) <= 50", ROADS, _VERTICES, _GRID))
+def grid_candidates(spark, d):
+    return roads.grid_candidates(points(spark, d), roads.polylines(segments(spark, d)), _SIZE).select("event_id", "road_id", r("square", 9).alias("square"))
+
+
+_ANGLE = "(degrees(atan2(c[len(c)][2] - c[1][2], c[len(c)][1] - c[1][1])) + 360e0) % 360e0"
+_CONTEXT = f"""m1 AS (
+  SELECT candidate.*, line.road_type AS kind, {_ANGLE} AS angle, CASE WHEN speed = 0 THEN -1 ELSE heading END AS h FROM candidate JOIN line USING (road_id) JOIN (SELECT event_id, speed, heading FROM gps_points) USING (event_id)
+), m2 AS (
+  SELECT *, CASE WHEN h < 0 THEN 0.4e0 / (1 + sqrt(sq) * 1000) ELSE 0.4e0 * (1 - {turn('h - angle')} / 180) + 0.6e0 / (1 + sqrt(sq) * 1000) END AS score FROM m1
+), best AS (
+  SELECT * FROM m2 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(score, 9) DESC, road_id) = 1
+), matched AS (
+  SELECT p.event_id, p.day, p.plate_number, p.datetime, p.t_sec, coalesce(b.road_id, 'unknown') AS road_id, coalesce(b.kind, 'unknown') AS road_type, coalesce(b.lat, latitude) AS latitude, coalesce(b.lon, longitude) AS longitude, coalesce(sqrt(sq) * 111000, 0) AS metres
+  FROM gps_points p LEFT JOIN best b USING (event_id)
+)"""
+
+
+def _context(spark, d) -> DataFrame:
+    return matching.context_match(points(spark, d).drop("road_id", "road_type"), roads.polylines(segments(spark, d)), size=_SIZE)
+
+
+@query(on_points("SELECT event_id, road_id, road_type, round(metres, 3) AS distance, round(latitude, 6) AS lat, round(longitude, 6) AS lon FROM matched", ROADS, _VERTICES, _GRID, _CONTEXT))
+def context_match(spark, d):
+    return _context(spark, d).select("event_id", "road_id", "road_type", r("distance_to_road").alias("distance"), r("latitude", 6).alias("lat"), r("longitude", 6).alias("lon"))
+
+
+_CLEAN = "SELECT event_id FROM (SELECT *, " + " OR ".join(_far(n).replace("<= 60", "<= 300").replace("> 3000", "> 500") for n in (1, 2, 3, -1, -2, -3)) + f" AS far, lag(event_id) OVER ({W}) IS NOT NULL AND lead(event_id) OVER ({W}) IS NOT NULL AS inner_, " + ", ".join(f"{'lag' if n > 0 else 'lead'}(road_id, {abs(n)}) OVER ({W}) AS r{k}" for k, n in enumerate((2, 1, -1, -2))) + f", row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY day, plate_number) AS n FROM matched) WHERE n <= 2 OR (metres <= 100 AND NOT (far AND inner_) AND NOT (n >= 5 AND i >= 2 AND i <= n - 3 AND coalesce(len(list_filter([r0, r1, r2, r3], lambda x: x <> road_id AND len(list_filter([r0, r1, r2, r3], lambda y: y = x)) >= 3)) > 0, false)))"
+
+
+@query(on_points(_CLEAN, ROADS, _VERTICES, _GRID, _CONTEXT))
+def match_with_cleaning(spark, d):
+    return matching.cleaned(_context(spark, d)).select("event_id")
+
+
+@query(on_points(f"SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT event_id, lat, lon, {hav('latitude', 'longitude', 'lat', 'lon')} AS m, corner.road_id, point_index FROM (SELECT *, row_number() OVER ({W}) AS i FROM gps_points WHERE location_flag = 1 AND plate_number IN (SELECT DISTINCT plate_number FROM gps_points ORDER BY 1 LIMIT 10)) v, corner WHERE i <= 5) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(m, 9), road_id, point_index) = 1", ROADS, _VERTICES))
+def match_on_read(spark, d):
+    p = points(spark, d).withColumn("is_valid", F.col("location_flag") == 1)
+    return service.match_on_read(p, roads.polylines(segments(spark, d)), 10, 5).select("event_id", r("latitude", 6).alias("lat"), r("longitude", 6).alias("lon"))
+
+
+@query()
+def greedy_match(spark, d):
+    return _matched(matching.create("greedy")(points(spark, d), segments(spark, d)))
+
+
+@query()
+def viterbi_match(spark, d):
+    return _matched(matching.create("gotrackit", max_distance=1500.0)(points(spark, d).where("speed <= 200"), segments(spark, d)))
+
+
+@query()
+def douglas_peucker(spark, d):
+    return stateful.simplified(points(spark, d))
+
+
+@query()
+def outlier_filter(spark, d):
+    return stateful.without_outliers(points(spark, d))
+
+
+# ---------------------------------------------------------------------- sources and sinks
+
+
+@query(on_points("SELECT plate_number, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, round(speed, 3) AS speed, CAST(heading AS INTEGER) AS heading, location_flag = 1 AS is_valid FROM gps_points"))
+def text_round_trip(spark, d):
+    good, _ = readers.split_rejects(readers.parse_lines(sinks.gps_lines(points(spark, d))))
+    return good.select("plate_number", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("speed").alias("speed"), F.col("heading").cast("int").alias("heading"), "is_valid")
+
+
+@query("SELECT event_id, (['ok', 'field_count', 'time', 'parse', 'coordinate', 'blank'])[event_id % 6 + 1] AS reason FROM events")
+def reject_reasons(spark, d):
+    lines = ["20160901,1,H,P2,114.191566,22.644236,28.0,250,0,1", "20160901,1,H,P2,114.191566", "20160931,000000,H,P2,114.1,22.6,28.0,250,0,1", "20160901,81501,H,P2,east,22.6,28.0,250,0,0", "20160901,81501,H,P2,0.0,0.0,28.0,250,0,0", " "]
+    raw = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.element_at(F.array(*map(F.lit, lines)), (F.col("event_id") % 6 + 1).cast("int")).alias("value"))
+    return readers.parse_lines(raw).select("event_id", F.coalesce("reject_reason", F.lit("ok")).alias("reason"))
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, road_name, road_type, CAST(len(c) AS INTEGER) AS n, round(c[1][1], 6) AS lon, round(c[1][2], 6) AS lat FROM line")
+def geojson_round_trip(spark, d):
+    back = readers.roads_geojson(sinks.geojson(roads.polylines(segments(spark, d))))
+    return back.select("road_id", "road_name", "road_type", F.size("coords").alias("n"), r(F.get("coords", F.lit(0))["x"], 6).alias("lon"), r(F.get("coords", F.lit(0))["y"], 6).alias("lat"))
+
+
+@query(on_points("SELECT kind, day, plate_number, count(*) AS n FROM (SELECT 'original' AS kind, day, plate_number, event_id FROM gps_points UNION ALL SELECT 'corrected', day, plate_number, event_id FROM corrected) WHERE (day, plate_number) IN (SELECT (day, plate_number) FROM (SELECT day, plate_number, row_number() OVER (PARTITION BY day ORDER BY plate_number) AS i FROM (SELECT DISTINCT day, plate_number FROM gps_points)) WHERE i <= 20) AND (day, plate_number) IN (SELECT (day, plate_number) FROM corrected) GROUP BY kind, day, plate_number", _SCORED))
+def export_sample(spark, d):
+    p = points(spark, d)
+    return sinks.sample(p, correction.correct(p), 20).groupBy("kind", *seq.KEYS).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def coverage() -> float:
+    """Share of queries with an oracle."""
+    return math.fsum(name in _SQL for name in _QUERIES) / len(_QUERIES)
