@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: mean earth radius, Web Mercator half extent, metres of a degree in planar matching
 RADIUS = 6371000.0
@@ -112,7 +113,6 @@ def in_rings(lon: Column, lat: Column, polygons: Column) -> Column:
     return F.exists(polygons, crossings)
 
 
-@F.pandas_udf("double")
 def _vincenty(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     import numpy as np
 
@@ -151,4 +151,4 @@ def _vincenty(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]
 
 def vincenty(lat1, lon1, lat2, lon2) -> Column:
     """Distance on the WGS-84 ellipsoid; 0 where points coincide or the iteration does not settle."""
-    return _vincenty(*map(col, (lat1, lon1, lat2, lon2)))
+    return F.pandas_udf(_vincenty, T.DoubleType())(*map(col, (lat1, lon1, lat2, lon2)))
