@@ -9,13 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that are tokenized together; a longer document is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -34,10 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame) -> DataFrame:
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside, unless it is to last, goes when the block ends."""
+    path = shared_dir(spark)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def save(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table"
+    root = None if lasting else _SCRATCH.get()
+    path = f"{root}/{uuid.uuid4().hex}" if root else f"{shared_dir(spark)}/table"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDLIKE, WORDS, Words, chunks, strings
+from .common import WORDLIKE, WORDS, Words, chunks, strings, trim
 
 N = 10
 #: bytes of item text whose windows are broadcast at once; a window takes some 100 bytes more
@@ -96,6 +96,7 @@ def _scan(grams, text_at: int):
             kind = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
             out = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], *batch.columns[text_at + 1 :], out], names=[*(f"c{i}" for i in range(batch.num_columns - 1)), "hit"])
+            trim()
 
     return run
 
@@ -130,28 +131,33 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, *, columns: list[str
     return merged.withColumn("hit", F.struct(F.col("n").alias("n_words"), F.col("w").alias("words"), F.col("i").alias("items"))).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*named)
 
 
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """The columns as one struct, so that none can clash with results."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, **options) -> DataFrame:
     """The documents without any benchmark window, unchanged."""
-    return scan(docs, benchmark, n, **options).where(F.size("hit.words") == 0).drop("hit")
+    return scan(_as_rows(docs), benchmark, n, columns=["row"], **options).where(F.size("hit.words") == 0).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, **options) -> DataFrame:
     """All documents; from a hit one the marked words go, and the other words stay, joined by one space."""
-    out = scan(docs, benchmark, n, **options)
+    out = scan(_as_rows(docs), benchmark, n, columns=["row"], **options)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def rest(text, marks):
         import pandas as pd
 
         new = []
         for t, m in zip(text, marks, strict=True):
             w = Words(*strings(pa.array([t], pa.large_string())), WORDLIKE, True)
-            gone = set(m.tolist())
-            raw = (t or "").encode()
+            gone, raw = set(m.tolist()), (t or "").encode()
             new.append(" ".join(raw[s:e].decode() for i, (s, e) in enumerate(zip(w.start, w.end, strict=True)) if i not in gone))
         return pd.Series(new)
 
-    return out.withColumn("text", F.when(F.size("hit.words") > 0, rest("text", "hit.words")).otherwise(F.col("text"))).drop("hit")
+    text = F.when(F.size("hit.words") > 0, rest("row.text", "hit.words")).otherwise(F.col("row.text"))
+    return out.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

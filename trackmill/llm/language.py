@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, chunks
+from .common import FOLD, chunks, trim
 
 BUCKETS = 1 << 14
 DIM = 16
@@ -167,6 +167,7 @@ def _predict(model, n_cols: int):
                 good.append(known & (s >= m["threshold"]))
             out = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(good) if good else [], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.StructArray.from_arrays(out, names=["lang", "score", "accepted"])], names=[*(f"c{i}" for i in range(n_cols)), "found"])
+            trim()
 
     return run
 
@@ -203,7 +204,8 @@ def fitted(docs: DataFrame) -> dict:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is known well enough, unchanged."""
-    return identify(docs, fitted(docs)).where("found.accepted").drop("found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    return identify(rows, fitted(docs), ["row"]).where("found.accepted").select("row.*")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDLIKE, Words, chunks
+from .common import WORDLIKE, Words, chunks, trim
 
 PER_LABEL = 1500
 POOL = 3000
@@ -171,6 +171,7 @@ def _scored(model):
                 out.append(np.stack([_sigmoid(m["both"][0] * zt + m["both"][1] * zm + m["both"][2]), _sigmoid(zt), _sigmoid(zm)], 1))
             x = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(3))], names=["doc_id", "score", "text_score", "meta_score"])
+            trim()
 
     return run
 

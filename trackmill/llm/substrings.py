@@ -33,7 +33,7 @@ from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, spread, tr
 WINDOW = 50
 GRAM = 6
 #: bytes of text whose super-k-mers are held, combined and sent together
-FLUSH = 16 << 20
+FLUSH = 12 << 20
 _U = np.uint64
 #: the low bits of a minimiser hold its place, so that each occurrence differs
 _PLACE = _U((1 << 22) - 1)
@@ -174,7 +174,7 @@ def _bucket(blobs: list[bytes], window: int) -> pa.RecordBatch:
     buf = np.concatenate([np.r_[c[5], np.uint8(10)] for c in cols])
     hashes1, hashes2, done, offsets = [], [], 0, np.concatenate(offsets)
     while done < len(doc):  # a stretch at a time, for memory
-        b = max(done + 1, int(np.searchsorted(offsets, offsets[done] + (2 << 20), "right")) - 1)
+        b = max(done + 1, int(np.searchsorted(offsets, offsets[done] + (1 << 20), "right")) - 1)
         w = Words(buf[offsets[done] : offsets[b]], offsets[done : b + 1] - offsets[done], SPACED, False)
         h = w.hashes()
         i = np.repeat(w.first[:-1], count[done:b]) + spread(count[done:b])
@@ -234,7 +234,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
 def _rest(window: int, n_cols: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             texts, found = batch.column(n_cols), batch.column(n_cols + 1)
             n_words, n_removed, sha, new = [], [], [], []
             for text, runs in zip(texts, found, strict=True):
@@ -257,6 +257,7 @@ def _rest(window: int, n_cols: int, whole: bool):
                     sha.append(hashlib.sha256(kept).hexdigest())
             last = pa.array(new, pa.string()) if whole else pa.array(sha, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), last], names=[*(f"c{i}" for i in range(n_cols)), "n_words", "n_removed", "last"])
+        trim()
 
     return run
 
