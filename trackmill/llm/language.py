@@ -5,7 +5,7 @@ each; their average goes through a linear softmax. Embeddings and softmax are tr
 gradient descent in numpy on the driver, on a bounded sample: about PER_LANGUAGE labelled documents of
 each of at most LANGUAGES languages, none longer than LONGEST characters, SAMPLED features of each
 drawn over its whole text. A fifth of the sample calibrates: a temperature for the probabilities,
-and the rejection threshold, under which no correctly named calibration document lies.
+and the rejection threshold, half of the least probability of a correctly named document.
 
 Scoring is one pass over the texts without a shuffle. As the average is linear, embeddings times
 softmax weights are one small table, which is broadcast (its size is fixed by BUCKETS and LANGUAGES).
@@ -34,6 +34,8 @@ LANGUAGES = 200
 LONGEST = 100_000
 SAMPLED = 400
 EPOCHS = 6
+#: steps at least, which small samples repeat more often for
+STEPS = 1000
 RATE = 4.0
 MOST_REJECTED_AT = 0.5
 UNKNOWN = "und"
@@ -108,8 +110,10 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
     fit = np.setdiff1d(fit, held)
     e = rng.normal(0, 0.1, (2 * BUCKETS, DIM))
     w, bias = np.zeros((DIM, len(names))), np.zeros(len(names))
-    steps, done, size = EPOCHS * max(1, len(fit) // 16), 0, 16
-    for _ in range(EPOCHS):
+    size, done = 16, 0
+    epochs = max(EPOCHS, -(-STEPS * size // max(1, len(fit))))
+    steps = epochs * -(-len(fit) // size)
+    for _ in range(epochs):
         order = rng.permutation(fit)
         for lo in range(0, len(order), size):
             at = order[lo : lo + size]
@@ -118,7 +122,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
             mean = np.add.reduceat(e[h], np.cumsum(n) - n, axis=0) / n[:, None]
             p = _softmax(mean @ w + bias)
             p[np.arange(len(at)), y[at]] -= 1
-            rate = RATE * (1 - done / (steps + 1)) + 0.05
+            rate = RATE * (1 - done / steps) + 0.05
             grad = p @ w.T / n[:, None]
             w -= rate * mean.T @ p / len(at)
             bias -= 0.1 * rate * p.mean(0)
@@ -132,7 +136,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
         best = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean())
         p = _softmax(z / best)
         right = p.argmax(1) == y[held]
-        model |= {"temperature": float(best), "threshold": float(min(MOST_REJECTED_AT, p.max(1)[right].min(initial=1.0)))}
+        model |= {"temperature": float(best), "threshold": float(min(MOST_REJECTED_AT, p.max(1)[right].min(initial=1.0) / 2))}
     return model
 
 
