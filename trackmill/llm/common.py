@@ -23,12 +23,16 @@ _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
+#: sessions whose cluster names no shared folder, as in tests: one JVM, which any temporary folder serves
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach; it goes with the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="trackmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="trackmill-"))
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -93,7 +97,7 @@ class Rolling:
         return Rolling, (self.base,)  # without the powers
 
     def _grow(self, n: int) -> None:
-        if n > self.n:
+        if n > self.n or not self.n:
             self.n = max(n, 1 << 16)
             self.up, self.down = (np.cumprod(np.r_[_U(1), np.full(self.n, _U(b))], dtype=np.uint64) for b in (self.base, self.inverse))
 

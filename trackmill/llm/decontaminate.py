@@ -111,17 +111,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, *, columns: list[str
     n_blocks = max(1, -(-held // set_bytes))
     if n_blocks > 1:
         items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(2 * n_blocks)).cast("int"))
-    bare = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("text"))
-    plain = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(columns)] + [T.StructField("hit", _HIT)])
+    # the text's hash tells rows apart that are equal in the columns asked for
+    bare = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.xxhash64("text").alias(f"c{len(columns)}"), F.col("text").alias("text"))
+    kinds = [docs.schema[c].dataType for c in columns] + [T.LongType()]
+    plain = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)] + [T.StructField("hit", _HIT)])
     named = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)] + [F.col("hit")]
 
     def one(block: DataFrame) -> DataFrame:
         grams = spark.sparkContext.broadcast(cloudpickle.dumps(Grams([(r.item, r.text) for r in block.select("item", "text").toLocalIterator()], n)))
-        return bare.mapInArrow(_scan(grams, len(columns)), plain)
+        return bare.mapInArrow(_scan(grams, len(kinds)), plain)
 
     if n_blocks == 1:
         return one(items).select(*named)
-    keys = [f"c{i}" for i in range(len(columns))]
+    keys = [f"c{i}" for i in range(len(kinds))]
     scans = None
     for i in range(2 * n_blocks):
         part = one(items.where(F.col("block") == i)).withColumn("block", F.lit(i))
