@@ -35,6 +35,7 @@ def test_files_points_and_skipping(spark, folder):
     stored = spark.read.parquet(f"{folder}/points")
     assert stored.count() == 6 and spark.read.parquet(f"{folder}/bad").count() == 2 * len(BAD)
     assert readers.new_files(parsed, stored).count() == 0
+    assert readers.reject_counts(parsed).where("outcome = 'ok'").agg(F.sum("n")).first()[0] == 6
 
 
 def test_stream_ingest_is_exactly_once(spark, folder):

@@ -131,3 +131,8 @@ def file_info(spark: SparkSession, path: str, most: int = 100 << 20) -> DataFram
     """Name, size, MD5 and whether the size is allowed."""
     name = F.substring_index("path", "/", -1)
     return spark.read.format("binaryFile").load(path).select(name.alias("name"), text.extension(name).alias("extension"), F.col("length").alias("size"), F.md5("content").alias("md5"), (F.col("length") <= most).alias("allowed"))
+
+
+def reject_counts(parsed: DataFrame) -> DataFrame:
+    """How many rows of each file were good, and how many bad for each reason."""
+    return parsed.groupBy("source_file", F.coalesce("reject_reason", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
