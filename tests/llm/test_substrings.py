@@ -27,6 +27,7 @@ def got(df):
 @pytest.mark.parametrize(("window", "gram", "flush"), [(10, 3, 200), (10, 10, 10**7), (10, 1, 4000), (50, 6, 10**7)])
 def test_equals_brute_force(spark, monkeypatch, window, gram, flush):
     monkeypatch.setattr(substrings, "FLUSH", flush)
+    monkeypatch.setattr(substrings, "SLAB", 300 if flush == 4000 else 1 << 20)
     docs = corpus(window + gram)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert got(substrings.digest(df, window, gram)) == brute.digest(docs, window)

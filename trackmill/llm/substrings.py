@@ -34,6 +34,8 @@ WINDOW = 50
 GRAM = 6
 #: bytes of text whose super-k-mers are held, combined and sent together
 FLUSH = 12 << 20
+#: packed bytes of a bucket that are sorted together
+SLAB = 32 << 20
 _U = np.uint64
 #: the low bits of a minimiser hold its place, so that each occurrence differs
 _PLACE = _U((1 << 22) - 1)
@@ -161,41 +163,45 @@ def _runs(doc, key, at, gone) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d[i], pa.int64()), pa.array(k[i], pa.int64()), pa.array(p[i], pa.int32()), pa.array(p[np.r_[i[1:], len(x)] - 1] - p[i] + 1, pa.int32()) if len(i) else pa.array([], pa.int32())], names=["doc", "key", "at", "count"])
 
 
-def _bucket(blobs: list[bytes], window: int) -> pa.RecordBatch:
-    """The windows of one bucket that also stand in a smaller document."""
-    cols = [_unpacked(b) for b in blobs]
-    doc, key, at, count, _ = (np.concatenate([c[i] for c in cols]) for i in range(5))
+def _windows(blob: bytes, window: int, slab: int, slabs: int) -> tuple[np.ndarray, ...]:
+    """Fingerprints, document, text and place of a blob's windows that fall into one of the slabs."""
+    doc, key, at, count, size, buf = _unpacked(blob)
     # texts end with their last word, so the joining byte is the first of the next range
-    offsets, base = [np.zeros(1, np.int64)], 0
-    for c in cols:
-        size = c[4].astype(np.int64)
-        offsets.append(base + np.cumsum(size + 1))
-        base += int(size.sum()) + len(size)
-    buf = np.concatenate([np.r_[c[5], np.uint8(10)] for c in cols])
-    hashes1, hashes2, done, offsets = [], [], 0, np.concatenate(offsets)
+    offsets = np.r_[0, np.cumsum(size.astype(np.int64) + 1)]
+    offsets[-1] = len(buf)
+    out, done = [], 0
     while done < len(doc):  # a stretch at a time, for memory
         b = max(done + 1, int(np.searchsorted(offsets, offsets[done] + (1 << 20), "right")) - 1)
+        n = count[done:b]
         w = Words(buf[offsets[done] : offsets[b]], offsets[done : b + 1] - offsets[done], SPACED, False)
-        h = w.hashes()
-        i = np.repeat(w.first[:-1], count[done:b]) + spread(count[done:b])
-        hashes1.append(WORDS.windows(h, window)[i])
-        hashes2.append(WORDS2.windows(h, window)[i])
+        h, step = w.hashes(), spread(n)
+        i = np.repeat(w.first[:-1], n) + step
+        h1 = WORDS.windows(h, window)[i]
+        own = np.flatnonzero(h1 % _U(slabs) == _U(slab)) if slabs > 1 else slice(None)
+        out.append((h1[own], WORDS2.windows(h, window)[i][own], *(x[own] for x in (np.repeat(doc[done:b], n), np.repeat(key[done:b], n), np.repeat(at[done:b], n) + step))))
         done = b
-    h1, h2 = np.concatenate(hashes1), np.concatenate(hashes2)
-    del buf, hashes1, hashes2
-    doc_w, key_w, at_w = np.repeat(doc, count), np.repeat(key, count), np.repeat(at, count) + spread(count)
-    order = np.argsort(h1)
-    s1, s2 = h1[order], h2[order]
-    equal = s1[1:] == s1[:-1]
-    if (equal & (s2[1:] != s2[:-1])).any():
-        order = np.lexsort((h2, h1))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _bucket(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of one bucket that also stand in a smaller document. A large bucket is sorted in slabs of its fingerprints."""
+    slabs = 1 + sum(map(len, blobs)) // SLAB
+    for slab in range(slabs):
+        h1, h2, doc, key, at = (np.concatenate(c) for c in zip(*(_windows(b, window, slab, slabs) for b in blobs), strict=True))
+        if not len(h1):
+            continue
+        order = np.argsort(h1)
         s1, s2 = h1[order], h2[order]
-        equal = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-    head = np.flatnonzero(np.r_[True, ~equal])
-    least = np.repeat(np.minimum.reduceat(doc_w[order], head), np.diff(np.r_[head, len(order)]))
-    gone = np.zeros(len(order), bool)
-    gone[order] = doc_w[order] > least
-    return _runs(doc_w, key_w, at_w, gone)
+        equal = s1[1:] == s1[:-1]
+        if (equal & (s2[1:] != s2[:-1])).any():
+            order = np.lexsort((h2, h1))
+            s1, s2 = h1[order], h2[order]
+            equal = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+        head = np.flatnonzero(np.r_[True, ~equal])
+        least = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.r_[head, len(order)]))
+        gone = np.zeros(len(order), bool)
+        gone[order] = doc[order] > least
+        yield _runs(doc, key, at, gone)
 
 
 def _decide(window: int):
@@ -208,13 +214,13 @@ def _decide(window: int):
                     yield _runs(np.repeat(doc, count), np.repeat(key, count), np.repeat(at, count) + spread(count), np.ones(int(count.sum()), bool))
                     continue
                 if bucket != here and blobs:
-                    yield _bucket(blobs, window)
+                    yield from _bucket(blobs, window)
                     blobs = []
                     trim()
                 here = bucket
                 blobs.append(blob.as_py())
         if blobs:
-            yield _bucket(blobs, window)
+            yield from _bucket(blobs, window)
 
     return run
 
