@@ -70,7 +70,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, max_distance: float
     return best.select(key, "m.segment_id", F.col("m.p.lat").alias("matched_lat"), F.col("m.p.lon").alias("matched_lon"), distance.alias("distance"), F.greatest(F.lit(0.0), 1 - distance / max_distance).alias("confidence"))
 
 
-def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id", planar: bool = False, reach: float = 0.02, ring: int = 1) -> DataFrame:
+def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id", planar: bool = False, reach: float = 0.01, ring: int = 1) -> DataFrame:
     """key and the closest of all vertices, without a limit: cells around the point first, wider ones for points that found none.
 
     corners: vertex_id, lat, lon. A find in the rings is final if it is closer than their rim; the rest,
