@@ -74,7 +74,7 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id",
     """key and the closest of all vertices, without a limit: cells around the point first, wider ones for points that found none.
 
     corners: vertex_id, lat, lon. A find in the rings is final if it is closer than their rim; the rest,
-    which a road network that covers its points leaves few of, look through cells four times as wide.
+    which a road network that covers its points leaves few of, look through cells 32 times as wide, so that few rounds reach any distance.
     """
     far = lambda lat, lon: F.sqrt(F.pow(F.col("longitude") - lon, 2) + F.pow(F.col("latitude") - lat, 2)) if planar else geo.haversine("latitude", "longitude", lat, lon)
     here = points.select(key, "latitude", "longitude").withColumns({"cx": geo.cell("longitude", reach), "cy": geo.cell("latitude", reach)})
@@ -89,7 +89,7 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id",
     if reach > 360:
         return best.select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
     left = points.join(done.select(key), key, "left_anti")
-    return done if left.isEmpty() else done.unionByName(nearest_vertex(left, corners, key, planar, reach * 4, ring))
+    return done if left.isEmpty() else done.unionByName(nearest_vertex(left, corners, key, planar, reach * 32, ring))
 
 
 def connected(segments: DataFrame, tolerance: float = 1e-6, itself: bool = False) -> DataFrame:
