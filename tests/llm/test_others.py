@@ -54,6 +54,22 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n# 1. Redistributions",
+    "isc": " * Permission to use, copy, modify, and/or distribute this software for any\r\n * purpose with or without fee is hereby granted, provided",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License as published by",
+}
+
+
+def test_wrapped_notices(spark):
+    far = WRAPPED["isc"].replace("\r\n", " filler" * 40 + "\n")
+    texts = [(label, f"first line\n\n{t}\nlast line of words") for label, t in WRAPPED.items()] + [(None, far), (None, "Redistribution and use in source\nand binary forms")]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in texts)), DOCS)).collect()
+    got = {r.doc_id: [(m.label, m.line, m.containment) for m in r.matches or []] for r in rows}
+    assert got == {i: [(label, 2, 1.0)] if label else [] for i, (label, _) in enumerate(texts)}
+
+
 def test_a_license_query_without_python(spark, small):
     for name in ("op3_license_scan", "op8_source_mixing"):
         plan = queries.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 """License scans (native: DataFrame functions only).
 
-An exact containment join of text blocks (lines) with license templates. The templates' tokens are
+An exact containment join of text blocks with license templates. Blocks are lines, and windows of words
+that span lines (for notices that are wrapped), as long as a text of which PERCENT percent are the template's words. The templates' tokens are
 ordered by their frequency over all documents, counted first. A block that holds need = THRESHOLD
 of a template's n tokens must hold one of its n - need + 1 rarest, so only these prefix tokens are
 joined (with the few templates, as a broadcast of at most MOST_TEMPLATES); the length filter drops
@@ -8,6 +9,10 @@ blocks with fewer than `need` template tokens, the positional filter those whose
 stands too late in either order, and the rest is verified on whole token sets. Beside that, the
 base phrases are found word by word in every text.
 
+Windows go through the same filters, first with the whole document as the block, which holds each of its windows.
+Of a template's windows in a document the one with most common tokens is a match (at the line it begins in), if
+no line it touches has as many.
+
 Only documents with a prefix token go on to be cut into lines; only those with a license are
 joined back, by doc_id and text, so no text is shuffled.
 
@@ -18,6 +23,8 @@ text are not read, and names cannot clash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +32,7 @@ from .common import save
 
 #: what stands between words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PERCENT = 80
 MOST_TEMPLATES = 10_000
 #: fixed values: the base phrases and their labels
@@ -53,8 +61,6 @@ def words_of(text: Column) -> Column:
 
 
 def _tokens(text: str) -> list[str]:
-    import re
-
     return sorted({w for w in re.split(SEPARATOR, text.lower()) if w})
 
 
@@ -80,6 +86,40 @@ def places(words: Column, lead: Column) -> Column:
     return F.filter(F.transform(words, at), lambda p: p.isNotNull())
 
 
+def _met(blocks: DataFrame, prefixes: DataFrame, known: DataFrame, also: str) -> DataFrame:
+    """Blocks (doc_id, key, one more column and has, their template tokens, rarest first) with the templates of which they hold enough."""
+    return (
+        blocks.where(F.size("has") > 0)
+        .select("doc_id", "key", also, "has", F.posexplode("has").alias("mine", "token"))
+        .join(F.broadcast(prefixes), "token")
+        .where((F.size("has") >= F.col("need")) & (F.least(F.col("n") - F.col("at"), F.size("has") - F.col("mine")) >= F.col("need")))
+        .select("doc_id", "key", also, "has", "template")
+        .distinct()
+        .join(F.broadcast(known), "template")
+        .withColumn("common", F.size(F.array_intersect("has", "tokens")))
+        .where(F.col("common") >= F.col("need"))
+    )
+
+
+def _windows(text: Column, tokens: Column, reach: Column, own: Column) -> Column:
+    """common and first (line, negative) of each window of `reach` words that begins with a token, spans lines and has more tokens than any of its lines in own."""
+    lines = F.transform(F.split(F.lower(text), r"\n"), lambda low, i: F.transform(F.filter(F.split(low, SEPARATOR, -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    words = F.transform(F.flatten(lines), lambda x, i: F.struct(x["w"].alias("w"), x["line"].alias("line"), i.alias("at")))
+    held = F.filter(words, lambda x: F.array_contains(tokens, x["w"]))
+
+    def over(all_: Column) -> Column:
+        def window(x: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(all_, i + 1, reach), lambda y: y["at"] < x["at"] + reach)
+            most = F.array_max(F.transform(F.filter(own, lambda o: o["line"].between(x["line"], F.element_at(inside, -1)["line"])), lambda o: o["common"]))
+            common = F.size(F.array_distinct(F.transform(inside, lambda y: y["w"])))
+            return F.when((F.element_at(inside, -1)["line"] > x["line"]) & (common > F.coalesce(most, F.lit(0))), F.struct(common.alias("common"), (-x["line"]).alias("first")))
+
+        return F.transform(all_, window)
+
+    # the array is made once: a lambda's variable holds it
+    return F.flatten(F.transform(F.array(held), over))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_words, places (label, start) and matches (label, line, containment) of each row."""
     if len(templates) > MOST_TEMPLATES:
@@ -93,9 +133,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     for i, label, tokens in sets:
         tokens = sorted(tokens, key=order.get)
         need = -(-percent * len(tokens) // 100)
-        known.append((i, label, tokens, len(tokens), need))
+        known.append((i, label, tokens, len(tokens), need, -(-100 * len(re.findall(WORD, templates[i][1].lower())) // percent)))
         prefixes += [(t, i, k, len(tokens), need) for k, t in enumerate(tokens[: len(tokens) - need + 1])]
-    known = spark.createDataFrame(known, "template int, label string, tokens array<string>, n int, need int")
+    known = spark.createDataFrame(known, "template int, label string, tokens array<string>, n int, need int, reach int")
     rare = sorted({p[0] for p in prefixes})
     prefixes = spark.createDataFrame(prefixes, "token string, template int, at int, n int, need int")
 
@@ -114,17 +154,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     some = words.where(F.arrays_overlap("words", F.array(*map(F.lit, rare))))
     lines = some.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(F.lower("text"), r"\n")).alias("line", "low"))
     tokens = lines.select("doc_id", "key", "line", F.array_intersect(ordered, words_of(F.col("low"))).alias("has"))
-    met = (
-        tokens.where(F.size("has") > 0)
-        .select("doc_id", "key", "line", "has", F.posexplode("has").alias("mine", "token"))
-        .join(F.broadcast(prefixes), "token")
-        .where((F.size("has") >= F.col("need")) & (F.least(F.col("n") - F.col("at"), F.size("has") - F.col("mine")) >= F.col("need")))
-        .select("doc_id", "key", "line", "has", "template")
-        .distinct()
-        .join(F.broadcast(known), "template")
-        .withColumn("common", F.size(F.array_intersect("has", "tokens")))
-        .where(F.col("common") >= F.col("need"))
-    )
+    met = _met(tokens, prefixes, known, "line").select("doc_id", "key", "template", "label", "line", "n", "common")
+
+    # windows over lines, in the documents that hold enough of a template in any place
+    whole = some.where(F.instr("text", "\n") > 0).select("doc_id", F.xxhash64("text").alias("key"), "text", F.array_intersect(ordered, "words").alias("has"))
+    near = _met(whole, prefixes, known, "text")
+    own = met.groupBy("doc_id", "key", "template").agg(F.collect_set(F.struct("line", "common")).alias("own"))
+    near = near.join(own.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("template").alias("t"), "own"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")) & (F.col("template") == F.col("t")), "left")
+    near = near.select("doc_id", "key", "template", "label", "n", "need", _windows(F.col("text"), F.col("tokens"), F.col("reach"), F.coalesce("own", F.array().cast("array<struct<line:int,common:int>>"))).alias("windows"))
+    best = F.array_max(F.filter("windows", lambda w: w["common"] >= F.col("need")))
+    spanning = near.select("doc_id", "key", "template", "label", "n", best.alias("best")).where("best IS NOT NULL")
+    met = met.unionByName(spanning.select("doc_id", "key", "template", "label", (-F.col("best.first")).cast("int").alias("line"), "n", F.col("best.common").alias("common")))
     matches = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("label", "line", (F.col("common").cast("double") / F.col("n").cast("double")).alias("containment")))).alias("matches"))
     matches = save(matches).withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")
     return sized.join(matches, sized["doc_id"].eqNullSafe(matches["id"]) & (sized["key"] == matches["k"]), "left").select("doc_id", "n_words", "places", "matches")
