@@ -199,6 +199,14 @@ def test_language(spark, odd, none):
     assert {r.found.lang for r in language.identify(odd, language.train([], []), ["doc_id"]).collect()} == {"und"}
 
 
+def test_an_odd_document_does_not_stop_rejection(spark):
+    """One correct calibration document hardly above 1/L; a text in an unlearned language has about 1/L."""
+    assert language._threshold(np.r_[0.3, np.full(200, 0.99)], 4) == 0.5 and language._threshold(np.full(50, 0.26), 4) > 1 / 4
+    model = language.train([], []) | {"names": ["a", "b", "c", "d"], "table": np.zeros((2 * language.BUCKETS, 4), np.float32), "bias": np.zeros(4)}
+    model["threshold"] = language._threshold(np.r_[0.3, np.full(200, 0.99)], 4)
+    assert not language.identify(spark.createDataFrame([(1, "unheard of words")], DOCS), model, ["doc_id"]).first().found.accepted
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(5)
     texts = [" ".join(prose(rng, 30, 25) + (["bad", "worse"] if i % 3 == 0 else [])) for i in range(150)]

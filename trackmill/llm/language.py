@@ -5,7 +5,8 @@ each; their average goes through a linear softmax. Embeddings and softmax are tr
 gradient descent in numpy on the driver, on a bounded sample: about PER_LANGUAGE labelled documents of
 each of at most LANGUAGES languages, none longer than LONGEST characters, SAMPLED features of each
 drawn over its whole text. A fifth of the sample calibrates: a temperature for the probabilities,
-and the rejection threshold, half of the least probability of a correctly named document.
+and the rejection threshold, below which REJECTED of the correctly named documents lie (at most
+MOST_REJECTED_AT, at least OVER_CHANCE times the 1/L that the best of L languages always has).
 
 Scoring is one pass over the texts without a shuffle. As the average is linear, embeddings times
 softmax weights are one small table, which is broadcast (its size is fixed by BUCKETS and LANGUAGES).
@@ -38,6 +39,8 @@ EPOCHS = 6
 STEPS = 1000
 RATE = 4.0
 MOST_REJECTED_AT = 0.5
+REJECTED = 0.01
+OVER_CHANCE = 1.2
 UNKNOWN = "und"
 
 _ALL = np.arange(256)
@@ -136,10 +139,16 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
         best = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean())
         p = _softmax(z / best)
         right = p.argmax(1) == y[held]
-        model |= {"temperature": float(best), "threshold": float(min(MOST_REJECTED_AT, p.max(1)[right].min(initial=1.0) / 2))}
+        model |= {"temperature": float(best), "threshold": _threshold(p.max(1)[right], len(names))}
     return model
 
 
+def _threshold(right: np.ndarray, n: int) -> float:
+    """The REJECTED quantile of these probabilities of the best of n languages, within its bounds."""
+    at = min(MOST_REJECTED_AT, float(np.quantile(right, REJECTED))) if len(right) else MOST_REJECTED_AT
+    return max(at, OVER_CHANCE / n) if n > 1 else at
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
