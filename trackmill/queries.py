@@ -1,6 +1,6 @@
 """The trajectory queries and their DuckDB equivalents.
 
-Every query runs over whole tables. Floats are rounded in both engines, to millimetres or millionths.
+Every query runs over whole tables, but for the road fixture, which FIXTURES.md fixes at the segments of p_partkey < 2000. Floats are rounded in both engines, to millimetres or millionths.
 """
 
 from __future__ import annotations
