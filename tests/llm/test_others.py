@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -207,46 +208,78 @@ def test_an_odd_document_does_not_stop_rejection(spark):
     assert not language.identify(spark.createDataFrame([(1, "unheard of words")], DOCS), model, ["doc_id"]).first().found.accepted
 
 
-def test_nearest_examples_are_exact():
-    rng = random.Random(5)
-    texts = [" ".join(prose(rng, 30, 25) + (["bad", "worse"] if i % 3 == 0 else [])) for i in range(150)]
-    old, toxicity.Z = toxicity.Z, 0.5
-    try:
-        ix = toxicity.Index(texts, [int(i % 3 == 0) for i in range(150)], list(range(150)), {0: 0.5, 1: 1.0}, k=5)
-    finally:
-        toxicity.Z = old
+def index_of(texts, labels, share):
     import pyarrow as pa
 
     from trackmill.llm import common
 
-    queries_ = [" ".join(prose(rng, 12, 25) + rng.choice([["bad"], [], ["worse", "bad", "bad"]])) for _ in range(60)]
-    buf, off = common.strings(pa.array(queries_, pa.large_string()))
-    of, x, n = toxicity.terms(buf, off)
-    d, t, v = ix.vectors(of, x, n)
-    got, place, score = ix.nearest(d, t, v)
-    dense = np.zeros((n, len(ix.vocabulary)))
-    dense[d, t] = v
-    examples = np.zeros((150, len(ix.vocabulary)))
-    block_of = np.repeat(np.arange(len(ix.vocabulary)), np.diff(ix.slices[:: ix.n_blocks]))
-    examples[ix.post_doc, block_of] = ix.post_weight
-    cosine = np.round(dense @ examples.T, 12)
-    for row, q in enumerate(got):
-        want = sorted((-c, i) for i, c in enumerate(cosine[q].tolist()) if c > 0)[:5]
-        assert np.allclose([s for s in score[row] if s > 0], [-c for c, _ in want])
-        near = [(round(-s, 9), p) for s, p in zip(score[row].tolist(), place[row].tolist()) if p >= 0]
-        assert near == [(round(c, 9), i) for c, i in want]
+    of, x, _ = toxicity.terms(*common.strings(pa.array(texts, pa.large_string())))
+    return toxicity.Index(*toxicity.bags(of, x), labels, list(range(len(texts))), share)
+
+
+def test_nearest_examples_are_exact(monkeypatch):
+    """As the operator runs, but for the sizes of blocks and of the dense part: several ways are to be taken by few texts."""
+    rng = random.Random(5)
+    texts = [" ".join(prose(rng, 30, 90) + (["bad", "worse"] if i % 3 == 0 else [])) for i in range(150)] + ["alone in its words", "alone in its words", ""]
+    labels = [int(i % 3 == 0) for i in range(len(texts))]
+    queries_ = [" ".join(prose(rng, 12, 90) + rng.choice([["bad"], [], ["worse", "bad", "bad"]])) for _ in range(60)] + ["alone in its words", "unheard", "", "w1"]
+
+    def bag(t):
+        w = Counter()
+        for x in brute.plain(t):
+            w.update([x] + [("prefix", k, x[:k]) for k in (4, 5) if len(x) > k])
+        return w
+
+    bags, n0 = [bag(t) for t in texts], labels.count(0)
+    df = Counter(x for b, y in zip(bags, labels) if not y for x in b)
+    known = {x for b in bags for x in b}
+
+    def vector(b):
+        v = {x: (1 + np.log(n)) * (1 + np.log((1 + n0) / (1 + df[x]))) for x, n in b.items() if x in known}
+        long = np.sqrt(sum(y * y for y in v.values()))
+        return {x: y / long for x, y in v.items()}
+
+    examples = [vector(b) for b in bags]
+    for block, together, often in ((256, 512, 32), (16, 7, 32), (16, 512, 4), (16, 512, 10**6)):
+        for name, value in (("BLOCK", block), ("TOGETHER", together), ("OFTEN", often)):
+            monkeypatch.setattr(toxicity, name, value)
+        ix = index_of(texts, labels, {0: 0.5, 1: 1.0})
+        import pyarrow as pa
+
+        from trackmill.llm import common
+
+        of, x, n = toxicity.terms(*common.strings(pa.array(queries_, pa.large_string())))
+        got, place, score = ix.nearest(*ix.vectors(of, x, n))
+        found = dict(zip(got.tolist(), zip(place.tolist(), score.tolist())))
+        for i, q in enumerate(queries_):
+            v = vector(bag(q))
+            cosine = {j: c for j, e in enumerate(examples) if (c := sum(y * e.get(x, 0) for x, y in v.items())) > 0}
+            want = sorted(cosine.values(), reverse=True)[: toxicity.K]
+            places, scores = found.get(i, ([], []))
+            near = [(ix.ids[p], s) for p, s in zip(places, scores) if p >= 0]
+            assert np.allclose([s for _, s in near], want) and all(abs(cosine[j] - s) < 1e-9 for j, s in near) and len({j for j, _ in near}) == len(near)
 
 
 def test_toxicity(spark, small, odd, none, labels):
     found = toxicity.op10_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").select("toxic", "score", "predicted").toPandas()
     rank, y = found.score.rank(), found.toxic == 1
-    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.9 and (found.predicted == found.toxic).mean() > 0.94
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.96 and (found.predicted == found.toxic).mean() > 0.95
     from pyspark.sql import functions as F
 
-    for marked in (labels, labels.where("false")):
+    for marked in (labels, labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0")):
         index = toxicity.examples(odd, marked, F.lit(True))
         rows = toxicity.score(odd, index).collect()
         assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows) and toxicity.score(none, index).count() == 0
+    named = toxicity.score(odd.withColumn("doc_id", F.col("doc_id").cast("string")), toxicity.examples(odd.withColumn("doc_id", F.col("doc_id").cast("string")), labels.withColumn("doc_id", F.col("doc_id").cast("string")), F.lit(True)))
+    assert named.count() == len(ODD)
+
+
+def test_most_texts_have_neighbours_at_every_size(spark):
+    for sf in ("0.001", "0.01"):
+        d = f"/root/testdata/sf{sf}"
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        rows = toxicity.op10_toxicity(spark, d).join(docs.select("doc_id", "text"), "doc_id").where("trim(text) <> ''").collect()
+        assert sum(not r.evidence for r in rows) < 0.05 * len(rows)
 
 
 def test_quality(spark, odd, none, labels):
