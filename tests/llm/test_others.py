@@ -95,6 +95,7 @@ def test_top_k(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "QUERIES", 7)
     monkeypatch.setattr(topk, "SAMPLE", 60)
     monkeypatch.setattr(topk, "BUCKET", 40)
+    monkeypatch.setattr(topk, "GROUP", 90)
     rng = np.random.default_rng(seed)
     scale = rng.choice([0.1, 1.0, 9.0], 300)
     base = rng.normal(size=(6, 4 if seed else 16))
@@ -106,6 +107,22 @@ def test_top_k(spark, monkeypatch, seed):
     assert got == best(rows, 20, 20)
 
 
+def test_top_k_of_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    rows = [(i % 50, [float(x) for x in rng.normal(size=5).astype(np.float32)]) for i in range(120)]
+    rows += [rows[0], rows[0], rows[20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).withColumns({c: F.lit(1) for c in ("key", "group", "blob", "length", "rank", "score", "times")})
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, v in whole:
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()) == sorted(want)
+
+
 def test_top_k_of_little(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, df.vec_id % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]

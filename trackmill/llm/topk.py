@@ -1,19 +1,23 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are integers floor(SCALE * x). Candidates are dealt by length, so that each task has buckets
-of similar lengths, longest first. A query's threshold is its k-th best score so far; it starts from
-a sample of the candidates, so tasks need not wait for each other. In a bucket whose longest vector
-has length l a query needs a cosine of threshold / (|q| l): over 1, the bucket and all shorter ones
-are skipped. Otherwise the bucket chooses: where that cosine leaves few vectors in the range that the
-query's largest coordinate allows, only these are verified (coordinate pruning); where it does
-not, all vectors that are long enough are (length pruning), as one matrix product.
+Vectors are integers floor(SCALE * x). Candidates are dealt by length into groups of about GROUP, longest
+first, and stored. A query's threshold is its k-th best score so far; it starts from a sample of
+the candidates. A query goes to the groups only whose longest vector could reach its threshold, in packed
+blocks of up to QUERIES, through a shuffle: neither the queries nor the candidates pass the driver, which knows
+the groups' greatest lengths and the sample alone. A task holds one group, in buckets of similar lengths,
+and one block of queries after the other. In a bucket whose longest vector has length l a query needs a
+cosine of threshold / (|q| l): over 1, the bucket and all shorter ones are skipped. Otherwise the
+bucket chooses: where that cosine leaves few vectors in the range that the query's largest
+coordinate allows, only these are verified (coordinate pruning); where it does not, all vectors that
+are long enough are (length pruning), as one matrix product.
 
-Queries go out in blocks of about QUERIES, which bounds the broadcast: each block is one scan of
-the candidates. Tasks return at most k rows for a query, which are ranked once more.
+Groups return at most k rows for a query, which are ranked once more.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, rows
 without id neither; shorter vectors count as filled up with zeros; equal vectors are different
-candidates; a query's own id is no candidate of its; an empty table gives an empty table.
+candidates; no row with a query's id is a candidate of its; rows that share a query's id are
+queries by themselves, each with its own answer (equal rows with equal ones); scores are whole
+numbers up to 2**53, beyond which doubles round; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts
+from .common import parts, save
 
 SCALE = 64
 K = 20
-#: queries in a broadcast, on average; 8 bytes a component
-QUERIES = 8192
+#: queries in a block
+QUERIES = 2048
+#: candidates in a group, on average, which a task holds packed
+GROUP = 1 << 19
+_ROWS = "group int, length double, blob binary"
 #: candidates from which thresholds start, on average
 SAMPLE = 8192
 BUCKET = 4096
@@ -119,56 +126,120 @@ class Best:
             self.add(at[r], ids[c], s[r, c])
 
 
-def _scan(block, scale: int, k: int):
+def _grouped(scale: int):
+    """A group's vectors as packed buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, floor = block.value
-        best = Best(ids, q, k, floor)
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId()
         for batch in batches:
-            vec = np.asarray(batch.column(0))
-            for a in range(0, len(vec), BUCKET):
-                p = matrix(batch.column(1).slice(a, BUCKET), scale, q.shape[1])
-                length = np.sqrt((p * p).sum(1))
-                order = np.lexsort((vec[a : a + BUCKET], -length))
-                best.bucket(vec[a : a + BUCKET][order], p[order], length[order])
-        score = best.score.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.of]), pa.array(best.vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+            for a in range(0, batch.num_rows, BUCKET):
+                vec = np.asarray(batch.column(0).slice(a, BUCKET))
+                p = matrix(batch.column(1).slice(a, BUCKET), scale)
+                length = float(np.sqrt((p * p).sum(1)).max())
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([length]), pa.array([_packed(vec, p)], pa.binary())], names=["group", "length", "blob"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query, *, k: int = K, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id and score: the k candidates with the highest inner products for each row that is_query holds for."""
-    spark = vectors.sparkSession
-    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
-    queries = rows.where(is_query).select("vec_id", "embedding")
-    rows = rows.select("vec_id", "embedding", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"), 2))).alias("length"))
-    total, longest = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    n_queries = queries.count()
-    out = None
-    if n_queries:
-        dim = max(1, longest)
-        sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-total // SAMPLE))) == 0).select("vec_id", "embedding").toArrow()
-        sample_ids, sample_p = np.asarray(sample["vec_id"]), matrix(sample["embedding"], scale, dim)
-        dealt = rows.repartitionByRange(parts(spark), F.desc("length"), F.xxhash64("vec_id")).select("vec_id", "embedding")
-        n_blocks = -(-n_queries // QUERIES)
-        for i in range(n_blocks):
-            mine = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_blocks)) == i).toArrow()
-            if not mine.num_rows:
-                continue
-            ids, q = np.asarray(mine["vec_id"]), matrix(mine["embedding"], scale, dim)
+def _packed(ids: np.ndarray, p: np.ndarray, *more: np.ndarray) -> bytes:
+    """ids, rows and further columns of numbers; rows in the narrowest kind that holds them."""
+    import io
+
+    if len(p) and np.abs(p).max() < 1 << 15:
+        p = p.astype(np.int16)
+    out = io.BytesIO()
+    np.savez(out, ids, p, *more)
+    return out.getvalue()
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    import io
+
+    with np.load(io.BytesIO(blob)) as found:
+        return [found[k] for k in found.files]
+
+
+def _sent(sample, groups, scale: int, k: int, dim: int):
+    """Blocks of queries with their thresholds, for each group that may hold an answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample_ids, sample_p = sample.value
+        at, longest = groups.value
+        for batch in (b.slice(i, QUERIES) for b in batches for i in range(0, b.num_rows, QUERIES)):
+            ids, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            q = matrix(batch.column(2), scale, dim)
             floor = np.full(len(ids), -np.inf)
             for a in range(0, len(ids), _BLOCK):
                 s = q[a : a + _BLOCK] @ sample_p.T
                 s[ids[a : a + _BLOCK][:, None] == sample_ids[None, :]] = -np.inf
                 if s.shape[1] >= k:
                     floor[a : a + _BLOCK] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            found = dealt.mapInArrow(_scan(spark.sparkContext.broadcast((ids, q, floor)), scale, k), "query_id long, vec_id long, score long")
-            out = found if out is None else out.union(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            length = np.sqrt((q * q).sum(1))
+            for group, most in zip(at.tolist(), longest.tolist(), strict=True):
+                some = np.flatnonzero(floor <= length * most * (1 + 1e-12))
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([0.0]), pa.array([_packed(ids[some], q[some], key[some], floor[some])], pa.binary())], names=["group", "length", "blob"])
+
+    return run
+
+
+def _met(k: int, dim: int):
+    """Rows of a group: its buckets, longest first, then blocks of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, buckets = None, []
+        for batch in batches:
+            for group, is_query, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if group != here:
+                    here, buckets = group, []
+                if not is_query:
+                    buckets.append(blob)
+                    continue
+                ids, q, key, floor = _unpacked(blob)
+                best = Best(ids, q.astype(np.float64), k, floor)
+                for packed in buckets:
+                    vec, p = _unpacked(packed)
+                    full = np.zeros((len(p), dim))
+                    full[:, : min(dim, p.shape[1])] = p[:, :dim]
+                    length = np.sqrt((full * full).sum(1))
+                    order = np.lexsort((vec, -length))
+                    best.bucket(vec[order], full[order], length[order])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.of]), pa.array(key[best.of]), pa.array(best.vec), pa.array(best.score.astype(np.int64))], names=["query_id", "key", "vec_id", "score"])
+
+    return run
+
+
+def search(vectors: DataFrame, is_query, *, k: int = K, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id and score: the k candidates with the highest inner products for each row that is_query holds for."""
+    spark = vectors.sparkSession
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
+    # equal rows are one query, as often as they come
+    queries = rows.where(is_query).groupBy("vec_id", "embedding").agg(F.count("*").alias("times")).select("vec_id", F.xxhash64("embedding").alias("key"), "embedding", "times")
+    rows = rows.select("vec_id", "embedding", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"), 2))).alias("length"))
+    total, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = max(1, dim)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(-(-total // SAMPLE))) == 0).select("vec_id", "embedding").toArrow()
+    dealt = rows.repartitionByRange(max(-(-total // GROUP), min(parts(spark), -(-total // BUCKET))), F.desc("length"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("length")).select("vec_id", "embedding")
+    buckets = save(dealt.mapInArrow(_grouped(scale), _ROWS))
+    # a row for some GROUP vectors
+    groups = buckets.groupBy("group").agg(F.max("length").alias("length")).orderBy("group").toArrow()
+    known = spark.sparkContext.broadcast((np.asarray(sample["vec_id"]), matrix(sample["embedding"], scale, dim)))
+    lengths = spark.sparkContext.broadcast((np.asarray(groups["group"]), np.asarray(groups["length"])))
+    queries = save(queries)
+    sent = queries.select("vec_id", "key", "embedding").mapInArrow(_sent(known, lengths, scale, k, dim), _ROWS)
+    met = buckets.withColumn("is_query", F.lit(False)).union(sent.withColumn("is_query", F.lit(True))).repartition(max(parts(spark), groups.num_rows), "group")
+    met = met.sortWithinPartitions("group", "is_query", F.desc("length")).select("group", "is_query", "blob")
+    found = met.mapInArrow(_met(k, dim), "query_id long, key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    again = queries.where("times > 1").select(F.col("vec_id").alias("query_id"), "key", "times")
+    best = best.join(again, ["query_id", "key"], "left").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:
