@@ -4,16 +4,19 @@ import __spark_entry__ as entry
 from tests.duck import assert_same, connect
 from trackmill import queries as own
 
-WITHOUT = {"vincenty_steps", "greedy_match", "viterbi_match", "douglas_peucker", "outlier_filter"}
-
 
 @pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_query_equals_oracle(spark, small, name):
     assert_same(own.queries()[name](spark, small), connect(small), own.oracle_sql()[name])
 
 
-def test_only_folds_lack_an_oracle():
-    assert set(own.queries()) - set(own.oracle_sql()) == WITHOUT
+def test_every_query_has_an_oracle():
+    assert set(own.queries()) == set(own.oracle_sql())
+
+
+def test_lines_are_split_once(spark, small):
+    plan = own.queries()["text_round_trip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
 
 
 def test_entry(spark):

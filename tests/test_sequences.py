@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,10 +82,10 @@ def test_viterbi_equals_plain_products(points, segments):
                 continue
             best = {}
             for b in chance:
-                options = [(round(score[a] - math.log(len(by[a])), 12), a) for a in score if b in by[a] and 1 / len(by[a]) >= 0.1]
+                options = [(round(score[a] - math.log(len(by[a])), 9), a, score[a] - math.log(len(by[a]))) for a in score if b in by[a] and 1 / len(by[a]) >= 0.1]
                 if options:
                     best[b] = min(options, key=lambda o: (-o[0], o[1]))
-            score, before = {b: s + math.log(chance[b]) for b, (s, _) in best.items()}, {b: a for b, (_, a) in best.items()}
+            score, before = {b: s + math.log(chance[b]) for b, (_, _, s) in best.items()}, {b: a for b, (_, a, _) in best.items()}
             back.append(before)
         if score:
             k = min(score, key=lambda b: (-round(score[b], 9), b))
@@ -92,8 +93,7 @@ def test_viterbi_equals_plain_products(points, segments):
                 want[rows[t].event_id] = k
                 k = back[t].get(k)
     got = {r.event_id: r.segment_id for r in matching.create("gotrackit", max_distance=1500.0)(few, segments).collect()}
-    assert set(got) == set(want) and len(want) > 20
-    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)  # equally likely paths may differ
+    assert got == want and len(want) > 20
 
 
 def test_a_fast_point_empties_a_viterbi_path(points, segments):
@@ -110,6 +110,53 @@ def test_grid_search_equals_brute_force_at_any_reach(points, segments):
         assert got == want
 
 
+def unwrapped(p, s):
+    """Distance to a segment in plain degrees, on the side where it is."""
+    lons = (s[3], s[3] + 360, s[3] - 360)
+    end = min(lons, key=lambda x: abs(x - s[2]))
+    out = []
+    for lon in (p[2], p[2] + 360, p[2] - 360):
+        dx, dy = end - s[2], s[4] - s[1]
+        t = max(0, min(1, ((lon - s[2]) * dx + (p[1] - s[1]) * dy) / (dx * dx + dy * dy)))
+        out.append((abs(lon - s[2]), haversine(p[1], lon, s[1] + t * dy, s[2] + t * dx)))
+    return min(out)[1]
+
+
+@pytest.mark.parametrize("reach", [800.0, 3000.0])
+def test_segments_near_the_poles_and_across_180_degrees(spark, reach):
+    rng = random.Random(4)
+    ends, points = [], []
+    for i in range(240):
+        lat, lon = rng.choice([-85.0, -60.5, 0.0, 61.0, 75.0, 85.0, 89.0]), rng.choice([-180.0, 179.99, 0.0, 114.0])
+        jitter = lambda k: rng.uniform(-k, k)
+        wide = 0.02 / max(0.02, math.cos(math.radians(lat)))
+        a, b = lat + jitter(0.02), lon + jitter(wide)
+        wrap = lambda x: (x + 180) % 360 - 180
+        ends.append((f"s{i:03d}", a, wrap(b), wrap(b + jitter(wide)), a + jitter(0.01)))
+        points.append((i, lat + jitter(0.03), wrap(lon + jitter(wide))))
+    p = spark.createDataFrame(points, "event_id long, latitude double, longitude double")
+    s = spark.createDataFrame([(e[0], e[1], e[2], e[4], e[3]) for e in ends], "segment_id string, start_lat double, start_lon double, end_lat double, end_lon double")
+    got = {r.event_id: (round(r.distance, 5), -180 <= r.matched_lon <= 180) for r in roads.nearest_segment(p, s, reach).collect()}
+    want = {x[0]: (round(m, 5), True) for x in points if (m := min(unwrapped(x, e) for e in ends)) <= reach}
+    assert got == want and len(want) > 60
+
+
+def test_vertices_across_180_degrees(spark):
+    rng = random.Random(8)
+    places = [(i, rng.choice([-70.0, 0.0, 84.0]) + rng.uniform(-1, 1), rng.choice([179.5, -179.5, 10.0]) + rng.uniform(-1, 1)) for i in range(120)]
+    wrap = lambda x: (x + 180) % 360 - 180
+    corners, points = [(i, a, wrap(b)) for i, a, b in places[:80]], [(i, a, wrap(b)) for i, a, b in places[80:]]
+    got = roads.nearest_vertex(spark.createDataFrame(points, "event_id long, latitude double, longitude double"), spark.createDataFrame(corners, "vertex_id long, lat double, lon double"))
+    want = {p[0]: min((round(haversine(p[1], p[2], c[1], c[2]), 6), c[0]) for c in corners)[1] for p in points}
+    assert {r.event_id: r.vertex_id for r in got.collect()} == want
+
+
+def test_road_fixture_grows(spark, tmp_path):
+    spark.range(4500).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    s = fixtures.road_segments(spark, str(tmp_path))
+    assert s.count() == s.select("segment_id").distinct().count() == s.select("start_lat", "start_lon", "end_lat", "end_lon").distinct().count() == 4500
+
+
 def test_far_points_still_find_a_vertex(spark, segments):
     far = spark.createDataFrame([(1, 0.0, 0.0), (2, 22.5, 113.8), (3, -60.0, -100.0)], "event_id long, latitude double, longitude double")
     assert matching.vertex_match(far, roads.polylines(segments)).count() == 3

@@ -1,3 +1,5 @@
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,10 +7,10 @@ from trackmill import fixtures
 from trackmill.functions import text
 from trackmill.operators import correction, roads
 from trackmill.plans import service
-from trackmill.sources import readers, sinks
+from trackmill.sources import readers, sinks, workspace
 from trackmill.streaming import ingest
 
-GOOD = ["20160831,235926,H,P1,113.823601,22.614317,84.0,243,0,1", "20160901,1,H,P2,114.191566,22.644236,28.0,250,0,1", "20160901,81501,H,P2,114.1,22.6,28.0,250,0,0"]
+GOOD = ["20160831,235926,H,P1,113.9,22.61,84.0,243,0,1", "20160901,1,H,P2,114.05,22.645,28.0,250,0,1", "20160901,81501,H,P2,114.1,22.6,28.0,250,0,0"]
 BAD = {"a,b": "field_count", "20160931,000000,H,P,114.1,22.6,28.0,250,0,1": "time", "20160901,1,H,P,x,22.6,28.0,250,0,1": "parse", "20160901,1,H,P,0.0,0.0,28.0,250,0,1": "coordinate", "20160901,1234567,H,P,114.1,22.6,1,1,0,1": "time"}
 
 
@@ -78,14 +80,14 @@ def test_areas(spark, tmp_path):
 
 
 def test_gpx_csv_and_dispatch(spark, tmp_path):
-    (tmp_path / "t.gpx").write_text('<?xml version="1.0"?><gpx><trk><trkseg><trkpt lat="0.0" lon="1.5"><ele>3</ele><time>2020-01-02T03:04:05Z</time></trkpt><trkpt lat="2" lon="3"/></trkseg></trk></gpx>')
+    (tmp_path / "t.gpx").write_text('<?xml version="1.0"?><gpx><trk><trkseg><trkpt lat="1.0" lon="1.5"><ele>3</ele><time>2020-01-02T03:04:05Z</time><speed>4.5</speed><course>90</course><hdop>2</hdop></trkpt><trkpt lat="2" lon="3"/><trkpt lat="0.0" lon="3"/></trkseg></trk></gpx>')
     (tmp_path / "t.csv").write_text("id,纬度,Lng,时间\n1,22.5,114.0,2020-01-01 00:00:00\n2,x,114.0,\n")
     (tmp_path / "u.csv").write_text("a,b\n1,2\n")
     (tmp_path / "t.txt").write_text("\n".join(GOOD))
     rows = readers.read(spark, str(tmp_path / "t.gpx")).orderBy("latitude").collect()
-    assert [(r.latitude, r.elevation, str(r.datetime)) for r in rows] == [(0.0, 3.0, "2020-01-02 03:04:05"), (2.0, 0.0, "None")]
+    assert [(r.latitude, r.elevation, str(r.datetime), r.speed, r.heading, r.accuracy) for r in rows] == [(1.0, 3.0, "2020-01-02 03:04:05", 4.5, 90.0, 2.0), (2.0, 0.0, "None", None, None, None)]
     assert [r.longitude for r in readers.read(spark, str(tmp_path / "t.csv")).collect()] == [114.0]
-    assert readers.read(spark, str(tmp_path / "t.txt")).first().longitude == 113.823601
+    assert readers.read(spark, str(tmp_path / "t.txt")).first().longitude == 113.9
     with pytest.raises(ValueError):
         readers.read(spark, str(tmp_path / "u.csv"))
     with pytest.raises(ValueError):
@@ -115,5 +117,30 @@ def test_sinks(spark, small, tmp_path):
     sinks.export_rates(p, c, f"{tmp_path}/rates")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == sinks.EXPORT
     assert spark.read.csv(f"{tmp_path}/rates", header=True).count() == 3
-    for kind in ("csv", "geojson", "gpx", "kml"):
-        sinks.download(p.select("longitude", "latitude", "event_id").limit(2), kind, f"{tmp_path}/{kind}")
+    some = p.select("longitude", "latitude", "event_id", "datetime").repartition(3)
+    n = some.count()
+    for kind in ("gpx", "kml"):
+        sinks.download(some, kind, f"{tmp_path}/{kind}")
+        docs = [ElementTree.fromstring(f.read_bytes()) for f in (tmp_path / kind).glob("part-*")]
+        local = [x.tag.rsplit("}", 1)[-1] for doc in docs for x in doc.iter()]
+        assert local.count("trkpt" if kind == "gpx" else "coordinates") == local.count("time" if kind == "gpx" else "when") == n and {doc.tag.rsplit("}", 1)[-1] for doc in docs} == {kind}
+    with pytest.raises(ValueError):
+        sinks.download(some, "xlsx", f"{tmp_path}/x")
+
+
+def test_a_wrong_geometry_is_refused(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"features":[{"properties":{"gb":"1","name":"A"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}}]}')
+    with pytest.raises(Exception, match="no MultiPolygon"):
+        readers.areas_geojson(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        workspace.shared_dir(Session)

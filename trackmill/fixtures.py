@@ -33,10 +33,11 @@ def gps_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A street grid of up to 2000 segments."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 2000").select("p_partkey", "p_brand")
+    """A street grid: 2000 segments make a tile of 40 by 25 blocks, a hundred tiles a row of them, and roads go on from tile to tile."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     k = F.col("p_partkey")
-    p = p.withColumn("x", k % 40).withColumn("y", F.floor(k / 40) % 25).withColumn("o", F.floor(k / 1000) % 2)
+    tile = F.floor(k / 2000)
+    p = p.withColumn("x", k % 40 + tile % 100 * 40).withColumn("y", F.floor(k / 40) % 25 + F.floor(tile / 100) * 25).withColumn("o", F.floor(k / 1000) % 2)
     x, y, flat = F.col("x"), F.col("y"), F.col("o") == 0
     types = F.element_at(F.array(*map(F.lit, ["motorway", "trunk", "primary", "residential"])), (F.when(flat, y).otherwise(x) % 4 + 1).cast("int"))
     lon = lambda c: F.lit(113.8) + c * F.lit(0.0125)
@@ -78,7 +79,7 @@ raw_points AS (
 )"""
 ROADS = """
 raw_parts AS (
-  SELECT *, p_partkey % 40 AS x, p_partkey // 40 % 25 AS y, p_partkey // 1000 % 2 AS o FROM part WHERE p_partkey < 2000
+  SELECT *, p_partkey % 40 + p_partkey // 2000 % 100 * 40 AS x, p_partkey // 40 % 25 + p_partkey // 200000 * 25 AS y, p_partkey // 1000 % 2 AS o FROM part
 ), road_segments AS (
   SELECT 's' || CAST(p_partkey AS VARCHAR) AS segment_id, CASE WHEN o = 0 THEN 'h' || CAST(y AS VARCHAR) ELSE 'v' || CAST(x AS VARCHAR) END AS road_id,
          CASE WHEN o = 0 THEN x ELSE y END AS seq,

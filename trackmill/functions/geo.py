@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: fixed values: mean earth radius, Web Mercator half extent, metres of a degree in planar matching
 RADIUS = 6371000.0
@@ -57,14 +53,19 @@ def from_mercator(x, y) -> Column:
     return F.struct(lat.alias("lat"), (x / MERCATOR * 180).alias("lon"))
 
 
-def project(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """The closest point of a segment in plain degrees: struct<distance (metres), lat, lon>. A point-like segment is its start."""
+def closest(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """The closest point of a segment in plain degrees: struct<lat, lon>. A point-like segment is its start."""
     lat, lon, lat1, lon1, lat2, lon2 = map(col, (lat, lon, lat1, lon1, lat2, lon2))
     dx, dy = lon2 - lon1, lat2 - lat1
     square = dx * dx + dy * dy
     t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - lon1) * dx + (lat - lat1) * dy) / F.when(square == 0, F.lit(1.0)).otherwise(square))))
-    plat, plon = lat1 + t * dy, lon1 + t * dx
-    return F.struct(haversine(lat, lon, plat, plon).alias("distance"), plat.alias("lat"), plon.alias("lon"))
+    return F.struct((lat1 + t * dy).alias("lat"), (lon1 + t * dx).alias("lon"))
+
+
+def project(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    """As closest(), with the distance in metres: struct<distance, lat, lon>."""
+    p = closest(lat, lon, lat1, lon1, lat2, lon2)
+    return F.struct(haversine(lat, lon, p["lat"], p["lon"]).alias("distance"), p["lat"].alias("lat"), p["lon"].alias("lon"))
 
 
 def planar_square(lat, lon, lat1, lon1, lat2, lon2) -> Column:
@@ -96,6 +97,12 @@ def shoelace_sphere(ring: Column) -> Column:
     return F.when(n < 3, F.lit(0.0)).otherwise(F.abs(total * (RADIUS * RADIUS / 2)))
 
 
+def ring_mean(ring: Column) -> Column:
+    """Mean of a ring's vertices as they are listed (a closing one counts): struct<lat, lon>."""
+    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ring)
+    return F.struct(mean("y").alias("lat"), mean("x").alias("lon"))
+
+
 def in_rings(lon: Column, lat: Column, polygons: Column) -> Column:
     """Even-odd test against any exterior ring of array<array<struct<x, y>>>."""
 
@@ -113,42 +120,73 @@ def in_rings(lon: Column, lat: Column, polygons: Column) -> Column:
     return F.exists(polygons, crossings)
 
 
-def _vincenty(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    import numpy as np
-
-    a, f = 6378137.0, 1 / 298.257223563
-    b = a * (1 - f)
-    for lat1, lon1, lat2, lon2 in points:
-        empty = lat1.isna() | lon1.isna() | lat2.isna() | lon2.isna()
-        p1, p2, gap = (np.radians(x.fillna(0).to_numpy(float)) for x in (lat1, lat2, lon2 - lon1))
-        u1, u2 = np.arctan((1 - f) * np.tan(p1)), np.arctan((1 - f) * np.tan(p2))
-        s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-        lam, done = gap.copy(), np.zeros(len(gap), bool)
-        out = np.zeros(len(gap))
-        for _ in range(100):
-            sl, cl = np.sin(lam), np.cos(lam)
-            sin_s = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
-            cos_s = s1 * s2 + c1 * c2 * cl
-            sigma = np.arctan2(sin_s, cos_s)
-            sin_a = np.where(sin_s == 0, 0, c1 * c2 * sl / np.where(sin_s == 0, 1, sin_s))
-            cos2 = 1 - sin_a**2
-            mid = np.where(cos2 == 0, 0, cos_s - 2 * s1 * s2 / np.where(cos2 == 0, 1, cos2))
-            c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
-            new = gap + (1 - c) * f * sin_a * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
-            now = ~done & (np.abs(new - lam) <= 1e-12)
-            if now.any():
-                uu = cos2 * (a * a - b * b) / (b * b)
-                big = 1 + uu / 16384 * (4096 + uu * (uu * (320 - 175 * uu) - 768))
-                small = uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128))
-                d = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid**2 - 1) - small / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-                out[now] = np.where(sin_s == 0, 0, b * big * (sigma - d))[now]
-                done |= now
-            if done.all():
-                break
-            lam = np.where(done, lam, new)
-        yield pd.Series(out).mask(empty.to_numpy())
+#: fixed values: the WGS-84 ellipsoid, and how long and how far its distance is iterated
+AXIS, FLATTENING, ROUNDS, SETTLED = 6378137.0, 1 / 298.257223563, 100, 1e-12
+
+
+def let(values: dict[str, Column], body) -> Column:
+    """body of a struct of these values, each of which is evaluated once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
 
 
 def vincenty(lat1, lon1, lat2, lon2) -> Column:
-    """Distance on the WGS-84 ellipsoid; 0 where points coincide or the iteration does not settle."""
-    return F.pandas_udf(_vincenty, T.DoubleType())(*map(col, (lat1, lon1, lat2, lon2)))
+    """Distance on the WGS-84 ellipsoid by the published inverse series; 0 where places coincide or the iteration does not settle."""
+    lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
+    f, minor = FLATTENING, AXIS * (1 - FLATTENING)
+    reduced = lambda lat: F.atan(F.tan(F.radians(lat)) * (1 - f))
+
+    def ends(u: Column) -> Column:
+        return let({"s1": F.sin(u["u1"]), "c1": F.cos(u["u1"]), "s2": F.sin(u["u2"]), "c2": F.cos(u["u2"]), "gap": u["gap"]}, distance)
+
+    def distance(g: Column) -> Column:
+        def better(s: Column) -> Column:
+            """One step of the longitude on the auxiliary sphere."""
+
+            def sphere(x: Column) -> Column:
+                y = g["c1"] * g["s2"] - g["s1"] * g["c2"] * x["cl"]
+                return let({"sin": F.sqrt(F.pow(g["c2"] * x["sl"], 2) + y * y), "cos": g["s1"] * g["s2"] + g["c1"] * g["c2"] * x["cl"], "sl": x["sl"]}, azimuth)
+
+            def azimuth(x: Column) -> Column:
+                sin_a = F.when(x["sin"] == 0, 0.0).otherwise(g["c1"] * g["c2"] * x["sl"] / x["sin"])
+                return let({"sin": x["sin"], "cos": x["cos"], "arc": F.atan2(x["sin"], x["cos"]), "a": sin_a, "cc": 1 - sin_a * sin_a}, middle)
+
+            def middle(x: Column) -> Column:
+                mid = F.when(x["cc"] == 0, 0.0).otherwise(x["cos"] - g["s1"] * g["s2"] * 2 / x["cc"])
+                c = x["cc"] * (f / 16) * ((4 - x["cc"] * 3) * f + 4)
+                return let({"x": x, "mid": mid, "c": c}, longitude)
+
+            def longitude(y: Column) -> Column:
+                x, mid, c = y["x"], y["mid"], y["c"]
+                new = g["gap"] + (1 - c) * f * x["a"] * (x["arc"] + c * x["sin"] * (mid + c * x["cos"] * (mid * mid * 2 - 1)))
+                return let({"new": new, "y": y}, lambda z: F.struct(z["new"].alias("lam"), (F.abs(z["new"] - s["lam"]) <= SETTLED).alias("done"), z["y"]["x"]["sin"].alias("sin"), z["y"]["x"]["cos"].alias("cos"), z["y"]["x"]["arc"].alias("arc"), z["y"]["x"]["cc"].alias("cc"), z["y"]["mid"].alias("mid")))
+
+            return F.when(s["done"], s).otherwise(let({"sl": F.sin(s["lam"]), "cl": F.cos(s["lam"])}, sphere))
+
+        zero = F.lit(0.0)
+        start = F.struct(g["gap"].alias("lam"), F.lit(False).alias("done"), *[zero.alias(k) for k in ("sin", "cos", "arc", "cc", "mid")])
+        step = lambda s, _: better(s)
+        soon = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+        return let({"s": soon}, lambda h: let({"s": F.when(h["s"]["done"], h["s"]).otherwise(F.aggregate(F.sequence(F.lit(9), F.lit(ROUNDS)), h["s"], step))}, lambda e: length(e["s"])))
+
+    def length(s: Column) -> Column:
+        def series(x: Column) -> Column:
+            big = x["uu"] / 16384 * (x["uu"] * (x["uu"] * (320 - x["uu"] * 175) - 768) + 4096) + 1
+            small = x["uu"] / 1024 * (x["uu"] * (x["uu"] * (74 - x["uu"] * 47) - 128) + 256)
+            return let({"big": big, "small": small}, lambda y: y["big"] * minor * (s["arc"] - turn(y["small"])))
+
+        def turn(small: Column) -> Column:
+            mid = s["mid"]
+            inner = s["cos"] * (mid * mid * 2 - 1) - small / 6 * mid * (s["sin"] * s["sin"] * 4 - 3) * (mid * mid * 4 - 3)
+            return small * s["sin"] * (mid + small / 4 * inner)
+
+        whole = let({"uu": s["cc"] * ((AXIS**2 - minor**2) / minor**2)}, series)
+        return F.when(s["done"] & (s["sin"] != 0), whole).otherwise(0.0)
+
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    apart = let({"u1": reduced(lat1), "u2": reduced(lat2), "gap": F.radians(lon2 - lon1)}, ends)
+    return F.when(known, F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(apart))
+
+
+def wrapped(lon: Column) -> Column:
+    """A longitude from -180 to 180."""
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)

@@ -31,6 +31,16 @@ def duration_text(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d小时%d分钟", h, m)).when(m > 0, F.format_string("%d分钟%d秒", m, s % 60)).otherwise(F.format_string("%d秒", s))
 
 
+def rate_text(matched: Column, total: Column) -> Column:
+    """Share in percent with one decimal; nothing of nothing is 0%."""
+    return F.when((matched > 0) & (total > 0), F.format_string("%.1f%%", matched * 100.0 / total)).otherwise(F.lit("0%"))
+
+
+def figure_text(value: Column, unit: str) -> Column:
+    """Two decimals and a unit, or N/A where there is nothing to tell."""
+    return F.when(value != 0, F.format_string(f"%.2f {unit}", value)).otherwise(F.lit("N/A"))
+
+
 def coordinate_text(c: Column) -> Column:
     return F.format_string("%.6f", c)
 
@@ -52,6 +62,11 @@ def stem(name: Column) -> Column:
     return F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
 
 
+def unique_name(name: Column, mark: Column) -> Column:
+    """The name with a mark (a time and a random text, say) before its extension."""
+    return F.concat(stem(name), F.lit("_"), mark, F.lit("."), extension(name))
+
+
 #: fixed values: source kinds in the order in which a first line is tested, and their categories
 CATEGORY = {"taxi_gps": "continuous_trajectory", "bus_gps": "continuous_trajectory", "gpx": "continuous_trajectory", "csv": "continuous_trajectory", "bus_card": "transaction", "metro_card": "transaction", "taxi_transaction": "transaction"}
 

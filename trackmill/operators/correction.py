@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import filters
 from . import sequence as seq
 
 #: fixed values: names by which motorways are recognised
@@ -63,7 +64,7 @@ def heading_score(x: Column) -> Column:
     return F.when(x.isNull(), 1.0).otherwise(F.greatest(F.lit(0.5), score))
 
 
-def scored(points: DataFrame, distance=geo.haversine) -> DataFrame:
+def scored(points: DataFrame, distance=geo.vincenty) -> DataFrame:
     """points with seq, steps, headings, p_speed, p_road, p_shape and score."""
     out = seq.numbered(seq.heading_deltas(seq.steps(points, distance)))
     first = F.col("seq") == 1
@@ -107,7 +108,7 @@ def scored(points: DataFrame, distance=geo.haversine) -> DataFrame:
     return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop(*own)
 
 
-def correct(points: DataFrame, distance=geo.haversine) -> DataFrame:
+def correct(points: DataFrame, distance=geo.vincenty) -> DataFrame:
     """The rows that stay: those over the threshold (all, of a sequence of one), without exact repeats of the row before."""
     out = scored(points, distance)
     alone = (F.col("seq") == 1) & F.lead("seq").over(seq.over()).isNull()
@@ -115,6 +116,12 @@ def correct(points: DataFrame, distance=geo.haversine) -> DataFrame:
     return seq.changed(kept).drop("_alone", "prev_ref", "next_ref")
 
 
+def correct_stored(trajectories: DataFrame) -> DataFrame:
+    """Correction of stored trajectories: KEYS and trajectory_points array<struct>. Points get their defaults, invalid ones go."""
+    rows = filters.completed(trajectories.where(filters.has_points()).select(*seq.KEYS, F.inline("trajectory_points")), valid=True)
+    return correct(rows.where(filters.valid_fix()).drop("seq"))
+
+
 def summary(points: DataFrame, top_speed: float = 200.0) -> DataFrame:
     """Per sequence: point_count, total_distance and average, max and min of plausible speeds of all rows but the last."""
     out = points.withColumns({"_lat": seq.following("latitude"), "_lon": seq.following("longitude"), "_next": seq.following("event_id")})

@@ -28,6 +28,22 @@ def valid_fix(flag: str = "is_valid") -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
+def completed(points: DataFrame, *, valid: bool) -> DataFrame:
+    """Missing fields with their defaults: speed and heading 0, source_file empty, is_valid as told (true where trajectories are
+    corrected, false where they are built); rows without a coordinate go."""
+    defaults = {"speed": F.lit(0.0), "heading": F.lit(0.0), "source_file": F.lit(""), "is_valid": F.lit(valid)}
+    filled = {c: F.coalesce(c, d) if c in points.columns else d for c, d in defaults.items()}
+    return points.where("longitude IS NOT NULL AND latitude IS NOT NULL").withColumns(filled)
+
+
+def has_points(column: str = "trajectory_points") -> Column:
+    return F.coalesce(F.size(column) > 0, F.lit(False))
+
+
+def of_types(*kinds: str, column: str = "type") -> Column:
+    return F.col(column).isin(*kinds)
+
+
 def plausible_speed(most: float = 200.0) -> Column:
     return F.col("speed").isNull() | (F.col("speed") <= most)
 
@@ -68,7 +84,9 @@ def in_area(rings: list[list[tuple[float, float]]] | None, *, default_area: bool
     if not rings:
         return F.lit(not default_area)
     xs, ys = [x for r in rings for x, _ in r], [y for r in rings for _, y in r]
-    return in_box(min(ys), max(ys), min(xs), max(xs)) & geo.in_rings(F.col("longitude"), F.col("latitude"), polygons(rings))
+    box = in_box(min(ys), max(ys), min(xs), max(xs))
+    whole = [r for r in rings if len(r) >= 3]  # of fewer points there is a box only
+    return box & geo.in_rings(F.col("longitude"), F.col("latitude"), polygons(whole)) if whole else box
 
 
 def parse_wkt(wkt: str) -> list[list[list[tuple[float, float]]]] | None:

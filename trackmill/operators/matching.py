@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,93 +20,126 @@ def nearest(points: DataFrame, segments: DataFrame, *, max_distance: float = 100
     return roads.nearest_segment(points.where(filters.plausible_speed(max_speed)), segments, max_distance)
 
 
-def _reachable(points: DataFrame, segments: DataFrame, max_distance: float) -> DataFrame:
-    """One row per point: its vehicle, order, speed and cand, the segments in reach with their projections. Points without one stay."""
-    bare = points.select(*seq.KEYS, "datetime", "event_id", "latitude", "longitude", "speed")
-    ends = segments.select("segment_id", "start_lat", "start_lon", "end_lat", "end_lon")
-    met = roads.with_candidates(bare, ends, max_distance).withColumn("p", geo.project("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon"))
-    hit = F.when(F.col("p.distance") <= max_distance, F.struct("segment_id", F.col("p.distance").alias("distance"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon")))
-    return met.groupBy(*seq.KEYS, "datetime", "event_id", "speed").agg(F.array_sort(F.collect_list(hit)).alias("cand"))
-
-
-def _with_links(reach: DataFrame, segments: DataFrame, itself: bool) -> DataFrame:
-    """Adds to each candidate the connected segments, so that a vehicle's rows carry all that its fold needs."""
+def _reachable(points: DataFrame, segments: DataFrame, max_distance: float, itself: bool) -> DataFrame:
+    """One row per point, placed by vehicle: its order, speed and cand, the segments in reach with their projections and the segments connected with them. Points without one stay."""
     links = roads.connected(segments, itself=itself).groupBy("from_id").agg(F.array_sort(F.collect_set("to_id")).alias("links"))
-    one = reach.select("*", F.explode_outer("cand").alias("c")).drop("cand")
-    one = one.join(links, F.col("c.segment_id") == F.col("from_id"), "left")
-    full = F.when(F.col("c").isNotNull(), F.struct("c.segment_id", "c.distance", "c.lat", "c.lon", F.coalesce("links", F.array().cast("array<string>")).alias("links")))
-    return one.groupBy(*seq.KEYS, "datetime", "event_id", "speed").agg(F.array_sort(F.collect_list(full)).alias("cand"))
+    ends = segments.select("segment_id", "start_lat", "start_lon", "end_lat", "end_lon").join(links, F.col("segment_id") == F.col("from_id"), "left").drop("from_id")
+    bare = points.select(*seq.KEYS, "datetime", "event_id", "latitude", "longitude", "speed")
+    met = roads.with_candidates(bare, ends, max_distance).withColumn("p", geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon"))
+    met = met.select(*seq.KEYS, "datetime", "event_id", "speed", "segment_id", "links", "p", geo.haversine("latitude", "longitude", "p.lat", "p.lon").alias("far"))
+    hit = F.when(F.col("far") <= max_distance, F.struct("segment_id", F.col("far").alias("distance"), "p.lat", geo.wrapped(F.col("p.lon")).alias("lon"), F.coalesce("links", F.array().cast("array<string>")).alias("links")))
+    return met.repartition(*seq.KEYS).groupBy(*seq.KEYS, "datetime", "event_id", "speed").agg(F.array_sort(F.collect_list(hit)).alias("cand"))
+
+
+class _Candidates:
+    """The columns of _reachable() as numbers: segments are codes in the order of their ids, row i has places at[i] to at[i + 1]."""
+
+    def __init__(self, table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cand = table["cand"].combine_chunks()
+        flat = cand.flatten()
+        names = flat.field("segment_id").to_pylist()
+        self.names = sorted(set(names))
+        code = {x: i for i, x in enumerate(self.names)}
+        self.at = np.r_[0, np.cumsum(pc.list_value_length(cand).to_numpy(zero_copy_only=False))].tolist()
+        self.code = [code[x] for x in names]
+        self.distance, self.lat, self.lon = (flat.field(c).to_pylist() for c in ("distance", "lat", "lon"))
+        first = dict(zip(reversed(names), reversed(range(len(names))), strict=True))
+        links = flat.field("links").take(pa.array(first.values(), pa.int64())).to_pylist()
+        #: number of connected segments, and the codes of those that are candidates anywhere here
+        self.degree = {code[x]: len(to) for x, to in zip(first, links, strict=True)}
+        self.links = {code[x]: {code[y] for y in to if y in code} for x, to in zip(first, links, strict=True)}
+        self.event = table["event_id"].to_pylist()
+        self.speed = table["speed"].to_pylist()
+
+    def rows(self, found: list[tuple[int, int, float]]):
+        """Results of (row, place, confidence)."""
+        import pyarrow as pa
+
+        i, j, trust = zip(*found, strict=True) if found else ((), (), ())
+        columns = [[self.event[x] for x in i], [self.names[self.code[x]] for x in j], *([c[x] for x in j] for c in (self.lat, self.lon, self.distance)), list(trust)]
+        kinds = [pa.int64(), pa.string(), *[pa.float64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
 def greedy(points: DataFrame, segments: DataFrame, *, max_distance: float = 1000.0, max_speed: float = 200.0) -> DataFrame:
     """Per vehicle, the closest of the segments connected with the last match (itself included), or of all before there is one.
 
-    A miss emits nothing and keeps the state. The first point of a vehicle always searches all.
+    A miss emits nothing and keeps the state. The first point of a vehicle always searches all. Ties, to a nanometre, go to the smaller id.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last, links = [], None, {}
-        for i, row in enumerate(pdf.sort_values(["datetime", "event_id"]).itertuples()):
-            if pd.notna(row.speed) and row.speed > max_speed:
+    def fold(table, starts):
+        c, out, new = _Candidates(table), [], set(starts.tolist())
+        last = None
+        for i in range(table.num_rows):
+            if i in new:
+                last = None
+            if c.speed[i] is not None and c.speed[i] > max_speed:
                 continue
-            found = list(row.cand)
-            links |= {c["segment_id"]: set(c["links"]) for c in found}
-            if last is not None and i > 0 and links.get(last):
-                found = [c for c in found if c["segment_id"] in links[last]]
+            found = range(c.at[i], c.at[i + 1])
+            if last is not None and c.degree[last]:
+                found = [j for j in found if c.code[j] in c.links[last]]
             if found:
-                best = min(found, key=lambda c: (round(c["distance"], 9), c["segment_id"]))
-                last = best["segment_id"]
-                out.append((row.event_id, last, best["lat"], best["lon"], best["distance"], max(0.0, 1 - best["distance"] / max_distance)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+                j = min(found, key=lambda j: (round(c.distance[j], 9), c.code[j]))
+                last = c.code[j]
+                out.append((i, j, max(0.0, 1 - c.distance[j] / max_distance)))
+        yield c.rows(out)
 
-    return _with_links(_reachable(points, segments, max_distance), segments, True).groupBy(*seq.KEYS).applyInPandas(fold, RESULT)
+    return seq.by_vehicle(_reachable(points, segments, max_distance, True), fold, RESULT, placed=True)
 
 
 def viterbi(points: DataFrame, segments: DataFrame, *, max_distance: float = 1000.0, max_speed: float = 200.0, threshold: float = 0.1) -> DataFrame:
     """Per vehicle, the likeliest path: Gaussian observation, uniform transition to connected segments, none to itself.
 
-    Sums of logarithms instead of products. Segments out of reach have no probability, so leaving them out is exact.
-    A point that is too fast, or a break in the path, leaves the vehicle without result.
+    Sums of logarithms instead of products; equally likely ones, to nine digits, go to the smaller id. Segments out of reach have
+    no probability, so leaving them out is exact. A point that is too fast, or a break in the path, leaves the vehicle without result.
     """
     n_segments = segments.count()
 
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
+    def path(c: _Candidates, a: int, b: int) -> list[tuple[int, int, float]]:
         import math
 
-        rows = list(pdf.sort_values(["datetime", "event_id"]).itertuples())
         seen, score, back = [], {}, []
-        for t, row in enumerate(rows):
-            fast = pd.notna(row.speed) and row.speed > max_speed
-            own = {} if fast else {c["segment_id"]: c for c in row.cand}
-            weight = {k: math.exp(-0.5 * (c["distance"] / (max_distance / 3)) ** 2) for k, c in own.items()}
+        for i in range(a, b):
+            fast = c.speed[i] is not None and c.speed[i] > max_speed
+            own = {} if fast else {c.code[j]: j for j in range(c.at[i], c.at[i + 1])}
+            weight = {k: math.exp(-0.5 * (c.distance[j] / (max_distance / 3)) ** 2) for k, j in own.items()}
             total = sum(weight.values())
-            chance = {k: w / total for k, w in weight.items()} if total > 0 else {}
+            chance = {k: w / total for k, w in weight.items() if w > 0}
             seen.append((own, chance))
-            if t == 0:
-                score = {k: math.log(p) for k, p in chance.items() if p > 0}
+            if i == a:
+                score = {k: math.log(p) for k, p in chance.items()}
                 back.append({})
                 continue
-            best: dict[str, tuple[float, str]] = {}
-            for a in sorted(score):
-                to = list(seen[t - 1][0][a]["links"])
-                share = 1 / len(to) if to else 1 / n_segments
+            best: dict[int, tuple[float, int, float]] = {}
+            for k in sorted(score):
+                n = c.degree[k]
+                share = 1 / n if n else 1 / n_segments
                 if share < threshold:
                     continue
-                for b in to or chance:
-                    if b in chance and (b not in best or score[a] + math.log(share) > best[b][0] + 1e-12):
-                        best[b] = (score[a] + math.log(share), a)
-            score = {b: s + math.log(chance[b]) for b, (s, _) in best.items() if chance[b] > 0}
-            back.append({b: a for b, (_, a) in best.items()})
-        out = []
-        if score:
-            k = min(score, key=lambda b: (-round(score[b], 9), b))
-            for t in range(len(rows) - 1, -1, -1):
-                c = seen[t][0][k]
-                out.append((rows[t].event_id, k, c["lat"], c["lon"], c["distance"], seen[t][1][k]))
-                k = back[t].get(k)
-        return pd.DataFrame(out[::-1], columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return _with_links(_reachable(points, segments, max_distance), segments, False).groupBy(*seq.KEYS).applyInPandas(path, RESULT)
+                value = score[k] + math.log(share)
+                for to in c.links[k] if n else chance:
+                    if to in chance and (to not in best or round(value, 9) > best[to][0]):
+                        best[to] = (round(value, 9), k, value)
+            score = {to: value + math.log(chance[to]) for to, (_, _, value) in best.items()}
+            back.append({to: k for to, (_, k, _) in best.items()})
+        if not score:
+            return []
+        k, out = min(score, key=lambda x: (-round(score[x], 9), x)), []
+        for t in range(b - a - 1, -1, -1):
+            out.append((a + t, seen[t][0][k], seen[t][1][k]))
+            k = back[t].get(k)
+        return out[::-1]
+
+    def fold(table, starts):
+        c = _Candidates(table)
+        ends = [*starts.tolist()[1:], table.num_rows]
+        yield c.rows([x for a, b in zip(starts.tolist(), ends, strict=True) for x in path(c, a, b)])
+
+    return seq.by_vehicle(_reachable(points, segments, max_distance, False), fold, RESULT, placed=True)
 
 
 def vote(results: dict[str, DataFrame], method: str = "majority", weights: dict[str, float] | None = None, threshold: float = 0.5) -> DataFrame:

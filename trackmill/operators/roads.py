@@ -1,7 +1,7 @@
 """Roads as segments and polylines, and searches for the closest ones.
 
 Searches are equi-joins on grid cells. A segment is listed in every cell that its box, widened by the
-search distance, touches, so a point looks into its own cell only and misses nothing within
+search distance at its latitude, touches, so a point looks into its own cell only and misses nothing within
 that distance. Broadcasting is left to Catalyst, which knows the road table's size; the cell join
 shuffles when roads are many.
 """
@@ -49,45 +49,74 @@ def _cells(lo_lat: Column, hi_lat: Column, lo_lon: Column, hi_lon: Column, size:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
 
 
-def with_candidates(points: DataFrame, segments: DataFrame, max_distance: float, how: str = "left", widest_lat: float = 60.0) -> DataFrame:
-    """Each point with the segments that may lie within max_distance metres (of points up to that latitude)."""
+def _listed(segments: DataFrame, max_distance: float, size: float) -> DataFrame:
+    """segments in every cell from which one may lie within max_distance, with that box (_lo_lat, _hi_lat, _lo_lon, _hi_lon).
+
+    The box is widened by what the segment's own latitude asks for. Where it passes 180 degrees it comes again
+    on the other side, with its longitudes moved by 360 so that they compare with the points' there. A segment
+    of more than 180 degrees goes the short way round.
+    """
     dlat = max_distance / 110_000.0
-    dlon = dlat / math.cos(math.radians(widest_lat))
-    size = max(CELL, dlat)
-    lo = lambda c, d: F.least(F.col(f"start_{c}"), F.col(f"end_{c}")) - d
-    hi = lambda c, d: F.greatest(F.col(f"start_{c}"), F.col(f"end_{c}")) + d
-    listed = segments.withColumn("_c", F.explode(_cells(lo("lat", dlat), hi("lat", dlat), lo("lon", dlon), hi("lon", dlon), size))).withColumns({"gx": F.col("_c.gx"), "gy": F.col("_c.gy")}).drop("_c")
-    return points.withColumns({"gx": geo.cell("longitude", size), "gy": geo.cell("latitude", size)}).join(listed, ["gx", "gy"], how).drop("gx", "gy")
+    long_way = F.col("end_lon") - F.col("start_lon")
+    s = segments.withColumn("end_lon", F.when(long_way > 180, F.col("end_lon") - 360).when(long_way < -180, F.col("end_lon") + 360).otherwise(F.col("end_lon")))
+    s = s.withColumns({"_lo_lat": F.least("start_lat", "end_lat") - dlat, "_hi_lat": F.greatest("start_lat", "end_lat") + dlat})
+    widest = F.greatest(F.abs("_lo_lat"), F.abs("_hi_lat"))
+    # within this angle no meridian is crossed twice; near a pole it is all of them
+    sine = math.sin(math.radians(dlat) / 2) / F.cos(F.radians(widest))
+    dlon = F.when((widest >= 90) | (sine >= 1), 360.0).otherwise(F.degrees(F.asin(F.when(sine < 1, sine))) * 2.000001)
+    lo, hi = F.least("start_lon", "end_lon"), F.greatest("start_lon", "end_lon")
+    s = s.withColumns({"_mid": (lo + hi) / 2, "_lo_lon": F.greatest(lo - dlon, (lo + hi) / 2 - 180), "_hi_lon": F.least(hi + dlon, (lo + hi) / 2 + 180)})
+    sides = F.filter(F.array(*map(F.lit, (-360.0, 0.0, 360.0))), lambda x: (F.col("_hi_lon") + x >= -180) & (F.col("_lo_lon") + x <= 180))
+    s = s.withColumn("_x", F.explode(sides))
+    s = s.withColumns({c: F.col(c) + F.col("_x") for c in ("start_lon", "end_lon", "_lo_lon", "_hi_lon")})
+    cells = _cells(F.col("_lo_lat"), F.col("_hi_lat"), F.greatest(F.col("_lo_lon"), F.lit(-180.0)), F.least(F.col("_hi_lon"), F.lit(180.0)), size)
+    return s.withColumn("_c", F.explode(cells)).withColumns({"_gx": F.col("_c.gx"), "_gy": F.col("_c.gy")}).drop("_c", "_x", "_mid")
+
+
+def with_candidates(points: DataFrame, segments: DataFrame, max_distance: float, how: str = "left") -> DataFrame:
+    """Each point with the segments that may lie within max_distance metres, at any latitude and across 180 degrees."""
+    size = max(CELL, max_distance / 110_000.0)
+    here = points.withColumns({"_px": geo.cell("longitude", size), "_py": geo.cell("latitude", size)})
+    inside = F.col("latitude").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("longitude").between(F.col("_lo_lon"), F.col("_hi_lon"))
+    met = here.join(_listed(segments, max_distance, size), (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & inside, how)
+    return met.drop("_px", "_py", "_gx", "_gy", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, max_distance: float = 1000.0, key: str = "event_id") -> DataFrame:
     """key, segment_id, matched_lat, matched_lon, distance and confidence of points with a segment in reach; ties, to a nanometre, go to the smaller id."""
     bare = points.select(key, "latitude", "longitude")
     ends = segments.select("segment_id", "start_lat", "start_lon", "end_lat", "end_lon")
-    met = with_candidates(bare, ends, max_distance, "inner").withColumn("p", geo.project("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon"))
-    best = met.where(F.col("p.distance") <= max_distance).groupBy(key).agg(F.min(F.struct(F.round("p.distance", 9).alias("r"), "segment_id", "p")).alias("m"))
-    distance = F.col("m.p.distance")
-    return best.select(key, "m.segment_id", F.col("m.p.lat").alias("matched_lat"), F.col("m.p.lon").alias("matched_lon"), distance.alias("distance"), F.greatest(F.lit(0.0), 1 - distance / max_distance).alias("confidence"))
+    place = geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
+    met = with_candidates(bare, ends, max_distance, "inner").select(key, "latitude", "longitude", "segment_id", place.alias("p"))
+    far = geo.haversine("latitude", "longitude", "p.lat", "p.lon")
+    best = met.groupBy(key).agg(F.min(F.struct(F.round(far, 9).alias("r"), "segment_id", far.alias("distance"), "p")).alias("m")).where(F.col("m.distance") <= max_distance)
+    distance = F.col("m.distance")
+    return best.select(key, "m.segment_id", F.col("m.p.lat").alias("matched_lat"), geo.wrapped(F.col("m.p.lon")).alias("matched_lon"), distance.alias("distance"), F.greatest(F.lit(0.0), 1 - distance / max_distance).alias("confidence"))
 
 
 def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id", planar: bool = False, reach: float = 0.01, ring: int = 1) -> DataFrame:
     """key and the closest of all vertices, without a limit: cells around the point first, wider ones for points that found none.
 
     corners: vertex_id, lat, lon. A find in the rings is final if it is closer than their rim; the rest,
-    which a road network that covers its points leaves few of, look through cells 32 times as wide, so that few rounds reach any distance.
+    which a road network that covers its points leaves few of, look through cells 32 times as wide, so that few rounds reach
+    any distance. Columns of cells go round the earth; planar distances, in plain degrees, do not.
     """
+    n = max(1, math.floor(360 / reach))
     far = lambda lat, lon: F.sqrt(F.pow(F.col("longitude") - lon, 2) + F.pow(F.col("latitude") - lat, 2)) if planar else geo.haversine("latitude", "longitude", lat, lon)
-    here = points.select(key, "latitude", "longitude").withColumns({"cx": geo.cell("longitude", reach), "cy": geo.cell("latitude", reach)})
-    around = F.flatten(F.transform(F.sequence(F.col("cx") - ring, F.col("cx") + ring), lambda x: F.transform(F.sequence(F.col("cy") - ring, F.col("cy") + ring), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
-    listed = corners.withColumns({"gx": geo.cell("lon", reach), "gy": geo.cell("lat", reach)})
+    column = lambda lon: geo.cell(lon, reach) if planar else F.pmod(geo.cell(F.col(lon) + 180, 360 / n), F.lit(n))
+    here = points.select(key, "latitude", "longitude").withColumns({"cx": column("longitude"), "cy": geo.cell("latitude", reach)})
+    columns = F.sequence(F.col("cx") - ring, F.col("cx") + ring)
+    columns = columns if planar else F.array_distinct(F.transform(columns, lambda x: F.pmod(x, F.lit(n))))
+    around = F.flatten(F.transform(columns, lambda x: F.transform(F.sequence(F.col("cy") - ring, F.col("cy") + ring), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
+    listed = corners.withColumns({"gx": column("lon"), "gy": geo.cell("lat", reach)})
     met = here.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c").join(listed, ["gx", "gy"])
     d = far(F.col("lat"), F.col("lon"))
     best = met.groupBy(key, "latitude", "longitude").agg(F.min(F.struct(F.round(d, 9).alias("r"), "vertex_id", "lat", "lon", d.alias("distance"))).alias("m"))
+    if reach > 180:
+        return best.select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
     # the rim is at least ring cells away; a degree of longitude shrinks with the latitude
-    rim = F.lit(ring * reach) if planar else F.lit(ring * reach * geo.DEGREE) * F.least(F.cos(F.radians(F.abs(F.col("latitude")) + ring * reach + 1)), F.lit(1.0))
+    rim = F.lit(ring * reach) if planar else F.lit(ring * reach * geo.DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("latitude")) + ring * reach + 1, F.lit(90.0))))
     done = best.where(F.col("m.distance") <= rim).select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
-    if reach > 360:
-        return best.select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
     left = points.join(done.select(key), key, "left_anti")
     return done if left.isEmpty() else done.unionByName(nearest_vertex(left, corners, key, planar, reach * 32, ring))
 
@@ -106,22 +135,32 @@ def connected(segments: DataFrame, tolerance: float = 1e-6, itself: bool = False
 def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, most: int = 50, key: str = "event_id", index: str = "vertex") -> DataFrame:
     """Each point with the roads that have a vertex (or, by option, any part of a segment's box) in the 3 by 3 cells around it; the closest `most` of them.
 
-    Cells start at 0; square is the squared distance to the road in degrees.
+    Cells start at 0; square is the squared distance to the road in degrees. A road with a vertex around is closer
+    than three cells, so segments are listed in the cells up to three from theirs and one join finds all that matter, however
+    long the road.
     """
+    s = segments_of(roads).select("road_id", "seq", "start_lat", "start_lon", "end_lat", "end_lon")
+    here = points.select(key, "longitude", "latitude", geo.cell("longitude", size).alias("gx"), geo.cell("latitude", size).alias("gy"))
+    lo, hi = (lambda c: F.least(f"start_{c}", f"end_{c}")), (lambda c: F.greatest(f"start_{c}", f"end_{c}"))
     if index == "vertex":
-        cells = vertices(roads).select(geo.cell("lon", size).alias("gx"), geo.cell("lat", size).alias("gy"), "road_id").distinct()
+        ends = {f"_{c}{i}": geo.cell(f"{end}_{name}", size) for i, end in enumerate(("start", "end")) for c, name in (("x", "lon"), ("y", "lat"))}
+        s = s.withColumns(ends)
+        reach = lambda c, f, by: f(f"_{c}0", f"_{c}1") + by
+        xs, ys = (F.sequence(reach(c, F.least, -3), reach(c, F.greatest, 3)) for c in "xy")
+        listed = s.withColumn("gx", F.explode(xs)).withColumn("gy", F.explode(ys))
+        around = lambda i: (F.abs(F.col("gx") - F.col(f"_x{i}")) <= 1) & (F.abs(F.col("gy") - F.col(f"_y{i}")) <= 1)
+        met = here.join(listed, ["gx", "gy"]).withColumn("near", around(0) | around(1))
     else:
-        s = segments_of(roads)
-        lo, hi = (lambda c: F.least(f"start_{c}", f"end_{c}")), (lambda c: F.greatest(f"start_{c}", f"end_{c}"))
+        # a box may be far from its segment, so the road's other segments have to be looked at
         cells = s.select("road_id", F.explode(_cells(lo("lat"), hi("lat"), lo("lon"), hi("lon"), size)).alias("c")).select("c.gx", "c.gy", "road_id").distinct()
-    around = F.array(*[F.struct((geo.cell("longitude", size) + i).alias("gx"), (geo.cell("latitude", size) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    found = points.select(key, "longitude", "latitude", F.explode(around).alias("c")).select(key, "longitude", "latitude", "c.gx", "c.gy").join(cells, ["gx", "gy"]).select(key, "longitude", "latitude", "road_id").distinct()
-    met = found.join(segments_of(roads).select("road_id", "seq", "start_lat", "start_lon", "end_lat", "end_lon"), "road_id")
-    p = geo.project("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
-    square = geo.planar_square("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
-    each = met.groupBy(key, "road_id").agg(F.min(F.struct(square.alias("square"), "seq", p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("m"))
+        around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        found = here.select(key, "longitude", "latitude", F.explode(around).alias("c")).select(key, "longitude", "latitude", "c.gx", "c.gy").join(cells, ["gx", "gy"]).select(key, "longitude", "latitude", "road_id").distinct()
+        met = found.join(s, "road_id").withColumn("near", F.lit(True))
+    p = geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
+    square = F.pow(F.col("longitude") - F.col("p.lon"), 2) + F.pow(F.col("latitude") - F.col("p.lat"), 2)
+    each = met.withColumn("p", p).groupBy(key, "road_id").agg(F.min(F.struct(square.alias("square"), "seq", "p.lat", "p.lon")).alias("m"), F.max("near").alias("near")).where("near")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("m.square", 12), "road_id"))
-    return each.withColumn("_r", rank).where(F.col("_r") <= most).select(key, "road_id", F.col("m.square").alias("square"), F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
+    return each.withColumn("_r", rank).where(F.col("_r") <= most).select(key, "road_id", "m.square", "m.lat", "m.lon")
 
 
 def header(segments: DataFrame) -> DataFrame:

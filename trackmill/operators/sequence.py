@@ -1,11 +1,14 @@
 """Operators over each vehicle's time-ordered positions.
 
 All share one window specification, so a chain of them needs one exchange. KEYS bound a window's rows
-to a vehicle's day; event_id breaks ties of time.
+to a vehicle's day; event_id breaks ties of time, and rows without time come last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -17,7 +20,7 @@ ORDER = ("datetime", "event_id")
 
 
 def over(keys=KEYS, order=ORDER) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(*order)
+    return Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
 
 
 def prev(c, n: int = 1, w: WindowSpec | None = None) -> Column:
@@ -39,8 +42,8 @@ def numbered(points: DataFrame) -> DataFrame:
     return points.withColumn("seq", F.row_number().over(over()))
 
 
-def steps(points: DataFrame, distance=geo.haversine) -> DataFrame:
-    """step_m, step_ms and step_kmh from the row before; the first row has zeros, so has the speed of a step without time."""
+def steps(points: DataFrame, distance=geo.vincenty) -> DataFrame:
+    """step_m (on the ellipsoid), step_ms and step_kmh from the row before; the first row has zeros, so has the speed of a step without time."""
     gap = F.abs(seconds(prev("datetime"), F.col("datetime")) * 1000)
     out = points.withColumns({"_lat": prev("latitude"), "_lon": prev("longitude"), "step_ms": F.coalesce(gap, F.lit(0.0)).cast("long")})
     out = out.withColumn("step_m", F.coalesce(distance("_lat", "_lon", "latitude", "longitude"), F.lit(0.0)))
@@ -76,7 +79,7 @@ def changed(points: DataFrame) -> DataFrame:
 
 def without_jumps(points: DataFrame, metres: float) -> DataFrame:
     """Rows whose step from the row before is at most so long."""
-    return steps(points).where(F.col("step_m") <= metres).drop("step_m", "step_ms", "step_kmh")
+    return steps(points, geo.haversine).where(F.col("step_m") <= metres).drop("step_m", "step_ms", "step_kmh")
 
 
 def smoothed(points: DataFrame, k: int) -> DataFrame:
@@ -89,7 +92,7 @@ def smoothed(points: DataFrame, k: int) -> DataFrame:
 
 def derived_speed(points: DataFrame) -> DataFrame:
     """speed from the step where time passed, else the recorded one."""
-    return steps(points).withColumn("speed", F.when(F.col("step_ms") > 0, F.col("step_kmh")).otherwise(F.col("speed"))).drop("step_m", "step_ms", "step_kmh")
+    return steps(points, geo.haversine).withColumn("speed", F.when(F.col("step_ms") > 0, F.col("step_kmh")).otherwise(F.col("speed"))).drop("step_m", "step_ms", "step_kmh")
 
 
 #: fixed values: the most points shown up to each zoom level
@@ -162,5 +165,38 @@ def confident_references(points: DataFrame, confidence: str, columns: list[str],
     """
     seen = F.when(F.col(confidence) >= least, F.struct("seq", *columns))
     back = over().rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*KEYS).orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*KEYS).orderBy(*[F.desc_nulls_first(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
     return points.withColumn("_seen", seen).withColumn("prev_ref", F.last("_seen", ignorenulls=True).over(back)).withColumn("next_ref", F.last("_seen", ignorenulls=True).over(ahead)).drop("_seen")
+
+
+def by_vehicle(rows: DataFrame, fold, schema: str, *, placed: bool = False) -> DataFrame:
+    """fold(table, starts) over whole sequences in order, many at a time; table's columns are rows' own, starts where its sequences begin.
+
+    One exchange (none for rows that are placed by KEYS already), and no call per vehicle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = pa.Table.from_batches([batch])
+            held = here if held is None else pa.concat_tables([held, here])
+            starts = _starts(held, np)
+            if len(starts) > 1:  # the last sequence may go on
+                yield from fold(held.slice(0, int(starts[-1])).combine_chunks(), starts[:-1])
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield from fold(held.combine_chunks(), _starts(held, np))
+
+    def _starts(table: pa.Table, np):
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for c in KEYS:
+            code = table[c].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    return (rows if placed else rows.repartition(*KEYS)).sortWithinPartitions(*KEYS, *[F.asc_nulls_last(c) for c in ORDER]).mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def simplify_rows(lat: list[float], lon: list[float], metres: float) -> list[int
         py, px = np.radians(py), np.radians(px)
         h = np.sin((qy - py) / 2) ** 2 + np.cos(py) * np.cos(qy) * np.sin((qx - px) / 2) ** 2
         d = 2 * RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1)))
-        i = int(d.argmax())
+        i = int(np.round(d, 6).argmax())
         if d[i] > metres:
             keep[a + 1 + i] = True
             spans += [(a, a + 1 + i), (a + 1 + i, b)]
@@ -58,13 +60,15 @@ def simplify_rows(lat: list[float], lon: list[float], metres: float) -> list[int
 
 
 def simplified(points: DataFrame, metres: float = 10.0) -> DataFrame:
-    """event_id of the rows that Douglas-Peucker keeps."""
-    columns = [*seq.KEYS, "event_id"]
+    """KEYS and event_id of the rows that Douglas-Peucker keeps."""
+
+    def fold(table: pa.Table, starts) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["datetime", "event_id"])
-        at = simplify_rows(pdf.latitude.tolist(), pdf.longitude.tolist(), metres)
-        return pdf.iloc[at][columns]
+        lat, lon = (table[c].to_numpy() for c in ("latitude", "longitude"))
+        ends = np.r_[starts[1:], table.num_rows]
+        kept = [np.asarray(simplify_rows(lat[a:b], lon[a:b], metres), np.int64) + a for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        yield from table.select([*seq.KEYS, "event_id"]).take(pa.array(np.concatenate(kept))).to_batches()
 
     rows = points.select(*seq.KEYS, "datetime", "event_id", "latitude", "longitude")
-    return rows.groupBy(*seq.KEYS).applyInPandas(fold, "day string, plate_number string, event_id long")
+    return seq.by_vehicle(rows, fold, "day string, plate_number string, event_id long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import geo
 from ..operators import correction, filters, matching
 from ..operators import sequence as seq
 
@@ -15,6 +16,12 @@ def plates(points: DataFrame, limit: int | None = 10_000) -> DataFrame:
     return out.orderBy("plate_number").limit(limit) if limit else out
 
 
+def plates_in_order(points: DataFrame, order: str = "event_id") -> DataFrame:
+    """Every plate with its place, from 1, in the order in which they came in. Plates, unlike positions, are few; but one task numbers them."""
+    first = points.groupBy("plate_number").agg(F.min(order).alias("first"))
+    return first.select("plate_number", F.row_number().over(Window.orderBy("first", "plate_number")).alias("place"))
+
+
 def by_plate(points: DataFrame, plate: str, start: str | None = None, end: str | None = None) -> DataFrame:
     return points.where((F.col("plate_number") == plate) & filters.between_dates(start, end)).orderBy(*seq.ORDER)
 
@@ -71,6 +78,48 @@ def corrected_page(points: DataFrame, number: int, size: int) -> DataFrame:
     return correction.summary(correction.correct(mine.withColumn("_d", day).where("day = _d").drop("_d")))
 
 
+def task_points(tasks: DataFrame, trajectories: DataFrame, points: DataFrame) -> DataFrame:
+    """task_id and the points of each task's trajectory, in long form. tasks: task_id, trajectory_id; trajectories: trajectory_id and KEYS."""
+    return tasks.select("task_id", "trajectory_id").join(trajectories.select("trajectory_id", *seq.KEYS), "trajectory_id").drop("trajectory_id").join(points, list(seq.KEYS))
+
+
+def bounds(points: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """Per sequence: its box, widened by so many degrees, and the middle of that."""
+    lo, hi = (lambda c: F.min(c) - buffer), (lambda c: F.max(c) + buffer)
+    out = points.groupBy(*seq.KEYS).agg(lo("latitude").alias("min_lat"), hi("latitude").alias("max_lat"), lo("longitude").alias("min_lng"), hi("longitude").alias("max_lng"))
+    return out.withColumns({"center_lat": (F.col("min_lat") + F.col("max_lat")) / 2, "center_lng": (F.col("min_lng") + F.col("max_lng")) / 2})
+
+
+def statistics(points: DataFrame) -> DataFrame:
+    """Per sequence: total_points, total_distance, duration (whole seconds from the first to the last row) and average and greatest speed of all rows but the last; zeros for a single row.
+
+    average_kmh is the distance by the duration."""
+    w = seq.over()
+    out = points.withColumns({"_lat": seq.following("latitude", w=w), "_lon": seq.following("longitude", w=w), "_i": F.row_number().over(w), "_next": seq.following("event_id", w=w)})
+    speed = F.when(F.col("_next").isNotNull(), F.col("speed"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = out.groupBy(*seq.KEYS).agg(
+        F.count("*").alias("total_points"), zero(F.sum(geo.haversine("latitude", "longitude", "_lat", "_lon"))).alias("total_distance"),
+        F.coalesce(seq.seconds(F.min_by("datetime", "_i"), F.max_by("datetime", "_i")).cast("long"), F.lit(0)).alias("duration"), zero(F.avg(speed)).alias("avg_speed"), zero(F.max(speed)).alias("max_speed"),
+    )
+    return out.withColumn("average_kmh", F.when(F.col("duration") > 0, F.col("total_distance") / F.col("duration") * 3.6).otherwise(0.0))
+
+
+def correction_counters(points: DataFrame) -> DataFrame:
+    """One row: how many rows and vehicles' days were looked at, skipped as invalid, removed as anomalous or as repeats, and saved."""
+    valid = filters.valid_fix() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
+    scored = correction.scored(points.where(valid))
+    alone = (F.col("seq") == 1) & F.lead("seq").over(seq.over()).isNull()
+    marked = scored.withColumn("_good", alone | (F.col("score") > correction.THRESHOLD))
+    kept = seq.changed(marked.where("_good"))
+    out = points.agg(F.count("*").alias("points"), F.countDistinct(*seq.KEYS).alias("processed"), F.coalesce(F.count_if(~F.coalesce(valid, F.lit(False))), F.lit(0)).alias("skipped"))
+    good = marked.agg(F.count_if(~F.col("_good")).alias("anomalous"), F.count_if("_good").alias("good"))
+    saved = kept.agg(F.count("*").alias("saved_points"), F.countDistinct(*seq.KEYS).alias("saved"))
+    # three rows, of which each tells some columns
+    rows = out.unionByName(good, allowMissingColumns=True).unionByName(saved, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns]).withColumn("duplicates", F.col("good") - F.col("saved_points")).drop("good")
+
+
 def first_points(points: DataFrame, n: int) -> DataFrame:
     """The first n rows of each vehicle's day."""
     return points.withColumn("_r", F.row_number().over(seq.over())).where(F.col("_r") <= n).drop("_r")
@@ -89,12 +138,12 @@ def completion(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count("*").alias("total"), *[done(s).alias(s) for s in ("pending", "processing", "completed", "failed")], F.coalesce(F.round(done("completed") * 100.0 / F.when(F.count("*") > 0, F.count("*"))), F.lit(0.0)).alias("completion_percent"))
 
 
-def build(points: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """One row per vehicle's day: positions without standstill, matched to roads if there are some, with extent and ends."""
+def build(points: DataFrame, lines: DataFrame | None = None, **options) -> DataFrame:
+    """One row per vehicle's day: positions without standstill, matched to roads if there are some (with options), with extent and ends."""
     kept = seq.moved(points.where(filters.valid_point()))
-    kept = matching.context_match(kept, lines) if lines is not None else kept
+    kept = matching.context_match(kept, lines, **options) if lines is not None else kept
     numbered = seq.numbered(kept)
-    point = F.struct("seq", "event_id", "datetime", "longitude", "latitude", "speed", "heading")
+    point = F.struct("seq", "event_id", "datetime", "longitude", "latitude", "speed", "heading", *(("road_id", "road_name", "road_type", "distance_to_road") if lines is not None else ()))
     return numbered.groupBy(*seq.KEYS).agg(
         F.array_sort(F.collect_list(point)).alias("trajectory_points"), F.count("*").alias("point_count"),
         F.min_by("event_id", "seq").alias("first_event"), F.max_by("event_id", "seq").alias("last_event"),

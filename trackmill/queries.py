@@ -1,11 +1,11 @@
 """The trajectory queries and their DuckDB equivalents.
 
-Every query runs over whole tables, but for the road fixture, which FIXTURES.md fixes at the segments of p_partkey < 2000. Floats are rounded in both engines, to millimetres or millionths.
+Every query runs over whole tables. Floats are rounded in both engines, to millimetres or millionths.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from .functions import geo, text
 from .operators import correction, filters, matching, roads, stateful
 from .operators import sequence as seq
 from .plans import service
-from .sources import readers, sinks
+from .sources import readers, sinks, workspace
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -156,7 +156,7 @@ _LAG = f"lag(latitude) OVER ({W}) AS a, lag(longitude) OVER ({W}) AS b"
 
 @query(on_points(f"SELECT event_id, round(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0), 3) AS metres FROM (SELECT *, {_LAG} FROM gps_points)"))
 def haversine_steps(spark, d):
-    return seq.steps(points(spark, d)).select("event_id", r("step_m").alias("metres"))
+    return seq.steps(points(spark, d), geo.haversine).select("event_id", r("step_m").alias("metres"))
 
 
 @query(on_points(f"SELECT event_id, round({course('a', 'b', 'latitude', 'longitude')}, 6) AS bearing FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NOT NULL AND (a <> latitude OR b <> longitude)"))
@@ -180,9 +180,24 @@ def mercator_roundtrip(spark, d):
     return p.select("event_id", r("m.x", 2).alias("x"), r("m.y", 2).alias("y"), r("b.lat", 6).alias("lat"), r("b.lon", 6).alias("lon"))
 
 
-@query()
+def _ellipsoid(source: str) -> str:
+    """CTEs that end in `ell`: event_id and metres on the ellipsoid from (a, b), by a fixed number of iterations; the fixture's steps settle sooner."""
+    f, minor = "(1 / 298.257223563e0)", "(6378137e0 * (1 - 1 / 298.257223563e0))"
+    out = [f"e0 AS (SELECT event_id, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, gap, gap AS lam FROM (SELECT event_id, atan(tan(radians(a)) * (1 - {f})) AS u1, atan(tan(radians(latitude)) * (1 - {f})) AS u2, radians(longitude - b) AS gap FROM {source} WHERE a IS NOT NULL))"]
+    for i in range(1, 8):
+        x1 = f"SELECT *, sqrt(power(c2 * sin(lam), 2) + power(c1 * s2 - s1 * c2 * cos(lam), 2)) AS si, s1 * s2 + c1 * c2 * cos(lam) AS co FROM e{i - 1}"
+        x2 = f"SELECT *, atan2(si, co) AS arc, CASE WHEN si = 0 THEN 0 ELSE c1 * c2 * sin(lam) / si END AS sa FROM ({x1})"
+        x3 = f"SELECT *, CASE WHEN sa * sa = 1 THEN 0 ELSE co - 2 * s1 * s2 / (1 - sa * sa) END AS mid, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS k FROM ({x2})"
+        last = ", si, co, arc, 1 - sa * sa AS cc, mid" if i == 7 else ""
+        out.append(f"e{i} AS (SELECT event_id, s1, c1, s2, c2, gap, gap + (1 - k) * {f} * sa * (arc + k * si * (mid + k * co * (2 * mid * mid - 1))) AS lam{last} FROM ({x3}))")
+    uu = f"cc * ((6378137e0 * 6378137e0 - {minor} * {minor}) / ({minor} * {minor}))"
+    out.append(f"ell AS (SELECT event_id, CASE WHEN si = 0 THEN 0 ELSE {minor} * big * (arc - small * si * (mid + small / 4 * (co * (2 * mid * mid - 1) - small / 6 * mid * (4 * si * si - 3) * (4 * mid * mid - 3)))) END AS metres FROM (SELECT *, 1 + uu / 16384 * (4096 + uu * (uu * (320 - 175 * uu) - 768)) AS big, uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128)) AS small FROM (SELECT *, {uu} AS uu FROM e7)))")
+    return ", ".join(out)
+
+
+@query(on_points("SELECT event_id, round(coalesce(metres, 0), 3) AS metres FROM gps_points LEFT JOIN ell USING (event_id)", f"before AS (SELECT *, {_LAG} FROM gps_points)", _ellipsoid("before")))
 def vincenty_steps(spark, d):
-    return seq.steps(points(spark, d), geo.vincenty).select("event_id", r("step_m").alias("metres"))
+    return seq.steps(points(spark, d)).select("event_id", r("step_m").alias("metres"))
 
 
 def _areas_frame(spark: SparkSession) -> DataFrame:
@@ -195,8 +210,8 @@ _EDGES = ", ".join(f"('{k}', {i}, {x1}e0, {y1}e0, {x2}e0, {y2}e0)" for k, v in A
 
 @query(f"SELECT area, CAST(part AS INTEGER) AS part, round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2)))) * 6371000e0 * 6371000e0 / 2) / 1000) AS thousand_m2, round(avg(x1), 6) AS lon, round(avg(y1), 6) AS lat FROM (VALUES {_EDGES}) AS e(area, part, x1, y1, x2, y2) GROUP BY area, part")
 def polygon_area(spark, d):
-    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c]) / F.size("ring")
-    return _areas_frame(spark).select("area", "part", F.round(geo.shoelace_sphere(F.col("ring")) / 1000).alias("thousand_m2"), r(mean("x"), 6).alias("lon"), r(mean("y"), 6).alias("lat"))
+    rings = _areas_frame(spark).withColumn("m", geo.ring_mean(F.col("ring")))
+    return rings.select("area", "part", F.round(geo.shoelace_sphere(F.col("ring")) / 1000).alias("thousand_m2"), r("m.lon", 6).alias("lon"), r("m.lat", 6).alias("lat"))
 
 
 #: one first line for each kind of file, by event type
@@ -220,7 +235,7 @@ def formatted(spark, d):
 
 @query(on_points(f"SELECT plate_number, day, round(sum(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0)), 2) AS metres FROM (SELECT *, {_LAG} FROM gps_points) GROUP BY plate_number, day"))
 def total_distance(spark, d):
-    return seq.steps(points(spark, d)).groupBy("plate_number", "day").agg(r(F.sum("step_m"), 2).alias("metres"))
+    return seq.steps(points(spark, d), geo.haversine).groupBy("plate_number", "day").agg(r(F.sum("step_m"), 2).alias("metres"))
 
 
 @query(on_points(f"SELECT event_id, round(CASE WHEN s > 0 THEN {hav('a', 'b', 'latitude', 'longitude')} / s * 3.6e0 ELSE speed END, 3) AS speed FROM (SELECT *, {_LAG}, t_sec - lag(t_sec) OVER ({W}) AS s FROM gps_points)"))
@@ -240,7 +255,7 @@ def trajectory_stats(spark, d):
 @query(on_points(f"SELECT day, plate_number, round(CASE WHEN max(t_sec) > min(t_sec) THEN sum(coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0)) / (max(t_sec) - min(t_sec)) * 3.6e0 ELSE 0 END, 3) AS average FROM (SELECT *, {_LAG} FROM gps_points) GROUP BY day, plate_number"))
 def average_by_duration(spark, d):
     long = F.max("t_sec") - F.min("t_sec")
-    return seq.steps(points(spark, d)).groupBy("day", "plate_number").agg(r(F.when(long > 0, F.sum("step_m") / long * 3.6).otherwise(0.0)).alias("average"))
+    return seq.steps(points(spark, d), geo.haversine).groupBy("day", "plate_number").agg(r(F.when(long > 0, F.sum("step_m") / long * 3.6).otherwise(0.0)).alias("average"))
 
 
 _MOVED = f"SELECT * FROM (SELECT *, {_LAG} FROM gps_points) WHERE a IS NULL OR abs(longitude - b) > 0.00001e0 OR abs(latitude - a) > 0.00001e0"
@@ -364,10 +379,12 @@ def _head(x: str) -> str:
 
 
 _SCORED = f"""
-c1 AS (
+c0 AS (
   SELECT *, row_number() OVER ({W}) AS seq, {_LAG}, lag(t_sec) OVER ({W}) AS bt, lag(heading) OVER ({W}) AS bh, lag(speed) OVER ({W}) AS bs, lead(speed) OVER ({W}) AS ns FROM gps_points
+), {_ellipsoid('c0')}, c1 AS (
+  SELECT c0.*, metres FROM c0 LEFT JOIN ell USING (event_id)
 ), c2 AS (
-  SELECT *, coalesce(abs(t_sec - bt), 0) AS s, coalesce({hav('a', 'b', 'latitude', 'longitude')}, 0) AS m, CASE WHEN speed = 0 AND seq > 1 THEN NULL ELSE heading END AS hn FROM c1
+  SELECT *, coalesce(abs(t_sec - bt), 0) AS s, coalesce(metres, 0) AS m, CASE WHEN speed = 0 AND seq > 1 THEN NULL ELSE heading END AS hn FROM c1
 ), c3 AS (
   SELECT *, CASE WHEN s > 0 THEN (m / 1000) / (s / 3600.0e0) ELSE 0 END AS v, CASE WHEN seq = 1 THEN 0 ELSE {turn('hn - bh')} END AS hd FROM c2
 ), c4 AS (
@@ -594,24 +611,102 @@ def match_on_read(spark, d):
     return service.match_on_read(p, roads.polylines(segments(spark, d)), 10, 5).select("event_id", r("latitude", 6).alias("lat"), r("longitude", 6).alias("lon"))
 
 
-@query()
+def _reached(most: float) -> str:
+    """CTEs that end in `reached`: each point's place i in its sequence and cand, its segments in reach; and `link`."""
+    return f"""r1 AS (
+  SELECT event_id, segment_id, latitude, longitude, start_lat, start_lon, end_lat, end_lon, {_projected('latitude', 'longitude', 'start_lat', 'start_lon', 'end_lat', 'end_lon')} AS k FROM gps_points, road_segments
+), r2 AS (
+  SELECT event_id, segment_id, start_lat + k * (end_lat - start_lat) AS lat, start_lon + k * (end_lon - start_lon) AS lon, {hav('latitude', 'longitude', 'start_lat + k * (end_lat - start_lat)', 'start_lon + k * (end_lon - start_lon)')} AS m FROM r1
+), r3 AS (
+  SELECT event_id, segment_id, lat, lon, m, coalesce(links, []) AS links FROM r2 LEFT JOIN link USING (segment_id) WHERE m <= {most}
+)"""
+
+
+def _links(itself: bool) -> str:
+    return f"link AS (SELECT x.segment_id, list(y.segment_id ORDER BY y.segment_id) AS links FROM road_segments x JOIN road_segments y ON ({_TOUCH}) {'' if itself else 'AND x.segment_id <> y.segment_id'} GROUP BY x.segment_id)"
+
+
+_GREEDY = f"""r4 AS (
+  SELECT event_id, list({{'id': segment_id, 'm': m, 'lat': lat, 'lon': lon, 'links': links}} ORDER BY round(m, 9), segment_id) AS cand FROM r3 GROUP BY event_id
+), r5 AS (
+  SELECT p.event_id, day, plate_number, speed, row_number() OVER ({W}) AS i, CASE WHEN speed <= 200 THEN cand END AS cand FROM gps_points p LEFT JOIN r4 USING (event_id)
+), walk AS (
+  SELECT day, plate_number, i, event_id, cand[1] AS pick, cand[1].links AS held FROM r5 WHERE i = 1
+  UNION ALL
+  SELECT day, plate_number, i, event_id, pick, coalesce(pick.links, held) AS held FROM (
+    SELECT r.day, r.plate_number, r.i, r.event_id, w.held, CASE WHEN coalesce(len(w.held), 0) = 0 THEN r.cand[1] ELSE list_filter(r.cand, lambda x: list_contains(w.held, x.id))[1] END AS pick
+    FROM walk w JOIN r5 r ON r.day = w.day AND r.plate_number = w.plate_number AND r.i = w.i + 1)
+)"""
+
+
+def on_walk(body: str, *more: str) -> str:
+    return on_points(body, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(on_walk("SELECT event_id, pick.id AS segment_id, round(pick.lat, 6) AS matched_lat, round(pick.lon, 6) AS matched_lon, round(pick.m, 3) AS distance, round(1 - pick.m / 1000, 6) AS confidence FROM walk WHERE pick IS NOT NULL", ROADS, _links(True), _reached(1000), _GREEDY))
 def greedy_match(spark, d):
     return _matched(matching.create("greedy")(points(spark, d), segments(spark, d)))
 
 
-@query()
+#: n is a path's last score before its own chance, rounded; paths are lists of candidates
+_VITERBI = f"""r4 AS (
+  SELECT event_id, list({{'id': segment_id, 'm': m, 'lat': lat, 'lon': lon, 'links': links, 'w': exp(-0.5e0 * power(m / 500, 2))}} ORDER BY segment_id) AS cand FROM r3 GROUP BY event_id
+), r5 AS (
+  SELECT p.event_id, day, plate_number, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY day, plate_number) AS n,
+         coalesce(list_transform(cand, lambda x: {{'id': x.id, 'links': x.links, 'c': {{'e': p.event_id, 'id': x.id, 'm': x.m, 'lat': x.lat, 'lon': x.lon, 'p': x.w / list_sum(list_transform(cand, lambda y: y.w))}}}}), []) AS cand
+  FROM gps_points p LEFT JOIN r4 USING (event_id) WHERE speed <= 200
+), walk AS (
+  SELECT day, plate_number, i, n, list_transform(cand, lambda x: {{'id': x.id, 'links': x.links, 'score': ln(x.c.p), 'path': [x.c]}}) AS state FROM r5 WHERE i = 1
+  UNION ALL
+  SELECT day, plate_number, i, n, list_transform(list_filter(next, lambda z: z.b IS NOT NULL), lambda z: {{'id': z.x.id, 'links': z.x.links, 'score': z.b.v + ln(z.x.c.p), 'path': list_append(z.b.path, z.x.c)}}) AS state FROM (
+    SELECT r.day, r.plate_number, r.i, r.n, list_transform(r.cand, lambda x: {{'x': x, 'b': list_sort(list_transform(list_filter(w.state, lambda s: len(s.links) BETWEEN 1 AND 10 AND list_contains(s.links, x.id)),
+             lambda s: {{'k': -round(s.score - ln(len(s.links)), 9), 'id': s.id, 'v': s.score - ln(len(s.links)), 'path': s.path}}))[1]}}) AS next
+    FROM walk w JOIN r5 r ON r.day = w.day AND r.plate_number = w.plate_number AND r.i = w.i + 1)
+), ended AS (
+  SELECT unnest(list_sort(list_transform(state, lambda s: {{'k': -round(s.score, 9), 'id': s.id, 'path': s.path}}))[1].path) AS c FROM walk WHERE i = n AND len(state) > 0
+)"""
+
+
+@query(on_walk("SELECT c.e AS event_id, c.id AS segment_id, round(c.lat, 6) AS matched_lat, round(c.lon, 6) AS matched_lon, round(c.m, 3) AS distance, round(c.p, 6) AS confidence FROM ended", ROADS, _links(False), _reached(1500), _VITERBI))
 def viterbi_match(spark, d):
     return _matched(matching.create("gotrackit", max_distance=1500.0)(points(spark, d).where("speed <= 200"), segments(spark, d)))
 
 
-@query()
+_SPANS = f"""v AS (
+  SELECT event_id, day, plate_number, latitude AS y, longitude AS x, row_number() OVER ({W}) AS i FROM gps_points
+), span AS (
+  SELECT day, plate_number, min(i) AS a, max(i) AS b FROM v GROUP BY day, plate_number
+  UNION ALL
+  SELECT day, plate_number, CASE WHEN side = 0 THEN a ELSE far.i END AS a, CASE WHEN side = 0 THEN far.i ELSE b END AS b FROM (
+    SELECT day, plate_number, a, b, arg_max({{'i': i, 'm': m}}, (round(m, 6), -i)) AS far FROM (
+      SELECT *, {hav('y', 'x', 'ya + k * (yb - ya)', 'xa + k * (xb - xa)')} AS m FROM (
+        SELECT *, {_projected('y', 'x', 'ya', 'xa', 'yb', 'xb')} AS k FROM (
+          SELECT s.day, s.plate_number, s.a, s.b, p.i, p.y, p.x, p1.y AS ya, p1.x AS xa, p2.y AS yb, p2.x AS xb
+          FROM span s JOIN v p ON p.day = s.day AND p.plate_number = s.plate_number AND p.i > s.a AND p.i < s.b
+          JOIN v p1 ON p1.day = s.day AND p1.plate_number = s.plate_number AND p1.i = s.a JOIN v p2 ON p2.day = s.day AND p2.plate_number = s.plate_number AND p2.i = s.b)))
+    GROUP BY day, plate_number, a, b), (VALUES (0), (1)) AS sides(side) WHERE far.m > 10
+)"""
+
+
+@query(on_walk("SELECT day, plate_number, event_id FROM v SEMI JOIN (SELECT day, plate_number, a AS i FROM span UNION SELECT day, plate_number, b FROM span) USING (day, plate_number, i)", _SPANS))
 def douglas_peucker(spark, d):
-    return stateful.simplified(points(spark, d))
+    return stateful.simplified(points(spark, d)).select("day", "plate_number", "event_id")
 
 
-@query()
+_KEPT = f"""v AS (
+  SELECT event_id, day, plate_number, latitude, longitude, speed > 200 AS bad, row_number() OVER ({W}) AS i FROM gps_points
+), walk AS (
+  SELECT day, plate_number, i, event_id, latitude AS a, longitude AS b, true AS ok FROM v WHERE i = 1
+  UNION ALL
+  SELECT day, plate_number, i, event_id, CASE WHEN ok THEN latitude ELSE a END AS a, CASE WHEN ok THEN longitude ELSE b END AS b, ok FROM (
+    SELECT v.day, v.plate_number, v.i, v.event_id, v.latitude, v.longitude, w.a, w.b, NOT v.bad AND {hav('w.a', 'w.b', 'v.latitude', 'v.longitude')} <= 2500 AS ok
+    FROM walk w JOIN v ON v.day = w.day AND v.plate_number = w.plate_number AND v.i = w.i + 1)
+)"""
+
+
+@query(on_walk("SELECT event_id FROM walk WHERE ok", _KEPT))
 def outlier_filter(spark, d):
-    return stateful.without_outliers(points(spark, d))
+    return stateful.without_outliers(points(spark, d), metres=2500.0).select("event_id")
 
 
 # ---------------------------------------------------------------------- sources and sinks
@@ -625,7 +720,7 @@ def text_round_trip(spark, d):
 
 @query("SELECT event_id, (['ok', 'field_count', 'time', 'parse', 'coordinate', 'blank'])[event_id % 6 + 1] AS reason FROM events")
 def reject_reasons(spark, d):
-    lines = ["20160901,1,H,P2,114.191566,22.644236,28.0,250,0,1", "20160901,1,H,P2,114.191566", "20160931,000000,H,P2,114.1,22.6,28.0,250,0,1", "20160901,81501,H,P2,east,22.6,28.0,250,0,0", "20160901,81501,H,P2,0.0,0.0,28.0,250,0,0", " "]
+    lines = ["20160901,1,H,P2,114.05,22.645,28.0,250,0,1", "20160901,1,H,P2,114.05", "20160931,000000,H,P2,114.1,22.6,28.0,250,0,1", "20160901,81501,H,P2,east,22.6,28.0,250,0,0", "20160901,81501,H,P2,0.0,0.0,28.0,250,0,0", " "]
     raw = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.element_at(F.array(*map(F.lit, lines)), (F.col("event_id") % 6 + 1).cast("int")).alias("value"))
     return readers.parse_lines(raw).select("event_id", F.coalesce("reject_reason", F.lit("ok")).alias("reason"))
 
@@ -642,14 +737,274 @@ def export_sample(spark, d):
     return sinks.sample(p, correction.correct(p), 20).groupBy("kind", *seq.KEYS).agg(F.count("*").alias("n"))
 
 
+# ----------------------------------------------------------- files, written and read again
+
+
+def _folder(spark) -> str:
+    return workspace.shared_dir(spark)
+
+
+_RAW = "plate_number, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude"
+
+
+@query(on_points(f"SELECT day, {_RAW} FROM gps_points"))
+def directory_scan(spark, d):
+    where = _folder(spark)
+    sinks.write_lines(points(spark, d), where)
+    return _raw(readers.gps_text(spark, where, glob="*.txt"), "day")
+
+
+def _raw(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "plate_number", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"))
+
+
+@query(on_points(f"SELECT {_RAW} FROM gps_points WHERE day = '02'"))
+def single_folder_ingest(spark, d):
+    where = _folder(spark)
+    sinks.write_lines(points(spark, d), where)
+    return _raw(readers.taxi(spark, f"{where}/day=02"))
+
+
+@query(on_points("SELECT day, plate_number, count(*) AS n, round(sum(speed), 3) AS speed FROM gps_points WHERE event_id % 10 <> 0 GROUP BY day, plate_number"))
+def point_store(spark, d):
+    """Every tenth row loses its place, so it is rejected and stored beside."""
+    where, p = _folder(spark), points(spark, d)
+    lines = sinks.gps_lines(p.withColumns({c: F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.col(c)) for c in ("longitude", "latitude")}), "day")
+    sinks.write_points(readers.parse_lines(lines).drop("value"), f"{where}/good", f"{where}/bad")
+    stored = spark.read.option("basePath", f"{where}/good").schema("plate_number string, speed double, day string").parquet(f"{where}/good")
+    return stored.groupBy("day", "plate_number").agg(F.count("*").alias("n"), r(F.sum("speed")).alias("speed"))
+
+
+@query(on_points("SELECT 'ok' AS outcome, count(*) FILTER (event_id % 10 <> 0) AS n FROM gps_points UNION ALL SELECT 'coordinate', count(*) FILTER (event_id % 10 = 0) FROM gps_points"))
+def reject_counters(spark, d):
+    p = points(spark, d)
+    lines = sinks.gps_lines(p.withColumns({c: F.when(F.col("event_id") % 10 == 0, 0.0).otherwise(F.col(c)) for c in ("longitude", "latitude")}))
+    return readers.reject_counts(readers.parse_lines(lines).withColumn("source_file", F.lit("all"))).select("outcome", "n")
+
+
+@query(on_points("SELECT day, count(*) AS n FROM gps_points WHERE day <> '01' GROUP BY day"))
+def skip_stored_files(spark, d):
+    where = _folder(spark)
+    sinks.write_lines(points(spark, d), where)
+    parsed = readers.gps_text(spark, where, glob="*.txt")
+    return readers.new_files(parsed, parsed.where("day = '01'").select("day", "source_file")).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query(on_points(f"SELECT event_id, row_number() OVER ({W}) AS seq FROM ({_MOVED})"))
+def trajectory_store(spark, d):
+    """Some vehicles first, then all: those that are stored stay as they are."""
+    where, built = _folder(spark), service.build(points(spark, d))
+    sinks.write_new(built.where("plate_number < 'B0040'"), where)
+    sinks.write_new(built, where)
+    return service.flat(spark.read.schema(built.schema).parquet(where)).select("event_id", F.col("seq").cast("long").alias("seq"))
+
+
+@query(on_points("SELECT event_id, round(score, 6) AS score FROM corrected WHERE user_id % 2 = 0", _SCORED))
+def corrected_store(spark, d):
+    """All are stored; then those of half the vehicles instead."""
+    where = _folder(spark)
+    c = correction.correct(points(spark, d)).select("day", "plate_number", "user_id", "event_id", "score")
+    sinks.write_new(c, where, overwrite=True)
+    sinks.write_new(c.where("user_id % 2 = 0"), where, overwrite=True)
+    return spark.read.parquet(where).select("event_id", r("score", 6).alias("score"))
+
+
+@query(on_points("SELECT day, plate_number, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, road_type FROM corrected", _SCORED))
+def csv_export(spark, d):
+    where = _folder(spark)
+    sinks.export_csv(correction.correct(points(spark, d)), where)
+    back = spark.read.csv(where, header=True)
+    return back.select("day", "plate_number", "datetime", *[r(F.col(c).cast("double"), 6).alias(c) for c in ("longitude", "latitude")], "road_type")
+
+
+@query(on_points("SELECT day, CAST(count(DISTINCT plate_number) AS VARCHAR) AS source_count, CAST(count(DISTINCT k) AS VARCHAR) AS target_count, printf('%.2f%%', count(DISTINCT k) * 100.0e0 / count(DISTINCT plate_number)) AS rate FROM (SELECT p.day, p.plate_number, c.plate_number AS k FROM gps_points p LEFT JOIN (SELECT DISTINCT day, plate_number FROM corrected) c USING (day, plate_number)) GROUP BY day", _SCORED))
+def rates_export(spark, d):
+    where, p = _folder(spark), points(spark, d)
+    sinks.export_rates(p, correction.correct(p), where)
+    return spark.read.csv(where, header=True)
+
+
+@query(on_points("SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, round(speed, 3) AS speed, heading FROM gps_points"))
+def gpx_round_trip(spark, d):
+    where = _folder(spark)
+    sinks.download(points(spark, d), "gpx", where)
+    return readers.gpx(spark, where).select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), r("speed").alias("speed"), "heading")
+
+
+@query(on_points("SELECT CAST(event_id AS VARCHAR) AS event_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM gps_points"))
+def points_geojson_round_trip(spark, d):
+    where = _folder(spark)
+    sinks.download(points(spark, d).select("event_id", "longitude", "latitude"), "geojson", where)
+    return readers.points_geojson(spark.read.text(where)).select(F.col("properties")["event_id"].alias("event_id"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"))
+
+
+@query(on_points("SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, 0.5e0 AS elevation FROM gps_points"))
+def csv_upload(spark, d):
+    where, p = _folder(spark), points(spark, d)
+    sinks.download(p.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("时间"), F.col("longitude").alias("Lng"), F.col("latitude").alias("my_latitude"), F.lit(0.5).alias("ele")), "csv", where)
+    return readers.csv(spark, where).select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"), "elevation")
+
+
+@query("SELECT sum(len(CAST(event_id AS VARCHAR)) + 1)::BIGINT AS bytes, 'txt' AS extension, true AS allowed FROM events")
+def upload_info(spark, d):
+    where = _folder(spark)
+    spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("value")).write.text(where)
+    return readers.file_info(spark, f"{where}/*.txt").groupBy("extension").agg(F.sum("size").alias("bytes"), F.bool_and("allowed").alias("allowed"))
+
+
+def _feature(rings) -> str:
+    closed = lambda ring: [[x, y] for x, y in [*ring, ring[0]]]
+    return json.dumps([[closed(ring)] for ring in rings])
+
+
+def _wkt_of(rings) -> str:
+    one = lambda ring: "((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "))"
+    return "MULTIPOLYGON(" + ", ".join(map(one, rings)) + ")"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{k if k != 'parts' else 'new'}', '{_wkt_of(v)}')" for k, v in AREAS.items()) + ") AS a(gb_code, name, wkt)")
+def area_store(spark, d):
+    """Each area in a file of its own; then one of them is replaced under its code."""
+    where, fresh = _folder(spark), _folder(spark)
+    for folder, rows in ((where, [(k, k) for k in AREAS]), (fresh, [("parts", "new")])):
+        texts = [(f'{{"features":[{{"properties":{{"gb":"{k}","name":"{n}"}},"geometry":{{"type":"MultiPolygon","coordinates":{_feature(AREAS[k])}}}}}]}}',) for k, n in rows]
+        spark.createDataFrame(texts, "value string").repartition(len(rows)).write.option("maxRecordsPerFile", 1).text(folder)
+    stored = readers.upsert_areas(readers.areas_geojson(spark, where), readers.areas_geojson(spark, fresh))
+    return stored.select("gb_code", "name", readers.to_wkt(F.col("polygons")).alias("wkt"))
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, road_type, CAST(len(c) AS INTEGER) AS n FROM line WHERE road_type IN ('motorway', 'trunk', 'primary', 'residential')")
+def road_collection(spark, d):
+    """All features as one FeatureCollection file, read again; then the classes of a street query."""
+    where = _folder(spark)
+    features = sinks.geojson(roads.polylines(segments(spark, d)))
+    text_ = features.groupBy().agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
+    text_.write.text(where)
+    return readers.highways(readers.roads_geojson(readers.collection(spark, where))).select("road_id", "road_type", F.size("coords").alias("n"))
+
+
+# --------------------------------------------------------------------- more of the service
+
+
+def _stored_points(spark, d) -> DataFrame:
+    """Trajectories with all that a correction reads."""
+    p = points(spark, d).withColumn("is_valid", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("location_flag") == 1))
+    point = F.struct("event_id", "user_id", "datetime", "longitude", "latitude", "speed", "heading", "road_id", "road_type", "is_valid")
+    return p.groupBy(*seq.KEYS).agg(F.collect_list(point).alias("trajectory_points"))
+
+
+@query(on_points("SELECT event_id, plate_number, day, round(score, 6) AS score FROM corrected", _SCORED).replace("lead(speed) OVER (" + W + ") AS ns FROM gps_points", "lead(speed) OVER (" + W + ") AS ns FROM gps_points WHERE event_id % 3 = 0 OR location_flag = 1"))
+def correct_stored(spark, d):
+    """A point without is_valid counts as valid."""
+    return correction.correct_stored(_stored_points(spark, d)).select("event_id", "plate_number", "day", r("score", 6).alias("score"))
+
+
+@query(on_points(f"SELECT m.day, m.plate_number, count(*) AS point_count, count(*) FILTER (m.road_id <> 'unknown') AS on_road, round(min(m.longitude), 6) AS min_lon, round(max(m.longitude), 6) AS max_lon, round(min(m.latitude), 6) AS min_lat, round(max(m.latitude), 6) AS max_lat, 'matched_trajectory' AS type FROM matched m SEMI JOIN ({_MOVED}) v USING (event_id) GROUP BY m.day, m.plate_number", ROADS, _VERTICES, _GRID, _CONTEXT))
+def matched_trajectory_build(spark, d):
+    p, lines = points(spark, d).drop("road_id", "road_type"), roads.polylines(segments(spark, d))
+    built = service.build(p, lines, size=_SIZE)
+    known = F.size(F.filter("trajectory_points", lambda x: x["road_id"] != "unknown"))
+    return built.select("day", "plate_number", "point_count", known.cast("long").alias("on_road"), *[r(f"bbox.{c}", 6).alias(c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")], "type")
+
+
+@query(on_points("SELECT event_id, coalesce(CASE WHEN event_id % 4 <> 0 THEN speed END, 0) AS speed, coalesce(CASE WHEN event_id % 5 <> 0 THEN heading END, 0) AS heading, coalesce(CASE WHEN event_id % 6 <> 0 THEN location_flag = 1 END, false) AS is_valid, '' AS source_file FROM gps_points WHERE event_id % 7 <> 0"))
+def field_defaults(spark, d):
+    gap = lambda n, c: F.when(F.col("event_id") % n != 0, c)
+    p = points(spark, d).withColumns({"speed": gap(4, F.col("speed")), "heading": gap(5, F.col("heading")), "is_valid": gap(6, F.col("location_flag") == 1), "latitude": gap(7, F.col("latitude"))})
+    return filters.completed(p, valid=False).select("event_id", "speed", "heading", "is_valid", "source_file")
+
+
+@query(on_points("SELECT event_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM gps_points"))
+def flat_location(spark, d):
+    location = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
+    return readers.flat_location(points(spark, d).select("event_id", location.alias("location"))).select("event_id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"))
+
+
+@query(on_points("SELECT event_id, row_number() OVER (PARTITION BY day, plate_number ORDER BY t NULLS LAST, event_id) AS seq FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN datetime END AS t FROM gps_points)"))
+def unknown_times_last(spark, d):
+    p = points(spark, d).withColumn("datetime", F.when(F.col("event_id") % 5 != 0, F.col("datetime")))
+    return seq.numbered(p).select("event_id", F.col("seq").cast("long").alias("seq"))
+
+
+@query(on_points("SELECT plate_number, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS place FROM gps_points GROUP BY plate_number"))
+def plates_in_order(spark, d):
+    return service.plates_in_order(points(spark, d))
+
+
+@query(on_points("SELECT t.event_id AS task_id, p.event_id FROM gps_points p JOIN (SELECT event_id, day, plate_number FROM gps_points WHERE speed = 0) t USING (day, plate_number)"))
+def task_navigation(spark, d):
+    """A task for each standstill, of the vehicle and day it fell on."""
+    p = points(spark, d)
+    trajectories = p.select(*seq.KEYS).distinct().withColumn("trajectory_id", F.concat_ws("/", *seq.KEYS))
+    tasks = p.where("speed = 0").select(F.col("event_id").alias("task_id"), F.concat_ws("/", *seq.KEYS).alias("trajectory_id"))
+    return service.task_points(tasks, trajectories, p).select("task_id", "event_id")
+
+
+@query(on_points("SELECT day, plate_number FROM gps_points GROUP BY day, plate_number HAVING count(*) FILTER (location_flag = 0) > 0"))
+def non_empty_trajectories(spark, d):
+    bad = F.filter(F.collect_list(F.struct("event_id", "location_flag")), lambda x: x["location_flag"] == 0)
+    return points(spark, d).groupBy(*seq.KEYS).agg(bad.alias("trajectory_points")).where(filters.has_points()).select(*seq.KEYS)
+
+
+@query(on_points("SELECT event_id, road_type FROM gps_points WHERE road_type IN ('motorway', 'primary')"))
+def type_list_filter(spark, d):
+    return points(spark, d).where(filters.of_types("motorway", "primary", column="road_type")).select("event_id", "road_type")
+
+
+@query(on_points("SELECT event_id FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'matched' ELSE 'original' END AS type FROM gps_points WHERE plate_number = 'B0005') p WHERE day = (SELECT min(day) FROM gps_points WHERE plate_number = 'B0005') AND (type = 'matched' OR NOT EXISTS (SELECT 1 FROM gps_points q WHERE q.plate_number = 'B0005' AND q.day = p.day AND q.event_id % 50 = 0))"))
+def preferred_type(spark, d):
+    p = points(spark, d).withColumn("type", F.when(F.col("event_id") % 50 == 0, "matched").otherwise("original"))
+    return service.first_day(p, "B0005", "matched").select("event_id")
+
+
+@query(on_points("SELECT event_id FROM gps_points WHERE event_id % 4 = 2 AND plate_number = 'B0009' AND datetime >= TIMESTAMP '2016-08-31 00:05:00' AND datetime <= TIMESTAMP '2016-08-31 00:35:00'"))
+def task_list(spark, d):
+    status = F.element_at(F.array(*map(F.lit, ["pending", "processing", "completed", "failed"])), (F.col("event_id") % 4 + 1).cast("int"))
+    tasks = points(spark, d).select("event_id", status.alias("status"), F.col("plate_number").alias("vehicle_id"), F.col("datetime").alias("created_at"))
+    return filters.task_list(tasks, status="completed", vehicle="B0009", since="2016-08-31 00:05:00", until="2016-08-31 00:35:00").select("event_id")
+
+
+@query(on_points("SELECT day, plate_number, round(min(latitude) - 0.01e0, 6) AS min_lat, round(max(latitude) + 0.01e0, 6) AS max_lat, round(min(longitude) - 0.01e0, 6) AS min_lng, round(max(longitude) + 0.01e0, 6) AS max_lng, round((min(latitude) + max(latitude)) / 2, 6) AS center_lat, round((min(longitude) + max(longitude)) / 2, 6) AS center_lng FROM gps_points GROUP BY day, plate_number"))
+def buffered_bounds(spark, d):
+    b = service.bounds(points(spark, d), 0.01)
+    return b.select("day", "plate_number", *[r(c, 6).alias(c) for c in ("min_lat", "max_lat", "min_lng", "max_lng", "center_lat", "center_lng")])
+
+
+@query(on_points(f"SELECT day, plate_number, count(*) AS total_points, round(coalesce(sum({hav('latitude', 'longitude', 'a', 'b')}), 0), 2) AS metres, CAST(max(t_sec) - min(t_sec) AS BIGINT) AS duration, round(coalesce(avg(CASE WHEN nxt IS NOT NULL THEN speed END), 0), 3) AS avg_speed, round(coalesce(max(CASE WHEN nxt IS NOT NULL THEN speed END), 0), 3) AS max_speed FROM ({_LEADS} gps_points) GROUP BY day, plate_number"))
+def generic_stats(spark, d):
+    s = service.statistics(points(spark, d))
+    return s.select("day", "plate_number", "total_points", r("total_distance", 2).alias("metres"), "duration", r("avg_speed").alias("avg_speed"), r("max_speed").alias("max_speed"))
+
+
+@query(on_points("SELECT a.points, a.processed, a.skipped, b.anomalous, c.saved_points, c.saved, b.good - c.saved_points AS duplicates FROM (SELECT count(*) AS points, count(DISTINCT (day, plate_number)) AS processed, count(*) FILTER (location_flag = 0) AS skipped FROM gps_points) a, (SELECT count(*) FILTER (score > 0.6e0 OR n = 1) AS good, count(*) FILTER (NOT (score > 0.6e0 OR n = 1)) AS anomalous FROM scored) b, (SELECT count(*) AS saved_points, count(DISTINCT (day, plate_number)) AS saved FROM corrected) c", _SCORED).replace("lead(speed) OVER (" + W + ") AS ns FROM gps_points", "lead(speed) OVER (" + W + ") AS ns FROM gps_points WHERE location_flag = 1"))
+def correction_counters(spark, d):
+    return service.correction_counters(points(spark, d).withColumn("is_valid", F.col("location_flag") == 1))
+
+
+@query(on_points("SELECT plate_number, CASE WHEN count(*) FILTER (location_flag = 1 AND speed > 450) > 0 THEN printf('%.1f%%', count(*) FILTER (location_flag = 1 AND speed > 450) * 100.0e0 / count(*)) ELSE '0%' END AS rate, CASE WHEN max(speed) <> 0 THEN printf('%.2f m', max(speed)) ELSE 'N/A' END AS most FROM gps_points GROUP BY plate_number").replace("speed > 450", "speed > 200"))
+def match_rate_text(spark, d):
+    matched = F.count_if((F.col("location_flag") == 1) & (F.col("speed") > 200))
+    return points(spark, d).groupBy("plate_number").agg(text.rate_text(matched, F.count("*")).alias("rate"), text.figure_text(F.max("speed"), "m").alias("most"))
+
+
+@query("WITH n AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a.b.TXT' WHEN 1 THEN 'Track.gpx' WHEN 2 THEN 'noext' ELSE 'x.CSV' END AS name FROM events) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'gpx' WHEN 2 THEN '' ELSE 'csv' END AS extension, CASE event_id % 4 WHEN 0 THEN 'a.b' WHEN 1 THEN 'Track' WHEN 2 THEN 'noext' ELSE 'x' END AS stem, CASE event_id % 4 WHEN 0 THEN 'a.b_7.txt' WHEN 1 THEN 'Track_7.gpx' WHEN 2 THEN 'noext_7.' ELSE 'x_7.csv' END AS fresh FROM n")
+def file_names(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ["a.b.TXT", "Track.gpx", "noext", "x.CSV"])), (F.col("event_id") % 4 + 1).cast("int"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", name.alias("name"))
+    return e.select("event_id", text.extension(F.col("name")).alias("extension"), text.stem(F.col("name")).alias("stem"), text.unique_name(F.col("name"), F.lit("7")).alias("fresh"))
+
+
+@query("SELECT event_id, CASE event_id % 9 WHEN 4 THEN 'transaction' WHEN 5 THEN 'transaction' WHEN 6 THEN 'transaction' ELSE 'continuous_trajectory' END AS category, printf('%.6f', value) AS place FROM events")
+def source_category(spark, d):
+    kinds = ["taxi_gps", "bus_gps", "gpx", "csv", "bus_card", "metro_card", "taxi_transaction", "other", ""]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 9 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.category(kind).alias("category"), text.coordinate_text(F.col("value")).alias("place"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-def coverage() -> float:
-    """Share of queries with an oracle."""
-    return math.fsum(name in _SQL for name in _QUERIES) / len(_QUERIES)

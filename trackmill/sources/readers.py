@@ -16,19 +16,21 @@ _ROAD = "type string, id string, properties struct<name: string, highway: string
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Ten comma-separated fields to typed columns; reject_reason is null for good rows."""
-    part = F.transform(F.split(column, ",", -1), lambda x: F.trim(x))  # noqa: PLW0108  trim itself would take the place as what to trim
-    # no field of ten may turn a neighbour's error into its own
-    get = lambda i: F.get("_f", F.lit(i))
-    number = lambda i, kind: get(i).try_cast(kind)
-    out = lines.withColumn("_f", part)
-    typed = {name: get(i) for i, name in enumerate(FIELDS)} | {n: number(i, "double") for i, n in ((4, "longitude"), (5, "latitude"), (6, "speed"), (7, "heading"))} | {"location_flag": number(9, "int")}
-    for name, c in typed.items():
-        out = out.withColumn(name, c)
-    when = F.try_to_timestamp(F.concat("date", text.pad_time(F.col("time"))), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    out = out.withColumn("datetime", F.when(F.length("date") == 8, when)).withColumn("is_valid", F.col("location_flag") == 1)
+    # a generated column is made once, where a projected one would be repeated in each that uses it
+    split = lines.select("*", F.explode(F.array(F.split(column, ",", -1))).alias("_f"))
+    get = lambda i: F.trim(F.get("_f", F.lit(i)))
+    kinds = {"longitude": "double", "latitude": "double", "speed": "double", "heading": "double", "location_flag": "int"}
+    # no field may turn a neighbour's error into its own
+    typed = [get(i).try_cast(kinds[n]).alias(n) if n in kinds else get(i).alias(n) for i, n in enumerate(FIELDS)]
+    when = F.try_to_timestamp(F.concat(get(0), text.pad_time(get(1))), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    when = F.when(F.length(get(0)) == 8, when)
+    rest = [c for c in lines.columns if c not in (*FIELDS, "datetime", "is_valid", "reject_reason")]
+    fields = F.inline(F.array(F.struct(*typed, when.alias("datetime"), F.size("_f").alias("_n"))))
+    out = split.select(*rest, fields).withColumn("is_valid", F.col("location_flag") == 1)
     bad = F.col("longitude").isNull() | F.col("latitude").isNull() | F.col("speed").isNull() | F.col("heading").isNull() | F.col("location_flag").isNull()
-    reason = F.when(F.trim(column) == "", "blank").when(F.size("_f") != 10, "field_count").when(F.col("datetime").isNull(), "time").when(bad, "parse").when(~filters.valid_coordinate(), "coordinate")
-    return out.withColumn("reject_reason", reason).drop("_f")
+    blank = (F.col("_n") == 1) & (F.col("date") == "")
+    reason = F.when(blank, "blank").when(F.col("_n") != 10, "field_count").when(F.col("datetime").isNull(), "time").when(bad, "parse").when(~filters.valid_coordinate(), "coordinate")
+    return out.withColumn("reject_reason", reason).drop("_n")
 
 
 def gps_text(spark: SparkSession, path: str, *, glob: str = "*-utf.txt", recursive: bool = True) -> DataFrame:
@@ -44,8 +46,8 @@ def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def new_files(parsed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of files that the store has nothing of."""
-    return parsed.join(stored.select("source_file").distinct(), "source_file", "left_anti")
+    """Rows of files that the store has nothing of; a day's files are its own."""
+    return parsed.join(stored.select("day", "source_file").distinct(), ["day", "source_file"], "left_anti")
 
 
 def _points(c: Column, swap: bool = False) -> Column:
@@ -62,6 +64,18 @@ def roads_geojson(features: DataFrame, *, merge_parts: bool = False, column: str
     return out.select("road_id", "road_name", "road_type", _points(F.col("c")).alias("coords")).where(F.size("coords") >= 2)
 
 
+def points_geojson(features: DataFrame, column: str = "value") -> DataFrame:
+    """longitude, latitude and properties (a map of texts) of Point features."""
+    f = features.select(F.from_json(column, "type string, properties map<string, string>, geometry struct<type: string, coordinates: array<double>>").alias("f"))
+    return flat_location(f.where("f.type = 'Feature' AND f.geometry.type = 'Point'").select("f.properties", F.col("f.geometry").alias("location")))
+
+
+def flat_location(documents: DataFrame, column: str = "location") -> DataFrame:
+    """longitude and latitude of a GeoJSON point, whose coordinates are in that order, instead of it."""
+    at = lambda i: F.get(f"{column}.coordinates", F.lit(i))
+    return documents.withColumns({"longitude": at(0), "latitude": at(1)}).drop(column)
+
+
 def collection(spark: SparkSession, path: str) -> DataFrame:
     """The features of FeatureCollection files, one text each."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("c"))
@@ -74,16 +88,19 @@ def highways(roads: DataFrame, classes: str = r"motorway|trunk|primary|secondary
 
 
 def areas_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """gb_code, name and the exterior rings of the first feature of each file, which must be a MultiPolygon."""
+    """gb_code, name and the exterior rings of the first feature of each file, which must be a MultiPolygon: any other is an error when it is read."""
     schema = "features array<struct<properties: struct<gb: string, name: string>, geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c")).select(F.get("c.features", F.lit(0)).alias("f"))
     rings = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    return f.where("f.geometry.type = 'MultiPolygon'").select(F.col("f.properties.gb").alias("gb_code"), F.col("f.properties.name").alias("name"), F.transform(rings, lambda p: _points(F.get(p, F.lit(0)))).alias("polygons"))
+    kind = F.col("f.geometry.type")
+    rings = F.when(kind == "MultiPolygon", rings).otherwise(F.raise_error(F.concat(F.lit("no MultiPolygon: "), F.coalesce(kind, F.lit("nothing")))))
+    return f.select(F.col("f.properties.gb").alias("gb_code"), F.col("f.properties.name").alias("name"), F.transform(rings, lambda p: _points(F.get(p, F.lit(0)))).alias("polygons"))
 
 
 def upsert_areas(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The store with areas of the same code replaced."""
-    return stored.join(fresh.select("gb_code"), "gb_code", "left_anti").unionByName(fresh)
+    """The store with areas of the same code replaced; of fresh ones that share a code the last by name stays."""
+    one = fresh.groupBy("gb_code").agg(F.max_by(F.struct(*[c for c in fresh.columns if c != "gb_code"]), "name").alias("a")).select("gb_code", "a.*")
+    return stored.join(one.select("gb_code"), "gb_code", "left_anti").unionByName(one)
 
 
 def to_wkt(polygons: Column) -> Column:
@@ -93,9 +110,13 @@ def to_wkt(polygons: Column) -> Column:
 
 
 def gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Track points: latitude, longitude, elevation, datetime."""
-    rows = spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, ele double, time string").load(path)
-    return rows.select(F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.coalesce("ele", F.lit(0.0)).alias("elevation"), text.parse_time(F.col("time")).alias("datetime")).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    """Track points: latitude, longitude, elevation, datetime, and speed, heading and accuracy where they are told. A point with a coordinate of 0 is none."""
+    told = "ele double, time string, speed double, course double, hdop double"
+    rows = spark.read.format("xml").option("rowTag", "trkpt").schema(f"_lat double, _lon double, {told}, extensions struct<speed: double, course: double>").load(path)
+    return rows.select(
+        F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"), F.coalesce("ele", F.lit(0.0)).alias("elevation"), text.parse_time(F.col("time")).alias("datetime"),
+        F.coalesce("speed", "extensions.speed").alias("speed"), F.coalesce("course", "extensions.course").alias("heading"), F.col("hdop").alias("accuracy"),
+    ).where("latitude <> 0 AND longitude <> 0")
 
 
 #: fixed values: by what a header is recognised

@@ -61,14 +61,42 @@ def geojson(lines: DataFrame) -> DataFrame:
     )).alias("value"))
 
 
-def gps_lines(points: DataFrame) -> DataFrame:
-    """Positions as raw text lines."""
+def gps_lines(points: DataFrame, *more: str) -> DataFrame:
+    """Positions as raw text lines, beside the columns asked for."""
     n = lambda c: F.col(c).cast("string")
-    return points.select(F.concat_ws(",", F.date_format("datetime", "yyyyMMdd"), F.date_format("datetime", "HHmmss"), F.lit("H"), "plate_number", n("longitude"), n("latitude"), n("speed"), F.col("heading").cast("int").cast("string"), F.lit("0"), n("location_flag")).alias("value"))
+    return points.select(*more, F.concat_ws(",", F.date_format("datetime", "yyyyMMdd"), F.date_format("datetime", "HHmmss"), F.lit("H"), "plate_number", n("longitude"), n("latitude"), n("speed"), F.col("heading").cast("int").cast("string"), F.lit("0"), n("location_flag")).alias("value"))
+
+
+def write_lines(points: DataFrame, path: str) -> None:
+    """Raw text files, a folder for each day."""
+    gps_lines(points, "day").write.mode("overwrite").partitionBy("day").text(path)
+
+
+def _document(head: str, foot: str):
+    """One row for each partition that has rows: a whole document of its lines. A partition's lines pass one at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        begun = False
+        for batch in batches:
+            if batch.num_rows:
+                lines = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"value": lines if begun else [head, *lines]})
+                begun = True
+        if begun:
+            yield pa.RecordBatch.from_pydict({"value": [foot]})
+
+    return run
+
+
+#: fixed values: what stands around the points of a document
+_GPX = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="trackmill" xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>"
+_KML = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
 
 
 def download(points: DataFrame, kind: str, path: str) -> None:
-    """points as csv or geojson files."""
+    """points as csv, geojson, gpx or kml files; each file is a document by itself."""
     if kind == "csv":
         points.write.mode("overwrite").option("header", True).csv(path)
     elif kind == "geojson":
@@ -76,7 +104,16 @@ def download(points: DataFrame, kind: str, path: str) -> None:
         rest = F.struct(*[c for c in points.columns if c not in ("longitude", "latitude")])
         points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), rest.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
     elif kind in ("gpx", "kml"):
-        tag = F.format_string('<trkpt lat="%s" lon="%s"/>' if kind == "gpx" else "<coordinates>%2$s,%1$s</coordinates>", "latitude", "longitude")
-        points.select(tag.alias("value")).write.mode("overwrite").text(path)
+        has = lambda c: c in points.columns
+        time = F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'") if has("datetime") else F.lit(None).cast("string")
+        tag = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))).otherwise("")
+        lat, lon = F.col("latitude").cast("string"), F.col("longitude").cast("string")
+        if kind == "gpx":
+            more = [tag("time", time), *[tag(name, F.col(c).cast("string")) for name, c in (("speed", "speed"), ("course", "heading")) if has(c)]]
+            value = F.concat(F.lit('<trkpt lat="'), lat, F.lit('" lon="'), lon, F.lit('">'), *more, F.lit("</trkpt>"))
+        else:
+            value = F.concat(F.lit("<Placemark>"), F.when(time.isNotNull(), F.concat(F.lit("<TimeStamp>"), tag("when", time), F.lit("</TimeStamp>"))).otherwise(""), F.lit("<Point><coordinates>"), lon, F.lit(","), lat, F.lit("</coordinates></Point></Placemark>"))
+        head, foot = _GPX if kind == "gpx" else _KML
+        points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(value.alias("value")).mapInArrow(_document(head, foot), "value string").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no download as {kind}")
