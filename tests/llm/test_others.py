@@ -257,7 +257,7 @@ def test_nearest_examples_are_exact(monkeypatch):
         return {x: y / long for x, y in v.items()}
 
     examples = [vector(b) for b in bags]
-    for block, together, often in ((256, 512, 32), (16, 7, 32), (16, 512, 4), (16, 512, 10**6)):
+    for block, together, often in ((256, 512, 10), (16, 7, 10), (16, 512, 4), (16, 512, 10**6)):
         for name, value in (("BLOCK", block), ("TOGETHER", together), ("OFTEN", often)):
             monkeypatch.setattr(toxicity, name, value)
         ix = index_of(texts, labels, {0: 0.5, 1: 1.0})
