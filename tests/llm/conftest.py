@@ -9,7 +9,7 @@ ODD = [
 ]
 SCHEMA = "doc_id long, text string, source string, lang string"
 #: names that operators use inside
-CLASHING = ["row", "size", "hit", "found", "doc", "key", "runs", "class", "unit", "role", "c0", "n", "words", "copies", "rate", "target", "label", "id", "k", "n_words", "n_removed", "last", "src", "bucket", "blob", "word", "score", "matches", "places", "__x"]
+CLASHING = ["row", "size", "hit", "found", "doc", "key", "runs", "class", "unit", "role", "c0", "n", "words", "copies", "rate", "target", "label", "id", "k", "n_words", "n_removed", "last", "src", "bucket", "blob", "word", "score", "matches", "places", "__x", "__gone", "t", "row_", "key", "first_id", "hot", "doc_", "x", "place"]
 
 
 @pytest.fixture

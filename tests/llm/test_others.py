@@ -217,10 +217,38 @@ def test_language(spark, odd, none):
     assert {r.found.lang for r in language.identify(odd, language.train([], []), ["doc_id"]).collect()} == {"und"}
 
 
+def test_hashed_features_of_texts_and_their_sums():
+    import pyarrow as pa
+
+    from trackmill.llm import common
+
+    texts = ["Der Hund", "", "a", "ab", "x1y2 zz", "日本 words", "ten  words.and more", "ab"]
+    buf, off = common.strings(pa.array(texts, pa.large_string()))
+    h, edges = language.features(buf, off)
+    table = np.random.default_rng(2).normal(size=(2 * language.BUCKETS, 3))
+    sums, n = language._sums(table, buf, off)
+    for i, t in enumerate(texts):
+        alone, _ = language.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        assert (h[edges[i] : edges[i + 1]] == alone).all() and n[i] == len(alone) and np.allclose(sums[i], table[alone].sum(0))
+        plain = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in t.lower().encode())
+        assert n[i] == sum(plain[j + 1] != 32 for j in range(len(plain) - 2)) + sum(plain[j + 1] != 32 and plain[j + 2] != 32 for j in range(len(plain) - 3))
+
+
+def test_more_languages_than_dimensions(spark):
+    rng = random.Random(6)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for i in range(20)}
+    docs = [(20 * i + j, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i in range(30) for j, k in enumerate(words)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.fitted(df)
+    assert model["weights"] is not None
+    got = language.identify(df, model, ["lang"]).collect()
+    assert np.mean([r.lang == r.found.lang for r in got]) > 0.95
+
+
 def test_an_odd_document_does_not_stop_rejection(spark):
     """One correct calibration document hardly above 1/L; a text in an unlearned language has about 1/L."""
     assert language._threshold(np.r_[0.3, np.full(200, 0.99)], 4) == 0.5 and language._threshold(np.full(50, 0.26), 4) > 1 / 4
-    model = language.train([], []) | {"names": ["a", "b", "c", "d"], "table": np.zeros((2 * language.BUCKETS, 4), np.float32), "bias": np.zeros(4)}
+    model = language.train([], []) | {"names": ["a", "b", "c", "d"], "table": np.zeros((2 * language.BUCKETS, 4), np.float32), "weights": None, "bias": np.zeros(4)}
     model["threshold"] = language._threshold(np.r_[0.3, np.full(200, 0.99)], 4)
     assert not language.identify(spark.createDataFrame([(1, "unheard of words")], DOCS), model, ["doc_id"]).first().found.accepted
 
@@ -231,7 +259,7 @@ def index_of(texts, labels, share):
     from trackmill.llm import common
 
     of, x, _ = toxicity.terms(*common.strings(pa.array(texts, pa.large_string())))
-    return toxicity.Index(*toxicity.bags(of, x), labels, list(range(len(texts))), share)
+    return toxicity.Index(*toxicity.bags(of, x), labels, list(range(len(texts))), share, k=6)
 
 
 def test_nearest_examples_are_exact(monkeypatch):
@@ -244,7 +272,7 @@ def test_nearest_examples_are_exact(monkeypatch):
     def bag(t):
         w = Counter()
         for x in brute.plain(t):
-            w.update([x] + [("prefix", k, x[:k]) for k in (4, 5) if len(x) > k])
+            w.update([x] + [("prefix", x[:4])] * (len(x) > 4))
         return w
 
     bags, n0 = [bag(t) for t in texts], labels.count(0)
@@ -257,8 +285,8 @@ def test_nearest_examples_are_exact(monkeypatch):
         return {x: y / long for x, y in v.items()}
 
     examples = [vector(b) for b in bags]
-    for block, together, often in ((256, 512, 10), (16, 7, 10), (16, 512, 4), (16, 512, 10**6)):
-        for name, value in (("BLOCK", block), ("TOGETHER", together), ("OFTEN", often)):
+    for block, together, often, most_open in ((256, 512, 10, 0.4), (16, 7, 10, 0.4), (16, 512, 4, 1), (16, 512, 10**6, 1), (8, 512, 10**6, 0)):
+        for name, value in (("BLOCK", block), ("TOGETHER", together), ("OFTEN", often), ("MOST_OPEN", most_open), ("K", 6)):
             monkeypatch.setattr(toxicity, name, value)
         ix = index_of(texts, labels, {0: 0.5, 1: 1.0})
         import pyarrow as pa
@@ -271,7 +299,7 @@ def test_nearest_examples_are_exact(monkeypatch):
         for i, q in enumerate(queries_):
             v = vector(bag(q))
             cosine = {j: c for j, e in enumerate(examples) if (c := sum(y * e.get(x, 0) for x, y in v.items())) > 0}
-            want = sorted(cosine.values(), reverse=True)[: toxicity.K]
+            want = sorted(cosine.values(), reverse=True)[:6]
             places, scores = found.get(i, ([], []))
             near = [(ix.ids[p], s) for p, s in zip(places, scores) if p >= 0]
             assert np.allclose([s for _, s in near], want) and all(abs(cosine[j] - s) < 1e-9 for j, s in near) and len({j for j, _ in near}) == len(near)
@@ -310,5 +338,56 @@ def test_quality(spark, odd, none, labels):
         assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows) and quality.score(none, model).count() == 0
 
 
+def test_views_exchange_their_surest_labels(monkeypatch):
+    """Each round, what a view was surest of is added to what the other learns from, and to nothing else."""
+    rng = np.random.default_rng(3)
+
+    def rows(n):
+        y = rng.integers(0, 2, n)
+        return [(np.array([k, 2 + rng.integers(0, 30)], np.int32), np.ones(2, np.float32), np.zeros(quality.RATIOS, np.float32), np.array([k if rng.random() < 0.8 else 1 - k, 5 + rng.integers(0, 9), 20, 30], np.int32)) for k in y.tolist()], y.tolist()
+
+    labelled, y = rows(60)
+    pool, hidden = rows(200)
+    monkeypatch.setattr(quality, "SURE", 10)
+    seen, raw = {id_: [] for id_ in ("text", "meta")}, {"text": [], "meta": []}
+    dense = quality._dense(pool)
+    name = lambda x: "text" if x.shape[1] == quality.BUCKETS + quality.RATIOS else "meta"
+    fit = quality._View.fit
+
+    def spy(self, x, t):
+        fit(self, x, t)
+        seen[name(x)].append((x[40:], t[40:]))
+        raw[name(x)].append(self.raw(dense[0 if name(x) == "text" else 1]))
+
+    monkeypatch.setattr(quality._View, "fit", spy)
+    model = quality.train(labelled, y, pool, {0: 1.0, 1: 1.0}, rounds=2)
+    rate = float(np.mean(y))
+    given = {"text": {}, "meta": {}}
+    for r in range(2):
+        for mine, other in (("text", "meta"), ("meta", "text")):
+            z = raw[mine][r]
+            up = [i for i in np.argsort(-z, kind="stable").tolist() if i not in given[other] and z[i] > 0][: round(10 * rate)]
+            down = [i for i in np.argsort(z, kind="stable").tolist() if i not in given[other] and z[i] < 0][: round(10 * (1 - rate))]
+            given[other].update({i: 1 for i in up} | {i: 0 for i in down})
+        for k, m in (("text", 0), ("meta", 1)):
+            x, t = seen[k][r + 1]
+            assert len(x) == len(given[k]) > 0 and t.tolist() == [given[k][i] for i in sorted(given[k])] and (x == dense[m][sorted(given[k])]).all()
+    assert len(seen["text"][0][0]) == 0 and np.mean([given["meta"][i] == hidden[i] for i in given["meta"]]) > 0.9 and np.isfinite(model["both"]).all()
+
+
+def test_bpe_counts_roll_up(spark, small, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "lang", "text")
+    counted = docs.join(token_counts.bpe_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), "doc_id")
+    r = token_counts.Rollup(spark, str(tmp_path))
+    assert r.commit("all", token_counts.changes(counted, 1, version=F.lit("bpe-50k"), tokens=F.col("tokens")))
+    want = Counter()
+    for x in counted.select("source", "lang", "tokens").collect():
+        want[x.source, x.lang] += x.tokens
+    assert {(x.source, x.lang): x.tokens for x in r.totals().collect()} == dict(want)
+
+
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from tests.llm.conftest import ODD, prose
 from trackmill.llm import substrings
+from trackmill.llm.common import SPACED, Words, strings
 
 
 def corpus(seed):
@@ -28,11 +31,37 @@ def got(df):
 def test_equals_brute_force(spark, monkeypatch, window, gram, flush):
     monkeypatch.setattr(substrings, "FLUSH", flush)
     monkeypatch.setattr(substrings, "SLAB", 300 if flush == 4000 else 1 << 20)
+    if flush < 10**7:  # so that some runs are hot
+        for name in ("SAMPLED", "HOT_FROM"):
+            monkeypatch.setattr(substrings, name, 1 if name == "SAMPLED" else 3)
     docs = corpus(window + gram)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert got(substrings.digest(df, window, gram)) == brute.digest(docs, window)
 
 
+def test_hot_runs_come_last(spark, monkeypatch):
+    """The windows of a passage that every document quotes: those inside share buckets, those on its border do not."""
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    rng = random.Random(2)
+    passage = prose(rng, 30, 10**6)
+    docs = [(i, " ".join(prose(rng, 20, 10**6) + passage + prose(rng, 20, 10**6))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hot = substrings.hot_runs(df, 3, 50)
+    assert len(hot.keys) == 28
+    words = Words(*strings(pa.array([docs[0][1]], pa.large_string())), SPACED, False)
+    low = substrings.minimisers(words.hashes(), 10, 3, hot)
+    last = [bool(x >> 63) for x in low.tolist()]
+    assert last == [20 <= i <= 40 for i in range(len(low))]
+    assert got(substrings.digest(df, 10, 3)) == brute.digest(docs, 10)
+
+
+def test_equal_stretches_of_a_large_bucket_are_combined():
+    blobs = [substrings._packed(np.array(d), np.array(d) + 100, np.array([3, 5]), np.array([1, 2]), texts) for d, texts in (([7, 9], [b"a b", b"c d e"]), ([2, 9], [b"a b", b"c d e"]), ([8, 1], [b"x y", b"c d e"]))]
+    gone, rest = ([x.tolist() for x in substrings._unpacked(b)[:4]] for b in substrings._combined(blobs))
+    assert sorted(zip(*gone)) == [(7, 107, 3, 1), (9, 109, 5, 2), (9, 109, 5, 2)]
+    assert sorted(zip(*rest)) == [(1, 101, 5, 2), (2, 102, 3, 1), (8, 108, 3, 1)]
+
+
 def test_odd_rows(odd, none):
     assert got(substrings.digest(odd)) == brute.digest([r[:2] for r in ODD])
     assert got(substrings.digest(none)) == [] and substrings.dedup(none).count() == 0

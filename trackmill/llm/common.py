@@ -6,7 +6,6 @@ batch's own buffer and are named by 64-bit fingerprints, so no Python string is
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +14,9 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..sources.workspace import shared_dir
 
 #: Text bytes that are tokenized together; a longer document is taken alone.
 CHUNK = 1 << 20
@@ -23,31 +25,15 @@ _U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-#: sessions whose cluster names no shared folder, as in tests: one JVM, which any temporary folder serves
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can reach; it goes with the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="trackmill-"))
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+#: folders of the operators that run, the innermost last
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is saved inside, unless it is to last, goes when the block ends."""
     path = shared_dir(spark)
-    token = _SCRATCH.set(path)
+    token = _SCRATCH.set((*_SCRATCH.get(), path))
     try:
         yield
     finally:
@@ -57,14 +43,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def save(df: DataFrame, lasting: bool = False) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, which outlives any executor."""
-    spark = df.sparkSession
-    root = None if lasting else _SCRATCH.get()
-    path = f"{root}/{uuid.uuid4().hex}" if root else f"{shared_dir(spark)}/table"
+    """Cuts the lineage: df as a table in the shared folder, which outlives any executor. A lasting one stays as long as the block around the innermost, or the session."""
+    spark, roots = df.sparkSession, _SCRATCH.get()
+    roots = roots[:-1] if lasting else roots
+    path = f"{roots[-1]}/{uuid.uuid4().hex}" if roots else f"{shared_dir(spark)}/table"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_ids(docs: DataFrame, column: str = "doc_id") -> None:
+    """Refuses ids that have no order as whole numbers."""
+    if not isinstance(docs.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must be a whole number, not {docs.schema[column].dataType.simpleString()}")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -3,13 +3,13 @@
 A text's features are the byte trigrams and 4-grams of its letters, hashed into BUCKETS embeddings
 each; their average goes through a linear softmax. Embeddings and softmax are trained by stochastic
 gradient descent in numpy on the driver, on a bounded sample: about PER_LANGUAGE labelled documents of
-each of at most LANGUAGES languages, none longer than LONGEST characters, SAMPLED features of each
-drawn over its whole text. A fifth of the sample calibrates: a temperature for the probabilities,
-and the rejection threshold, below which REJECTED of the correctly named documents lie (at most
-MOST_REJECTED_AT, at least OVER_CHANCE times the 1/L that the best of L languages always has).
+each language (SAMPLE of all together at most), up to HELD_FEATURES features of each, drawn over its whole text
+by the executors, so the driver sees no text. A step takes SAMPLED of them. A fifth of the sample calibrates: a
+temperature for the probabilities, and the rejection threshold, below which REJECTED of the
+correctly named documents lie (at most MOST_REJECTED_AT, at least OVER_CHANCE times the 1/L that the best of L languages always has).
 
 Scoring is one pass over the texts without a shuffle. As the average is linear, embeddings times
-softmax weights are one small table, which is broadcast (its size is fixed by BUCKETS and LANGUAGES).
+softmax weights are one small table, which is broadcast (its size is fixed by BUCKETS and DIM).
 
 Defined cases: a text that is null or without letters is `und` with score 0 and rejected; so is
 every text when nothing could be learned; repeated rows get equal results; rows without doc_id or
@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, chunks, trim
+from .common import FOLD, chunks, save, trim
 
 BUCKETS = 1 << 14
 DIM = 16
 PER_LANGUAGE = 500
-LANGUAGES = 200
-LONGEST = 100_000
+SAMPLE = 100_000
 SAMPLED = 400
+HELD_FEATURES = 1600
 EPOCHS = 6
 #: steps at least, which small samples repeat more often for
 STEPS = 1000
@@ -48,42 +48,37 @@ _LETTER = (((FOLD >= 97) & (FOLD <= 122)) | (_ALL >= 128))
 _PLAIN = np.where(_LETTER, FOLD, 32).astype(np.uint8)
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of some texts, in order of place, and their borders."""
-    letter = _LETTER[buf]
-    x = _PLAIN[buf].astype(np.uint32)
-    x = x[:-2] | (x[1:-1] << 8) | (x[2:] << 16) if len(x) > 2 else x[:0]
-    inside = np.ones(max(len(x), 0), bool)
+def _grams(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashed features of the trigrams, and of the 4-grams, of some texts."""
+    if len(buf) < 3:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+    letter, plain = _LETTER[buf], _PLAIN[buf].astype(np.uint32)
+    x = plain[:-2] | (plain[1:-1] << 8) | (plain[2:] << 16)
+    inside = np.ones(len(x), bool)
     for back in (1, 2):
         at = off[1:-1] - back
         inside[at[(at >= 0) & (at < len(x))]] = False
-    three = np.flatnonzero(inside & letter[1:-1][: len(x)])
-    h = (x * np.uint32(2654435761)) >> np.uint32(18)
-    four = three[(three + 3 < len(buf))]
+    three = np.flatnonzero(inside & letter[1:-1])
+    four = three[three + 3 < len(buf)]
     four = four[inside[np.minimum(four + 1, len(x) - 1)] & letter[four + 2]]
-    h4 = ((x[four] + (_PLAIN[buf[four + 3]].astype(np.uint32) << 24)) * np.uint32(2246822519)) >> np.uint32(18)
+    h3 = (x[three] * np.uint32(2654435761)) >> np.uint32(18)
+    h4 = ((x[four] + (plain[four + 3] << 24)) * np.uint32(2246822519)) >> np.uint32(18)
+    return [(three, h3.astype(np.int64)), (four, h4.astype(np.int64) + BUCKETS)]
+
+
+def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of some texts, in order of place, and their borders."""
+    (three, h3), (four, h4) = _grams(buf, off)
     at = np.r_[three, four]
-    all_h = np.r_[h[three], h4 + np.uint32(BUCKETS)].astype(np.int64)
     order = np.argsort(at, kind="stable")
-    return all_h[order], np.searchsorted(at[order], off)
+    return np.r_[h3, h4][order], np.searchsorted(at[order], off)
 
 
 def _sums(table: np.ndarray, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's summed rows of the table, and its number of features."""
-    letter = _LETTER[buf]
-    x = _PLAIN[buf].astype(np.uint32)
-    n, out, count = len(off) - 1, np.zeros((len(off) - 1, table.shape[1])), np.zeros(len(off) - 1, np.int64)
-    if len(x) < 3:
-        return out, count
-    x = x[:-2] | (x[1:-1] << 8) | (x[2:] << 16)
-    inside = np.ones(len(x), bool)
-    for back in (1, 2):
-        at = off[1:-1] - back
-        inside[at[(at >= 0) & (at < len(x))]] = False
-    three = np.flatnonzero(inside & letter[1:-1])
-    four = three[three + 3 < len(buf)]
-    four = four[inside[np.minimum(four + 1, len(x) - 1)] & letter[four + 2]]
-    for at, h in ((three, (x[three] * np.uint32(2654435761)) >> np.uint32(18)), (four, (((x[four] + (_PLAIN[buf[four + 3]].astype(np.uint32) << 24)) * np.uint32(2246822519)) >> np.uint32(18)) + np.uint32(BUCKETS))):
+    n = len(off) - 1
+    out, count = np.zeros((n, table.shape[1])), np.zeros(n, np.int64)
+    for at, h in _grams(buf, off):
         edges = np.searchsorted(at, off)
         some = np.flatnonzero(edges[1:] > edges[:-1])
         if len(some):
@@ -96,18 +91,14 @@ def _letters(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
-    """table (features by languages), bias, temperature, threshold and the languages' names."""
+def train(bags: list[np.ndarray], langs: list[str], seed: int = 5) -> dict:
+    """bags: features of each text. table (features by DIM or, if they are fewer, languages), weights, bias, temperature, threshold and the languages' names."""
     names = sorted(set(langs))
     if not names:
-        return {"names": [], "table": np.zeros((2 * BUCKETS, 1), np.float32), "bias": np.zeros(1), "temperature": 1.0, "threshold": 0.0}
+        return {"names": [], "table": np.zeros((2 * BUCKETS, 1), np.float32), "weights": None, "bias": np.zeros(1), "temperature": 1.0, "threshold": 0.0}
     rng = np.random.default_rng(seed)
     y = np.searchsorted(names, langs)
-    bags = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        h, _ = features(raw, np.array([0, len(raw)]))
-        bags.append(rng.choice(h, SAMPLED) if len(h) > SAMPLED else h)
+    whole, bags = bags, [rng.choice(h, SAMPLED) if len(h) > SAMPLED else h for h in bags]
     fit = np.flatnonzero([len(b) > 0 for b in bags])
     held = fit[rng.permutation(len(fit)) < len(fit) // 5]
     fit = np.setdiff1d(fit, held)
@@ -121,7 +112,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
         for lo in range(0, len(order), size):
             at = order[lo : lo + size]
             n = np.array([len(bags[i]) for i in at])
-            h, of = np.concatenate([bags[i] for i in at]), np.repeat(np.arange(len(at)), n)
+            h, of = np.concatenate([bags[i] for i in at]).astype(np.int64), np.repeat(np.arange(len(at)), n)
             mean = np.add.reduceat(e[h], np.cumsum(n) - n, axis=0) / n[:, None]
             p = _softmax(mean @ w + bias)
             p[np.arange(len(at)), y[at]] -= 1
@@ -131,11 +122,10 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
             bias -= 0.1 * rate * p.mean(0)
             np.subtract.at(e, h, rate * grad[of])
             done += 1
-    model = {"names": names, "table": (e @ w).astype(np.float32), "bias": bias, "temperature": 1.0, "threshold": 0.0}
+    small = len(names) <= DIM
+    model = {"names": names, "table": (e @ w if small else e).astype(np.float32), "weights": None if small else w, "bias": bias, "temperature": 1.0, "threshold": 0.0}
     if len(held):
-        raw = [texts[i] for i in held]
-        col = pa.array(raw, pa.large_string())
-        z = np.concatenate([_logits(model, buf, off) for *_, buf, off in chunks(col)])
+        z = np.stack([(e[whole[i].astype(np.int64)].mean(0)) @ w + bias for i in held])
         best = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean())
         p = _softmax(z / best)
         right = p.argmax(1) == y[held]
@@ -156,7 +146,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _logits(model: dict, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     sums, n = _sums(model["table"], buf, off)
-    return sums / np.maximum(n, 1)[:, None] + model["bias"]
+    mean = sums / np.maximum(n, 1)[:, None]
+    return (mean if model["weights"] is None else mean @ model["weights"]) + model["bias"]
 
 
 def _predict(model, n_cols: int):
@@ -185,17 +176,32 @@ def _predict(model, n_cols: int):
     return run
 
 
-def sample(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """About so many texts of each language, chosen by a hash of the doc_id."""
-    rows = docs.where(may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to HELD_FEATURES features of each text, drawn over all of it."""
+    for batch in batches:
+        out, keys = [], batch.column(0).to_pylist()
+        for a, _, buf, off in chunks(batch.column(2)):
+            h, edges = features(buf, off)
+            for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                bag = h[s:e] if e - s <= HELD_FEATURES else np.random.default_rng(keys[a + i] & 0xFFFFFFFF).choice(h[s:e], HELD_FEATURES)
+                out.append(bag.astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "lang", "bag"])
+        trim()
+
+
+def sample(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> tuple[list[np.ndarray], list[str]]:
+    """Features and language of about so many texts of each language (of all together SAMPLE at most), chosen by a hash of the doc_id. Executors cut the texts."""
+    rows = docs.where(may_learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = save(rows.groupBy("lang").count())
+    n = counts.count()
+    if not n:
         return [], []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    per = max(1, min(per_language, SAMPLE // n))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per)) / F.col("count")).alias("share"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)).cast("double") / float(1 << 20)
-    chosen = rows.where(drawn < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("doc_id", "text", "lang")
-    got = sorted((r.doc_id, r.lang, r.text) for r in chosen.limit(2 * per_language * len(counts)).collect())
-    return [g[2] for g in got], [g[1] for g in got]
+    chosen = rows.select(F.xxhash64("doc_id").alias("key"), F.col("lang").cast("string").alias("lang"), "text", drawn.alias("drawn")).join(share, "lang").where("drawn < share").select("key", "lang", "text")
+    got = sorted((r.key, r.lang, bytes(r.bag)) for r in chosen.mapInArrow(_bagged, "key long, lang string, bag binary").limit(2 * per * n).collect())
+    return [np.frombuffer(g[2], np.uint16) for g in got], [g[1] for g in got]
 
 
 def identify(docs: DataFrame, model: dict, columns: list[str] | None = None) -> DataFrame:

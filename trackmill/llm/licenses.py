@@ -4,7 +4,7 @@ An exact containment join of text blocks with license templates. Blocks are line
 that span lines (for notices that are wrapped), as long as a text of which PERCENT percent are the template's words. The templates' tokens are
 ordered by their frequency over all documents, counted first. A block that holds need = THRESHOLD
 of a template's n tokens must hold one of its n - need + 1 rarest, so only these prefix tokens are
-joined (with the few templates, as a broadcast of at most MOST_TEMPLATES); the length filter drops
+joined (with the templates, as a broadcast up to MOST_TEMPLATES of them, else by a shuffle); the length filter drops
 blocks with fewer than `need` template tokens, the positional filter those whose first common token
 stands too late in either order, and the rest is verified on whole token sets. Beside that, the
 base phrases are found word by word in every text.
@@ -53,11 +53,13 @@ TEMPLATES = [
 
 
 def words_of(text: Column) -> Column:
-    """The words, with an empty one before or after them where the text begins or ends with a separator.
+    """The words, with an empty one before or after them where the text begins or ends with a separator."""
+    return F.split(folded(F.coalesce(text, F.lit(""))), SEPARATOR, -1)
 
-    A-Z are the only capitals of the word pattern, and no other letter's lower case is a letter of a phrase.
-    """
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR, -1)
+
+def folded(text: Column) -> Column:
+    """Lower case in A-Z only. Of other letters the Kelvin sign alone has a lower case in a-z; it stays out of the words of a template."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
 
 
 def _tokens(text: str) -> list[str]:
@@ -91,11 +93,11 @@ def _met(blocks: DataFrame, prefixes: DataFrame, known: DataFrame, also: str) ->
     return (
         blocks.where(F.size("has") > 0)
         .select("doc_id", "key", also, "has", F.posexplode("has").alias("mine", "token"))
-        .join(F.broadcast(prefixes), "token")
+        .join(prefixes, "token")
         .where((F.size("has") >= F.col("need")) & (F.least(F.col("n") - F.col("at"), F.size("has") - F.col("mine")) >= F.col("need")))
         .select("doc_id", "key", also, "has", "template")
         .distinct()
-        .join(F.broadcast(known), "template")
+        .join(known, "template")
         .withColumn("common", F.size(F.array_intersect("has", "tokens")))
         .where(F.col("common") >= F.col("need"))
     )
@@ -103,7 +105,7 @@ def _met(blocks: DataFrame, prefixes: DataFrame, known: DataFrame, also: str) ->
 
 def _windows(text: Column, tokens: Column, reach: Column, own: Column) -> Column:
     """common and first (line, negative) of each window of `reach` words that begins with a token, spans lines and has more tokens than any of its lines in own."""
-    lines = F.transform(F.split(F.lower(text), r"\n"), lambda low, i: F.transform(F.filter(F.split(low, SEPARATOR, -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    lines = F.transform(F.split(folded(text), r"\n"), lambda low, i: F.transform(F.filter(F.split(low, SEPARATOR, -1), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line"))))
     words = F.transform(F.flatten(lines), lambda x, i: F.struct(x["w"].alias("w"), x["line"].alias("line"), i.alias("at")))
     held = F.filter(words, lambda x: F.array_contains(tokens, x["w"]))
 
@@ -122,9 +124,8 @@ def _windows(text: Column, tokens: Column, reach: Column, own: Column) -> Column
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_words, places (label, start) and matches (label, line, containment) of each row."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError("too many templates to broadcast")
     spark = docs.sparkSession
+    sent = F.broadcast if len(templates) <= MOST_TEMPLATES else lambda df: df
     sets = [(i, label, _tokens(t)) for i, (label, t) in enumerate(templates)]
     vocabulary = sorted({t for *_, s in sets for t in s})
     seen = frequencies(docs, vocabulary)
@@ -135,9 +136,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
         need = -(-percent * len(tokens) // 100)
         known.append((i, label, tokens, len(tokens), need, -(-100 * len(re.findall(WORD, templates[i][1].lower())) // percent)))
         prefixes += [(t, i, k, len(tokens), need) for k, t in enumerate(tokens[: len(tokens) - need + 1])]
-    known = spark.createDataFrame(known, "template int, label string, tokens array<string>, n int, need int, reach int")
+    known = sent(spark.createDataFrame(known, "template int, label string, tokens array<string>, n int, need int, reach int"))
     rare = sorted({p[0] for p in prefixes})
-    prefixes = spark.createDataFrame(prefixes, "token string, template int, at int, n int, need int")
+    prefixes = sent(spark.createDataFrame(prefixes, "token string, template int, at int, n int, need int"))
 
     words = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
     lead, size = (F.get("words", F.lit(0)) == "").cast("int"), F.size("words")
@@ -152,7 +153,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent:
     # a line's template tokens, rarest first
     ordered = F.array(*[F.lit(t) for t in sorted(order, key=order.get)])
     some = words.where(F.arrays_overlap("words", F.array(*map(F.lit, rare))))
-    lines = some.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(F.lower("text"), r"\n")).alias("line", "low"))
+    lines = some.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(folded(F.col("text")), r"\n")).alias("line", "low"))
     tokens = lines.select("doc_id", "key", "line", F.array_intersect(ordered, words_of(F.col("low"))).alias("has"))
     met = _met(tokens, prefixes, known, "line").select("doc_id", "key", "template", "label", "line", "n", "common")
 

@@ -3,7 +3,7 @@
 The text view sees hashed words and a few ratios (symbols, capitals, digits, distinct words, repeated
 lines, word length); the metadata view sees source, language and size, hashed. Each is a logistic
 classifier, trained in numpy on the driver from a bounded sample: about PER_LABEL rows of each label
-and POOL unlabelled ones, none longer than LONGEST characters, drawn by a hash of the doc_id. In each
+and POOL unlabelled ones, drawn by a hash of the doc_id; executors make the views of their whole texts. In each
 of ROUNDS rounds a view labels the pool rows it is surest of, in the labels' own proportion, for the
 other view to learn from. A third of the labelled rows is kept out of that: on it each view
 is calibrated (a logistic curve) and the two are combined (a logistic of both).
@@ -29,7 +29,6 @@ from .common import WORDLIKE, Words, chunks, trim
 
 PER_LABEL = 1500
 POOL = 3000
-LONGEST = 60_000
 BUCKETS = 1 << 11
 META = 1 << 9
 ROUNDS = 5
@@ -109,22 +108,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dense(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of (text, source, lang) rows."""
-    texts = [r[0] or "" for r in rows]
-    out = np.zeros((len(rows), BUCKETS + RATIOS), np.float32)
-    for a, b, buf, off in chunks(pa.array(texts, pa.large_string())):
-        d, bucket, v, ratios = text_view(buf, off)
-        out[a + d, bucket] = v
-        out[a:b, BUCKETS:] = ratios
-    meta = np.zeros((len(rows), META), np.float32)
-    at = meta_view([r[1] for r in rows], [r[2] for r in rows], np.array([len(t.encode()) for t in texts]))
-    if len(rows):
-        np.add.at(meta, (np.arange(len(rows))[:, None], at), 1)
+    """Both views of (buckets, weights, ratios, metadata) rows."""
+    out, meta = np.zeros((len(rows), BUCKETS + RATIOS), np.float32), np.zeros((len(rows), META), np.float32)
+    for i, (bucket, v, ratios, at) in enumerate(rows):
+        out[i, bucket] = v
+        out[i, BUCKETS:] = ratios
+        np.add.at(meta[i], at, 1)
     return out, meta
 
 
+def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, label, text, source, lang) rows to key, label and packed views."""
+    for batch in batches:
+        out = []
+        for a, b, buf, off in chunks(batch.column(2)):
+            d, bucket, v, ratios = text_view(buf, off)
+            edges = np.searchsorted(d, np.arange(b - a + 1))
+            meta = meta_view(*(batch.column(i).slice(a, b - a).to_pylist() for i in (3, 4)), np.diff(off))
+            for i, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                out.append(np.int64(e - s).tobytes() + bucket[s:e].astype(np.int32).tobytes() + v[s:e].astype(np.float32).tobytes() + ratios[i].astype(np.float32).tobytes() + meta[i].astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "label", "views"])
+        trim()
+
+
+def _views(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.frombuffer(blob, np.int32, n, 8), np.frombuffer(blob, np.float32, n, 8 + 4 * n), np.frombuffer(blob, np.float32, RATIOS, 8 + 8 * n), np.frombuffer(blob, np.int32, -1, 8 + 8 * n + 4 * RATIOS)
+
+
 def train(labelled: list[tuple], y: list[int], pool: list[tuple], share: dict[int, float], rounds: int = ROUNDS) -> dict:
-    """labelled and pool: (text, source, lang) rows; share: which part of each label's rows was drawn."""
+    """labelled and pool: rows of both views, as _views() gives them; share: which part of each label's rows was drawn."""
     y = np.array(y, np.float64)
     if len(y) < 6 or y.min() == y.max():
         return {"text": np.zeros(BUCKETS + RATIOS + 1), "meta": np.zeros(META + 1), "curves": [(1.0, 0.0)] * 2, "both": np.zeros(3)}
@@ -182,20 +195,25 @@ def fitted(docs: DataFrame, labels: DataFrame, may_learn: Column) -> dict:
     share = {k: min(1.0, PER_LABEL / n) for k, n in counts.items()}
     draw = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).cast("double") / float(1 << 20)
     chosen = marked.where(draw(23) < F.when(F.col("quality") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))).limit(4 * PER_LABEL)
-    rows = docs.select("doc_id", "text", "source", "lang").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
-    got = sorted({(r.doc_id, r.text or "", r.source or "", r.lang or "", r.quality) for r in rows.join(F.broadcast(chosen), "doc_id").collect()})
+    rows = _rows(docs).withColumn("key", F.xxhash64("doc_id"))
+    kind = "key long, label int, views binary"
+    marked_rows = rows.join(F.broadcast(chosen), "doc_id").select("key", F.col("quality").alias("label"), "text", "source", "lang")
+    got = sorted({(r.key, r.label, bytes(r.views)) for r in marked_rows.mapInArrow(_viewed, kind).limit(8 * PER_LABEL).collect()})
     total = docs.count()
     # labelled ones among them do no harm: their labels are not used
-    pool = rows.where(may_learn & (draw(29) < min(1.0, POOL / max(1, total)))).limit(2 * POOL).collect()
-    free = sorted({(r.doc_id if r.doc_id is not None else -1, r.text or "", r.source or "", r.lang or "") for r in pool})
-    return train([g[1:4] for g in got], [g[4] for g in got], [g[1:] for g in free], share)
+    pool = rows.where(may_learn & (draw(29) < min(1.0, POOL / max(1, total)))).select("key", F.lit(None).cast("int").alias("label"), "text", "source", "lang")
+    free = sorted({(r.key, bytes(r.views)) for r in pool.mapInArrow(_viewed, kind).limit(2 * POOL).collect()})
+    return train([_views(g[2]) for g in got], [g[1] for g in got], [_views(g[1]) for g in free], share)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, and what each view alone gives."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    return rows.mapInArrow(_scored(held), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, text_score double, meta_score double")
+    return _rows(docs).mapInArrow(_scored(held), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, text_score double, meta_score double")
 
 
 def held_out() -> Column:

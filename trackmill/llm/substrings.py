@@ -7,14 +7,17 @@ that minimiser; a word is sent some three times instead of WINDOW times. In a bu
 are fingerprinted with 128 bits and sorted: equal ones are then neighbours, and those of a document
 above the run's smallest doc_id are removed.
 
-Hot passages: equal super-k-mers meet in the scanning task first. All but the one with the smallest
-doc_id are decided there, since a smaller document with those windows is known, and only that one
-travels. A passage in a third of all documents so reaches its bucket once for each FLUSH bytes of
-text, not once for each document.
+Hot passages: runs that are frequent in a sample of the documents are minimisers only of windows that hold
+no other run. (Any order of the runs gives the same result; this one says where windows travel.) Windows on
+the border of a hot passage so go to buckets of their rare words, and those inside are equal super-k-mers in
+all documents. Equal super-k-mers meet in the scanning task first: all but the one with the smallest doc_id
+are decided there, since a smaller document with those windows is known, and only that one travels.
+A passage in a third of all documents so reaches its bucket once for each FLUSH bytes of text; a task
+that reads a large bucket combines equal ones again before it goes on. The number of buckets grows with the text.
 
 Defined cases: null and short texts have no window; a repeat within one document is no repeat;
 rows that share a doc_id do not remove from each other; rows without doc_id neither remove nor lose
-words; an empty table gives an empty table; other columns pass through unchanged.
+words; a doc_id that is no whole number is refused; an empty table gives an empty table; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, spread, trim
+from .common import SPACED, WORDS, WORDS2, Words, chunks, cut, parts, save, scratch, spread, trim, whole_ids
 
 WINDOW = 50
 GRAM = 6
@@ -41,12 +44,37 @@ _U = np.uint64
 _PLACE = _U((1 << 22) - 1)
 
 
-def minimisers(h: np.ndarray, window: int, gram: int) -> np.ndarray:
+#: one document in so many is looked at for hot runs; a run is hot from HOT_FROM times and this part of a bucket's mean on
+SAMPLED, HOT_FROM, HOT_PART = 16, 64, 16
+#: at most so many buckets for each shuffle partition
+MOST_BUCKETS = 64
+_LAST = _U(1 << 63)
+
+
+class Hot:
+    """Sorted fingerprints of runs that are to be minimisers last."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.seen = np.sort(keys), np.zeros(1 << 20, bool)
+        self.seen[self.keys >> _U(44)] = True
+
+    def mark(self, g: np.ndarray) -> np.ndarray:
+        """g with these runs above all others."""
+        out = g & ~_LAST
+        some = np.flatnonzero(self.seen[g >> _U(44)]) if len(self.keys) else []
+        if len(some):
+            at = np.minimum(np.searchsorted(self.keys, g[some]), len(self.keys) - 1)
+            out[some[self.keys[at] == g[some]]] |= _LAST
+        return out
+
+
+def minimisers(h: np.ndarray, window: int, gram: int, hot: Hot | None = None) -> np.ndarray:
     """For each window of the word sequence, the smallest fingerprint of its runs of gram words, with its place."""
     g = WORDS.windows(h, gram)
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    g = g if hot is None else hot.mark(g)
     g = (g & ~_PLACE) | (np.arange(len(g), dtype=np.uint64) & _PLACE)
     span, have = window - gram + 1, 1
     while have * 2 <= span:
@@ -58,8 +86,8 @@ def minimisers(h: np.ndarray, window: int, gram: int) -> np.ndarray:
 class _Held:
     """Super-k-mers of some texts, until they are combined and sent."""
 
-    def __init__(self, window: int, gram: int, n_buckets: int):
-        self.window, self.gram, self.n_buckets = window, gram, n_buckets
+    def __init__(self, window: int, gram: int, n_buckets: int, hot: Hot | None):
+        self.window, self.gram, self.n_buckets, self.hot = window, gram, n_buckets, hot
         self.clear()
 
     def clear(self) -> None:
@@ -69,7 +97,7 @@ class _Held:
         w = Words(buf, off, SPACED, False)
         self.size += len(buf)
         h = w.hashes()
-        low = minimisers(h, self.window, self.gram)
+        low = minimisers(h, self.window, self.gram, self.hot)
         text = w.text()
         ok = (w.left()[: len(low)] >= self.window) & known[text[: len(low)]]
         at = np.flatnonzero(ok)
@@ -128,9 +156,49 @@ def _unpacked(blob: bytes):
     return *out, np.frombuffer(raw, np.uint8, offset=at)
 
 
-def _send(window: int, gram: int, n_buckets: int):
+def _counted(gram: int):
+    """Runs that a task meets more than once in FLUSH bytes of text, how often, and (without a run) how many there are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(window, gram, n_buckets)
+        held, size = [], 0
+
+        def out():
+            x = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            edges = cut(x)
+            times = np.diff(edges)
+            some = np.flatnonzero(times > 1)
+            return pa.RecordBatch.from_arrays([pa.array([*x[edges[some]].view(np.int64).tolist(), None], pa.int64()), pa.array([*times[some].tolist(), len(x)], pa.int64())], names=["x", "n"])
+
+        for batch in batches:
+            for _, _, buf, off in chunks(batch.column(0)):
+                w = Words(buf, off, SPACED, False)
+                g = WORDS.windows(w.hashes(), gram)
+                held.append(g[w.left()[: len(g)] >= gram])
+                size += len(buf)
+                if size >= FLUSH:
+                    yield out()
+                    held, size = [], 0
+                    trim()
+        yield out()
+        trim()
+
+    return run
+
+
+def hot_runs(rows: DataFrame, gram: int, n_buckets: int) -> Hot:
+    """Runs that hold more of the sampled documents' runs than 1 / (HOT_PART * n_buckets), of which there are at most as many."""
+    counts = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_counted(gram), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    with scratch(rows.sparkSession):
+        counts = save(counts)
+        total = counts.where("x IS NULL").first()
+        least = max(HOT_FROM, (total.n if total else 0) // (HOT_PART * n_buckets))
+        keys = np.asarray(counts.where((F.col("n") >= least) & F.col("x").isNotNull()).select("x").toArrow()["x"], np.int64)
+    return Hot(keys.view(np.uint64))
+
+
+def _send(window: int, gram: int, n_buckets: int, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(window, gram, n_buckets, hot.value)
 
         def out():
             sent = list(held.sent())
@@ -183,6 +251,25 @@ def _windows(blob: bytes, window: int, slab: int, slabs: int) -> tuple[np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _combined(blobs: list[bytes]) -> Iterator[bytes]:
+    """The blobs of a bucket as one, in which equal super-k-mers stand once, with the smallest document; first what that decides."""
+    least: dict[bytes, list[tuple]] = {}
+    gone = []
+    for blob in blobs:
+        doc, key, at, count, size, buf = _unpacked(blob)
+        ends = np.cumsum(size.astype(np.int64) + 1) - 1
+        for d, k, a, n, s, e in zip(doc.tolist(), key.tolist(), at.tolist(), count.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+            own = least.setdefault(buf[s:e].tobytes(), [])
+            if own and d < own[0][0]:
+                gone += own
+                own.clear()
+            # a document's own repeats stay together: they do not remove each other, but a smaller document removes all
+            (own if not own or d == own[0][0] else gone).append((d, k, a, n))
+    columns = lambda rows: (np.array([x[i] for x in rows], np.int64) for i in range(4))
+    yield _packed(*columns(gone))
+    yield _packed(*columns([x for own in least.values() for x in own]), [t for t, own in least.items() for _ in own])
+
+
 def _bucket(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     """The windows of one bucket that also stand in a smaller document. A large bucket is sorted in slabs of its fingerprints."""
     slabs = 1 + sum(map(len, blobs)) // SLAB
@@ -206,19 +293,29 @@ def _bucket(blobs: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
 
 def _decide(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, blobs = None, []
+        here, blobs, limit = None, [], SLAB
+
+        def decided(blob: bytes) -> pa.RecordBatch:
+            doc, key, at, count, *_ = _unpacked(blob)
+            return _runs(np.repeat(doc, count), np.repeat(key, count), np.repeat(at, count) + spread(count), np.ones(int(count.sum()), bool))
+
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket < 0:
-                    doc, key, at, count, *_ = _unpacked(blob.as_py())
-                    yield _runs(np.repeat(doc, count), np.repeat(key, count), np.repeat(at, count) + spread(count), np.ones(int(count.sum()), bool))
+                    yield decided(blob.as_py())
                     continue
                 if bucket != here and blobs:
                     yield from _bucket(blobs, window)
-                    blobs = []
+                    blobs, limit = [], SLAB
                     trim()
                 here = bucket
                 blobs.append(blob.as_py())
+                if sum(map(len, blobs)) > limit:
+                    gone, rest = _combined(blobs)
+                    yield decided(gone)
+                    blobs = [rest]
+                    limit = max(SLAB, 2 * len(rest))
+                    trim()
         if blobs:
             yield from _bucket(blobs, window)
 
@@ -229,9 +326,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """doc, key, runs: the windows of a row (named by doc_id and the text's hash) that stand in a smaller document too, as runs of start and count."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
-    n = 4 * parts(docs.sparkSession)
+    whole_ids(docs)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
-    sent = rows.mapInArrow(_send(window, gram, n), "bucket int, blob binary")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts(docs.sparkSession) * min(MOST_BUCKETS, max(4, -(-2 * size // (SLAB * parts(docs.sparkSession)))))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(rows, gram, n))
+    sent = rows.mapInArrow(_send(window, gram, n, hot), "bucket int, blob binary")
     # what is decided already is spread by itself
     where = F.when(F.col("bucket") < 0, F.xxhash64("blob") % n).otherwise(F.col("bucket")).alias("to")
     runs = sent.select("bucket", "blob", where).repartition(parts(docs.sparkSession), "to").sortWithinPartitions("bucket").select("bucket", "blob").mapInArrow(_decide(window), "doc long, key long, at int, count int")
