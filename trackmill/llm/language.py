@@ -38,6 +38,7 @@ EPOCHS = 6
 #: steps at least, which small samples repeat more often for
 STEPS = 1000
 RATE = 4.0
+WIDEST = 50.0
 MOST_REJECTED_AT = 0.5
 REJECTED = 0.01
 OVER_CHANCE = 1.2
@@ -118,7 +119,8 @@ def train(bags: list[np.ndarray], langs: list[str], seed: int = 5) -> dict:
             p[np.arange(len(at)), y[at]] -= 1
             rate = RATE * (1 - done / steps) + 0.05
             grad = p @ w.T / n[:, None]
-            w -= rate * mean.T @ p / len(at)
+            # texts that cannot be told apart would drive the weights without end
+            w = np.clip(w - rate * mean.T @ p / len(at), -WIDEST, WIDEST)
             bias -= 0.1 * rate * p.mean(0)
             np.subtract.at(e, h, rate * grad[of])
             done += 1
