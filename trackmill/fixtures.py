@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import filters
+
 START = 1704067200000000
 
 
@@ -57,7 +59,7 @@ def road_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: one part and one ring each: the survey's default rectangle, and a concave and a two-part area around the city
 AREAS = {
-    "default": [[(113.812401, 22.503099), (114.269966, 22.503099), (114.269966, 22.748068), (113.812401, 22.748068)]],
+    "default": filters.DEFAULT_AREA,
     "concave": [[(113.90, 22.51), (114.20, 22.51), (114.20, 22.69), (114.05, 22.58), (113.90, 22.69)]],
     "parts": [[(113.86, 22.515), (113.99, 22.515), (113.99, 22.605), (113.86, 22.605)], [(114.05, 22.555), (114.25, 22.555), (114.15, 22.705)]],
 }

@@ -74,6 +74,10 @@ def in_china() -> Column:
     return in_box(*CHINA)
 
 
+#: fixed values: the rectangle that stands for the default area until its boundary is stored
+DEFAULT_AREA = [[(113.812401, 22.503099), (114.269966, 22.503099), (114.269966, 22.748068), (113.812401, 22.748068)]]
+
+
 def polygons(rings: list[list[tuple[float, float]]]) -> Column:
     """A literal array<array<struct<x, y>>>."""
     return F.array(*[F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in r]) for r in rings])

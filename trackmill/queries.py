@@ -731,7 +731,7 @@ def geojson_round_trip(spark, d):
     return back.select("road_id", "road_name", "road_type", F.size("coords").alias("n"), r(F.get("coords", F.lit(0))["x"], 6).alias("lon"), r(F.get("coords", F.lit(0))["y"], 6).alias("lat"))
 
 
-@query(on_points("SELECT kind, day, plate_number, count(*) AS n FROM (SELECT 'original' AS kind, day, plate_number, event_id FROM gps_points UNION ALL SELECT 'corrected', day, plate_number, event_id FROM corrected) WHERE (day, plate_number) IN (SELECT (day, plate_number) FROM (SELECT day, plate_number, row_number() OVER (PARTITION BY day ORDER BY plate_number) AS i FROM (SELECT DISTINCT day, plate_number FROM gps_points)) WHERE i <= 20) AND (day, plate_number) IN (SELECT (day, plate_number) FROM corrected) GROUP BY kind, day, plate_number", _SCORED))
+@query(on_points("SELECT kind, day, plate_number, count(*) AS n FROM (SELECT 'original' AS kind, day, plate_number, event_id FROM gps_points UNION ALL SELECT 'corrected', day, plate_number, event_id FROM corrected) WHERE (day, plate_number) IN (SELECT (day, plate_number) FROM (SELECT day, plate_number, row_number() OVER (PARTITION BY day ORDER BY min(event_id)) AS i FROM gps_points GROUP BY day, plate_number) WHERE i <= 20) AND (day, plate_number) IN (SELECT (day, plate_number) FROM corrected) GROUP BY kind, day, plate_number", _SCORED))
 def export_sample(spark, d):
     p = points(spark, d)
     return sinks.sample(p, correction.correct(p), 20).groupBy("kind", *seq.KEYS).agg(F.count("*").alias("n"))

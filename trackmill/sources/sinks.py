@@ -45,8 +45,9 @@ def export_rates(points: DataFrame, corrected: DataFrame, path: str) -> None:
 
 
 def sample(points: DataFrame, corrected: DataFrame, vehicles: int = 100) -> DataFrame:
-    """Rows of each day's first vehicles, original and corrected, where both exist."""
-    first = points.select(*seq.KEYS).distinct().withColumn("_r", F.row_number().over(Window.partitionBy("day").orderBy("plate_number"))).where(F.col("_r") <= vehicles).drop("_r")
+    """Rows of each day's first vehicles in the order in which they came in, original and corrected, where both exist."""
+    came = points.groupBy(*seq.KEYS).agg(F.min("event_id").alias("_first"))
+    first = came.withColumn("_r", F.row_number().over(Window.partitionBy("day").orderBy("_first"))).where(F.col("_r") <= vehicles).select(*seq.KEYS)
     both = first.join(corrected.select(*seq.KEYS).distinct(), list(seq.KEYS), "left_semi")
     tagged = lambda df, kind: df.join(both, list(seq.KEYS), "left_semi").select(*seq.KEYS, "event_id", "longitude", "latitude", F.lit(kind).alias("kind"))
     return tagged(points, "original").union(tagged(corrected, "corrected"))
