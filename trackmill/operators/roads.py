@@ -136,7 +136,7 @@ def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, mo
     """Each point with the roads that have a vertex (or, by option, any part of a segment's box) in the 3 by 3 cells around it; the closest `most` of them.
 
     Cells start at 0; square is the squared distance to the road in degrees. A road with a vertex around is closer
-    than three cells, so segments are listed in the cells up to three from theirs and one join finds all that matter, however
+    than three cells, so segments are looked for up to three cells around and one join finds all that matter, however
     long the road.
     """
     s = segments_of(roads).select("road_id", "seq", "start_lat", "start_lon", "end_lat", "end_lon")
@@ -146,10 +146,13 @@ def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, mo
         ends = {f"_{c}{i}": geo.cell(f"{end}_{name}", size) for i, end in enumerate(("start", "end")) for c, name in (("x", "lon"), ("y", "lat"))}
         s = s.withColumns(ends)
         reach = lambda c, f, by: f(f"_{c}0", f"_{c}1") + by
-        xs, ys = (F.sequence(reach(c, F.least, -3), reach(c, F.greatest, 3)) for c in "xy")
-        listed = s.withColumn("gx", F.explode(xs)).withColumn("gy", F.explode(ys))
+        # the join's own cells are four wide, so that a segment stands in few of them
+        wide = lambda c: F.floor(c / 4).cast("long")
+        xs, ys = (F.sequence(wide(reach(c, F.least, -3)), wide(reach(c, F.greatest, 3))) for c in "xy")
+        listed = s.withColumn("_gx", F.explode(xs)).withColumn("_gy", F.explode(ys))
+        close = [F.col(f"g{c}").between(reach(c, F.least, -3), reach(c, F.greatest, 3)) for c in "xy"]
         around = lambda i: (F.abs(F.col("gx") - F.col(f"_x{i}")) <= 1) & (F.abs(F.col("gy") - F.col(f"_y{i}")) <= 1)
-        met = here.join(listed, ["gx", "gy"]).withColumn("near", around(0) | around(1))
+        met = here.join(listed, (wide(F.col("gx")) == F.col("_gx")) & (wide(F.col("gy")) == F.col("_gy")) & close[0] & close[1]).withColumn("near", around(0) | around(1))
     else:
         # a box may be far from its segment, so the road's other segments have to be looked at
         cells = s.select("road_id", F.explode(_cells(lo("lat"), hi("lat"), lo("lon"), hi("lon"), size)).alias("c")).select("c.gx", "c.gy", "road_id").distinct()
