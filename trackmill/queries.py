@@ -189,7 +189,9 @@ def _ellipsoid(source: str) -> str:
         x2 = f"SELECT *, atan2(si, co) AS arc, CASE WHEN si = 0 THEN 0 ELSE c1 * c2 * sin(lam) / si END AS sa FROM ({x1})"
         x3 = f"SELECT *, CASE WHEN sa * sa = 1 THEN 0 ELSE co - 2 * s1 * s2 / (1 - sa * sa) END AS mid, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS k FROM ({x2})"
         last = ", si, co, arc, 1 - sa * sa AS cc, mid" if i == 7 else ""
-        out.append(f"e{i} AS (SELECT event_id, s1, c1, s2, c2, gap, gap + (1 - k) * {f} * sa * (arc + k * si * (mid + k * co * (2 * mid * mid - 1))) AS lam{last} FROM ({x3}))")
+        x4 = f"SELECT *, gap + (1 - k) * {f} * sa * (arc + k * si * (mid + k * co * (2 * mid * mid - 1))) AS new FROM ({x3})"
+        # what has settled stays
+        out.append(f"e{i} AS (SELECT event_id, s1, c1, s2, c2, gap, CASE WHEN abs(new - lam) <= 1e-12 THEN lam ELSE new END AS lam{last} FROM ({x4}))")
     uu = f"cc * ((6378137e0 * 6378137e0 - {minor} * {minor}) / ({minor} * {minor}))"
     out.append(f"ell AS (SELECT event_id, CASE WHEN si = 0 THEN 0 ELSE {minor} * big * (arc - small * si * (mid + small / 4 * (co * (2 * mid * mid - 1) - small / 6 * mid * (4 * si * si - 3) * (4 * mid * mid - 3)))) END AS metres FROM (SELECT *, 1 + uu / 16384 * (4096 + uu * (uu * (320 - 175 * uu) - 768)) AS big, uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128)) AS small FROM (SELECT *, {uu} AS uu FROM e7)))")
     return ", ".join(out)
@@ -981,7 +983,7 @@ def correction_counters(spark, d):
     return service.correction_counters(points(spark, d).withColumn("is_valid", F.col("location_flag") == 1))
 
 
-@query(on_points("SELECT plate_number, CASE WHEN count(*) FILTER (location_flag = 1 AND speed > 450) > 0 THEN printf('%.1f%%', count(*) FILTER (location_flag = 1 AND speed > 450) * 100.0e0 / count(*)) ELSE '0%' END AS rate, CASE WHEN max(speed) <> 0 THEN printf('%.2f m', max(speed)) ELSE 'N/A' END AS most FROM gps_points GROUP BY plate_number").replace("speed > 450", "speed > 200"))
+@query(on_points("SELECT plate_number, CASE WHEN count(*) FILTER (location_flag = 1 AND speed > 450) > 0 THEN printf('%.1f%%', round(count(*) FILTER (location_flag = 1 AND speed > 450) * 100.0e0 / count(*), 1)) ELSE '0%' END AS rate, CASE WHEN max(speed) <> 0 THEN printf('%.2f m', round(max(speed), 2)) ELSE 'N/A' END AS most FROM gps_points GROUP BY plate_number").replace("speed > 450", "speed > 200"))
 def match_rate_text(spark, d):
     matched = F.count_if((F.col("location_flag") == 1) & (F.col("speed") > 200))
     return points(spark, d).groupBy("plate_number").agg(text.rate_text(matched, F.count("*")).alias("rate"), text.figure_text(F.max("speed"), "m").alias("most"))
