@@ -161,7 +161,10 @@ def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, mo
         met = found.join(s, "road_id").withColumn("near", F.lit(True))
     p = geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
     square = F.pow(F.col("longitude") - F.col("p.lon"), 2) + F.pow(F.col("latitude") - F.col("p.lat"), 2)
-    each = met.withColumn("p", p).groupBy(key, "road_id").agg(F.min(F.struct(square.alias("square"), "seq", "p.lat", "p.lon")).alias("m"), F.max("near").alias("near")).where("near")
+    met = met.withColumn("p", p)
+    # a vertex around is closer than that, so is the closest part of its road
+    met = met.where(square <= 8.000001 * size * size) if index == "vertex" else met
+    each = met.groupBy(key, "road_id").agg(F.min(F.struct(square.alias("square"), "seq", "p.lat", "p.lon")).alias("m"), F.max("near").alias("near")).where("near")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("m.square", 12), "road_id"))
     return each.withColumn("_r", rank).where(F.col("_r") <= most).select(key, "road_id", "m.square", "m.lat", "m.lon")
 
