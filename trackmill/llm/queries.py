@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, importance, jaccard, language, licenses, mixing, quality, substrings, token_counts, topk, toxicity
+from . import chat, collocations, decontaminate, importance, jaccard, language, licenses, mixing, quality, substrings, token_counts, topk, toxicity
 
-_MODULES = [language, decontaminate, licenses, topk, jaccard, quality, substrings, mixing, token_counts, toxicity, importance, chat]
+_MODULES = [language, decontaminate, licenses, topk, jaccard, quality, substrings, mixing, token_counts, toxicity, importance, collocations, chat]
 
 
 def _by_number(name: str) -> int:
