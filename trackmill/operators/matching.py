@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
-from . import filters, roads
+from . import filters, roads, routing
 from . import sequence as seq
 
 RESULT = "event_id long, segment_id string, matched_lat double, matched_lon double, distance double, confidence double"
@@ -230,9 +230,9 @@ def as_trajectory(points: DataFrame, matches: DataFrame) -> DataFrame:
     return out.withColumns({"longitude": F.coalesce("_lon", "orig_longitude"), "latitude": F.coalesce("_lat", "orig_latitude"), "matched": F.col("_lat").isNotNull()}).drop("_lat", "_lon")
 
 
-ALGORITHMS: dict[str, Callable[..., DataFrame]] = {"distance_matching": nearest, "greedy": greedy, "gotrackit": viterbi, "ensemble": ensemble}
+ALGORITHMS: dict[str, Callable[..., DataFrame]] = {"distance_matching": nearest, "greedy": greedy, "gotrackit": viterbi, "hmm": routing.hmm, "ensemble": ensemble}
 #: fixed values: what each algorithm takes unless told otherwise
-DEFAULTS: dict[str, dict] = {name: {"max_distance": 1000.0, "max_speed": 200.0} for name in ALGORITHMS} | {"gotrackit": {"max_distance": 1000.0, "max_speed": 200.0, "threshold": 0.1}}
+DEFAULTS: dict[str, dict] = {name: {"max_distance": 1000.0, "max_speed": 200.0} for name in ALGORITHMS} | {"gotrackit": {"max_distance": 1000.0, "max_speed": 200.0, "threshold": 0.1}, "hmm": {"max_distance": 1000.0, "max_speed": 200.0, "sigma": 50.0, "beta": 200.0, "reach": 3000.0}}
 
 
 def register(name: str, algorithm: Callable[..., DataFrame], **defaults) -> None:

@@ -1004,9 +1004,16 @@ def source_category(spark, d):
 
 
 
+def _whole() -> None:
+    """The modules that add queries to those above."""
+    from . import queries_roads  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _whole()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _whole()
     return dict(_SQL)
