@@ -46,7 +46,7 @@ def test_hot_runs_come_last(spark, monkeypatch):
     passage = prose(rng, 30, 10**6)
     docs = [(i, " ".join(prose(rng, 20, 10**6) + passage + prose(rng, 20, 10**6))) for i in range(200)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    hot = substrings.hot_runs(df, 3, 50)
+    hot = substrings.Hot(substrings.hot_runs(df, 3, 50))
     assert len(hot.keys) == 28
     words = Words(*strings(pa.array([docs[0][1]], pa.large_string())), SPACED, False)
     low = substrings.minimisers(words.hashes(), 10, 3, hot)

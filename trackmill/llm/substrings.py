@@ -185,7 +185,7 @@ def _counted(gram: int):
     return run
 
 
-def hot_runs(rows: DataFrame, gram: int, n_buckets: int) -> Hot:
+def hot_runs(rows: DataFrame, gram: int, n_buckets: int) -> np.ndarray:
     """Runs that hold more of the sampled documents' runs than 1 / (HOT_PART * n_buckets), of which there are at most as many."""
     counts = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_counted(gram), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
     with scratch(rows.sparkSession):
@@ -193,12 +193,12 @@ def hot_runs(rows: DataFrame, gram: int, n_buckets: int) -> Hot:
         total = counts.where("x IS NULL").first()
         least = max(HOT_FROM, (total.n if total else 0) // (HOT_PART * n_buckets))
         keys = np.asarray(counts.where((F.col("n") >= least) & F.col("x").isNotNull()).select("x").toArrow()["x"], np.int64)
-    return Hot(keys.view(np.uint64))
+    return keys.view(np.uint64)
 
 
 def _send(window: int, gram: int, n_buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(window, gram, n_buckets, hot.value)
+        held = _Held(window, gram, n_buckets, Hot(hot.value))
 
         def out():
             sent = list(held.sent())
