@@ -1,23 +1,23 @@
 """Phrase collocations: a minimal perfect hash over safe candidates, counted in arrays that are added up in a tree.
 
 Texts (A-Z lower-cased) are cut at punctuation and line ends into pieces, pieces at blanks into words; a phrase stands
-within a piece. All counts are per language (null: `und`). Three scans of the documents:
+within a piece. All counts are per language (null: `und`). Four scans of the documents:
 
 1. Every task hashes its runs of 1 to N words into buckets and counts them in sorted, packed blobs; slices of the bucket space add
    these up and keep a bit where a bucket reaches LEAST. A run whose bucket does not is rarer than LEAST, for certain.
 2. Runs whose own bit and those of all their parts are set are the candidates (a superset of all frequent phrases and their
-   parts). Each becomes one row, whatever its count.
-3. Candidates get slots of a minimal perfect hash, made shard by shard in tasks, with a second fingerprint of each phrase
-   stored at its slot. Every task counts its runs in an array by slot, verified against the stored key; arrays are added up in two
-   rounds (by slice of slots and a salt, then by slice).
+   parts). Tasks send their names, packed, to shards, each of which makes its part of a minimal perfect hash with the name as the stored key.
+3. Every task counts its runs in an array by slot, verified against the stored key; arrays are added up in two
+   rounds (by slice of slots and a salt, then by slice). Beside a count goes the smallest mark of a text that holds the phrase.
+4. The texts with these marks tell the frequent phrases' words, so that each is told about once, however common it is.
 
 Then a candidate's count and those of both sides of each cut are read by slot. More than BLOCK candidates are taken in blocks of shards,
-with one scan of step 3 each, so that what is broadcast stays bounded. The bitmap has a bit for each eight bytes of text, 2**30 at most;
+with one scan of steps 3 and 4 each, so that what is broadcast stays bounded. The bitmap has a bit for each eight bytes of text, 2**30 at most;
 larger corpora fill it up, and then get more candidates, not other results.
 
 Defined cases: null, empty and wordless texts hold no phrase; a null language is `und`, together with that name itself; an empty
 table gives no row; words and texts may be of any length; repeated rows count each time; other columns are not looked at. Phrases are told apart by
-fingerprints of 128 bits (words by 64).
+fingerprints of 64 bits.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, WORDS2, Words, chunks, cut, mix, pack, parts, save, scratch, spread, trim, unpack
+from .common import WORDS, Words, chunks, cut, mix, pack, parts, save, scratch, spread, trim, unpack
 
 #: words of a phrase, its least count, percent of a phrase's count at which a longer one covers it, rows of a language
 N, LEAST, COVER, TOP = 4, 30, 80, 2000
@@ -43,6 +43,7 @@ HELD, TOLD = 1 << 22, 1 << 21
 SHARD, BLOCK, SLOTS, SALTS = 1 << 17, 1 << 22, 1 << 16, 64
 
 _U = np.uint64
+_NONE = np.iinfo(np.uint32).max
 _ALL = np.arange(256, dtype=np.uint8)
 _BREAK = np.isin(_ALL, list(b".,;:!?\n\x0b\x0c\r"))
 _KIND = ~_BREAK & ~np.isin(_ALL, list(b" \t"))
@@ -54,7 +55,7 @@ def _salt(lang: str) -> int:
 
 
 class Runs:
-    """The runs of words of some texts, each named by two fingerprints of its language and words."""
+    """The runs of words of some texts, each named by a fingerprint of its language and words."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, langs: list[str]):
         w = self.words = Words(buf, off, _KIND, True)
@@ -68,15 +69,11 @@ class Runs:
         size = np.diff(np.r_[-1, last])
         self.left = np.repeat(last + 1, size) - np.arange(n)
         self.salt = np.array([_salt(x) for x in langs], _U)[w.text()] if n else np.zeros(0, _U)
-        h = w.hashes()
-        self.sums, self.sums2 = WORDS.sums(h), WORDS2.sums(h)
+        self.sums = WORDS.sums(w.hashes())
 
     def names(self, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
         return mix(WORDS.ranges(self.sums, at, at + k) ^ self.salt[at])
 
-    def keys(self, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-        return mix(WORDS2.ranges(self.sums2, at, at + k) + self.salt[at])
-
     def possible(self, bits: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """k, places and names of the runs that the bitmap lets through with all their parts."""
         mask, able = _U(len(bits) * 8 - 1), None
@@ -90,6 +87,11 @@ class Runs:
             able[at] = True
             yield k, at, x
 
+    def marks(self) -> np.ndarray:
+        """A number for each word's text, equal for equal texts."""
+        w = self.words
+        return (WORDS.ranges(self.sums, w.first[:-1], w.first[1:]) >> _U(33)).astype(np.uint32)[w.text()]
+
     def phrase(self, at: int, k: int) -> bytes:
         w = self.words
         return b" ".join(w.buf[s:e].tobytes() for s, e in zip(w.start[at : at + k].tolist(), w.end[at : at + k].tolist(), strict=True))
@@ -184,24 +186,24 @@ def shard_levels(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Slots:
-    """Slots of the names of a block of shards: level by level, in a level shard by shard. keys holds the second fingerprint of each slot's phrase."""
+    """Slots of the names of a block of shards: level by level, in a level shard by shard. names holds the key of each slot."""
 
     def __init__(self, low: int, shift: int, shards: list[list[tuple[np.ndarray, np.ndarray]]]):
-        """shards: of each shard from number low on, the bits and the keys of its levels."""
+        """shards: of each shard from number low on, the bits and the names of its levels."""
         self.low, self.shift, self.count = low, shift, len(shards)
-        self.levels, keys, before = [], [], 0
+        self.levels, names, before = [], [], 0
         for level in range(max(map(len, shards), default=0)):
             own = [s[level] if level < len(s) else (np.zeros(0, _U), np.zeros(0, _U)) for s in shards]
             size = np.array([64 * len(b) for b, _ in own])
             bits = np.concatenate([b for b, _ in own])
             ones = np.bitwise_count(bits).astype(np.int64)
             self.levels.append((np.cumsum(size) - size, size, bits, (before + np.cumsum(ones) - ones).astype(np.int32)))
-            keys += [k for _, k in own]
+            names += [k for _, k in own]
             before += int(ones.sum())
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, _U)
+        self.names = np.concatenate(names) if names else np.zeros(0, _U)
 
-    def of(self, x: np.ndarray, key) -> np.ndarray:
-        """The slot of each name, -1 if its phrase is not of this block. key(i): second fingerprints of the names at i."""
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The slot of each name, -1 where the slot's key is another."""
         out = np.full(len(x), -1, np.int64)
         shard = (x >> _U(self.shift)).astype(np.int64) - self.low
         i = np.flatnonzero((shard >= 0) & (shard < self.count))
@@ -214,49 +216,66 @@ class Slots:
             out[i[here]] = rank[at[here] >> 6] + np.bitwise_count(word[here] & ((_U(1) << bit[here]) - _U(1)))
             i = i[~here]
         got = np.flatnonzero(out >= 0)
-        out[got[self.keys[out[got]] != key(got)]] = -1
+        out[got[self.names[out[got]] != x[got]]] = -1
         return out
 
 
-def _shards(shift: int):
-    """Names and keys to the levels of each shard, all of whose rows this task has."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of names, all of a shard in this task and shard after shard, to the levels of each shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column(0)).view(_U), np.asarray(b.column(1)).view(_U)) for b in batches]
-        x, y = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (np.zeros(0, _U),) * 2
-        order = np.argsort(x)
-        x, y = x[order], y[order]
-        ends = cut(x >> _U(shift))
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            rows = [(lv, bits.tobytes(), y[a:b][own].tobytes()) for lv, (bits, own) in enumerate(shard_levels(x[a:b]))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[a] >> _U(shift))] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["shard", "level", "bits", "keys"])
+    def levels(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
+        x = np.zeros(0, _U)
+        for i in range(0, len(blobs), 64):
+            x = np.unique(np.concatenate([x, *(unpack(b, "u8")[0] for b in blobs[i : i + 64])]))
+        rows = [(lv, bits.tobytes(), x[own].tobytes()) for lv, (bits, own) in enumerate(shard_levels(x))]
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["shard", "level", "bits", "names"])
 
-    return run
+    here, blobs = None, []
+    for batch in batches:
+        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != here and blobs:
+                yield levels(here, blobs)
+                blobs = []
+            here = shard
+            blobs.append(blob)
+    if blobs:
+        yield levels(here, blobs)
 
 
 # ----------------------------------------------------------------------------- scans
 
 
-def _candidates(bits, most: int):
+def _candidates(bits, most: int, shift: int):
+    """Packed names of candidates, by shard; a task tells each name once, or again after TOLD others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, told = np.frombuffer(bits.value, np.uint8), np.zeros(0, _U)
-        for r, langs in _runs(batches):
-            for k, at, x in r.possible(known, most):
-                x, first = np.unique(x, return_index=True)
-                where = np.minimum(np.searchsorted(told, x), max(len(told) - 1, 0))
-                new = told[where] != x if len(told) else np.ones(len(x), bool)
-                x, at = x[new], at[first[new]]
-                told = np.sort(np.r_[told, x]) if len(told) < TOLD else x
-                text = np.searchsorted(r.words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(x.view(np.int64)), pa.array(r.keys(at, k).view(np.int64)), pa.array(np.full(len(x), k, np.int32)), pa.array([langs[t] for t in text.tolist()], pa.string()), pa.array([r.phrase(i, k).decode() for i in at.tolist()], pa.string()),
-                ], names=["x", "y", "k", "lang", "phrase"])
+        known = np.frombuffer(bits.value, np.uint8)
+        told, held, size = np.zeros(0, _U), [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal told, held, size
+            x = np.unique(np.concatenate([np.zeros(0, _U), *held]))
+            where = np.minimum(np.searchsorted(told, x), max(len(told) - 1, 0))
+            new = x[told[where] != x] if len(told) else x
+            told = np.sort(np.r_[told, new]) if len(told) < TOLD else new
+            held, size = [], 0
+            shard = (new >> _U(shift)).astype(np.int32)
+            ends = cut(shard)
+            return pa.RecordBatch.from_arrays([pa.array(shard[ends[:-1]], pa.int32()), pa.array([pack(new[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["shard", "blob"])
+
+        for r, _ in _runs(batches):
+            for _, _, x in r.possible(known, most):
+                held.append(np.unique(x))
+                size += len(held[-1])
+            if size >= HELD:
+                yield packed()
+        yield packed()
 
     return run
 
 
 def _counts(bits, slots, most: int, with_words: bool):
-    """Slices of this task's counts by slot (slice -1: words of a language)."""
+    """Slices of this task's counts by slot and of the smallest mark of a text in which the slot's phrase stands (slice -1: words of a language)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
@@ -264,13 +283,15 @@ def _counts(bits, slots, most: int, with_words: bool):
         from pyspark import TaskContext
 
         known, own = np.frombuffer(bits.value, np.uint8), pickle.loads(slots.value)
-        n, words = len(own.keys), {}
-        sums, held, size = np.zeros(n, np.int64), [], 0
+        n, words = len(own.names), {}
+        sums, first, held, size = np.zeros(n, np.int64), np.full(n, _NONE, np.uint32), [], 0
         for r, langs in _runs(batches):
             for lang, count in zip(langs, r.words.count.tolist(), strict=True):
                 words[lang] = words.get(lang, 0) + count
-            for k, at, x in r.possible(known, most):
-                slot = own.of(x, lambda i, at=at, k=k: r.keys(at[i], k))
+            marks = r.marks()
+            for _, at, x in r.possible(known, most):
+                slot = own.of(x)
+                np.minimum.at(first, slot[slot >= 0], marks[at[slot >= 0]])
                 held.append(slot[slot >= 0])
                 size += len(held[-1])
             if size >= max(n, HELD):
@@ -279,7 +300,7 @@ def _counts(bits, slots, most: int, with_words: bool):
         if held:
             sums += np.bincount(np.concatenate(held), minlength=n)
         salt = TaskContext.get().partitionId() % SALTS
-        rows = [(i // SLOTS, salt, None, 0, pack(sums[i : i + SLOTS])) for i in range(0, n, SLOTS) if sums[i : i + SLOTS].any()]
+        rows = [(i // SLOTS, salt, None, 0, pack(sums[i : i + SLOTS], first[i : i + SLOTS])) for i in range(0, n, SLOTS) if sums[i : i + SLOTS].any()]
         rows += [(-1, salt, lang, count, None) for lang, count in words.items() if with_words]
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["slice", "salt", "lang", "n", "blob"])
@@ -289,12 +310,12 @@ def _counts(bits, slots, most: int, with_words: bool):
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One blob for each (slice, salt), all of whose rows this task has."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in batches:
         for s, salt, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            more = unpack(blob, "i8")[0]
-            sums[s, salt] = sums[s, salt] + more if (s, salt) in sums else more
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([pack(v) for v in sums.values()], pa.binary())], names=["slice", "salt", "blob"])
+            n, first = unpack(blob, "i8", "u4")
+            held[s, salt] = [held[s, salt][0] + n, np.minimum(held[s, salt][1], first)] if (s, salt) in held else [n, first]
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int32()), pa.array([pack(*v) for v in held.values()], pa.binary())], names=["slice", "salt", "blob"])
 
 
 def _tree_sum(counts: DataFrame) -> DataFrame:
@@ -303,19 +324,28 @@ def _tree_sum(counts: DataFrame) -> DataFrame:
     return once.withColumn("salt", F.lit(0)).repartition(n, "slice").mapInArrow(_added, "slice int, salt int, blob binary")
 
 
-def _read(known, least: int):
-    """The rows whose phrase is of this block and reaches the least count, with it."""
+def _named(bits, known, most: int, least: int):
+    """Frequent phrases of this block, told by the texts with their mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        own, totals = pickle.loads(known.value)
-        for batch in batches:
-            x, y = (np.asarray(batch.column(i)).view(_U) for i in range(2))
-            slot = own.of(x, lambda i, y=y: y[i])
-            a = np.where(slot >= 0, totals[slot], 0) if len(totals) else np.zeros(len(x), np.int64)
-            keep = pa.array(np.flatnonzero(a >= least))
-            yield pa.RecordBatch.from_arrays([*(c.take(keep) for c in batch.columns), pa.array(a).take(keep)], names=[*batch.schema.names, "a"])
+        (own, totals, first), on = pickle.loads(known.value), np.frombuffer(bits.value, np.uint8)
+        open_ = totals >= least
+        for r, langs in _runs(batches):
+            marks = r.marks()
+            for k, at, x in r.possible(on, most):
+                if k == 1 or not len(totals):
+                    continue
+                slot = own.of(x)
+                mine = np.flatnonzero((slot >= 0) & open_[slot] & (first[slot] == marks[at]))
+                slot, i = np.unique(slot[mine], return_index=True)
+                open_[slot] = False
+                at, x = at[mine[i]], x[mine[i]]
+                text = np.searchsorted(r.words.first, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(x.view(np.int64)), pa.array(np.full(len(x), k, np.int32)), pa.array([langs[t] for t in text.tolist()], pa.string()), pa.array([r.phrase(j, k).decode() for j in at.tolist()], pa.string()), pa.array(totals[slot]),
+                ], names=["x", "k", "lang", "phrase", "a"])
 
     return run
 
@@ -326,7 +356,7 @@ def _cuts(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
-        own, totals = pickle.loads(known.value)
+        own, totals, _ = pickle.loads(known.value)
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for a, b, buf, off in chunks(batch.column(2)):
@@ -336,7 +366,7 @@ def _cuts(known):
                 at = spread(np.maximum(k - 1, 0)) + 1
                 begin = np.r_[first[text], first[text] + at]
                 size = np.r_[at, k[text] - at]
-                slot = own.of(r.names(begin, size), lambda i, r=r, begin=begin, size=size: r.keys(begin[i], size[i]))
+                slot = own.of(r.names(begin, size))
                 got = np.flatnonzero(slot >= 0)
                 row, right = got % max(len(text), 1), got >= len(text)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[row] + a)), pa.array(at[row].astype(np.int32)), pa.array(right), pa.array(totals[slot[got]] if len(got) else np.zeros(0, np.int64))], names=["x", "at", "right", "n"])
@@ -363,13 +393,10 @@ def score(a: Column, rest: Column) -> Column:
     return F.call_function("div", F.lit(2_000_000).cast("decimal(7,0)") * a.cast("decimal(19,0)"), rest.cast("decimal(20,0)"))
 
 
-def _hashed(candidates: DataFrame, shift: int, low: int, high: int) -> Slots:
-    n = parts(candidates.sparkSession)
-    own = candidates.select("x", "y", F.expr(f"shiftrightunsigned(x, {shift})").cast("int").alias("shard")).where(F.col("shard").between(low, high - 1))
-    made = own.repartition(n, "shard").select("x", "y").mapInArrow(_shards(shift), "shard int, level int, bits binary, keys binary")
+def _hashed(made: DataFrame, shift: int, low: int, high: int) -> Slots:
     shards: list[dict] = [{} for _ in range(high - low)]
-    for r in made.toLocalIterator():  # some 9 bytes a candidate, BLOCK candidates
-        shards[r.shard - low][r.level] = np.frombuffer(r.bits, _U), np.frombuffer(r["keys"], _U)
+    for r in made.where(F.col("shard").between(low, high - 1)).toLocalIterator():  # some 9 bytes a candidate, BLOCK candidates
+        shards[r.shard - low][r.level] = np.frombuffer(r.bits, _U), np.frombuffer(r["names"], _U)
     return Slots(low, shift, [[s[i] for i in range(len(s))] for s in shards])
 
 
@@ -380,24 +407,28 @@ def collocations(docs: DataFrame, *, words: int = N, least: int = LEAST, cover:
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     with scratch(spark):
-        bits = spark.sparkContext.broadcast(_bitmap(texts, words, least))
-        found = texts.mapInArrow(_candidates(bits, words), "x long, y long, k int, lang string, phrase string")
-        candidates = save(found.groupBy("x").agg(*[F.min(c).alias(c) for c in ("y", "k", "lang", "phrase")]))
-        many = candidates.count()
-        shift = 64 - max(1, (many // SHARD).bit_length())
-        step = max(1, (1 << 64 - shift) * block // max(many, 1))
+        held = _bitmap(texts, words, least)
+        # about one candidate a bit that is set
+        some = int(np.bitwise_count(np.frombuffer(held, np.uint8)).sum(dtype=np.int64))
+        bits, shift = spark.sparkContext.broadcast(held), 64 - max(1, (some // SHARD).bit_length())
+        del held
+        made = save(texts.mapInArrow(_candidates(bits, words, shift), "shard int, blob binary").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_shards, "shard int, level int, bits binary, names binary"))
+        many = made.select(F.sum(F.octet_length("names") / 8)).first()[0] or 0
+        step = max(1, int((1 << 64 - shift) * block // max(many, 1)))
         frequent, known, counted = None, [], []
         for low in range(0, 1 << 64 - shift, step):
-            slots = _hashed(candidates, shift, low, min(low + step, 1 << 64 - shift))
+            slots = _hashed(made, shift, low, min(low + step, 1 << 64 - shift))
             sent = spark.sparkContext.broadcast(cloudpickle.dumps(slots))
             counted.append(save(texts.mapInArrow(_counts(bits, sent, words, low == 0), "slice int, salt int, lang string, n long, blob binary")))
-            totals = np.zeros(len(slots.keys), np.int64)
-            for r in _tree_sum(counted[-1]).toLocalIterator():  # 8 bytes a slot
-                totals[r["slice"] * SLOTS : (r["slice"] + 1) * SLOTS] = unpack(r.blob, "i8")[0]
-            known.append(spark.sparkContext.broadcast(cloudpickle.dumps((slots, totals))))
-            own = candidates.mapInArrow(_read(known[-1], least), "x long, y long, k int, lang string, phrase string, a long")
+            totals, first = np.zeros(len(slots.names), np.int64), np.full(len(slots.names), _NONE, np.uint32)
+            for r in _tree_sum(counted[-1]).toLocalIterator():  # 12 bytes a slot
+                own = slice(r["slice"] * SLOTS, (r["slice"] + 1) * SLOTS)
+                totals[own], first[own] = unpack(r.blob, "i8", "u4")
+            known.append(spark.sparkContext.broadcast(cloudpickle.dumps((slots, totals, first))))
+            own = texts.mapInArrow(_named(bits, known[-1], words, least), "x long, k int, lang string, phrase string, a long")
             frequent = own if frequent is None else frequent.unionAll(own)
-        frequent = save(frequent.where("k > 1").select("x", "k", "lang", "phrase", "a").repartition(n, "x"))
+        # copies of a text tell the same phrases
+        frequent = save(frequent.groupBy("x").agg(*[F.min(c).alias(c) for c in ("k", "lang", "phrase", "a")]))
         sides = None
         for b in known:
             own = frequent.select("x", "lang", "phrase").mapInArrow(_cuts(b), "x long, at int, right boolean, n long")
@@ -412,7 +443,7 @@ def collocations(docs: DataFrame, *, words: int = N, least: int = LEAST, cover:
         best = best.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.s").alias("score"))
         order = "ORDER BY score DESC, a DESC, phrase"
         # of each part of a language first, so that no language meets in one task
-        best = best.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY lang, pmod(xxhash64(phrase), {n}) {order})")).where(F.col("_r") <= top)
+        best = best.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY lang, pmod(xxhash64(phrase), {min(n, 16)}) {order})")).where(F.col("_r") <= top)
         ranked = best.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY lang {order})").cast("long")).where(F.col("rank") <= top)
         counts = counted[0].where("slice = -1").groupBy("lang").agg(F.sum("n").alias("n"))
         return save(ranked.join(counts, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), lasting=True)
