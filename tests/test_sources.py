@@ -1,3 +1,4 @@
+import json
 from xml.etree import ElementTree
 
 import pytest
@@ -10,13 +11,13 @@ from trackmill.plans import service
 from trackmill.sources import readers, sinks, workspace
 from trackmill.streaming import ingest
 
-GOOD = ["20160831,235926,H,P1,113.9,22.61,84.0,243,0,1", "20160901,1,H,P2,114.05,22.645,28.0,250,0,1", "20160901,81501,H,P2,114.1,22.6,28.0,250,0,0"]
-BAD = {"a,b": "field_count", "20160931,000000,H,P,114.1,22.6,28.0,250,0,1": "time", "20160901,1,H,P,x,22.6,28.0,250,0,1": "parse", "20160901,1,H,P,0.0,0.0,28.0,250,0,1": "coordinate", "20160901,1234567,H,P,114.1,22.6,1,1,0,1": "time"}
+GOOD = ["20190504,204510,H,P1,113.9,22.61,51.5,305,0,1", "20190505,9,H,P2,114.05,22.645,17.25,77,0,1", "20190505,73005,H,P2,114.1,22.6,17.25,78,0,0"]
+BAD = {"a,b": "field_count", "20190431,000000,H,P,114.1,22.6,3.5,12,0,1": "time", "20190505,9,H,P,x,22.6,3.5,12,0,1": "parse", "20190505,9,H,P,0.0,0.0,3.5,12,0,1": "coordinate", "20190505,1234567,H,P,114.1,22.6,1,1,0,1": "time"}
 
 
 def test_lines(spark):
     rows = readers.parse_lines(spark.createDataFrame([(x,) for x in [*GOOD, *BAD]], "value string")).collect()
-    assert [str(r.datetime) for r in rows[:3]] == ["2016-08-31 23:59:26", "2016-09-01 00:00:01", "2016-09-01 08:15:01"]
+    assert [str(r.datetime) for r in rows[:3]] == ["2019-05-04 20:45:10", "2019-05-05 00:00:09", "2019-05-05 07:30:05"]
     assert [r.is_valid for r in rows[:3]] == [True, True, False] and all(r.reject_reason is None for r in rows[:3])
     assert [r.reject_reason for r in rows[3:]] == list(BAD.values())
 
@@ -33,9 +34,12 @@ def folder(tmp_path):
 def test_files_points_and_skipping(spark, folder):
     parsed = readers.gps_text(spark, f"{folder}/in")
     assert parsed.count() == 2 * (len(GOOD) + len(BAD)) and {r.day for r in parsed.select("day").distinct().collect()} == {"01", "02"}
-    sinks.write_points(parsed, f"{folder}/points", f"{folder}/bad")
-    stored = spark.read.parquet(f"{folder}/points")
-    assert stored.count() == 6 and spark.read.parquet(f"{folder}/bad").count() == 2 * len(BAD)
+    told = "source_file string, plate_number string, reject_reason string"
+    for batch, new in (("a", True), ("a", False), ("b", True)):  # a batch counts once, a file as well
+        assert sinks.ingest(parsed, f"{folder}/points", batch) is new
+    stored = sinks.stored_points(spark, f"{folder}/points", told)
+    assert stored.count() == 6 and stored.where("reject_reason IS NOT NULL").count() == 0
+    assert sorted(r.reject_reason for r in sinks.stored_points(spark, f"{folder}/points", told, good=False).collect()) == sorted([*BAD.values()] * 2)
     assert readers.new_files(parsed, stored).count() == 0
     assert readers.reject_counts(parsed).where("outcome = 'ok'").agg(F.sum("n")).first()[0] == 6
 
@@ -53,7 +57,7 @@ def test_stream_steps_keep_state(spark, folder):
     q = ingest.steps(ingest.lines(spark, f"{folder}/in")).writeStream.format("memory").queryName("steps").outputMode("append").start()
     q.processAllAvailable()
     first = spark.table("steps").where("plate_number = 'P2'").count()
-    (folder / "in" / "d02" / "z-utf.txt").write_text("20160902,1,H,P2,114.1,22.6,28.0,250,0,1")
+    (folder / "in" / "d02" / "z-utf.txt").write_text("20190506,9,H,P2,114.1,22.6,17.25,78,0,1")
     q.processAllAvailable()
     rows = spark.table("steps").where("plate_number = 'P2'").orderBy(F.desc("datetime")).collect()
     q.stop()
@@ -67,7 +71,7 @@ def test_geojson(spark):
     parts = readers.roads_geojson(df)
     assert sorted((r.road_id, len(r.coords)) for r in parts.collect()) == [("a", 2), ("b", 2), ("b", 2)]
     assert sorted((r.road_id, len(r.coords)) for r in readers.roads_geojson(df, merge_parts=True).collect()) == [("a", 2), ("b", 5)]
-    assert parts.where("road_id = 'b'").first().road_name == "未命名道路" and readers.highways(parts).count() == 1
+    assert parts.where("road_id = 'b'").first().road_name == "未命名道路" and readers.highways(parts).count() == 0
     assert roads.segments_of(parts).count() == 3
 
 
@@ -107,11 +111,12 @@ def test_times_and_texts(spark):
 def test_sinks(spark, small, tmp_path):
     p = fixtures.gps_points(spark, small)
     built = service.build(p)
-    sinks.write_new(built.where("plate_number < 'B0007'"), f"{tmp_path}/t")
-    sinks.write_new(built, f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == built.count()
-    sinks.write_new(built.limit(3), f"{tmp_path}/t", overwrite=True)
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+    for batch, rows in (("a", built.where("plate_number < 'B0007'").unionByName(built.where("plate_number < 'B0007'"))), ("b", built), ("b", built), ("c", built)):
+        sinks.write_new(rows, f"{tmp_path}/t", batch)
+    stored = sinks.stored_trajectories(spark, f"{tmp_path}/t", built.schema)
+    assert stored.count() == stored.select("day", "plate_number").distinct().count() == built.count()
+    sinks.write_new(built.limit(3), f"{tmp_path}/t", "d", overwrite=True)
+    assert sinks.stored_trajectories(spark, f"{tmp_path}/t", built.schema).count() == 3
     c = correction.correct(p)
     sinks.export_csv(c, f"{tmp_path}/csv")
     sinks.export_rates(p, c, f"{tmp_path}/rates")
@@ -124,6 +129,14 @@ def test_sinks(spark, small, tmp_path):
         docs = [ElementTree.fromstring(f.read_bytes()) for f in (tmp_path / kind).glob("part-*")]
         local = [x.tag.rsplit("}", 1)[-1] for doc in docs for x in doc.iter()]
         assert local.count("trkpt" if kind == "gpx" else "coordinates") == local.count("time" if kind == "gpx" else "when") == n and {doc.tag.rsplit("}", 1)[-1] for doc in docs} == {kind}
+    sinks.download(some, "geojson", f"{tmp_path}/geojson")
+    docs = [json.loads(f.read_text()) for f in (tmp_path / "geojson").glob("part-*")]
+    assert all(d["type"] == "FeatureCollection" for d in docs) and sum(len(d["features"]) for d in docs) == n
+    assert readers.points_geojson(readers.collection(spark, f"{tmp_path}/geojson")).count() == n
+    again = sinks.rematched(c, p.where("event_id % 2 = 0").select("event_id", F.lit(0.5).alias("confidence")), "hmm")
+    sinks.export_csv(again, f"{tmp_path}/again")
+    back = spark.read.csv(f"{tmp_path}/again", header=True)
+    assert back.columns == sinks.EXPORT + sinks.REMATCHED and back.count() == c.count() and back.where("rematch_method = 'hmm' AND rematch_score = '0.5'").count() == c.where("event_id % 2 = 0").count()
     with pytest.raises(ValueError):
         sinks.download(some, "xlsx", f"{tmp_path}/x")
 

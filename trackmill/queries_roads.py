@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .fixtures import ROADS
-from .operators import matching, routing
-from .queries import W, _matched, _projected, hav, on_walk, points, query, segments
+from .operators import matching, roads, routing
+from .queries import _VERTICES, W, _folder, _matched, _projected, hav, on_walk, points, query, r, segments
+from .sources import readers, sinks
 
 _REACH = 4000
 
@@ -71,3 +72,44 @@ _HMM = f"""h1 AS (
 @query(on_walk("SELECT p.e AS event_id, p.c.id AS segment_id, round(p.c.lat, 6) AS matched_lat, round(p.c.lon, 6) AS matched_lon, round(p.c.m, 3) AS distance, round(exp(p.c.s) / list_sum(list_transform(cand, lambda c: exp(c.s))), 6) AS confidence FROM matched_path JOIN h4 ON h4.event_id = p.e", ROADS, _ROUTES, _HMM))
 def hmm_match(spark, d):
     return _matched(matching.create("hmm", reach=float(_REACH))(points(spark, d), segments(spark, d)))
+
+
+# ------------------------------------------------------------------------ network files
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, road_type, CAST(len(c) AS INTEGER) AS n, round(c[1][1], 6) AS lon, round(c[1][2], 6) AS lat FROM line WHERE road_type IN ('motorway', 'trunk', 'primary', 'residential')")
+def road_collection(spark, d):
+    """All features as FeatureCollections, written and read by many tasks; then the classes of a street query."""
+    where = _folder(spark)
+    sinks.write_members(sinks.geojson(roads.polylines(segments(spark, d))), where)
+    found = readers.highways(readers.roads_geojson(readers.collection(spark, where)))
+    first = F.get("coords", F.lit(0))
+    return found.select("road_id", "road_type", F.size("coords").alias("n"), r(first["x"], 6).alias("lon"), r(first["y"], 6).alias("lat"))
+
+
+_WAY = "CASE WHEN road_id LIKE 'h%' THEN 1000000 ELSE 2000000 END + CAST(substr(road_id, 2) AS BIGINT)"
+_CLASS = "road_type || CASE WHEN id % 4 = 1 THEN '_link' ELSE '' END"
+
+
+@query(f"""WITH {ROADS}, {_VERTICES}, way AS (SELECT {_WAY} AS id, road_name, road_type, c FROM line)
+SELECT 'osm_way_' || id AS road_id, CASE WHEN id % 3 = 0 THEN '未命名道路_' || id ELSE road_name END AS road_name, {_CLASS} AS road_type, CAST(len(c) AS INTEGER) AS n,
+       round(c[1][1], 6) AS lon, round(c[1][2], 6) AS lat, round(c[len(c)][1], 6) AS end_lon, round(c[len(c)][2], 6) AS end_lat, id % 4 <> 1 AS kept
+FROM way WHERE id % 7 <> 0""")
+def overpass_roads(spark, d):
+    """The network as the answer of a street query: horizontal roads with their places, vertical ones by nodes; every seventh loses all places but one."""
+    where = _folder(spark)
+    way = roads.polylines(segments(spark, d)).select(F.expr(_WAY).alias("id"), "road_id", "road_name", "road_type", "coords")
+    way = way.withColumn("coords", F.when(F.col("id") % 7 == 0, F.slice("coords", 1, 1)).otherwise(F.col("coords")))
+    tags = F.struct(F.expr(_CLASS).alias("highway"), F.when(F.col("id") % 3 != 0, F.col("road_name")).alias("name"))
+    inline, named = F.col("road_id").startswith("h"), F.col("id") * 10_000
+    places = F.transform("coords", lambda p: F.struct(p["y"].alias("lat"), p["x"].alias("lon")))
+    numbers = F.transform("coords", lambda p, i: named + i)
+    ways = way.select(F.to_json(F.struct(F.lit("way").alias("type"), "id", tags.alias("tags"), F.when(inline, places).alias("geometry"), F.when(~inline, numbers).alias("nodes"))).alias("value"))
+    nodes = way.where(~inline).select("id", F.posexplode("coords").alias("i", "p")).select(F.to_json(F.struct(F.lit("node").alias("type"), (named + F.col("i")).alias("id"), F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))).alias("value"))
+    sinks.write_members(ways.union(nodes), where, '{"version":0.6,"elements":[')
+    found = readers.overpass(spark, where)
+    kept = readers.highways(found).select("road_id", F.lit(True).alias("kept"))
+    a, b = F.get("coords", F.lit(0)), F.element_at("coords", -1)
+    return found.join(kept, "road_id", "left").select(
+        "road_id", "road_name", "road_type", F.size("coords").alias("n"), r(a["x"], 6).alias("lon"), r(a["y"], 6).alias("lat"), r(b["x"], 6).alias("end_lon"), r(b["y"], 6).alias("end_lat"), F.coalesce("kept", F.lit(False)).alias("kept"),
+    )

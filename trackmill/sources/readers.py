@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters
+from .features import objects
 
 FIELDS = ["date", "time", "record_type", "plate_number", "longitude", "latitude", "speed", "heading", "reserved_field", "location_flag"]
 _ROAD = "type string, id string, properties struct<name: string, highway: string>, geometry struct<type: string, coordinates: string>"
@@ -77,20 +78,44 @@ def flat_location(documents: DataFrame, column: str = "location") -> DataFrame:
 
 
 def collection(spark: SparkSession, path: str) -> DataFrame:
-    """The features of FeatureCollection files, one text each."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("c"))
-    return whole.select(F.explode("c.features").alias("value"))
+    """The features of FeatureCollection files, one text each; a file of any size is read by many tasks."""
+    return objects(spark, path).select("value")
 
 
-def highways(roads: DataFrame, classes: str = r"motorway|trunk|primary|secondary|tertiary|residential|unclassified") -> DataFrame:
-    """Roads of the classes that a street query keeps."""
-    return roads.where(F.col("road_type").rlike(f"^({classes})(_link)?$"))
+#: fixed values: the classes that a street query asks for
+HIGHWAYS = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified")
+
+
+def highways(roads: DataFrame, classes: tuple[str, ...] = HIGHWAYS) -> DataFrame:
+    """Roads of exactly these classes; links to them are others."""
+    return roads.where(F.col("road_type").isin(*classes))
+
+
+_ELEMENT = "type string, id long, lat double, lon double, nodes array<long>, geometry array<struct<lon: double, lat: double>>, tags struct<name: string, highway: string>"
+
+
+def overpass(spark: SparkSession, path: str) -> DataFrame:
+    """road_id, road_name, road_type and coords of the ways in answers of a street query.
+
+    A way has its places with it, or the ids of nodes that stand elsewhere in the same answers: these are joined by id, and
+    nodes that are missing are left out, as are places that are null. Ways of fewer than two places are no roads. A way
+    without name is named by its id; without class it is unknown.
+    """
+    e = objects(spark, path).select(F.from_json("value", _ELEMENT).alias("e")).select("e.*")
+    ways = e.where("type = 'way'").select("id", "tags", "geometry", "nodes")
+    given = ways.where("geometry IS NOT NULL").select("id", "tags", F.transform(F.filter("geometry", lambda p: p["lon"].isNotNull() & p["lat"].isNotNull()), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
+    nodes = e.where("type = 'node' AND lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("id").alias("node")).agg(F.min(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("p"))
+    named = ways.where("geometry IS NULL AND nodes IS NOT NULL")
+    placed = named.select("id", F.posexplode("nodes").alias("i", "node")).join(nodes, "node").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("coords"))
+    both = given.unionByName(named.select("id", "tags").join(placed, "id")).where(F.size("coords") >= 2)
+    return both.select(F.concat(F.lit("osm_way_"), F.col("id")).alias("road_id"), F.coalesce("tags.name", F.concat(F.lit("未命名道路_"), F.col("id"))).alias("road_name"), F.coalesce("tags.highway", F.lit("unknown")).alias("road_type"), "coords")
 
 
 def areas_geojson(spark: SparkSession, path: str) -> DataFrame:
     """gb_code, name and the exterior rings of the first feature of each file, which must be a MultiPolygon: any other is an error when it is read."""
-    schema = "features array<struct<properties: struct<gb: string, name: string>, geometry: struct<type: string, coordinates: string>>>"
-    f = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c")).select(F.get("c.features", F.lit(0)).alias("f"))
+    schema = "type string, properties struct<gb: string, name: string>, geometry struct<type: string, coordinates: string>"
+    first = objects(spark, path).groupBy("file").agg(F.min(F.struct("start", "at", "value"))["value"].alias("value"))
+    f = first.select(F.from_json("value", schema).alias("f"))
     rings = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
     kind = F.col("f.geometry.type")
     rings = F.when(kind == "MultiPolygon", rings).otherwise(F.raise_error(F.concat(F.lit("no MultiPolygon: "), F.coalesce(kind, F.lit("nothing")))))

@@ -8,36 +8,66 @@ from pyspark.sql.window import Window
 
 from ..operators import sequence as seq
 from ..plans import service
+from . import readers
+from .store import Store, unique
 
 
-def write_points(parsed: DataFrame, path: str, rejects: str | None = None) -> None:
-    """Good rows by day, the others beside."""
-    good, bad = parsed.where("reject_reason IS NULL").drop("reject_reason"), parsed.where("reject_reason IS NOT NULL")
-    good.write.mode("append").partitionBy("day").parquet(path)
-    if rejects:
-        bad.write.mode("append").parquet(rejects)
+#: a batch of parsed rows is one table, whose folders tell good rows from bad ones and days apart
+_OUTCOME = "good boolean, day string"
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(like.schema).parquet(path) if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop) else None
+def write_points(parsed: DataFrame, path: str, batch: str) -> bool:
+    """Stores a batch of parsed rows, good ones and others with their reasons, in one pass and all at once; whether the batch was new. Running it again changes nothing."""
+    return Store(parsed.sparkSession, path).append(batch, {"points": parsed.withColumn("good", F.col("reject_reason").isNull())}, {"points": ["good", "day"]})
 
 
-def write_new(trajectories: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Trajectories of vehicles' days that are not stored yet; or all, instead of what is stored."""
-    if overwrite:
-        trajectories.write.mode("overwrite").partitionBy("day").parquet(path)
-        return
-    stored = _stored(trajectories.sparkSession, path, trajectories)
-    fresh = trajectories if stored is None else service.new_plates(trajectories, stored)
-    fresh.write.mode("append").partitionBy("day").parquet(path)
+def stored_points(spark: SparkSession, path: str, schema: str, good: bool = True) -> DataFrame:
+    """The good (or the rejected) rows of all batches. schema: the columns asked for, without day."""
+    return Store(spark, path).read("points", f"{schema}, {_OUTCOME}").where(F.col("good") == good).drop("good")
+
+
+def ingest(parsed: DataFrame, path: str, batch: str) -> bool:
+    """As write_points(), but for the rows of files that the store already has some of."""
+    return write_points(readers.new_files(parsed, Store(parsed.sparkSession, path).read("points", "source_file string, day string")), path, batch)
+
+
+def write_new(trajectories: DataFrame, path: str, batch: str, overwrite: bool = False) -> bool:
+    """Trajectories (or rows of them) of vehicles' days and types that are not stored yet; or all, instead of what is stored. Whether the batch was new.
+
+    Of several trajectories with one day, plate and type (or without types), the one with most points is stored, then the one that is
+    greatest by its other columns. A batch is stored as a whole or not at all, and once.
+    """
+    store, keys = Store(trajectories.sparkSession, path), [*seq.KEYS, *(["type"] if "type" in trajectories.columns else [])]
+    fresh = unique(trajectories, keys, [c for c in ("point_count",) if c in trajectories.columns]) if "trajectory_points" in trajectories.columns else trajectories
+    if not overwrite:
+        known = store.read("trajectories", trajectories.schema).select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        fresh = fresh.join(known, same, "left_anti")
+    return store.append(batch, {"trajectories": fresh}, {"trajectories": ["day"]}, overwrite)
+
+
+def stored_trajectories(spark: SparkSession, path: str, schema) -> DataFrame:
+    return Store(spark, path).read("trajectories", schema)
 
 
 EXPORT = ["day", "plate_number", "datetime", "longitude", "latitude", "speed", "heading", "road_id", "road_type"]
 
 
+#: what a second matching adds, where it has been made
+REMATCHED = ["rematch_method", "rematch_score"]
+
+
+def rematched(corrected: DataFrame, matches: DataFrame, method: str) -> DataFrame:
+    """corrected with the method and the confidence of a second matching; nulls where it found nothing."""
+    again = matches.select("event_id", F.lit(method).alias("rematch_method"), F.col("confidence").alias("rematch_score"))
+    return corrected.drop(*REMATCHED).join(again, "event_id", "left")
+
+
 def export_csv(corrected: DataFrame, path: str) -> None:
-    corrected.select(*EXPORT).withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")).write.mode("overwrite").option("header", True).csv(path)
+    more = [c for c in REMATCHED if c in corrected.columns]
+    corrected.select(*EXPORT, *more).withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_rates(points: DataFrame, corrected: DataFrame, path: str) -> None:
@@ -73,7 +103,7 @@ def write_lines(points: DataFrame, path: str) -> None:
     gps_lines(points, "day").write.mode("overwrite").partitionBy("day").text(path)
 
 
-def _document(head: str, foot: str):
+def _document(head: str, foot: str, between: str = ""):
     """One row for each partition that has rows: a whole document of its lines. A partition's lines pass one at a time."""
 
     def run(batches):
@@ -83,7 +113,8 @@ def _document(head: str, foot: str):
         for batch in batches:
             if batch.num_rows:
                 lines = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_pydict({"value": lines if begun else [head, *lines]})
+                lines = [*([between + lines[0]] if begun else [head, lines[0]]), *(between + x for x in lines[1:])]
+                yield pa.RecordBatch.from_pydict({"value": lines})
                 begun = True
         if begun:
             yield pa.RecordBatch.from_pydict({"value": [foot]})
@@ -96,6 +127,11 @@ _GPX = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="trac
 _KML = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
 
 
+def write_members(texts: DataFrame, path: str, head: str = '{"type":"FeatureCollection","features":[') -> None:
+    """JSON texts as the members of documents, a document a task: each file is one by itself."""
+    texts.mapInArrow(_document(head, "]}", ","), "value string").write.mode("overwrite").text(path)
+
+
 def download(points: DataFrame, kind: str, path: str) -> None:
     """points as csv, geojson, gpx or kml files; each file is a document by itself."""
     if kind == "csv":
@@ -103,7 +139,7 @@ def download(points: DataFrame, kind: str, path: str) -> None:
     elif kind == "geojson":
         geometry = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
         rest = F.struct(*[c for c in points.columns if c not in ("longitude", "latitude")])
-        points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), rest.alias("properties"))).alias("value")).write.mode("overwrite").text(path)
+        write_members(points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), rest.alias("properties"))).alias("value")), path)
     elif kind in ("gpx", "kml"):
         has = lambda c: c in points.columns
         time = F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'") if has("datetime") else F.lit(None).cast("string")
