@@ -78,3 +78,17 @@ def test_sql_functions_equal_the_columns(spark):
     df = spark.createDataFrame([(22.5, 114.0, 22.6, 114.2), (0.0, 0.0, 0.0, 0.0), (-10.0, 179.0, 10.0, -179.0), (1.0, None, 2.0, 3.0)], "a double, b double, c double, d double")
     for r in df.selectExpr("*", "haversine(a, b, c, d) AS h", "bearing(a, b, c, d) AS g", "grid_cell(d, 0.01D) AS k").select("h", "g", "k", geo.haversine("a", "b", "c", "d").alias("h2"), geo.bearing("a", "b", "c", "d").alias("g2"), geo.cell("d", 0.01).alias("k2")).collect():
         assert (r.h, r.g, r.k) == (r.h2 if r.h2 is None else pytest.approx(r.h2), r.g2 if r.g2 is None else pytest.approx(r.g2), r.k2)
+
+
+def test_written_out_rounds_equal_the_iteration(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)]
+    pairs = [(y, x, y + rng.uniform(-1, 1) * d, x + rng.uniform(-1, 1) * d) for y, x in rows for d in (1e-7, 1e-3, 0.1, 20.0)]
+    pairs += [(0.0, 0.0, 0.0, 180.0), (0.0, 0.0, 0.3, 179.7), (90.0, 0.0, -90.0, 10.0), (5.0, 5.0, 5.0, 5.0), (0.0, 0.0, 0.0, 0.001), (None, 1.0, 2.0, 3.0), (1.0, 1.0, 2.0, None)]
+    df = spark.createDataFrame(pairs, "a double, b double, c double, d double").selectExpr("*", "1 AS x", "2 AS _keep")
+    got = geo.with_ellipsoid(df, "m", "a", "b", "c", "d")
+    assert got.columns == [*df.columns, "m"]
+    for r in got.withColumn("v", geo.vincenty("a", "b", "c", "d")).collect():
+        assert (r.m is None and r.v is None) or abs(r.m - r.v) < 2e-4

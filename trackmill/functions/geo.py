@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: mean earth radius, Web Mercator half extent, metres of a degree in planar matching
@@ -124,67 +124,68 @@ def in_rings(lon: Column, lat: Column, polygons: Column) -> Column:
 AXIS, FLATTENING, ROUNDS, SETTLED = 6378137.0, 1 / 298.257223563, 100, 1e-12
 
 
-def let(values: dict[str, Column], body) -> Column:
-    """body of a struct of these values, each of which is evaluated once."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+def _let(var: str, values: dict[str, str], body: str) -> str:
+    """SQL of a body in which var is a struct of these values, each of which is evaluated once."""
+    return f"get(transform(array(named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())})), {var} -> {body}), 0)"
 
 
-def vincenty(lat1, lon1, lat2, lon2) -> Column:
-    """Distance on the WGS-84 ellipsoid by the published inverse series; 0 where places coincide or the iteration does not settle."""
-    lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
+def vincenty_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL of the distance on the WGS-84 ellipsoid by the published inverse series; 0 where places coincide or the iteration does not settle."""
+    f, minor = FLATTENING, AXIS * (1 - FLATTENING)
+    zeros = ", ".join(f"'{k}', 0D" for k in ("sin", "cos", "arc", "cc", "mid"))
+    # one step of the longitude on the auxiliary sphere
+    new = f"g.gap + (1D - m.c) * {f!r}D * m.a * (m.arc + m.c * m.sin * (m.mid + m.c * m.cos * (m.mid * m.mid * 2D - 1D)))"
+    settled = _let("z", {"new": new}, f"named_struct('lam', z.new, 'done', abs(z.new - s.lam) <= {SETTLED!r}D, 'sin', m.sin, 'cos', m.cos, 'arc', m.arc, 'cc', m.cc, 'mid', m.mid)")
+    middle = _let("m", {**{k: f"a.{k}" for k in ("sin", "cos", "arc", "a", "cc")}, "mid": "IF(a.cc = 0D, 0D, a.cos - g.s1 * g.s2 * 2D / nullif(a.cc, 0D))", "c": f"a.cc * {f / 16!r}D * ((4D - a.cc * 3D) * {f!r}D + 4D)"}, settled)
+    azimuth = _let("a", {"sin": "p.sin", "cos": "p.cos", "arc": "atan2(p.sin, p.cos)", "a": "p.a", "cc": "1D - p.a * p.a"}, middle)
+    sphere = _let("p", {"sin": "x.sin", "cos": "x.cos", "a": "IF(x.sin = 0D, 0D, g.c1 * g.c2 * x.sl / nullif(x.sin, 0D))"}, azimuth)
+    ends = _let("x", {"sin": "sqrt(power(g.c2 * w.sl, 2D) + power(g.c1 * g.s2 - g.s1 * g.c2 * w.cl, 2D))", "cos": "g.s1 * g.s2 + g.c1 * g.c2 * w.cl", "sl": "w.sl"}, sphere)
+    step = f"IF(s.done, s, {_let('w', {'sl': 'sin(s.lam)', 'cl': 'cos(s.lam)'}, ends)})"
+    walk = lambda begin, first, last: f"aggregate(sequence({first}, {last}), {begin}, (s, i) -> {step})"
+    start = f"named_struct('lam', g.gap, 'done', false, {zeros})"
+    inner = "e.cos * (e.mid * e.mid * 2D - 1D) - b.small / 6D * e.mid * (e.sin * e.sin * 4D - 3D) * (e.mid * e.mid * 4D - 3D)"
+    length = _let("b", {"big": "u.uu / 16384D * (u.uu * (u.uu * (320D - u.uu * 175D) - 768D) + 4096D) + 1D", "small": "u.uu / 1024D * (u.uu * (u.uu * (74D - u.uu * 47D) - 128D) + 256D)"}, f"b.big * {minor!r}D * (e.arc - b.small * e.sin * (e.mid + b.small / 4D * ({inner})))")
+    whole = f"IF(e.done AND e.sin <> 0D, {_let('u', {'uu': f'e.cc * {(AXIS**2 - minor**2) / minor**2!r}D'}, length)}, 0D)"
+    fields = ("lam", "done", "sin", "cos", "arc", "cc", "mid")
+    rest = _let("h", {"s": walk(start, 1, 8)}, _let("r", {"s": f"IF(h.s.done, h.s, {walk('h.s', 9, ROUNDS)})"}, _let("e", {k: f"r.s.{k}" for k in fields}, whole)))
+    reduced = lambda c: f"atan(tan(radians({c})) * {1 - f!r}D)"
+    apart = _let("v", {"u1": reduced(lat1), "u2": reduced(lat2), "gap": f"radians({lon2} - {lon1})"}, _let("g", {"s1": "sin(v.u1)", "c1": "cos(v.u1)", "s2": "sin(v.u2)", "c2": "cos(v.u2)", "gap": "v.gap"}, rest))
+    return f"CASE WHEN {lat1} IS NULL OR {lon1} IS NULL OR {lat2} IS NULL OR {lon2} IS NULL THEN NULL WHEN {lat1} = {lat2} AND {lon1} = {lon2} THEN 0D ELSE {apart} END"
+
+
+def vincenty(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """As vincenty_sql(), of columns by name."""
+    return F.expr(vincenty_sql(lat1, lon1, lat2, lon2))
+
+
+#: rounds that are written out, and the change of longitude from which one more would move a place by less than a tenth of a millimetre
+FEW_ROUNDS, NEAR = 3, 1e-9
+
+
+def with_ellipsoid(df: DataFrame, name: str, lat1: str, lon1: str, lat2: str, lon2: str) -> DataFrame:
+    """df and the distance that vincenty() gives, in plain columns, which become machine code; the rare rows that a few rounds do not settle (far or nearly opposite places) go through vincenty() itself.
+
+    One projection whose columns build on each other. Its own columns have no nulls, so that no step has to look for them.
+    """
     f, minor = FLATTENING, AXIS * (1 - FLATTENING)
-    reduced = lambda lat: F.atan(F.tan(F.radians(lat)) * (1 - f))
-
-    def ends(u: Column) -> Column:
-        return let({"s1": F.sin(u["u1"]), "c1": F.cos(u["u1"]), "s2": F.sin(u["u2"]), "c2": F.cos(u["u2"]), "gap": u["gap"]}, distance)
-
-    def distance(g: Column) -> Column:
-        def better(s: Column) -> Column:
-            """One step of the longitude on the auxiliary sphere."""
-
-            def sphere(x: Column) -> Column:
-                y = g["c1"] * g["s2"] - g["s1"] * g["c2"] * x["cl"]
-                return let({"sin": F.sqrt(F.pow(g["c2"] * x["sl"], 2) + y * y), "cos": g["s1"] * g["s2"] + g["c1"] * g["c2"] * x["cl"], "sl": x["sl"]}, azimuth)
-
-            def azimuth(x: Column) -> Column:
-                sin_a = F.when(x["sin"] == 0, 0.0).otherwise(g["c1"] * g["c2"] * x["sl"] / x["sin"])
-                return let({"sin": x["sin"], "cos": x["cos"], "arc": F.atan2(x["sin"], x["cos"]), "a": sin_a, "cc": 1 - sin_a * sin_a}, middle)
-
-            def middle(x: Column) -> Column:
-                mid = F.when(x["cc"] == 0, 0.0).otherwise(x["cos"] - g["s1"] * g["s2"] * 2 / x["cc"])
-                c = x["cc"] * (f / 16) * ((4 - x["cc"] * 3) * f + 4)
-                return let({"x": x, "mid": mid, "c": c}, longitude)
-
-            def longitude(y: Column) -> Column:
-                x, mid, c = y["x"], y["mid"], y["c"]
-                new = g["gap"] + (1 - c) * f * x["a"] * (x["arc"] + c * x["sin"] * (mid + c * x["cos"] * (mid * mid * 2 - 1)))
-                return let({"new": new, "y": y}, lambda z: F.struct(z["new"].alias("lam"), (F.abs(z["new"] - s["lam"]) <= SETTLED).alias("done"), z["y"]["x"]["sin"].alias("sin"), z["y"]["x"]["cos"].alias("cos"), z["y"]["x"]["arc"].alias("arc"), z["y"]["x"]["cc"].alias("cc"), z["y"]["mid"].alias("mid")))
-
-            return F.when(s["done"], s).otherwise(let({"sl": F.sin(s["lam"]), "cl": F.cos(s["lam"])}, sphere))
-
-        zero = F.lit(0.0)
-        start = F.struct(g["gap"].alias("lam"), F.lit(False).alias("done"), *[zero.alias(k) for k in ("sin", "cos", "arc", "cc", "mid")])
-        step = lambda s, _: better(s)
-        soon = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
-        return let({"s": soon}, lambda h: let({"s": F.when(h["s"]["done"], h["s"]).otherwise(F.aggregate(F.sequence(F.lit(9), F.lit(ROUNDS)), h["s"], step))}, lambda e: length(e["s"])))
-
-    def length(s: Column) -> Column:
-        def series(x: Column) -> Column:
-            big = x["uu"] / 16384 * (x["uu"] * (x["uu"] * (320 - x["uu"] * 175) - 768) + 4096) + 1
-            small = x["uu"] / 1024 * (x["uu"] * (x["uu"] * (74 - x["uu"] * 47) - 128) + 256)
-            return let({"big": big, "small": small}, lambda y: y["big"] * minor * (s["arc"] - turn(y["small"])))
-
-        def turn(small: Column) -> Column:
-            mid = s["mid"]
-            inner = s["cos"] * (mid * mid * 2 - 1) - small / 6 * mid * (s["sin"] * s["sin"] * 4 - 3) * (mid * mid * 4 - 3)
-            return small * s["sin"] * (mid + small / 4 * inner)
-
-        whole = let({"uu": s["cc"] * ((AXIS**2 - minor**2) / minor**2)}, series)
-        return F.when(s["done"] & (s["sin"] != 0), whole).otherwise(0.0)
-
-    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
-    apart = let({"u1": reduced(lat1), "u2": reduced(lat2), "gap": F.radians(lon2 - lon1)}, ends)
-    return F.when(known, F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(apart))
+    known = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0D)"
+    steps = [f"atan(tan(radians({known(c)})) * {1 - f!r}D) AS _u{i}" for i, c in ((1, lat1), (2, lat2))]
+    steps += [f"radians({known(lon2)} - {known(lon1)}) AS _l0", "sin(_u1) AS _s1", "cos(_u1) AS _c1", "sin(_u2) AS _s2", "cos(_u2) AS _c2", "_s1 * _s2 AS _ss", "_c1 * _c2 AS _cc"]
+    for i in range(1, FEW_ROUNDS + 1):
+        steps += [
+            f"sin(_l{i - 1}) AS _sl{i}", f"cos(_l{i - 1}) AS _cl{i}", f"_c2 * _sl{i} AS _x{i}", f"_c1 * _s2 - _s1 * _c2 * _cl{i} AS _y{i}", f"_ss + _cc * _cl{i} AS _co{i}", f"sqrt(_x{i} * _x{i} + _y{i} * _y{i}) AS _si{i}",
+            f"atan2(_si{i}, _co{i}) AS _arc{i}", f"coalesce(_cc * _sl{i} / nullif(_si{i}, 0D), 0D) AS _a{i}", f"1D - _a{i} * _a{i} AS _q{i}", f"IF(_q{i} = 0D, 0D, _co{i} - coalesce(2D * _ss / nullif(_q{i}, 0D), 0D)) AS _m{i}",
+            f"_q{i} * {f / 16!r}D * ((4D - _q{i} * 3D) * {f!r}D + 4D) AS _k{i}", f"_l0 + (1D - _k{i}) * {f!r}D * _a{i} * (_arc{i} + _k{i} * _si{i} * (_m{i} + _k{i} * _co{i} * (_m{i} * _m{i} * 2D - 1D))) AS _l{i}",
+        ]
+    n = FEW_ROUNDS
+    steps += [
+        f"_q{n} * {(AXIS**2 - minor**2) / minor**2!r}D AS _w", f"_w * {1 / 16384!r}D * (_w * (_w * (320D - _w * 175D) - 768D) + 4096D) + 1D AS _big", f"_w * {1 / 1024!r}D * (_w * (_w * (74D - _w * 47D) - 128D) + 256D) AS _small",
+        f"_co{n} * (_m{n} * _m{n} * 2D - 1D) - _small * {1 / 6!r}D * _m{n} * (_si{n} * _si{n} * 4D - 3D) * (_m{n} * _m{n} * 4D - 3D) AS _in",
+        f"IF(_si{n} = 0D, 0D, _big * {minor!r}D * (_arc{n} - _small * _si{n} * (_m{n} + _small * 0.25D * _in))) AS _far", f"abs(_l{n} - _l{n - 1}) <= {NEAR!r}D AS _near",
+    ]
+    told = " AND ".join(f"{c} IS NOT NULL" for c in (lat1, lon1, lat2, lon2))
+    result = F.expr(f"CASE WHEN NOT ({told}) THEN NULL WHEN {lat1} = {lat2} AND {lon1} = {lon2} THEN 0D WHEN _near THEN _far ELSE {vincenty_sql(lat1, lon1, lat2, lon2)} END")
+    return df.selectExpr("*", *steps).select(*[F.col(f"`{c}`") for c in df.columns if c != name], result.alias(name))
 
 
 def wrapped(lon: Column) -> Column:

@@ -46,7 +46,11 @@ def steps(points: DataFrame, distance=geo.vincenty) -> DataFrame:
     """step_m (on the ellipsoid), step_ms and step_kmh from the row before; the first row has zeros, so has the speed of a step without time."""
     gap = F.abs(seconds(prev("datetime"), F.col("datetime")) * 1000)
     out = points.withColumns({"_lat": prev("latitude"), "_lon": prev("longitude"), "step_ms": F.coalesce(gap, F.lit(0.0)).cast("long")})
-    out = out.withColumn("step_m", F.coalesce(distance("_lat", "_lon", "latitude", "longitude"), F.lit(0.0)))
+    if distance is geo.vincenty:
+        out = geo.with_ellipsoid(out, "step_m", "_lat", "_lon", "latitude", "longitude")
+    else:
+        out = out.withColumn("step_m", distance("_lat", "_lon", "latitude", "longitude"))
+    out = out.withColumn("step_m", F.coalesce("step_m", F.lit(0.0)))
     speed = F.when(F.col("step_ms") > 0, (F.col("step_m") / 1000) / (F.col("step_ms") / F.lit(3600000.0))).otherwise(0.0)
     return out.withColumn("step_kmh", speed).drop("_lat", "_lon")
 
