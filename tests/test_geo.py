@@ -91,4 +91,4 @@ def test_written_out_rounds_equal_the_iteration(spark):
     got = geo.with_ellipsoid(df, "m", "a", "b", "c", "d")
     assert got.columns == [*df.columns, "m"]
     for r in got.withColumn("v", geo.vincenty("a", "b", "c", "d")).collect():
-        assert (r.m is None and r.v is None) or abs(r.m - r.v) < 2e-4
+        assert (r.m is None and r.v is None) or abs(r.m - r.v) < 1e-5

@@ -158,8 +158,8 @@ def vincenty(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.expr(vincenty_sql(lat1, lon1, lat2, lon2))
 
 
-#: rounds that are written out, and the change of longitude from which one more would move a place by less than a tenth of a millimetre
-FEW_ROUNDS, NEAR = 3, 1e-9
+#: rounds that are written out; steps of some tens of kilometres have settled by then
+FEW_ROUNDS = 4
 
 
 def with_ellipsoid(df: DataFrame, name: str, lat1: str, lon1: str, lat2: str, lon2: str) -> DataFrame:
@@ -175,13 +175,14 @@ def with_ellipsoid(df: DataFrame, name: str, lat1: str, lon1: str, lat2: str, lo
         steps += [
             f"sin(_l{i - 1}) AS _sl{i}", f"cos(_l{i - 1}) AS _cl{i}", f"_c2 * _sl{i} AS _x{i}", f"_c1 * _s2 - _s1 * _c2 * _cl{i} AS _y{i}", f"_ss + _cc * _cl{i} AS _co{i}", f"sqrt(_x{i} * _x{i} + _y{i} * _y{i}) AS _si{i}",
             f"atan2(_si{i}, _co{i}) AS _arc{i}", f"coalesce(_cc * _sl{i} / nullif(_si{i}, 0D), 0D) AS _a{i}", f"1D - _a{i} * _a{i} AS _q{i}", f"IF(_q{i} = 0D, 0D, _co{i} - coalesce(2D * _ss / nullif(_q{i}, 0D), 0D)) AS _m{i}",
-            f"_q{i} * {f / 16!r}D * ((4D - _q{i} * 3D) * {f!r}D + 4D) AS _k{i}", f"_l0 + (1D - _k{i}) * {f!r}D * _a{i} * (_arc{i} + _k{i} * _si{i} * (_m{i} + _k{i} * _co{i} * (_m{i} * _m{i} * 2D - 1D))) AS _l{i}",
+            f"_q{i} * {f / 16!r}D * ((4D - _q{i} * 3D) * {f!r}D + 4D) AS _k{i}", f"_l0 + (1D - _k{i}) * {f!r}D * _a{i} * (_arc{i} + _k{i} * _si{i} * (_m{i} + _k{i} * _co{i} * (_m{i} * _m{i} * 2D - 1D))) AS _n{i}",
+            f"IF(abs(_n{i} - _l{i - 1}) <= {SETTLED!r}D, _l{i - 1}, _n{i}) AS _l{i}",  # what has settled stays
         ]
     n = FEW_ROUNDS
     steps += [
         f"_q{n} * {(AXIS**2 - minor**2) / minor**2!r}D AS _w", f"_w * {1 / 16384!r}D * (_w * (_w * (320D - _w * 175D) - 768D) + 4096D) + 1D AS _big", f"_w * {1 / 1024!r}D * (_w * (_w * (74D - _w * 47D) - 128D) + 256D) AS _small",
         f"_co{n} * (_m{n} * _m{n} * 2D - 1D) - _small * {1 / 6!r}D * _m{n} * (_si{n} * _si{n} * 4D - 3D) * (_m{n} * _m{n} * 4D - 3D) AS _in",
-        f"IF(_si{n} = 0D, 0D, _big * {minor!r}D * (_arc{n} - _small * _si{n} * (_m{n} + _small * 0.25D * _in))) AS _far", f"abs(_l{n} - _l{n - 1}) <= {NEAR!r}D AS _near",
+        f"IF(_si{n} = 0D, 0D, _big * {minor!r}D * (_arc{n} - _small * _si{n} * (_m{n} + _small * 0.25D * _in))) AS _far", f"_l{n} = _l{n - 1} AS _near",
     ]
     told = " AND ".join(f"{c} IS NOT NULL" for c in (lat1, lon1, lat2, lon2))
     result = F.expr(f"CASE WHEN NOT ({told}) THEN NULL WHEN {lat1} = {lat2} AND {lon1} = {lon2} THEN 0D WHEN _near THEN _far ELSE {vincenty_sql(lat1, lon1, lat2, lon2)} END")
