@@ -53,17 +53,6 @@ def test_stream_ingest_is_exactly_once(spark, folder):
     assert spark.read.parquet(f"{folder}/out").count() == 7
 
 
-def test_stream_steps_keep_state(spark, folder):
-    q = ingest.steps(ingest.lines(spark, f"{folder}/in")).writeStream.format("memory").queryName("steps").outputMode("append").start()
-    q.processAllAvailable()
-    first = spark.table("steps").where("plate_number = 'P2'").count()
-    (folder / "in" / "d02" / "z-utf.txt").write_text("20190506,9,H,P2,114.1,22.6,17.25,78,0,1")
-    q.processAllAvailable()
-    rows = spark.table("steps").where("plate_number = 'P2'").orderBy(F.desc("datetime")).collect()
-    q.stop()
-    assert len(rows) == first + 1 and rows[0].step_m == 0 and not rows[0].kept
-
-
 def test_geojson(spark):
     line = '{"type":"Feature","id":"a","properties":{"name":"N","highway":"trunk_link"},"geometry":{"type":"LineString","coordinates":[[1,2],[3,4]]}}'
     multi = '{"type":"Feature","id":"b","properties":{},"geometry":{"type":"MultiLineString","coordinates":[[[1,2],[3,4]],[[5,6]],[[7,8],[9,10]]]}}'
