@@ -275,8 +275,8 @@ def test_nearest_examples_are_exact(monkeypatch):
             w.update([x] + [("prefix", x[:4])] * (len(x) > 4))
         return w
 
-    bags, n0 = [bag(t) for t in texts], labels.count(0)
-    df = Counter(x for b, y in zip(bags, labels) if not y for x in b)
+    bags, n0 = [bag(t) for t in texts], len(texts)
+    df = Counter(x for b in bags for x in b)
     known = {x for b in bags for x in b}
 
     def vector(b):
@@ -285,8 +285,8 @@ def test_nearest_examples_are_exact(monkeypatch):
         return {x: y / long for x, y in v.items()}
 
     examples = [vector(b) for b in bags]
-    for block, together, often, most_open in ((256, 512, 10, 0.4), (16, 7, 10, 0.4), (16, 512, 4, 1), (16, 512, 10**6, 1), (8, 512, 10**6, 0)):
-        for name, value in (("BLOCK", block), ("TOGETHER", together), ("OFTEN", often), ("MOST_OPEN", most_open), ("K", 6)):
+    for block, together, long in ((toxicity.BLOCK, toxicity.TOGETHER, toxicity.LONG), (256, 512, 10), (4, 7, 3), (1, 512, 10**6), (8, 32, 1)):
+        for name, value in (("BLOCK", block), ("TOGETHER", together), ("LONG", long)):
             monkeypatch.setattr(toxicity, name, value)
         ix = index_of(texts, labels, {0: 0.5, 1: 1.0})
         import pyarrow as pa
@@ -308,9 +308,12 @@ def test_nearest_examples_are_exact(monkeypatch):
 def test_toxicity(spark, small, odd, none, labels):
     found = toxicity.op10_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").select("toxic", "score", "predicted").toPandas()
     rank, y = found.score.rank(), found.toxic == 1
-    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.96 and (found.predicted == found.toxic).mean() > 0.95
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.94 and (found.predicted == found.toxic).mean() > 0.95  # without labels in the weights
     from pyspark.sql import functions as F
 
+    big = [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+    opened, all_ = toxicity.examples(*big, ~toxicity.held_out()).looked
+    assert 0 < opened < 0.45 * all_  # blocks that pruning leaves
     for marked in (labels, labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0")):
         index = toxicity.examples(odd, marked, F.lit(True))
         rows = toxicity.score(odd, index).collect()
