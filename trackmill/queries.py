@@ -202,18 +202,22 @@ def vincenty_steps(spark, d):
     return seq.steps(points(spark, d)).select("event_id", r("step_m").alias("metres"))
 
 
-def _areas_frame(spark: SparkSession) -> DataFrame:
-    rows = [(k, i, [{"x": x, "y": y} for x, y in ring]) for k, v in AREAS.items() for i, ring in enumerate(v)]
-    return spark.createDataFrame(rows, "area string, part int, ring array<struct<x: double, y: double>>")
+def _boxes(points: DataFrame, *keys: str) -> DataFrame:
+    """The box of the positions of each key, as a ring of four corners."""
+    lo, hi = F.min, F.max
+    b = points.groupBy(*keys).agg(lo("longitude").alias("x1"), hi("longitude").alias("x2"), lo("latitude").alias("y1"), hi("latitude").alias("y2"))
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    return b.select(*keys, corners.alias("ring"))
 
 
-_EDGES = ", ".join(f"('{k}', {i}, {x1}e0, {y1}e0, {x2}e0, {y2}e0)" for k, v in AREAS.items() for i, ring in enumerate(v) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))
+_BOX = "SELECT {0}, min(longitude) AS x1, max(longitude) AS x2, min(latitude) AS y1, max(latitude) AS y2 FROM gps_points GROUP BY {0}"
 
 
-@query(f"SELECT area, CAST(part AS INTEGER) AS part, round(abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2)))) * 6371000e0 * 6371000e0 / 2) / 1000) AS thousand_m2, round(avg(x1), 6) AS lon, round(avg(y1), 6) AS lat FROM (VALUES {_EDGES}) AS e(area, part, x1, y1, x2, y2) GROUP BY area, part")
+@query(on_points(f"SELECT plate_number, round(abs(radians(x2 - x1) * (2 + 2 * sin(radians(y1))) + radians(x1 - x2) * (2 + 2 * sin(radians(y2)))) * 6371000e0 * 6371000e0 / 2 / 1000) AS thousand_m2, round((x1 + x2) / 2, 6) AS lon, round((y1 + y2) / 2, 6) AS lat FROM ({_BOX.format('plate_number')})"))
 def polygon_area(spark, d):
-    rings = _areas_frame(spark).withColumn("m", geo.ring_mean(F.col("ring")))
-    return rings.select("area", "part", F.round(geo.shoelace_sphere(F.col("ring")) / 1000).alias("thousand_m2"), r("m.lon", 6).alias("lon"), r("m.lat", 6).alias("lat"))
+    """Of the box in which each vehicle moved."""
+    rings = _boxes(points(spark, d), "plate_number").withColumn("m", geo.ring_mean(F.col("ring")))
+    return rings.select("plate_number", F.round(geo.shoelace_sphere(F.col("ring")) / 1000).alias("thousand_m2"), r("m.lon", 6).alias("lon"), r("m.lat", 6).alias("lat"))
 
 
 #: one first line for each kind of file, by event type
@@ -862,23 +866,22 @@ def upload_info(spark, d):
     return readers.file_info(spark, f"{where}/*.txt").groupBy("extension").agg(F.sum("size").alias("bytes"), F.bool_and("allowed").alias("allowed"))
 
 
-def _feature(rings) -> str:
-    closed = lambda ring: [[x, y] for x, y in [*ring, ring[0]]]
-    return json.dumps([[closed(ring)] for ring in rings])
+_AREA = "'MULTIPOLYGON(((' || " + " || ', ' || ".join(f"{x} || ' ' || {y}" for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"), ("x1", "y1"))) + " || ')))'"
+_ROUND_BOX = _BOX.replace("gps_points", "(SELECT plate_number, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM gps_points)")
 
 
-def _wkt_of(rings) -> str:
-    one = lambda ring: "((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "))"
-    return "MULTIPOLYGON(" + ", ".join(map(one, rings)) + ")"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{k if k != 'parts' else 'new'}', '{_wkt_of(v)}')" for k, v in AREAS.items()) + ") AS a(gb_code, name, wkt)")
+@query(on_points(f"SELECT plate_number AS gb_code, CASE WHEN plate_number < 'B0040' THEN 'new ' ELSE 'old ' END || plate_number AS name, {_AREA} AS wkt FROM ({_ROUND_BOX.format('plate_number')})"))
 def area_store(spark, d):
-    """Each area in a file of its own; then one of them is replaced under its code."""
+    """The box of each vehicle's positions as an area in a file of its own; then some of them are replaced under their codes."""
     where, fresh = _folder(spark), _folder(spark)
-    for folder, rows in ((where, [(k, k) for k in AREAS]), (fresh, [("parts", "new")])):
-        texts = [(f'{{"features":[{{"properties":{{"gb":"{k}","name":"{n}"}},"geometry":{{"type":"MultiPolygon","coordinates":{_feature(AREAS[k])}}}}}]}}',) for k, n in rows]
-        spark.createDataFrame(texts, "value string").repartition(len(rows)).write.option("maxRecordsPerFile", 1).text(folder)
+    rounded = points(spark, d).withColumns({c: F.round(c, 6) for c in ("longitude", "latitude")})
+    areas = _boxes(rounded, "plate_number").withColumn("ring", F.concat("ring", F.slice("ring", 1, 1)))
+    for folder, rows, word in ((where, areas, "old "), (fresh, areas.where("plate_number < 'B0040'"), "new ")):
+        ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+        about = F.struct(F.col("plate_number").alias("gb"), F.concat(F.lit(word), "plate_number").alias("name")).alias("properties")
+        feature = F.struct(F.lit("Feature").alias("type"), about, F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring)).alias("coordinates")).alias("geometry"))
+        text_ = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.to_json(feature), F.lit("]}"))
+        rows.select(text_.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     stored = readers.upsert_areas(readers.areas_geojson(spark, where), readers.areas_geojson(spark, fresh))
     return stored.select("gb_code", "name", readers.to_wkt(F.col("polygons")).alias("wkt"))
 

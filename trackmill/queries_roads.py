@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .fixtures import ROADS
+from .functions import sql
 from .operators import matching, roads, routing
-from .queries import _VERTICES, W, _folder, _matched, _projected, hav, on_walk, points, query, r, segments
+from .queries import _NEAREST, _VERTICES, W, _ellipsoid, _folder, _matched, _projected, hav, on_points, on_walk, points, query, r, segments
 from .sources import readers, sinks
 
 _REACH = 4000
@@ -113,3 +114,33 @@ def overpass_roads(spark, d):
     return found.join(kept, "road_id", "left").select(
         "road_id", "road_name", "road_type", F.size("coords").alias("n"), r(a["x"], 6).alias("lon"), r(a["y"], 6).alias("lat"), r(b["x"], 6).alias("end_lon"), r(b["y"], 6).alias("end_lat"), F.coalesce("kept", F.lit(False)).alias("kept"),
     )
+
+
+@query(f"WITH {ROADS}, {_VERTICES} SELECT road_id, kind, CAST(len(c) - CASE WHEN kind = 'first' THEN len(c) - len(c) // 2 WHEN kind = 'rest' THEN len(c) // 2 ELSE 0 END AS INTEGER) AS n, round(c[CASE WHEN kind = 'rest' THEN len(c) // 2 + 1 ELSE 1 END][1], 6) AS lon FROM line, (VALUES ('whole'), ('first'), ('rest')) AS k(kind) WHERE kind = 'whole' OR (kind = 'first' AND len(c) // 2 >= 2) OR (kind = 'rest' AND len(c) - len(c) // 2 >= 2)")
+def merged_parts(spark, d):
+    """Each road as a feature of two parts: read as one road, and as roads of their own."""
+    coordinates = F.transform("coords", lambda p: F.array(p["x"], p["y"]))
+    half = F.floor(F.size("coords") / 2).cast("int")
+    parts_ = F.array(F.slice(coordinates, F.lit(1), half), F.slice(coordinates, half + 1, F.size("coords") - half))
+    lines = roads.polylines(segments(spark, d))
+    features = lines.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("road_id").alias("id"), F.struct(F.lit("MultiLineString").alias("type"), parts_.alias("coordinates")).alias("geometry"))).alias("value"))
+    first = r(F.get("coords", F.lit(0))["x"], 6)
+    whole = readers.roads_geojson(features, merge_parts=True).select("road_id", F.lit("whole").alias("kind"), F.size("coords").alias("n"), first.alias("lon"))
+    start = F.get("coords", F.lit(0))
+    ends = lines.select("road_id", start.alias("begin"))
+    own = readers.roads_geojson(features).select("road_id", F.size("coords").alias("n"), first.alias("lon"), start.alias("start")).join(ends, "road_id")
+    return whole.union(own.select("road_id", F.when(F.col("start") == F.col("begin"), "first").otherwise("rest"), "n", "lon"))
+
+
+_SQL_MATCH = """SELECT e.event_id, m.segment_id, round(ellipsoid_distance(e.latitude, e.longitude, m.matched_lat, m.matched_lon), 2) AS metres
+FROM sql_points e JOIN match_distance_matching m ON e.event_id = m.event_id"""
+
+
+@query(on_points("SELECT event_id, segment_id, round(coalesce(metres, 0), 2) AS metres FROM (SELECT event_id, segment_id FROM nearest WHERE m <= 300) JOIN gps_points p USING (event_id) LEFT JOIN ell USING (event_id) WHERE speed <= 200", ROADS, _NEAREST, "ends AS (SELECT event_id, lat AS latitude, lon AS longitude, latitude AS a, longitude AS b FROM nearest JOIN (SELECT event_id, latitude, longitude FROM gps_points) USING (event_id))", _ellipsoid("ends")))
+def sql_surface(spark, d):
+    """Matches and their distances on the ellipsoid, asked for in SQL alone."""
+    p = points(spark, d)
+    sql.register(spark)
+    sql.register_matching(p, segments(spark, d), distance_matching={"max_distance": 300.0})
+    p.createOrReplaceTempView("sql_points")
+    return spark.sql(_SQL_MATCH)

@@ -8,6 +8,7 @@ from .fixtures import ROADS
 from .operators import sequence as seq
 from .plans.runs import Runs
 from .queries import _NEAREST, _folder, on_points, points, query, r, segments
+from .sources import readers, sinks
 
 #: trajectories of two vehicles in three, matched by one of two settings; some that do not exist
 _TASKS = """task AS (
@@ -50,3 +51,16 @@ def task_matches(spark, d):
     for run in ("one", "two"):
         runs.run(run, p, roads_)
     return runs.matches().select("task_id", "event_id", "segment_id", r("original_longitude", 6).alias("original_longitude"), r("matched_longitude", 6).alias("matched_longitude"), r("distance").alias("distance"), "road_type")
+
+
+@query(on_points("SELECT kind, event_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM gps_points, (VALUES ('gpx'), ('csv'), ('txt')) AS k(kind)").replace("SELECT kind, event_id", "SELECT kind, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS at"))
+def reader_dispatch(spark, d):
+    """The positions in three kinds of files, read by what their names end with."""
+    where, p, out = _folder(spark), points(spark, d), None
+    sinks.download(p, "gpx", f"{where}/a.gpx")
+    sinks.download(p.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("time"), "latitude", "longitude"), "csv", f"{where}/b.csv")
+    sinks.gps_lines(p).write.text(f"{where}/c.txt")
+    for name in ("a.gpx", "b.csv", "c.txt"):
+        got = readers.read(spark, f"{where}/{name}").select(F.lit(name[2:]).alias("kind"), F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"))
+        out = got if out is None else out.union(got)
+    return out
