@@ -107,7 +107,10 @@ def test_sinks(spark, small, tmp_path):
     sinks.write_new(built.limit(3), f"{tmp_path}/t", "d", overwrite=True)
     assert sinks.stored_trajectories(spark, f"{tmp_path}/t", built.schema).count() == 3
     c = correction.correct(p)
-    sinks.export_csv(c, f"{tmp_path}/csv")
+    counters = correction.Counters()
+    sinks.export_csv(correction.correct(p, counters=counters), f"{tmp_path}/csv")
+    want = service.correction_counters(p.withColumn("is_valid", F.lit(True))).first()
+    assert counters.get == {"valid": p.count(), "anomalous": want.anomalous, "duplicates": want.duplicates, "saved_points": c.count()} and want.saved_points == c.count()
     sinks.export_rates(p, c, f"{tmp_path}/rates")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == sinks.EXPORT
     assert spark.read.csv(f"{tmp_path}/rates", header=True).count() == 3

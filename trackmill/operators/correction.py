@@ -5,7 +5,7 @@ Nothing is recursive, so the whole is window functions over one exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -108,12 +108,36 @@ def scored(points: DataFrame, distance=geo.vincenty) -> DataFrame:
     return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).drop(*own)
 
 
-def correct(points: DataFrame, distance=geo.vincenty) -> DataFrame:
-    """The rows that stay: those over the threshold (all, of a sequence of one), without exact repeats of the row before."""
-    out = scored(points, distance)
+def judged(points: DataFrame, distance=geo.vincenty) -> DataFrame:
+    """What scored() gives, and good: over the threshold, or the only row of a sequence."""
     alone = (F.col("seq") == 1) & F.lead("seq").over(seq.over()).isNull()
-    kept = out.withColumn("_alone", alone).where((F.col("score") > THRESHOLD) | F.col("_alone"))
-    return seq.changed(kept).drop("_alone", "prev_ref", "next_ref")
+    return scored(points, distance).withColumn("good", (F.col("score") > THRESHOLD) | alone)
+
+
+def correct(points: DataFrame, distance=geo.vincenty, counters: Counters | None = None) -> DataFrame:
+    """The rows that stay: those over the threshold (all, of a sequence of one), without exact repeats of the row before. Counters are told once the result has been written."""
+    out = judged(points, distance)
+    out = out if counters is None else counters.judged(out)
+    out = seq.changed(out.where("good")).drop("good", "prev_ref", "next_ref")
+    return out if counters is None else counters.saved(out)
+
+
+class Counters:
+    """How many rows a correction judged, removed and saved, counted in passing: the action that writes the result makes them known."""
+
+    def __init__(self):
+        self._judged, self._saved = Observation(), Observation()
+
+    def judged(self, rows: DataFrame) -> DataFrame:
+        return rows.observe(self._judged, F.count(F.lit(1)).alias("valid"), F.count_if(~F.col("good")).alias("anomalous"))
+
+    def saved(self, rows: DataFrame) -> DataFrame:
+        return rows.observe(self._saved, F.count(F.lit(1)).alias("saved_points"))
+
+    @property
+    def get(self) -> dict[str, int]:
+        seen, saved = self._judged.get, self._saved.get["saved_points"]
+        return {"valid": seen["valid"], "anomalous": seen["anomalous"], "duplicates": seen["valid"] - seen["anomalous"] - saved, "saved_points": saved}
 
 
 def correct_stored(trajectories: DataFrame) -> DataFrame:

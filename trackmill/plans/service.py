@@ -106,18 +106,23 @@ def statistics(points: DataFrame) -> DataFrame:
 
 
 def correction_counters(points: DataFrame) -> DataFrame:
-    """One row: how many rows and vehicles' days were looked at, skipped as invalid, removed as anomalous or as repeats, and saved."""
-    valid = filters.valid_fix() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    scored = correction.scored(points.where(valid))
-    alone = (F.col("seq") == 1) & F.lead("seq").over(seq.over()).isNull()
-    marked = scored.withColumn("_good", alone | (F.col("score") > correction.THRESHOLD))
-    kept = seq.changed(marked.where("_good"))
-    out = points.agg(F.count("*").alias("points"), F.countDistinct(*seq.KEYS).alias("processed"), F.coalesce(F.count_if(~F.coalesce(valid, F.lit(False))), F.lit(0)).alias("skipped"))
-    good = marked.agg(F.count_if(~F.col("_good")).alias("anomalous"), F.count_if("_good").alias("good"))
-    saved = kept.agg(F.count("*").alias("saved_points"), F.countDistinct(*seq.KEYS).alias("saved"))
-    # three rows, of which each tells some columns
-    rows = out.unionByName(good, allowMissingColumns=True).unionByName(saved, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns]).withColumn("duplicates", F.col("good") - F.col("saved_points")).drop("good")
+    """One row: how many rows and vehicles' days were looked at, skipped as invalid, removed as anomalous or as repeats, and saved.
+
+    The chain runs once; what it removes is marked rather than filtered. Beside a correction that is written,
+    correction.Counters counts without a query of its own.
+    """
+    valid = F.coalesce(filters.valid_fix() & F.col("longitude").isNotNull() & F.col("latitude").isNotNull(), F.lit(False))
+    marked = correction.judged(points.where(valid))
+    before = F.last(F.when(F.col("good"), F.struct("longitude", "latitude")), ignorenulls=True).over(seq.over().rowsBetween(Window.unboundedPreceding, -1))
+    same = (F.col("longitude") == F.col("_b.longitude")) & (F.col("latitude") == F.col("_b.latitude"))
+    each = marked.withColumn("_b", before).withColumn("_saved", F.col("good") & ~F.coalesce(same, F.lit(False)))
+    count = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    of_valid = each.groupBy(*seq.KEYS).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("skipped"), count(~F.col("good")).alias("anomalous"), count(F.col("good") & ~F.col("_saved")).alias("duplicates"), count(F.col("_saved")).alias("saved_points"))
+    zero = F.lit(0).cast("long")
+    rest = points.where(~valid).groupBy(*seq.KEYS).agg(F.count("*").alias("n")).select(*seq.KEYS, "n", F.col("n").alias("skipped"), *[zero.alias(c) for c in ("anomalous", "duplicates", "saved_points")])
+    by = of_valid.unionByName(rest).groupBy(*seq.KEYS).agg(*[F.sum(c).alias(c) for c in ("n", "skipped", "anomalous", "duplicates", "saved_points")])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by.agg(total("n").alias("points"), F.count("*").alias("processed"), total("skipped").alias("skipped"), total("anomalous").alias("anomalous"), total("saved_points").alias("saved_points"), count(F.col("saved_points") > 0).alias("saved"), total("duplicates").alias("duplicates"))
 
 
 def first_points(points: DataFrame, n: int) -> DataFrame:
