@@ -96,6 +96,7 @@ def test_top_k(spark, monkeypatch, seed):
     monkeypatch.setattr(topk, "SAMPLE", 60)
     monkeypatch.setattr(topk, "BUCKET", 40)
     monkeypatch.setattr(topk, "GROUP", 90)
+    monkeypatch.setattr(topk, "PART", (1 << 16, 5, 3)[seed])
     rng = np.random.default_rng(seed)
     scale = rng.choice([0.1, 1.0, 9.0], 300)
     base = rng.normal(size=(6, 4 if seed else 16))
@@ -123,6 +124,37 @@ def test_top_k_of_repeated_ids(spark):
     assert sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()) == sorted(want)
 
 
+def test_top_k_of_an_odd_long_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WIDTH", 400)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=3000 if i in (7, 20) else 4).astype(np.float32)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, df.vec_id % 20 == 0).collect())
+    assert got == best(rows, 20, 20)
+    with pytest.raises(TypeError):
+        topk.search(df.selectExpr("CAST(vec_id AS STRING) AS vec_id", "embedding"), df.vec_id == 0)
+
+
+def test_lengths_and_coordinates_prune():
+    """Buckets of falling lengths, a few long vectors near each query."""
+    rng = np.random.default_rng(3)
+    p = np.floor(rng.normal(size=(8000, 24)) * np.repeat([400, 60, 50, 40, 8, 6, 4, 2], 1000)[:, None])
+    p[:1000, 0] += 3000 * rng.choice([-1, 1], 1000)
+    q = np.floor(rng.normal(size=(40, 24)) * 5)
+    q[:, 0] += 400
+    found = topk.Best(np.arange(-40, 0), q, 20, np.full(40, -np.inf))
+    length = np.sqrt((p * p).sum(1))
+    for a in range(0, 8000, 1000):
+        order = a + np.argsort(-length[a : a + 1000], kind="stable")
+        found.bucket(order, p[order], length[order])
+    scores = q @ p.T
+    for i in range(40):
+        want = np.lexsort((np.arange(8000), -scores[i]))[:20]
+        assert found.vec[found.of == i].tolist() == want.tolist()
+    verified, multiplied, pairs = found.looked
+    assert pairs == 40 * 8000 and verified + multiplied < 0.2 * pairs
+
+
 def test_top_k_of_little(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, df.vec_id % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
