@@ -171,9 +171,9 @@ def test_votes(spark):
 
 
 def test_registry():
-    assert matching.available() == ["distance_matching", "ensemble", "gotrackit", "greedy"]
+    assert matching.available() == ["distance_matching", "ensemble", "gotrackit", "greedy", "hmm"]
     with pytest.raises(ValueError):
-        matching.create("hmm")
+        matching.create("no such")
     matching.register("own", lambda p, s: p, reach=3)
     assert matching.info("own")["defaults"] == {"reach": 3}
     del matching.ALGORITHMS["own"], matching.DEFAULTS["own"]

@@ -100,25 +100,41 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id",
     corners: vertex_id, lat, lon. A find in the rings is final if it is closer than their rim; the rest,
     which a road network that covers its points leaves few of, look through cells 32 times as wide, so that few rounds reach
     any distance. Columns of cells go round the earth; planar distances, in plain degrees, do not.
+
+    All rounds are one plan: a round's result goes on by a filter, so its exchange is made once, and adaptive execution
+    leaves out the rounds that nothing comes to.
     """
+    left, done = points.select(key, "latitude", "longitude"), None
+    while True:
+        best = _in_rings(left, corners, key, planar, reach, ring)
+        if reach > 180:
+            final = best.where("m IS NOT NULL")
+        else:
+            # the rim is at least ring cells away; a degree of longitude shrinks with the latitude
+            rim = F.lit(ring * reach) if planar else F.lit(ring * reach * geo.DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("latitude")) + ring * reach + 1, F.lit(90.0))))
+            within = F.coalesce(F.col("m.distance") <= rim, F.lit(False))
+            final, left = best.where(within), best.where(~within).select(key, "latitude", "longitude")
+        told = final.select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
+        done = told if done is None else done.unionByName(told)
+        if reach > 180:
+            return done
+        reach *= 32
+
+
+def _in_rings(points: DataFrame, corners: DataFrame, key: str, planar: bool, reach: float, ring: int) -> DataFrame:
+    """Each point with m, the closest vertex of the cells around it, or null."""
     n = max(1, math.floor(360 / reach))
     far = lambda lat, lon: F.sqrt(F.pow(F.col("longitude") - lon, 2) + F.pow(F.col("latitude") - lat, 2)) if planar else geo.haversine("latitude", "longitude", lat, lon)
     column = lambda lon: geo.cell(lon, reach) if planar else F.pmod(geo.cell(F.col(lon) + 180, 360 / n), F.lit(n))
-    here = points.select(key, "latitude", "longitude").withColumns({"cx": column("longitude"), "cy": geo.cell("latitude", reach)})
+    here = points.withColumns({"cx": column("longitude"), "cy": geo.cell("latitude", reach)})
     columns = F.sequence(F.col("cx") - ring, F.col("cx") + ring)
     columns = columns if planar else F.array_distinct(F.transform(columns, lambda x: F.pmod(x, F.lit(n))))
     around = F.flatten(F.transform(columns, lambda x: F.transform(F.sequence(F.col("cy") - ring, F.col("cy") + ring), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
     listed = corners.withColumns({"gx": column("lon"), "gy": geo.cell("lat", reach)})
-    met = here.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c").join(listed, ["gx", "gy"])
+    met = here.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c").join(listed, ["gx", "gy"], "left")
     d = far(F.col("lat"), F.col("lon"))
-    best = met.groupBy(key, "latitude", "longitude").agg(F.min(F.struct(F.round(d, 9).alias("r"), "vertex_id", "lat", "lon", d.alias("distance"))).alias("m"))
-    if reach > 180:
-        return best.select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
-    # the rim is at least ring cells away; a degree of longitude shrinks with the latitude
-    rim = F.lit(ring * reach) if planar else F.lit(ring * reach * geo.DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("latitude")) + ring * reach + 1, F.lit(90.0))))
-    done = best.where(F.col("m.distance") <= rim).select(key, "m.vertex_id", "m.lat", "m.lon", "m.distance")
-    left = points.join(done.select(key), key, "left_anti")
-    return done if left.isEmpty() else done.unionByName(nearest_vertex(left, corners, key, planar, reach * 32, ring))
+    one = F.when(F.col("vertex_id").isNotNull(), F.struct(F.round(d, 9).alias("r"), "vertex_id", "lat", "lon", d.alias("distance")))
+    return met.groupBy(key, "latitude", "longitude").agg(F.min(one).alias("m"))
 
 
 def connected(segments: DataFrame, tolerance: float = 1e-6, itself: bool = False) -> DataFrame:
