@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,6 @@ _BREAK = np.isin(_ALL, list(b".,;:!?\n\x0b\x0c\r"))
 _KIND = ~_BREAK & ~np.isin(_ALL, list(b" \t"))
 
 
-@lru_cache(1 << 16)
 def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
@@ -68,7 +66,8 @@ class Runs:
         last = np.flatnonzero(ends)
         size = np.diff(np.r_[-1, last])
         self.left = np.repeat(last + 1, size) - np.arange(n)
-        self.salt = np.array([_salt(x) for x in langs], _U)[w.text()] if n else np.zeros(0, _U)
+        salts = {x: _salt(x) for x in set(langs)}
+        self.salt = np.array([salts[x] for x in langs], _U)[w.text()] if n else np.zeros(0, _U)
         self.sums = WORDS.sums(w.hashes())
 
     def names(self, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
