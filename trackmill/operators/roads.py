@@ -144,7 +144,7 @@ def connected(segments: DataFrame, tolerance: float = 1e-6, itself: bool = False
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     other = ends("to_id", "q").withColumn("s", F.explode(shifts)).withColumns({"kx": geo.cell(F.col("q.lon"), tolerance) + F.col("s.i"), "ky": geo.cell(F.col("q.lat"), tolerance) + F.col("s.j")})
     near = (F.abs(F.col("p.lat") - F.col("q.lat")) < tolerance) & (F.abs(F.col("p.lon") - F.col("q.lon")) < tolerance)
-    out = mine.join(other, ["kx", "ky"]).where(near)
+    out = mine.join(other.hint("merge"), ["kx", "ky"]).where(near)
     return (out if itself else out.where("from_id <> to_id")).select("from_id", "to_id").distinct()
 
 
