@@ -2,8 +2,8 @@
 
 Searches are equi-joins on grid cells. A segment is listed in every cell that its box, widened by the
 search distance at its latitude, touches, so a point looks into its own cell only and misses nothing within
-that distance. Broadcasting is left to Catalyst, which knows the road table's size; the cell join
-shuffles when roads are many.
+that distance. Cell joins shuffle: Catalyst knows the size of the road table, but not how many cells a
+segment is listed in, and would send the driver many times what it expects.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def with_candidates(points: DataFrame, segments: DataFrame, max_distance: float,
     size = max(CELL, max_distance / 110_000.0)
     here = points.withColumns({"_px": geo.cell("longitude", size), "_py": geo.cell("latitude", size)})
     inside = F.col("latitude").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("longitude").between(F.col("_lo_lon"), F.col("_hi_lon"))
-    met = here.join(_listed(segments, max_distance, size), (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & inside, how)
+    met = here.join(_listed(segments, max_distance, size).hint("merge"), (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & inside, how)
     return met.drop("_px", "_py", "_gx", "_gy", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
 
 
