@@ -20,6 +20,6 @@ def broadcast_lists(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment"])
+@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics"])
 def test_no_list_is_broadcast(spark, small, name):
     assert broadcast_lists(own.queries()[name](spark, small)) == []
