@@ -168,13 +168,13 @@ def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, mo
         listed = s.withColumn("_gx", F.explode(xs)).withColumn("_gy", F.explode(ys))
         close = [F.col(f"g{c}").between(reach(c, F.least, -3), reach(c, F.greatest, 3)) for c in "xy"]
         around = lambda i: (F.abs(F.col("gx") - F.col(f"_x{i}")) <= 1) & (F.abs(F.col("gy") - F.col(f"_y{i}")) <= 1)
-        met = here.join(listed, (wide(F.col("gx")) == F.col("_gx")) & (wide(F.col("gy")) == F.col("_gy")) & close[0] & close[1]).withColumn("near", around(0) | around(1))
+        met = here.join(listed.hint("merge"), (wide(F.col("gx")) == F.col("_gx")) & (wide(F.col("gy")) == F.col("_gy")) & close[0] & close[1]).withColumn("near", around(0) | around(1))
     else:
         # a box may be far from its segment, so the road's other segments have to be looked at
         cells = s.select("road_id", F.explode(_cells(lo("lat"), hi("lat"), lo("lon"), hi("lon"), size)).alias("c")).select("c.gx", "c.gy", "road_id").distinct()
         around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        found = here.select(key, "longitude", "latitude", F.explode(around).alias("c")).select(key, "longitude", "latitude", "c.gx", "c.gy").join(cells, ["gx", "gy"]).select(key, "longitude", "latitude", "road_id").distinct()
-        met = found.join(s, "road_id").withColumn("near", F.lit(True))
+        found = here.select(key, "longitude", "latitude", F.explode(around).alias("c")).select(key, "longitude", "latitude", "c.gx", "c.gy").join(cells.hint("merge"), ["gx", "gy"]).select(key, "longitude", "latitude", "road_id").distinct()
+        met = found.join(s.hint("merge"), "road_id").withColumn("near", F.lit(True))
     p = geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
     square = F.pow(F.col("longitude") - F.col("p.lon"), 2) + F.pow(F.col("latitude") - F.col("p.lat"), 2)
     met = met.withColumn("p", p)
