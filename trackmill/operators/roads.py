@@ -106,7 +106,7 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id",
     """
     left, done = points.select(key, "latitude", "longitude"), None
     while True:
-        best = _in_rings(left, corners, key, planar, reach, ring)
+        best = _in_rings(left, corners, key, planar, reach, ring, few=done is not None)
         if reach > 180:
             final = best.where("m IS NOT NULL")
         else:
@@ -121,17 +121,19 @@ def nearest_vertex(points: DataFrame, corners: DataFrame, key: str = "event_id",
         reach *= 32
 
 
-def _in_rings(points: DataFrame, corners: DataFrame, key: str, planar: bool, reach: float, ring: int) -> DataFrame:
-    """Each point with m, the closest vertex of the cells around it, or null."""
+def _in_rings(points: DataFrame, corners: DataFrame, key: str, planar: bool, reach: float, ring: int, few: bool) -> DataFrame:
+    """Each point with m, the closest vertex of the cells around it, or null. Vertices stand in the cells around them, or, where points are few, these in theirs."""
     n = max(1, math.floor(360 / reach))
     far = lambda lat, lon: F.sqrt(F.pow(F.col("longitude") - lon, 2) + F.pow(F.col("latitude") - lat, 2)) if planar else geo.haversine("latitude", "longitude", lat, lon)
     column = lambda lon: geo.cell(lon, reach) if planar else F.pmod(geo.cell(F.col(lon) + 180, 360 / n), F.lit(n))
-    here = points.withColumns({"cx": column("longitude"), "cy": geo.cell("latitude", reach)})
-    columns = F.sequence(F.col("cx") - ring, F.col("cx") + ring)
+    columns = F.sequence(F.col("gx") - ring, F.col("gx") + ring)
     columns = columns if planar else F.array_distinct(F.transform(columns, lambda x: F.pmod(x, F.lit(n))))
-    around = F.flatten(F.transform(columns, lambda x: F.transform(F.sequence(F.col("cy") - ring, F.col("cy") + ring), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
+    around = F.flatten(F.transform(columns, lambda x: F.transform(F.sequence(F.col("gy") - ring, F.col("gy") + ring), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
+    spread = lambda df: df.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c")
+    here = points.withColumns({"gx": column("longitude"), "gy": geo.cell("latitude", reach)})
     listed = corners.withColumns({"gx": column("lon"), "gy": geo.cell("lat", reach)})
-    met = here.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c").join(listed, ["gx", "gy"], "left")
+    here, listed = (spread(here), listed) if few else (here, spread(listed))
+    met = here.join(listed.hint("merge"), ["gx", "gy"], "left")
     d = far(F.col("lat"), F.col("lon"))
     one = F.when(F.col("vertex_id").isNotNull(), F.struct(F.round(d, 9).alias("r"), "vertex_id", "lat", "lon", d.alias("distance")))
     return met.groupBy(key, "latitude", "longitude").agg(F.min(one).alias("m"))
