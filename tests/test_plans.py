@@ -20,6 +20,6 @@ def broadcast_lists(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics", "match_tiers", "ensemble_vote", "sql_surface", "grid_candidates", "context_match", "greedy_match", "nearest_vertex_planar"])
+@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics", "match_tiers", "ensemble_vote", "sql_surface", "grid_candidates", "context_match", "greedy_match", "nearest_vertex_planar", "nearest_vertex"])
 def test_no_list_is_broadcast(spark, small, name):
     assert broadcast_lists(own.queries()[name](spark, small)) == []
