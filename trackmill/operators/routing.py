@@ -95,7 +95,9 @@ def routes(segments: DataFrame, reach: float) -> DataFrame:
         return (geo.cell(lon, size) == F.col("_gx")) & (geo.cell(lat, size) == F.col("_gy"))
 
     listed = roads._listed(_edges(segments), reach, size).select("_gx", "_gy", "a", "b", "metres", own("a").alias("a_own"), own("b").alias("b_own"))
-    return listed.repartition("_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(_search(reach), ROUTE)
+    # a tile's rows are few bytes and much work: with a number, adaptive execution does not merge them into few tasks
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(_search(reach), ROUTE)
 
 
 def _likeliest(table: pa.Table, sigma: float, beta: float) -> list[tuple[int, float]]:
@@ -182,7 +184,7 @@ def hmm(points: DataFrame, segments: DataFrame, *, max_distance: float = 1000.0,
     )
     met_at = cand.select(*seq.KEYS, F.explode(F.array("a", "b")).alias("origin")).distinct()
     ways = routes(segments, reach).groupBy("origin").agg(F.collect_list("target").alias("targets"), F.collect_list("metres").alias("ways"))
-    near = met_at.join(ways, "origin").select(*seq.KEYS, F.col("origin").alias("a"), "targets", "ways")
+    near = met_at.join(ways.hint("merge"), "origin").select(*seq.KEYS, F.col("origin").alias("a"), "targets", "ways")
     both = cand.unionByName(near, allowMissingColumns=True)
 
     def fold(table: pa.Table, starts) -> Iterator[pa.RecordBatch]:
