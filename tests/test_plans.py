@@ -3,6 +3,7 @@
 import pytest
 
 from trackmill import queries as own
+from trackmill.plans.runs import TASKS, Runs
 
 
 def nodes(plan) -> list:
@@ -23,3 +24,9 @@ def broadcast_lists(df) -> list[str]:
 @pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics", "match_tiers", "ensemble_vote", "sql_surface", "grid_candidates", "context_match", "greedy_match", "nearest_vertex_planar", "nearest_vertex", "hmm_match"])
 def test_no_list_is_broadcast(spark, small, name):
     assert broadcast_lists(own.queries()[name](spark, small)) == []
+
+
+def test_no_list_is_broadcast_in_a_run(spark, small, tmp_path):
+    tasks = spark.createDataFrame([("t", "01/B0001", "distance_matching", None)], TASKS)
+    matches = Runs(spark, str(tmp_path))._matched(tasks, own.points(spark, small), own.segments(spark, small), {})
+    assert broadcast_lists(matches) == []

@@ -92,7 +92,7 @@ class Runs:
             some = mine.join(tasks.select("trajectory_id").distinct(), "trajectory_id", "left_semi")
             run = algorithms.get(way.algorithm) or matching.create(way.algorithm, **json.loads(way.parameters or "{}"))
             place = some.select("trajectory_id", "event_id", F.col("latitude").alias("original_latitude"), F.col("longitude").alias("original_longitude"))
-            own = run(some.drop("trajectory_id"), segments).join(place, "event_id").join(tasks, "trajectory_id").join(segments.select("segment_id", "road_name", "road_type"), "segment_id", "left")
+            own = run(some.drop("trajectory_id"), segments).join(place, "event_id").join(tasks, "trajectory_id").join(segments.select("segment_id", "road_name", "road_type").hint("merge"), "segment_id", "left")
             own = own.withColumnsRenamed({"matched_lat": "matched_latitude", "matched_lon": "matched_longitude"})
             matches = matches.unionAll(own.select(*[c.split()[0] for c in MATCHES.split(", ")]))
         return matches
