@@ -21,7 +21,7 @@ def broadcast_lists(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics", "match_tiers", "ensemble_vote", "sql_surface", "grid_candidates", "context_match", "greedy_match", "nearest_vertex_planar", "nearest_vertex", "hmm_match", "viterbi_match", "match_with_cleaning"])
+@pytest.mark.parametrize("name", ["connected_segments", "nearest_segment", "match_statistics", "match_tiers", "ensemble_vote", "sql_surface", "grid_candidates", "context_match", "greedy_match", "nearest_vertex_planar", "nearest_vertex", "hmm_match", "viterbi_match", "match_with_cleaning", "matched_trajectory_build"])
 def test_no_list_is_broadcast(spark, small, name):
     assert broadcast_lists(own.queries()[name](spark, small)) == []
 
