@@ -30,3 +30,10 @@ def test_no_list_is_broadcast_in_a_run(spark, small, tmp_path):
     tasks = spark.createDataFrame([("t", "01/B0001", "distance_matching", None)], TASKS)
     matches = Runs(spark, str(tmp_path))._matched(tasks, own.points(spark, small), own.segments(spark, small), {})
     assert broadcast_lists(matches) == []
+
+
+@pytest.mark.parametrize("name", ["nearest_vertex"])
+def test_candidates_are_made_by_as_many_tasks_as_there_are_partitions(spark, small, name):
+    """Adaptive execution would put points into few tasks, as it sees their bytes before candidates multiply them."""
+    origins = [n.shuffleOrigin().toString() for n in nodes(own.queries()[name](spark, small)._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Exchange"]
+    assert "REPARTITION_BY_NUM" in origins

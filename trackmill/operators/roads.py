@@ -73,6 +73,11 @@ def _listed(segments: DataFrame, max_distance: float, size: float) -> DataFrame:
     return s.withColumn("_c", F.explode(cells)).withColumns({"_gx": F.col("_c.gx"), "_gy": F.col("_c.gy")}).drop("_c", "_x", "_mid")
 
 
+def dealt(points: DataFrame, *cells: Column | str) -> DataFrame:
+    """points placed by cell, in as many tasks as there are shuffle partitions: candidates multiply a task's rows after this exchange, so its bytes must not decide how many tasks are made one."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cells)
+
+
 def with_candidates(points: DataFrame, segments: DataFrame, max_distance: float, how: str = "left") -> DataFrame:
     """Each point with the segments that may lie within max_distance metres, at any latitude and across 180 degrees."""
     size = max(CELL, max_distance / 110_000.0)
@@ -132,7 +137,7 @@ def _in_rings(points: DataFrame, corners: DataFrame, key: str, planar: bool, rea
     spread = lambda df: df.withColumn("c", F.explode(around)).withColumns({"gx": F.col("c.gx"), "gy": F.col("c.gy")}).drop("c")
     here = points.withColumns({"gx": column("longitude"), "gy": geo.cell("latitude", reach)})
     listed = corners.withColumns({"gx": column("lon"), "gy": geo.cell("lat", reach)})
-    here, listed = (spread(here), listed) if few else (here, spread(listed))
+    here, listed = (spread(here), listed) if few else (dealt(here, "gx", "gy"), spread(listed))
     met = here.join(listed.hint("merge"), ["gx", "gy"], "left")
     d = far(F.col("lat"), F.col("lon"))
     one = F.when(F.col("vertex_id").isNotNull(), F.struct(F.round(d, 9).alias("r"), "vertex_id", "lat", "lon", d.alias("distance")))
