@@ -175,7 +175,7 @@ def grid_candidates(points: DataFrame, roads: DataFrame, size: float = 0.001, mo
         listed = s.withColumn("_gx", F.explode(xs)).withColumn("_gy", F.explode(ys))
         close = [F.col(f"g{c}").between(reach(c, F.least, -3), reach(c, F.greatest, 3)) for c in "xy"]
         around = lambda i: (F.abs(F.col("gx") - F.col(f"_x{i}")) <= 1) & (F.abs(F.col("gy") - F.col(f"_y{i}")) <= 1)
-        met = here.join(listed.hint("merge"), (wide(F.col("gx")) == F.col("_gx")) & (wide(F.col("gy")) == F.col("_gy")) & close[0] & close[1]).withColumn("near", around(0) | around(1))
+        met = dealt(here, wide(F.col("gx")), wide(F.col("gy"))).join(listed.hint("merge"), (wide(F.col("gx")) == F.col("_gx")) & (wide(F.col("gy")) == F.col("_gy")) & close[0] & close[1]).withColumn("near", around(0) | around(1))
     else:
         # a box may be far from its segment, so the road's other segments have to be looked at
         cells = s.select("road_id", F.explode(_cells(lo("lat"), hi("lat"), lo("lon"), hi("lon"), size)).alias("c")).select("c.gx", "c.gy", "road_id").distinct()
