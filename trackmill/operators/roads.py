@@ -83,7 +83,7 @@ def with_candidates(points: DataFrame, segments: DataFrame, max_distance: float,
     size = max(CELL, max_distance / 110_000.0)
     here = points.withColumns({"_px": geo.cell("longitude", size), "_py": geo.cell("latitude", size)})
     inside = F.col("latitude").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("longitude").between(F.col("_lo_lon"), F.col("_hi_lon"))
-    met = here.join(_listed(segments, max_distance, size).hint("merge"), (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & inside, how)
+    met = dealt(here, "_px", "_py").join(_listed(segments, max_distance, size).hint("merge"), (F.col("_px") == F.col("_gx")) & (F.col("_py") == F.col("_gy")) & inside, how)
     return met.drop("_px", "_py", "_gx", "_gy", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
 
 
