@@ -3,6 +3,7 @@
 import pytest
 
 from trackmill import queries as own
+from trackmill.operators import matching
 from trackmill.plans.runs import TASKS, Runs
 
 
@@ -32,8 +33,13 @@ def test_no_list_is_broadcast_in_a_run(spark, small, tmp_path):
     assert broadcast_lists(matches) == []
 
 
-@pytest.mark.parametrize("name", ["nearest_vertex", "context_match", "match_statistics"])
+@pytest.mark.parametrize("name", ["nearest_vertex", "context_match", "match_statistics", "ensemble_vote"])
 def test_candidates_are_made_by_as_many_tasks_as_there_are_partitions(spark, small, name):
     """Adaptive execution would put points into few tasks, as it sees their bytes before candidates multiply them."""
     origins = [n.shuffleOrigin().toString() for n in nodes(own.queries()[name](spark, small)._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Exchange"]
     assert "REPARTITION_BY_NUM" in origins
+
+
+def test_votes_are_counted_by_as_many_tasks_as_there_are_partitions(spark):
+    results = spark.range(1000).selectExpr("id AS event_id", "'s' AS segment_id", "0D AS matched_lat", "0D AS matched_lon", "0D AS distance", "1D AS confidence").repartition("event_id")
+    assert matching.vote({"a": results, "b": results}).rdd.getNumPartitions() == 4

@@ -153,14 +153,15 @@ def vote(results: dict[str, DataFrame], method: str = "majority", weights: dict[
     for name, df in results.items():
         one = df.withColumns({"w": F.lit(float(weights.get(name, 1.0)))})
         tagged = one if tagged is None else tagged.unionByName(one)
-    by = tagged.groupBy("event_id", "segment_id").agg(
+    # counts, sums and windows hold all rows of a task at once; placed by event_id itself, they would stay in the few tasks that adaptive execution made for the results
+    by = roads.dealt(tagged.withColumn("_at", F.xxhash64("event_id")), "_at").groupBy("_at", "event_id", "segment_id").agg(
         F.count("*").alias("n_votes"), F.sum("w").alias("weight"), (F.sum(F.col("w") * F.col("confidence")) / F.sum("w")).alias("trust"),
         *[F.avg(c).alias(c) for c in ("matched_lat", "matched_lon", "distance", "confidence")],
     )
-    whole = by.withColumn("_all", F.sum("n_votes").over(Window.partitionBy("event_id")))
-    wins = whole.withColumn("_clear", F.max(F.col("n_votes") > threshold * F.col("_all")).over(Window.partitionBy("event_id")))
+    whole = by.withColumn("_all", F.sum("n_votes").over(Window.partitionBy("_at", "event_id")))
+    wins = whole.withColumn("_clear", F.max(F.col("n_votes") > threshold * F.col("_all")).over(Window.partitionBy("_at", "event_id")))
     key = {"majority": F.when(F.col("_clear"), F.col("n_votes").cast("double")).otherwise(F.col("trust")), "weighted": F.col("weight"), "confidence": F.col("trust")}[method]
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc(F.round(key, 9)), "segment_id"))
+    rank = F.row_number().over(Window.partitionBy("_at", "event_id").orderBy(F.desc(F.round(key, 9)), "segment_id"))
     return wins.withColumn("_r", rank).where("_r = 1").select("event_id", "segment_id", "matched_lat", "matched_lon", "distance", "confidence", "n_votes")
 
 
