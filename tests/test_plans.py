@@ -33,7 +33,7 @@ def test_no_list_is_broadcast_in_a_run(spark, small, tmp_path):
     assert broadcast_lists(matches) == []
 
 
-@pytest.mark.parametrize("name", ["nearest_vertex", "context_match", "match_statistics", "ensemble_vote", "match_tiers", "sql_surface", "greedy_match", "match_with_cleaning", "matched_trajectory_build"])
+@pytest.mark.parametrize("name", ["nearest_vertex", "context_match", "match_statistics", "ensemble_vote", "match_tiers", "sql_surface", "greedy_match", "match_with_cleaning", "matched_trajectory_build", "viterbi_match"])
 def test_candidates_are_made_by_as_many_tasks_as_there_are_partitions(spark, small, name):
     """Adaptive execution would put points into few tasks, as it sees their bytes before candidates multiply them."""
     origins = [n.shuffleOrigin().toString() for n in nodes(own.queries()[name](spark, small)._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Exchange"]
