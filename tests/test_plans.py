@@ -43,3 +43,9 @@ def test_candidates_are_made_by_as_many_tasks_as_there_are_partitions(spark, sma
 def test_votes_are_counted_by_as_many_tasks_as_there_are_partitions(spark):
     results = spark.range(1000).selectExpr("id AS event_id", "'s' AS segment_id", "0D AS matched_lat", "0D AS matched_lon", "0D AS distance", "1D AS confidence").repartition("event_id")
     assert matching.vote({"a": results, "b": results}).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("name", ["greedy_match", "viterbi_match"])
+def test_vehicles_are_folded_by_as_many_tasks_as_there_are_partitions(spark, small, name):
+    """Bytes do not tell how long a fold takes."""
+    assert own.queries()[name](spark, small).rdd.getNumPartitions() == 4

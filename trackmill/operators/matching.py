@@ -28,7 +28,7 @@ def _reachable(points: DataFrame, segments: DataFrame, max_distance: float, itse
     met = roads.with_candidates(bare, ends, max_distance).withColumn("p", geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon"))
     met = met.select(*seq.KEYS, "datetime", "event_id", "speed", "segment_id", "links", "p", geo.haversine("latitude", "longitude", "p.lat", "p.lon").alias("far"))
     hit = F.when(F.col("far") <= max_distance, F.struct("segment_id", F.col("far").alias("distance"), "p.lat", geo.wrapped(F.col("p.lon")).alias("lon"), F.coalesce("links", F.array().cast("array<string>")).alias("links")))
-    return met.repartition(*seq.KEYS).groupBy(*seq.KEYS, "datetime", "event_id", "speed").agg(F.array_sort(F.collect_list(hit)).alias("cand"))
+    return roads.dealt(met, *seq.KEYS).groupBy(*seq.KEYS, "datetime", "event_id", "speed").agg(F.array_sort(F.collect_list(hit)).alias("cand"))
 
 
 class _Candidates:

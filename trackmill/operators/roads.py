@@ -74,7 +74,7 @@ def _listed(segments: DataFrame, max_distance: float, size: float) -> DataFrame:
 
 
 def dealt(points: DataFrame, *cells: Column | str) -> DataFrame:
-    """points placed by cell, in as many tasks as there are shuffle partitions: candidates multiply a task's rows after this exchange, so its bytes must not decide how many tasks are made one."""
+    """points placed by cell (or vehicle), in as many tasks as there are shuffle partitions: candidates multiply a task's rows or work after this exchange, so its bytes must not decide how many tasks are made one."""
     return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cells)
 
 
