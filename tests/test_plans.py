@@ -49,3 +49,23 @@ def test_votes_are_counted_by_as_many_tasks_as_there_are_partitions(spark):
 def test_vehicles_are_folded_by_as_many_tasks_as_there_are_partitions(spark, small, name):
     """Bytes do not tell how long a fold takes."""
     assert own.queries()[name](spark, small).rdd.getNumPartitions() == 4
+
+
+def joins(df) -> int:
+    return sum("Join" in n.nodeName() for n in nodes(df._jdf.queryExecution().sparkPlan()))
+
+
+def test_rules_of_cleaning_need_no_join(spark, small):
+    """Each join would match all points again, and hold them."""
+    assert joins(own.queries()["match_with_cleaning"](spark, small)) == joins(own.queries()["context_match"](spark, small))
+
+
+def broadcasts_of(df, table: str) -> list[str]:
+    """Joins whose broadcast side reads the table."""
+    sides = [j.left() if "Left" in j.buildSide().toString() else j.right() for j in nodes(df._jdf.queryExecution().sparkPlan()) if j.nodeName().startswith("Broadcast")]
+    return [n.nodeName() for side in sides for n in nodes(side) if f"/{table}.parquet" in n.toString()]
+
+
+@pytest.mark.parametrize("name", ["context_match", "match_with_cleaning", "matched_trajectory_build"])
+def test_points_are_not_broadcast(spark, small, name):
+    assert broadcasts_of(own.queries()[name](spark, small), "events") == []

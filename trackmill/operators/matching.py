@@ -192,7 +192,8 @@ def context_match(points: DataFrame, lines: DataFrame, *, bearing: str = "math",
     angle = geo.road_direction(F.col("a"), F.col("b")) if bearing == "math" else geo.bearing("a.y", "a.x", "b.y", "b.x")
     met = found.join(ends.withColumn("angle", angle).select("road_id", "road_name", "road_type", "angle"), "road_id")
     mine = with_context.select("event_id", F.col("context_road").alias("ctx"), F.when(F.col("speed") == 0, -1.0).otherwise(F.coalesce("heading", F.lit(-1.0))).alias("head"))
-    met = met.join(mine, "event_id")
+    # a projection of points may look small enough to be broadcast, by the size of compressed files
+    met = met.join(mine.hint("merge"), "event_id")
     near = 1 / (1 + F.sqrt("square") * 1000)
     same = F.when(F.col("ctx") == F.col("road_id"), 1.0).otherwise(0.0)
     turn = F.when(F.col("head") >= 0, 1 - geo.fold(F.col("head") - F.col("angle")) / 180).otherwise(0.0)
@@ -211,11 +212,9 @@ def context_match(points: DataFrame, lines: DataFrame, *, bearing: str = "math",
 def cleaned(matched: DataFrame, metres: float = 100.0) -> DataFrame:
     """Matched points without those far from their road, in conflict with their neighbours' places, or alone on their road; all rules look at the whole list."""
     n = F.count("*").over(Window.partitionBy(*seq.KEYS))
-    marked = matched.withColumns({"_n": n})
-    near = seq.near_in_time(matched).select("event_id", F.lit(True).alias("_near"))
-    agree = seq.consistent_roads(matched).select("event_id", F.lit(True).alias("_agree"))
-    out = marked.join(near, "event_id", "left").join(agree, "event_id", "left")
-    return out.where((F.col("_n") <= 2) | ((F.col("distance_to_road") <= metres) & F.col("_near").isNotNull() & F.col("_agree").isNotNull())).drop("_n", "_near", "_agree")
+    marked = seq.with_outvoted(matched.withColumn("_jumps", seq.jumps()), "_outvoted").withColumn("_n", n)
+    return marked.where((F.col("_n") <= 2) | ((F.col("distance_to_road") <= metres) & ~F.col("_jumps") & ~F.col("_outvoted"))).drop("_n", "_jumps", "_outvoted")
+
 
 
 def vertex_match(points: DataFrame, lines: DataFrame, planar: bool = False) -> DataFrame:

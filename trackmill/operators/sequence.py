@@ -141,25 +141,34 @@ def road_context(points: DataFrame) -> DataFrame:
     return points.withColumn("context_road", F.coalesce(*[F.lag(known, n).over(over()) for n in (1, -1, 2, 3, -2, -3)]))
 
 
-def near_in_time(points: DataFrame, seconds_: int = 300, metres: float = 500.0) -> DataFrame:
-    """Drops inner rows that have, among three neighbours on either side, one close in time but far in place."""
+def jumps(seconds_: int = 300, metres: float = 500.0) -> Column:
+    """Whether an inner row has, among three neighbours on either side, one close in time but far in place."""
     far = F.lit(False)
     for n in (1, 2, 3, -1, -2, -3):
         lat, lon, t = (F.lag(c, n).over(over()) for c in ("latitude", "longitude", "datetime"))
         far = far | F.coalesce((F.abs(seconds(t, F.col("datetime"))) <= seconds_) & (geo.haversine(lat, lon, "latitude", "longitude") > metres), F.lit(False))
     n = F.count("*").over(Window.partitionBy(*KEYS))
-    inner = prev("event_id").isNotNull() & following("event_id").isNotNull() & (n > 2)
-    return points.withColumn("_drop", inner & far).where(~F.col("_drop")).drop("_drop")
+    return prev("event_id").isNotNull() & following("event_id").isNotNull() & (n > 2) & far
 
 
-def consistent_roads(points: DataFrame) -> DataFrame:
-    """Drops rows, two away from either end, where three of the four neighbours agree on another road."""
+def near_in_time(points: DataFrame, seconds_: int = 300, metres: float = 500.0) -> DataFrame:
+    """Drops rows that jump."""
+    return points.withColumn("_drop", jumps(seconds_, metres)).where(~F.col("_drop")).drop("_drop")
+
+
+def with_outvoted(points: DataFrame, name: str) -> DataFrame:
+    """name: whether three of the four neighbours of a row, two away from either end, agree on another road."""
     around = [F.lag("road_id", n).over(over()) for n in (2, 1, -1, -2)]
     n, i = F.count("*").over(Window.partitionBy(*KEYS)), F.row_number().over(over()) - 1
     out = points.withColumns({"_around": F.array(*around), "_n": n, "_i": i})
     agree = F.exists("_around", lambda r: (r != F.col("road_id")) & (F.size(F.filter("_around", lambda x: x == r)) >= 3))
     inner = (F.col("_n") >= 5) & (F.col("_i") >= 2) & (F.col("_i") <= F.col("_n") - 3)
-    return out.where(~(inner & F.coalesce(agree, F.lit(False)))).drop("_around", "_n", "_i")
+    return out.withColumn(name, inner & F.coalesce(agree, F.lit(False))).drop("_around", "_n", "_i")
+
+
+def consistent_roads(points: DataFrame) -> DataFrame:
+    """Drops rows whose neighbours agree on another road."""
+    return with_outvoted(points, "_drop").where(~F.col("_drop")).drop("_drop")
 
 
 def confident_references(points: DataFrame, confidence: str, columns: list[str], least: float = 0.6) -> DataFrame:
