@@ -66,6 +66,12 @@ def broadcasts_of(df, table: str) -> list[str]:
     return [n.nodeName() for side in sides for n in nodes(side) if f"/{table}.parquet" in n.toString()]
 
 
-@pytest.mark.parametrize("name", ["context_match", "match_with_cleaning", "matched_trajectory_build"])
+@pytest.mark.parametrize("name", ["context_match", "match_with_cleaning", "matched_trajectory_build", "sql_surface"])
 def test_points_are_not_broadcast(spark, small, name):
     assert broadcasts_of(own.queries()[name](spark, small), "events") == []
+
+
+def test_a_join_with_a_matching_view_may_still_ask_for_a_broadcast(spark, small):
+    own.queries()["sql_surface"](spark, small)
+    df = spark.sql("SELECT /*+ BROADCAST(few) */ m.segment_id FROM match_distance_matching m JOIN (SELECT event_id FROM sql_points LIMIT 5) few ON few.event_id = m.event_id")
+    assert broadcasts_of(df, "events") and df.count() <= 5

@@ -40,7 +40,8 @@ def register_matching(points: DataFrame, segments: DataFrame, **settings: dict)
 
     spark, told = points.sparkSession, []
     for name in matching.available():
-        matching.create(name, **settings.get(name, {}))(points, segments).createOrReplaceTempView(f"match_{name}")
+        # a view is as long as its points, which a join with it would broadcast by the size of compressed files
+        matching.create(name, **settings.get(name, {}))(points, segments).hint("merge").createOrReplaceTempView(f"match_{name}")
         about = matching.info(name)
         told.append((name, about["description"], json.dumps(about["defaults"] | settings.get(name, {}), sort_keys=True)))
     spark.createDataFrame(told, "name string, description string, settings string").createOrReplaceTempView("match_algorithms")
