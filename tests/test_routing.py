@@ -119,3 +119,31 @@ def test_points_cross_one_exchange_by_vehicle(spark):
     points = spark.createDataFrame([("01", "a", 1, datetime(2016, 8, 31), 22.5, 114.0, 1.0)], POINTS)
     plan = matching.create("hmm")(points, spark.createDataFrame(network(random.Random(1), 22.5, 114.0), SEGMENTS))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [day#") == 1
+
+
+def test_candidates_are_made_once_and_not_in_the_join(spark):
+    """No distance stands in a join's condition, where each use of a place computes it again, and junctions are found without distances."""
+    points = spark.createDataFrame([("01", "a", 1, datetime(2016, 8, 31), 22.5, 114.0, 1.0)], POINTS)
+    plan = matching.create("hmm")(points, spark.createDataFrame(network(random.Random(1), 22.5, 114.0), SEGMENTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join " in line and "ASIN" in line.upper()]
+    assert sum("from_a" in line and "Project" in line and "ASIN" in line.upper() for line in plan.split("\n")) == 1
+
+
+def test_roads_that_no_point_is_near_to_are_not_searched(spark):
+    near, far = network(random.Random(1), 22.5, 114.0), network(random.Random(2), 40.0, 100.0)
+    segments = spark.createDataFrame([*near, *((f"x{s[0]}", *s[1:]) for s in far)], SEGMENTS)
+    all_, own = (routing.routes(segments, 700.0, *x) for x in ((), (segments.where("start_lat < 30").select(routing.junction("start_lat", "start_lon").alias("origin")),)))
+    wanted = {(r.origin, r.target, r.metres) for r in all_.collect()}
+    found = {(r.origin, r.target, r.metres) for r in own.collect()}
+    begins = {r.origin for r in segments.where("start_lat < 30").select(routing.junction("start_lat", "start_lon").alias("origin")).collect()}
+    assert {r for r in wanted if r[0] in begins} <= found <= {r for r in wanted if r[0] // (360 * routing.UNIT) < 120 * routing.UNIT} < wanted
+
+
+def test_many_steps_are_weighed_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    segments = spark.createDataFrame(network(rng, 22.5, 114.0, 5), SEGMENTS)
+    rows = [("01", f"B{v}", v * 100 + i, datetime(2016, 8, 31) + timedelta(seconds=i), 22.5 + rng.random() * 0.008, 114.0 + rng.random() * 0.008, 30.0) for v in range(3) for i in range(40)]
+    points = spark.createDataFrame(rows, POINTS)
+    whole = sorted(map(tuple, matching.create("hmm", max_distance=300.0)(points, segments).collect()))
+    monkeypatch.setattr(routing, "PAIRS", 7)
+    assert len(whole) == 120 and sorted(map(tuple, matching.create("hmm", max_distance=300.0)(points, segments).collect())) == whole

@@ -86,41 +86,68 @@ def _search(reach: float):
     return run
 
 
-def routes(segments: DataFrame, reach: float) -> DataFrame:
-    """origin, target and metres of all pairs of junctions with a way of at most `reach` metres between them, the shortest of which counts; a junction reaches itself."""
+def routes(segments: DataFrame, reach: float, near: DataFrame | None = None) -> DataFrame:
+    """origin, target and metres of all pairs of junctions with a way of at most `reach` metres between them, the shortest of which counts; a junction reaches itself.
+
+    With near (origin), junctions whose tile holds none of these are left out as origins.
+    """
     size = max(roads.CELL, reach / 110_000.0)
 
-    def own(c: str) -> Column:
+    def tile(c: str) -> tuple[Column, Column]:
         lat, lon = F.floor(F.col(c) / (360 * UNIT)) / UNIT - 90, F.pmod(F.col(c), F.lit(360 * UNIT)) / UNIT - 180
-        return (geo.cell(lon, size) == F.col("_gx")) & (geo.cell(lat, size) == F.col("_gy"))
+        return geo.cell(lon, size), geo.cell(lat, size)
+
+    def own(c: str) -> Column:
+        x, y = tile(c)
+        return (x == F.col("_gx")) & (y == F.col("_gy"))
 
     listed = roads._listed(_edges(segments), reach, size).select("_gx", "_gy", "a", "b", "metres", own("a").alias("a_own"), own("b").alias("b_own"))
-    # a tile's rows are few bytes and much work: with a number, adaptive execution does not merge them into few tasks
-    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(parts, "_gx", "_gy").sortWithinPartitions("_gx", "_gy").mapInArrow(_search(reach), ROUTE)
+    if near is not None:
+        x, y = tile("origin")
+        listed = listed.join(near.select(x.alias("_gx"), y.alias("_gy")).distinct().hint("merge"), ["_gx", "_gy"], "left_semi")
+    # a tile's rows are few bytes and much work: with a number, adaptive execution does not merge them into few tasks (in the join's order of columns this exchange would go)
+    return roads.dealt(listed, "_gy", "_gx").sortWithinPartitions("_gx", "_gy").mapInArrow(_search(reach), ROUTE)
+
+
+#: pairs of candidates, of one point and the next, that are weighed together
+PAIRS = 1 << 18
 
 
-def _likeliest(table: pa.Table, sigma: float, beta: float) -> list[tuple[int, float]]:
-    """Rows (candidates) of the likeliest path of one vehicle's day, with the share of each among its point's candidates by distance."""
+class _Rows:
+    """Columns of candidates and ways as numbers. A row without a segment is the ways from a junction; segments are codes in the order of their ids."""
+
+    def __init__(self, table: pa.Table):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        self.of = {c: table[c].fill_null(0).to_numpy() for c in ("event_id", "a", "b")} | {c: table[c].to_numpy() for c in ("latitude", "longitude", "lat", "lon", "distance", "from_a", "from_b")}
+        names = table["segment_id"].combine_chunks().dictionary_encode()
+        rank = np.zeros(max(1, len(names.dictionary)), np.int64)
+        rank[sorted(range(len(names.dictionary)), key=names.dictionary.to_pylist().__getitem__)] = np.arange(len(names.dictionary))
+        self.is_route = names.indices.is_null().to_numpy(zero_copy_only=False)
+        self.of["segment"] = rank[names.indices.fill_null(0).to_numpy()]
+        self.n_ways = pc.list_value_length(table["targets"]).fill_null(0).to_numpy()
+        self.way = np.r_[0, np.cumsum(self.n_ways)]
+        self.target, self.metres = (table[c].combine_chunks().flatten().to_numpy() for c in ("targets", "ways"))
+
+
+def _likeliest(rows: _Rows, a: int, b: int, max_distance: float, sigma: float, beta: float) -> list[tuple[int, float]]:
+    """Rows (candidates) of the likeliest path of one vehicle's day, rows a to b, with the share of each among its point's candidates by distance."""
     import numpy as np
 
-    is_route = table["segment_id"].is_null().to_numpy()
-    ways = table.filter(pa.array(is_route))
-    at = np.flatnonzero(~is_route)
+    at = a + np.flatnonzero(~rows.is_route[a:b] & (rows.of["distance"][a:b] <= max_distance))
     if not len(at):
         return []
-    cand = table.take(pa.array(at))
-    columns = {c: cand[c].to_numpy() for c in ("event_id", "latitude", "longitude", "lat", "lon", "distance", "from_a", "from_b", "a", "b")}
-    segment = cand["segment_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    columns = {c: v[at] for c, v in rows.of.items()}
+    segment = columns["segment"]
     node, number = np.unique(np.r_[columns["a"], columns["b"]], return_inverse=True)
     ends = np.stack([number[: len(at)], number[len(at) :]])
     rest = np.stack([columns["from_a"], columns["from_b"]])
     far = np.full((len(node), len(node)), np.inf)  # of the junctions near one vehicle's day
-    for u, to, metres in zip(ways["a"].to_pylist(), ways["targets"].combine_chunks(), ways["ways"].combine_chunks(), strict=True):
-        v, d = np.asarray(to.values), np.asarray(metres.values)
-        i = np.searchsorted(node, v)
-        known = (i < len(node)) & (node[np.minimum(i, len(node) - 1)] == v)
-        far[np.searchsorted(node, u), i[known]] = d[known]
+    u, v = np.repeat(rows.of["a"][a:b], rows.n_ways[a:b]), rows.target[rows.way[a] : rows.way[b]]
+    i, j = (np.minimum(np.searchsorted(node, x), len(node) - 1) for x in (u, v))
+    known = (node[i] == u) & (node[j] == v)
+    far[i[known], j[known]] = rows.metres[rows.way[a] : rows.way[b]][known]
 
     def metres(y1, x1, y2, x2):
         h = np.sin(np.radians(y2 - y1) / 2) ** 2 + np.cos(np.radians(y1)) * np.cos(np.radians(y2)) * np.sin(np.radians(x2 - x1) / 2) ** 2
@@ -128,10 +155,30 @@ def _likeliest(table: pa.Table, sigma: float, beta: float) -> list[tuple[int, fl
 
     weight = -0.5 * (np.round(columns["distance"], 3) / sigma) ** 2
     first = np.r_[0, np.flatnonzero(np.diff(columns["event_id"])) + 1, len(at)]
-    spans = [np.arange(a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     # candidates of a point in the order of their ids
-    names = cand["segment_id"].to_pylist()
-    spans = [np.array(sorted(s.tolist(), key=names.__getitem__)) for s in spans]
+    order = np.lexsort((segment, np.repeat(np.arange(len(first) - 1), np.diff(first))))
+    spans = [order[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def steps() -> Iterator[np.ndarray]:
+        """What each step costs, from each candidate of a point to each of the next: many steps at once."""
+        size = np.diff(first)
+        pairs = np.r_[0, np.cumsum(size[:-1] * size[1:])]
+        t = 0
+        while t < len(pairs) - 1:
+            e = max(t + 1, int(np.searchsorted(pairs, pairs[t] + PAIRS, "right")) - 1)
+            n = size[t:e] * size[t + 1 : e + 1]
+            step = np.repeat(np.arange(t, e), n)
+            k = np.arange(len(step)) - np.repeat(np.cumsum(n) - n, n)
+            p, q = order[first[step] + k // size[step + 1]], order[first[step + 1] + k % size[step + 1]]
+            way = np.min([rest[e_, p] + far[ends[e_, p], ends[f, q]] + rest[f, q] for e_ in (0, 1) for f in (0, 1)], axis=0)
+            same = np.flatnonzero(segment[p] == segment[q])
+            way[same] = metres(*(columns[c][x[same]] for x in (p, q) for c in ("lat", "lon")))
+            straight = metres(*(columns[c][order[first[x : x + e - t]]] for x in (t, t + 1) for c in ("latitude", "longitude")))
+            cost = np.round(np.abs(way - straight[step - t]), 3) / beta
+            for i in range(t, e):
+                yield cost[pairs[i] - pairs[t] : pairs[i + 1] - pairs[t]].reshape(size[i], size[i + 1])
+            t = e
+
     path: list[int] = []
     chain: list[np.ndarray] = []  # the best candidate before, for each of a point's, since the last break
 
@@ -144,12 +191,9 @@ def _likeliest(table: pa.Table, sigma: float, beta: float) -> list[tuple[int, fl
         chain.clear()
 
     score = weight[spans[0]]
-    for t in range(1, len(spans)):
-        p, q = spans[t - 1], spans[t]
-        way = np.min([rest[e, p][:, None] + far[ends[e, p]][:, ends[f, q]] + rest[f, q][None, :] for e in (0, 1) for f in (0, 1)], axis=0)
-        way = np.where(segment[p][:, None] == segment[q][None, :], metres(columns["lat"][p][:, None], columns["lon"][p][:, None], columns["lat"][q][None, :], columns["lon"][q][None, :]), way)
-        straight = metres(columns["latitude"][p[0]], columns["longitude"][p[0]], columns["latitude"][q[0]], columns["longitude"][q[0]])
-        total = score[:, None] - np.round(np.abs(way - straight), 3) / beta
+    for t, cost in enumerate(steps(), 1):
+        q = spans[t]
+        total = score[:, None] - cost
         best = total.argmax(0)
         reached = total[best, np.arange(len(q))]
         if np.isneginf(reached).all():
@@ -176,22 +220,28 @@ def hmm(points: DataFrame, segments: DataFrame, *, max_distance: float = 1000.0,
     """
     bare = points.where(filters.plausible_speed(max_speed)).select(*seq.KEYS, "datetime", "event_id", "latitude", "longitude")
     ends = segments.select("segment_id", "start_lat", "start_lon", "end_lat", "end_lon", junction("start_lat", "start_lon").alias("a"), junction("end_lat", "end_lon").alias("b"))
-    met = roads.with_candidates(bare, ends, max_distance, "inner").withColumn("p", geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon"))
-    met = met.withColumn("distance", geo.haversine("latitude", "longitude", "p.lat", "p.lon")).where(F.col("distance") <= max_distance)
-    cand = met.select(
-        *seq.KEYS, "datetime", "event_id", "latitude", "longitude", "segment_id", "p.lat", geo.wrapped(F.col("p.lon")).alias("lon"), "distance",
-        geo.haversine("start_lat", "start_lon", "p.lat", "p.lon").alias("from_a"), geo.haversine("p.lat", "p.lon", "end_lat", "end_lon").alias("from_b"), "a", "b",
+    met = roads.with_candidates(bare, ends, max_distance, "inner")
+    # a filter by distance would become a part of the join, which computes each expression again wherever it stands: the fold leaves out those too far
+    place = geo.closest("latitude", "longitude", "start_lat", "start_lon", "end_lat", "end_lon")
+    cand = met.withColumn("p", place).withColumns({"lat": F.col("p.lat"), "x": F.col("p.lon")}).select(
+        *seq.KEYS, "datetime", "event_id", "latitude", "longitude", "segment_id", "lat", geo.wrapped(F.col("x")).alias("lon"), geo.haversine("latitude", "longitude", "lat", "x").alias("distance"),
+        geo.haversine("start_lat", "start_lon", "lat", "x").alias("from_a"), geo.haversine("lat", "x", "end_lat", "end_lon").alias("from_b"), "a", "b",
     )
-    met_at = cand.select(*seq.KEYS, F.explode(F.array("a", "b")).alias("origin")).distinct()
-    ways = routes(segments, reach).groupBy("origin").agg(F.collect_list("target").alias("targets"), F.collect_list("metres").alias("ways"))
+    # junctions need no distances
+    boxed = roads.with_candidates(bare.select(*seq.KEYS, "latitude", "longitude"), ends.select("start_lat", "start_lon", "end_lat", "end_lon", "a", "b"), max_distance, "inner")
+    met_at = boxed.select(*seq.KEYS, F.explode(F.array("a", "b")).alias("origin")).distinct()
+    # roads that no point is near to need no search
+    size = max(roads.CELL, max_distance / 110_000.0)
+    cells = bare.select(geo.cell("longitude", size).alias("_gx"), geo.cell("latitude", size).alias("_gy")).distinct()
+    touched = roads._listed(ends, max_distance, size).select("_gx", "_gy", "a", "b").join(cells.hint("merge"), ["_gx", "_gy"], "left_semi")
+    ways = routes(segments, reach, touched.select(F.explode(F.array("a", "b")).alias("origin"))).groupBy("origin").agg(F.collect_list("target").alias("targets"), F.collect_list("metres").alias("ways"))
     near = met_at.join(ways.hint("merge"), "origin").select(*seq.KEYS, F.col("origin").alias("a"), "targets", "ways")
     both = cand.unionByName(near, allowMissingColumns=True)
 
     def fold(table: pa.Table, starts) -> Iterator[pa.RecordBatch]:
-        ends = [*starts.tolist()[1:], table.num_rows]
-        for a, b in zip(starts.tolist(), ends, strict=True):
-            found = _likeliest(own := table.slice(a, b - a), sigma, beta)
-            rows = own.take(pa.array([i for i, _ in found], pa.int64())).select(["event_id", "segment_id", "lat", "lon", "distance"])
-            yield from rows.rename_columns(["event_id", "segment_id", "matched_lat", "matched_lon", "distance"]).append_column("confidence", pa.array([c for _, c in found], pa.float64())).to_batches()
+        rows, ends = _Rows(table), [*starts.tolist()[1:], table.num_rows]
+        found = [x for a, b in zip(starts.tolist(), ends, strict=True) for x in _likeliest(rows, a, b, max_distance, sigma, beta)]
+        out = table.select(["event_id", "segment_id", "lat", "lon", "distance"]).take(pa.array([i for i, _ in found], pa.int64()))
+        yield from out.rename_columns(["event_id", "segment_id", "matched_lat", "matched_lon", "distance"]).append_column("confidence", pa.array([c for _, c in found], pa.float64())).to_batches()
 
-    return seq.by_vehicle(both, fold, "event_id long, segment_id string, matched_lat double, matched_lon double, distance double, confidence double")
+    return seq.by_vehicle(roads.dealt(both, *seq.KEYS), fold, "event_id long, segment_id string, matched_lat double, matched_lon double, distance double, confidence double", placed=True)
